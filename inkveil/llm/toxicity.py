@@ -7,7 +7,7 @@ For a text, the weights' products with those maxima bound the cosine with any ex
 in the order of their bounds until no bound exceeds the k-th best cosine, so the neighbours are exact.
 
 The score is the vote of the neighbours, each with weight cosine squared and class weights that undo the sampling, drawn
-towards the share of label 1 among all labelled rows by one vote's weight; so a text near no example has that share.
+towards the share of label 1 among all labelled rows by `PRIOR` of a vote; so a text near no example has that share.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from inkveil.llm.labelled import THRESHOLD, filter_documents, label_rows, sample
 EXAMPLES, TERMS = 3000, 4000
 #: A term must stand in so many examples, and its shares in the two labels must lie so many standard errors apart.
 LEAST_EXAMPLES, LEAST_Z = 4, 5.0
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.25
 _WORD = re.compile(r"\w+")
 
 
@@ -114,7 +114,7 @@ class ToxicityModel:
             if counts:
                 ids, cosines, _ = self.index.search(self._unit(counts), self.k)
                 votes = cosines**2 * self.class_weight[ids]
-                prior = self.class_weight.mean()
+                prior = PRIOR * self.class_weight.mean()
                 out[row] = (float(votes @ self.labels[ids]) + prior * self.share) / (float(votes.sum()) + prior)
         return out
 
