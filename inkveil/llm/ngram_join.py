@@ -34,8 +34,8 @@ _BASE, _SALT = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Bits of a parity sketch; sketches only drop pairs that differ too much, so their size does not change results.
-SKETCH = 1024
+#: Least bits of a parity sketch; a larger set has at least as many bits as shingles. Sketches only drop pairs that differ too much.
+SKETCH = 512
 #: Rows of a bucket that are compared in one block.
 BLOCK = 1024
 #: Candidate documents up to this number (8 bytes each) are broadcast to the scan, more are joined by a shuffle.
@@ -148,8 +148,25 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    bits = np.bincount((mix(shingles + _BASE) % _U(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(bits.astype(bool)).tobytes()
+    """For each of 2**k hash values whether an odd number of shingles has it; folding the halves gives the sketch for k - 1."""
+    bits = max(SKETCH, 1 << (len(shingles) - 1).bit_length())
+    held = np.bincount((mix(shingles + _BASE) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(held.astype(bool)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) folded to `size` words."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def may_be_similar(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> bool:
+    """False only where sizes or sketches rule the similarity out."""
+    size = min(len(a), len(b))
+    apart = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+    return min(n_a, n_b) * DENOMINATOR >= max(n_a, n_b) * NUMERATOR and apart * (DENOMINATOR + NUMERATOR) <= (n_a + n_b) * (DENOMINATOR - NUMERATOR)
 
 
 def similar(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> bool:
@@ -163,14 +180,14 @@ def similar(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, numerator: int = N
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set (null where a text has no words)."""
+    """doc_id, n_shingles, set and sketch (both null where a text has no words)."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(rows.column("text").to_pylist())
         n = np.array([len(s) for s in sets], np.int64)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(set_ids(sets), mask=n == 0)], ["doc_id", "n_shingles", "set"])
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(set_ids(sets), mask=n == 0), bytes_array([sketch(s) if len(s) else None for s in sets])], ["doc_id", "n_shingles", "set", "sketch"])
 
-    return map_slices(text_rows(docs), run, "doc_id long, n_shingles long, set long")
+    return map_slices(text_rows(docs), run, "doc_id long, n_shingles long, set long, sketch binary")
 
 
 def _even_keys(spark: SparkSession, n: int) -> list[int]:
@@ -250,26 +267,42 @@ def _buckets(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, n, shingles (binary, 8 bytes each), sketch for the documents whose ids are in `wanted` (doc_id)."""
+    """set, n, shingles (binary, 8 bytes each) for the documents whose ids are in `wanted` (doc_id)."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch | None:
         sets = [s for s in shingle_sets(rows.column("text").to_pylist()) if len(s)]
         if not sets:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64()), bytes_array([s.astype("<u8").tobytes() for s in sets]), bytes_array([sketch(s) for s in sets])], ["set", "n", "shingles", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64()), bytes_array([s.astype("<u8").tobytes() for s in sets])], ["set", "n", "shingles"])
 
     wanted = wanted.select("doc_id").distinct()
     few = wanted.count() <= MOST_BROADCAST
     chosen = text_rows(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    return map_slices(chosen, run, "set long, n long, shingles binary, sketch binary")
+    return map_slices(chosen, run, "set long, n long, shingles binary")
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches do not rule out."""
+    side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.join(side("a").drop("s_a"), "a").join(side("b").drop("s_b"), "b").filter(f"least(n_a, n_b) * {DENOMINATOR} >= greatest(n_a, n_b) * {NUMERATOR}").select("a", "b")
+    both = both.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s_a, s_b = batch.column("s_a"), batch.column("s_b")
+            good = [may_be_similar(np.frombuffer(s_a[i].as_buffer(), "<u8"), n_a, np.frombuffer(s_b[i].as_buffer(), "<u8"), n_b) for i, (n_a, n_b) in enumerate(zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(sieve, "a long, b long")
 
 
-def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, as (u, v)."""
+def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity, as (u, v): exact, on all shingles."""
+    ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    shingles = materialise(_shingles_of(docs, ends.join(sets.select("set", "least"), "set").select(F.col("least").alias("doc_id"))), "shingles", "lz4")
     left = shingles.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
     right = shingles.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    sized = pairs.join(left.select("a", "n_a"), "a").join(right.select("b", "n_b"), "b").filter(f"least(n_a, n_b) * {DENOMINATOR} >= greatest(n_a, n_b) * {NUMERATOR}").select("a", "b")
-    both = sized.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,34 +313,35 @@ def _verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "u long, v long").distinct()
 
 
-def _rest_of_buckets(buckets: DataFrame, components: DataFrame, shingles: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket that sketches let through; buckets are cut into blocks."""
+def _rest_of_buckets(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within a bucket that sizes and sketches let through; buckets are cut into blocks."""
     placed = buckets.join(components.select(F.col("node").alias("a"), "component"), "a", "left").select("bucket", "a", F.coalesce("component", "a").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "bucket").join(shingles.select(F.col("set").alias("a"), "n", "sketch"), "a").distinct()
-    own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = placed.join(mixed, "bucket").join(sets.select(F.col("set").alias("a"), "n", "sketch"), "a")
+    spread = rows.withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "component", "n", "sketch")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("n")
         n, component, ids, own = (group[c].to_numpy() for c in ("n", "component", "a", "own"))
-        bits = np.frombuffer(b"".join(group["sketch"]), "<u8").reshape(len(group), -1)
+        size = group["sketch"].str.len().to_numpy() // 8
         across = group["i"].iloc[0] != group["j"].iloc[0]
-        out = []
+        bits, begin, out = None, 0, [np.empty((0, 2), np.int64)]
         for k in range(len(n) - 1):
-            to = int(np.searchsorted(n, n[k] * DENOMINATOR // NUMERATOR, side="right"))
+            to = int(np.searchsorted(n, n[k] * DENOMINATOR // NUMERATOR, side="right"))  # partners are at most so large
             if to <= k + 1:
                 continue
-            apart = np.bitwise_count(bits[k] ^ bits[k + 1 : to]).sum(1)
+            if bits is None or size[k] != bits.shape[1]:  # sketches of this size and, folded, of the next
+                begin, last = k, int(np.searchsorted(size, 2 * size[k], side="right"))
+                bits = np.stack([folded(np.frombuffer(s, "<u8"), int(size[k])) for s in group["sketch"].iloc[k:last]])
+            apart = np.bitwise_count(bits[k - begin] ^ bits[k + 1 - begin : to - begin]).sum(1, dtype=np.int64)
             fits = (apart * (DENOMINATOR + NUMERATOR) <= (n[k] + n[k + 1 : to]) * (DENOMINATOR - NUMERATOR)) & (component[k] != component[k + 1 : to])
             if across:
                 fits &= own[k] != own[k + 1 : to]
             hit = k + 1 + np.flatnonzero(fits)
-            if len(hit):
-                out.append(np.stack([np.full(len(hit), ids[k]), ids[hit]], 1))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(1) if len(pairs) else pairs[:, 0], "b": pairs.max(1) if len(pairs) else pairs[:, 1]})
+            out.append(np.stack([np.full(len(hit), ids[k]), ids[hit]], 1))
+        pairs = np.concatenate(out)
+        return pd.DataFrame({"a": pairs.min(1, initial=2**63 - 1), "b": pairs.max(1, initial=-(2**63))})
 
     return spread.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -321,21 +355,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     own = materialise(document_sets(docs), "sets")
-    sets = materialise(own.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")), "classes")
+    sets = own.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sets = materialise(sets, "classes")
     shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     keys = _even_keys(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles * 5 // (24 << 20)))
     found = _signature_rows(docs, keys).repartition(len(keys), "key").groupBy("key").applyInPandas(_buckets, "bucket long, a long, b long")
     found = materialise(found, "buckets")
-    stars = found.filter("bucket is null").select("a", "b").distinct()
+    stars = materialise(_likely(found.filter("bucket is null").select("a", "b").distinct(), sets), "stars")
     buckets = found.filter("bucket is not null").select("bucket", "a").distinct()
-    wanted = stars.select(F.col("a").alias("set")).unionByName(stars.select(F.col("b").alias("set"))).distinct()
-    held = materialise(_shingles_of(docs, wanted.join(sets, "set").select(F.col("least").alias("doc_id"))), "shingles", "lz4")
-    links = materialise(_verified(stars, held), "links")
+    links = materialise(_verified(docs, stars, sets), "links")
     components = materialise(connected_components(links), "components")
-    more = materialise(_verified(_rest_of_buckets(buckets, components, held), held), "links")
-    if not more.isEmpty():
+    rest = materialise(_rest_of_buckets(buckets, components, sets), "rest")
+    if not rest.isEmpty():
+        more = _verified(docs, rest, sets)
         components = materialise(connected_components(links.unionByName(more)), "components")
     placed = sets.join(components.select(F.col("node").alias("set"), "component"), "set", "left").select("set", "least", F.coalesce("component", "set").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     known = materialise(placed.join(least, "component").select("set", "component_id"), "classes")
-    return own.join(known, "set", "left").select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return own.drop("sketch").join(known, "set", "left").select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -17,7 +17,7 @@ def texts(df):
 def test_streets(spark):
     d = docs(spark, "Hij woont aan de Lange Kerkstraat 12b te 1234 AB", "Bezoekadres: Kerkstraat 1", "de Straat 5 en lindelaan 3")
     rows = tier2.rule_rows(d, "street").collect()
-    assert [(r.text, r.confidence) for r in rows] == [("de Lange Kerkstraat 12b", 0.92)]
+    assert [(r.text, r.confidence) for r in rows] == [("aan de Lange Kerkstraat 12b", 0.92)]
 
 
 def test_house_numbers(spark):

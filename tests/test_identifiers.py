@@ -20,7 +20,7 @@ CASES = [
     ("postcode", "in 1234 AB en 1234AB, niet 1234 ab of 12345 AB", ["1234 AB", "1234AB"]),
     ("kenteken", "auto's AB-12-CD en 1-ABC-23, niet ab-12-cd", ["1-ABC-23", "AB-12-CD"]),
     ("url", "zie (https://a.nl/b?c=1). En xhttp://b.nl", ["https://a.nl/b?c=1"]),
-    ("kvk", "KvK: 12345678 maar factuur 87654321", ["12345678"]),
+    ("kvk", "KvK: 12345678. Maar factuur 87654321", ["12345678"]),
     ("btw", "NL111222333B01 en NL111222334B01", ["NL111222333B01"]),
     ("geboortedatum", "geboren op 3 mei 1980, geb. 31-02-1980, DOB 01/02/2030, geb: 1-2-1999", ["1-2-1999", "3 mei 1980"]),
     ("creditcard", "kaart 4111 1111 1111 1111, niet 4111 1111 1111 1112", ["4111 1111 1111 1111"]),
