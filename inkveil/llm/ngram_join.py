@@ -9,9 +9,10 @@ can have; so of the set whose D + 1 partitions end first, at least one is equal
 gives that signature too. Sets with too few such partitions give all of theirs, and the empty ones, so the
 pigeonhole still holds. No similar pair is lost.
 
-Candidates are checked exactly. In a bucket of one signature every set is first checked against the smallest set
-id; pairs of the rest are only looked at where the bucket still holds sets of different components, and are then sieved by
-parity sketches (the sketches of two sets differ in at most as many bits as the sets differ in shingles) before the exact check.
+Candidates are checked exactly. In a bucket of one signature every set is first checked against the one with the smallest
+id, the bucket's leader; the sets that meet a leader in any bucket are its star. Pairs within a star are only looked at where the star
+still holds sets of different components, each pair once a star instead of once a bucket. All pairs are first sieved by
+parity sketches (the sketches of two sets differ in at most as many bits as the sets differ in shingles), then checked exactly.
 Sets are known by a 64-bit hash of their shingles, so exact copies are one set.
 """
 
@@ -34,9 +35,9 @@ _BASE, _SALT = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Least bits of a parity sketch; a larger set has at least as many bits as shingles. Sketches only drop pairs that differ too much.
-SKETCH = 512
-#: Rows of a bucket that are compared in one block.
+#: Least bits of a parity sketch; a larger set has at least SKETCH_SHARE bits a shingle. Sketches only drop pairs that differ too much.
+SKETCH, SKETCH_SHARE = 512, 4
+#: Sets of a star that are compared in one block.
 BLOCK = 1024
 #: Candidate documents up to this number (8 bytes each) are broadcast to the scan, more are joined by a shuffle.
 MOST_BROADCAST = 500_000
@@ -149,7 +150,7 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 def sketch(shingles: np.ndarray) -> bytes:
     """For each of 2**k hash values whether an odd number of shingles has it; folding the halves gives the sketch for k - 1."""
-    bits = max(SKETCH, 1 << (len(shingles) - 1).bit_length())
+    bits = max(SKETCH, 1 << (SKETCH_SHARE * len(shingles) - 1).bit_length())
     held = np.bincount((mix(shingles + _BASE) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(held.astype(bool)).tobytes()
 
@@ -230,9 +231,8 @@ def _signature_rows(docs: DataFrame, keys: list[int]) -> DataFrame:
     return text_rows(docs).mapInArrow(run, "key int, signatures binary, places binary, sets binary")
 
 
-def _buckets(group: pd.DataFrame) -> pd.DataFrame:
-    """Of the buckets with two sets or more: a row (null, smallest set, other set) for each pair of these, and rows
-    (bucket, set, null) for those with three or more; buckets of equal members are told once."""
+def _stars(group: pd.DataFrame) -> pd.DataFrame:
+    """For each bucket with two sets or more the pairs (a, b) of its smallest set id with the others, each pair once."""
     signature, sets = [], []
     for s, p, t in zip(group.signatures, group.places, group.sets, strict=True):
         wide = np.zeros((len(s) // 5, 8), np.uint8)
@@ -250,20 +250,11 @@ def _buckets(group: pd.DataFrame) -> pd.DataFrame:
     fresh = np.concatenate([[True], (signature[1:] != signature[:-1]) | (sets[1:] != sets[:-1])]) if len(sets) else np.zeros(0, bool)
     signature, sets = signature[fresh], sets[fresh]
     if not len(sets):
-        return pd.DataFrame({"bucket": [], "a": [], "b": []}).astype("Int64")
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     begin = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-    size = np.diff(np.concatenate([begin, [len(sets)]]))
-    members = np.add.reduceat(mix(sets.view(_U)), begin)
-    begin, size, members = begin[size > 1], size[size > 1], members[size > 1]
-    _, told = np.unique(np.stack([members, size.astype(_U)], 1), axis=0, return_index=True)
-    begin, size, members = begin[told], size[told], members[told]
-    row = np.repeat(np.arange(len(begin)), size)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + begin[row]
-    head, own = sets[begin[row]], sets[at]
-    stars = np.unique(np.stack([head, own], 1)[head != own], axis=0)
-    large = size[row] > 2
-    bucket = members.view(np.int64)[row][large]
-    return pd.concat([pd.DataFrame({"bucket": pd.array([pd.NA] * len(stars), "Int64"), "a": stars[:, 0], "b": stars[:, 1]}), pd.DataFrame({"bucket": bucket, "a": own[large], "b": pd.array([pd.NA] * int(large.sum()), "Int64")})]).astype("Int64")
+    head = np.repeat(sets[begin], np.diff(np.concatenate([begin, [len(sets)]])))
+    pairs = np.unique(np.stack([head, sets], 1)[head != sets], axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -313,37 +304,45 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "u long, v long").distinct()
 
 
-def _rest_of_buckets(buckets: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket that sizes and sketches let through; buckets are cut into blocks."""
-    placed = buckets.join(components.select(F.col("node").alias("a"), "component"), "a", "left").select("bucket", "a", F.coalesce("component", "a").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "bucket").join(sets.select(F.col("set").alias("a"), "n", "sketch"), "a")
-    spread = rows.withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "component", "n", "sketch")
+def _rest_of_stars(stars: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within a star that sizes and sketches let through; large stars are cut into blocks."""
+    placed = stars.select(F.col("a").alias("star"), F.col("b").alias("set")).join(components.select(F.col("node").alias("set"), "component"), "set", "left").select("star", "set", F.coalesce("component", "set").alias("component"))
+    mixed = placed.groupBy("star").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("star", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = placed.join(mixed, "star").join(sets.select("set", "n", "sketch"), "set")
+    spread = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "component", "n", "sketch")
+    tasks = 8 * int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks are many and mostly small: some share a group
+    spread = spread.withColumn("task", F.pmod(F.xxhash64("star", "i", "j"), F.lit(tasks)))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        n, component, ids, own = (group[c].to_numpy() for c in ("n", "component", "a", "own"))
-        size = group["sketch"].str.len().to_numpy() // 8
-        across = group["i"].iloc[0] != group["j"].iloc[0]
-        bits, begin, out = None, 0, [np.empty((0, 2), np.int64)]
-        for k in range(len(n) - 1):
-            to = int(np.searchsorted(n, n[k] * DENOMINATOR // NUMERATOR, side="right"))  # partners are at most so large
-            if to <= k + 1:
-                continue
-            if bits is None or size[k] != bits.shape[1]:  # sketches of this size and, folded, of the next
-                begin, last = k, int(np.searchsorted(size, 2 * size[k], side="right"))
-                bits = np.stack([folded(np.frombuffer(s, "<u8"), int(size[k])) for s in group["sketch"].iloc[k:last]])
-            apart = np.bitwise_count(bits[k - begin] ^ bits[k + 1 - begin : to - begin]).sum(1, dtype=np.int64)
-            fits = (apart * (DENOMINATOR + NUMERATOR) <= (n[k] + n[k + 1 : to]) * (DENOMINATOR - NUMERATOR)) & (component[k] != component[k + 1 : to])
-            if across:
-                fits &= own[k] != own[k + 1 : to]
-            hit = k + 1 + np.flatnonzero(fits)
-            out.append(np.stack([np.full(len(hit), ids[k]), ids[hit]], 1))
-        pairs = np.concatenate(out)
-        return pd.DataFrame({"a": pairs.min(1, initial=2**63 - 1), "b": pairs.max(1, initial=-(2**63))})
-
-    return spread.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        group = group.sort_values(["star", "i", "j", "n"])
+        block = group[["star", "i", "j"]].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(1), [True]]))
+        n_all, component_all, id_all, own_all = (group[c].to_numpy() for c in ("n", "component", "set", "own"))
+        sketches = [np.frombuffer(s, "<u8") for s in group["sketch"]]
+        out = [np.empty((0, 2), np.int64)]
+        for first, after in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            n, component, ids, own = n_all[first:after], component_all[first:after], id_all[first:after], own_all[first:after]
+            size, across = [len(s) for s in sketches[first:after]], block[first, 1] != block[first, 2]
+            bits, begin = np.empty((0, 0), np.uint64), 0
+            ends = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, side="right").tolist()  # partners are at most so large
+            for k, to in enumerate(ends):
+                if to <= k + 1:
+                    continue
+                if size[k] != bits.shape[1]:  # sketches of this size and, folded, of the next
+                    begin, last = k, int(np.searchsorted(size, 2 * size[k], side="right"))
+                    bits = np.stack([folded(s, size[k]) for s in sketches[first + k : first + last]])
+                fits = component[k + 1 : to] != component[k]
+                if across:
+                    fits &= own[k + 1 : to] != own[k]
+                at = k + 1 + np.flatnonzero(fits)
+                apart = np.bitwise_count(bits[k - begin] ^ bits[at - begin]).sum(1, dtype=np.int64)
+                hit = at[apart * (DENOMINATOR + NUMERATOR) <= (n[k] + n[at]) * (DENOMINATOR - NUMERATOR)]
+                out.append(np.stack([np.full(len(hit), ids[k]), ids[hit]], 1))
+        pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return spread.groupBy("task").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -359,13 +358,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = materialise(sets, "classes")
     shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     keys = _even_keys(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles * 5 // (24 << 20)))
-    found = _signature_rows(docs, keys).repartition(len(keys), "key").groupBy("key").applyInPandas(_buckets, "bucket long, a long, b long")
-    found = materialise(found, "buckets")
-    stars = materialise(_likely(found.filter("bucket is null").select("a", "b").distinct(), sets), "stars")
-    buckets = found.filter("bucket is not null").select("bucket", "a").distinct()
-    links = materialise(_verified(docs, stars, sets), "links")
+    found = _signature_rows(docs, keys).repartition(len(keys), "key").groupBy("key").applyInPandas(_stars, "a long, b long")
+    stars = materialise(found.distinct(), "stars")
+    links = materialise(_verified(docs, materialise(_likely(stars, sets), "likely"), sets), "links")
     components = materialise(connected_components(links), "components")
-    rest = materialise(_rest_of_buckets(buckets, components, sets), "rest")
+    rest = materialise(_rest_of_stars(stars, components, sets), "rest")
     if not rest.isEmpty():
         more = _verified(docs, rest, sets)
         components = materialise(connected_components(links.unionByName(more)), "components")
