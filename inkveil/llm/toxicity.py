@@ -6,7 +6,7 @@ term's weight in each example; examples stand in blocks of 64, and for each term
 For a text, the weights' products with those maxima bound the cosine with any example of a block: blocks are scored
 in the order of their bounds until no bound exceeds the k-th best cosine, so the neighbours are exact.
 
-The score is the vote of the neighbours, each with weight cosine squared and class weights that undo the sampling, drawn
+The score is the vote of the neighbours, each with weight cosine cubed and class weights that undo the sampling, drawn
 towards the share of label 1 among all labelled rows by `PRIOR` of a vote; so a text near no example has that share.
 """
 
@@ -25,10 +25,12 @@ from inkveil.llm.common import map_slices, text_rows
 from inkveil.llm.labelled import THRESHOLD, filter_documents, label_rows, sample_ids, sampled_texts, score_documents
 
 #: At most so many labelled examples of either label, and so many terms.
-EXAMPLES, TERMS = 3000, 4000
+EXAMPLES, TERMS = 3000, 200
 #: A term must stand in so many examples, and its shares in the two labels must lie so many standard errors apart.
 LEAST_EXAMPLES, LEAST_Z = 4, 5.0
-NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.25
+#: A term that stands in more than this share of all documents is a stop word.
+MOST_SHARE = 0.1
+NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.4
 _WORD = re.compile(r"\w+")
 
 
@@ -113,7 +115,7 @@ class ToxicityModel:
             counts = self.counts(text)
             if counts:
                 ids, cosines, _ = self.index.search(self._unit(counts), self.k)
-                votes = cosines**2 * self.class_weight[ids]
+                votes = cosines**3 * self.class_weight[ids]
                 prior = PRIOR * self.class_weight.mean()
                 out[row] = (float(votes @ self.labels[ids]) + prior * self.share) / (float(votes.sum()) + prior)
         return out
@@ -129,7 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
         counts = [Counter(words_of(t)) for t in part.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "label", "words", "counts"])
 
-    held = map_slices(texts.select("doc_id", "text", "label"), counted, "doc_id long, label int, words array<string>, counts array<int>").dropDuplicates(["doc_id"])
+    held = map_slices(texts.select("doc_id", "text", "label"), counted, "doc_id long, label int, words array<string>, counts array<int>")
+    # Copies are one example, the one with the smallest id.
+    held = held.groupBy(F.xxhash64("words", "counts").alias("h")).agg(F.min_by(F.struct(*held.columns), "doc_id").alias("e")).select("e.*")
     sizes = {r.label: r.n for r in held.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = float(max(1, sizes.get(1, 0))), float(max(1, sizes.get(0, 0)))
     single = held.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
@@ -146,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
 
     df = {r.word: r.n for r in map_slices(text_rows(docs), frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = df.pop("", 0)
-    weighted = {w: (i, math.log((1 + total) / (1 + df.get(w, 0))) + 1e-9) for w, i in vocabulary.items()}
+    vocabulary = {w: i for i, w in enumerate(sorted(w for w in vocabulary if df.get(w, 0) <= MOST_SHARE * total))}
+    weighted = {w: (i, math.log((1 + total) / (1 + df.get(w, 0)))) for w, i in vocabulary.items()}
     pairs = held.select("doc_id", "label", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("doc_id", "label", "p.words", "p.counts")
     known: dict[int, tuple[int, int, dict[int, int]]] = {}
     if vocabulary:
