@@ -3,28 +3,42 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_MARKS = "\uFDD0\uFDD1"
 SPAN = "array<struct<text:string,start_char:int,end_char:int>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also where body uses it within other lambdas (those compute what they name anew each time)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def match_spans(text: Column, pattern: str, only_if: Column | None = None) -> Column:
     """All matches of a Java pattern (never empty ones) as an array of (text, start_char, end_char).
 
-    The texts between matches and the matches themselves alternate, so a match starts after the lengths of all that stands
-    before it. Lengths are counted once per piece; only numbers are added up per match. `only_if`: a cheap test that
-    a text with matches passes.
+    One pass puts a mark before and after each match (two code points that Unicode keeps free; should a text hold them,
+    they count as spaces); cut at the marks, matches and what stands between them alternate, and a fold adds up their lengths.
+    `only_if`: a cheap test that a text with matches passes.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    sizes = F.transform(found, lambda s: F.length(s))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    spans = F.transform(found, lambda m, i: F.struct(m.alias("text"), (total(F.slice(gaps, 1, i + 1)) + total(F.slice(sizes, 1, i))).alias("start_char")))
-    spans = F.transform(spans, lambda s: F.struct(s["text"].alias("text"), s["start_char"].alias("start_char"), (s["start_char"] + F.length(s["text"])).alias("end_char")))
+    marked = F.regexp_replace(F.translate(text, _MARKS, "  "), F.lit(pattern), F.lit(f"{_MARKS[0]}$0{_MARKS[1]}"))
     test = text.rlike(pattern) if only_if is None else only_if
-    return F.when(test, spans).otherwise(F.array().cast(SPAN))
+    return F.when(test, place_matches(F.split(marked, f"[{_MARKS}]", -1))).otherwise(F.array().cast(SPAN))
+
+
+def place_matches(parts: Column) -> Column:
+    """Spans from an array of texts of which every second one is a match."""
+    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("spans"))
+
+    def step(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(part)
+        span = F.struct(part.alias("text"), acc["at"].alias("start_char"), end.alias("end_char"))
+        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(parts, state, step, lambda acc: acc["spans"])
 
 
 def find_spans(docs: DataFrame, pattern: str, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",), only_if: Column | None = None) -> DataFrame:

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import SPAN, context_after, normalise_term
+from inkveil.functions.text import SPAN, context_after, let, normalise_term
 
 
 def literal_spans(text: Column, term: Column) -> Column:
     """Non-overlapping places of a term (any case) in a text, by cutting the lower-cased text at the term."""
     low = F.lower(text)
-    gaps = F.transform(F.call_function("split", low, F.concat(F.lit(r"\Q"), term, F.lit(r"\E")), F.lit(-1)), lambda s: F.length(s))
-    ends = F.slice(gaps, 1, F.size(gaps) - 1)
+    gaps = F.call_function("split", low, F.concat(F.lit(r"\Q"), term, F.lit(r"\E")), F.lit(-1))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def place(_: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + g) + i * F.length(term)
-        return F.struct(text.substr(start + 1, F.length(term)).alias("text"), start.cast("int").alias("start_char"), (start + F.length(term)).cast("int").alias("end_char"))
+    def step(acc: Column, gap: Column) -> Column:
+        begin = acc["at"] + F.length(gap)
+        span = F.struct(text.substr(begin + 1, F.length(term)).alias("text"), begin.alias("start_char"), (begin + F.length(term)).alias("end_char"))
+        return F.struct((begin + F.length(term)).alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-    return F.when(low.contains(term), F.transform(ends, place)).otherwise(F.array().cast(SPAN))
+    found = F.aggregate(gaps, state, step, lambda acc: F.slice(acc["spans"], 1, F.size(acc["spans"]) - 1))  # no place follows the last gap
+    return F.when(low.contains(term), found).otherwise(F.array().cast(SPAN))
 
 
 def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def merge_terms(detections: DataFrame, matches: DataFrame, ground: str = "5.1.2e
         touches = lambda a: (a["start_char"] < h["end_char"]) & (h["start_char"] < a["end_char"])
         at = F.array_position(F.transform(acc, touches), True)
         row = lambda a, fresh: F.struct(a["start_char"].alias("start_char"), a["end_char"].alias("end_char"), a["text"].alias("text"), F.lit("accepted").alias("review_status"), F.lit("custom_wordlist").alias("source"), (F.lit(0.99) if fresh else a["confidence"]).alias("confidence"), F.lit(ground).alias("woo_article"))
-        return F.when(at > 0, F.transform(acc, lambda a, i: F.when(i + 1 == at, row(a, False)).otherwise(a))).otherwise(F.array_append(acc, row(h, True)))
+        return let(at, lambda n: F.when(n > 0, F.transform(acc, lambda a, i: F.when(i + 1 == n, row(a, False)).otherwise(a))).otherwise(F.array_append(acc, row(h, True))))
 
     return both.select("doc_id", F.inline(F.aggregate("hits", F.col("base"), step)))
 

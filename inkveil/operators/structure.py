@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
+from inkveil.functions.text import let
 
 _LINE = "array<struct<i:int,line:string,start_char:int,end_char:int>>"
 _SPAN = "array<struct<start_char:int,end_char:int,evidence:string>>"
@@ -64,7 +65,7 @@ def header_blocks(lines: Column) -> Column:
 def signature_blocks(lines: Column) -> Column:
     """From a closing phrase on up to six lines that are not blank; two blank lines, a salutation or a disclaimer's address end it."""
 
-    def block(x: Column) -> Column:
+    def block(x: Column, lines: Column) -> Column:
         state = F.struct(x["end_char"].alias("end_char"), F.lit(0).alias("taken"), F.lit(0).alias("blank"), F.lit(True).alias("open"))
 
         def step(acc: Column, y: Column) -> Column:
@@ -76,7 +77,7 @@ def signature_blocks(lines: Column) -> Column:
         end = F.aggregate(F.slice(lines, x["i"] + 2, F.size(lines)), state, step, lambda acc: acc["end_char"])
         return F.struct(x["start_char"].alias("start_char"), end.alias("end_char"), F.trim(F.regexp_extract(x["line"], _CLOSING, 0)).alias("evidence"))
 
-    return F.transform(F.filter(lines, lambda x: x["line"].rlike(_CLOSING)), block)
+    return let(lines, lambda all_lines: F.transform(F.filter(all_lines, lambda x: x["line"].rlike(_CLOSING)), lambda x: block(x, all_lines)))
 
 
 KINDS = (("email_header", header_blocks, 0.95), ("signature_block", signature_blocks, 0.90), ("salutation", salutations, 0.85))

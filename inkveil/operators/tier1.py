@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
 from inkveil.functions.checks import eleven_test, luhn, mod_97
-from inkveil.functions.text import context_after, digits_only, drop_repeated, first_in, match_spans
+from inkveil.functions.text import SPAN, context_after, digits_only, drop_repeated, first_in, let, match_spans
 
 #: Emission order of the types; the patterns of a type follow one another.
 ORDER = ("bsn", "iban", "telefoon", "email", "postcode", "kenteken", "url", "kvk", "btw", "geboortedatum", "creditcard")
@@ -30,8 +30,16 @@ def _scored(spans: Column, confidence: float, keep: Callable[[Column], Column] |
     return F.transform(spans, lambda s: F.struct(s["text"].alias("text"), s["start_char"].alias("start_char"), s["end_char"].alias("end_char"), F.lit(confidence).alias("confidence")))
 
 
+def _first_character(pattern: str) -> str:
+    """A look-ahead for the first character of a pattern that begins with a word edge: cheaper than the edge, so it stands before it."""
+    for start, ahead in ((r"\b0", "(?=0)"), (r"\b[A-Z]", "(?=[A-Z])"), (r"\b\d", r"(?=\d)"), (r"\bNL", "(?=[Nn])"), (r"(?<!\w)\+", r"(?=\+)")):
+        if pattern.startswith(start):
+            return ahead
+    return ""
+
+
 def _simple(kind: str, text: Column, patterns: tuple[str, ...], flags: str, hint: Column, keep: Callable[[Column], Column] | None = None) -> list[Column]:
-    return [_scored(match_spans(text, f"(?{flags}){p}", hint), CONFIDENCE[kind], keep) for p in patterns]
+    return [_scored(match_spans(text, f"(?{flags}){_first_character(p)}{p}", hint), CONFIDENCE[kind], keep) for p in patterns]
 
 
 def _urls(text: Column) -> Column:
@@ -41,9 +49,8 @@ def _urls(text: Column) -> Column:
     return F.transform(bare, lambda s: F.struct(s["text"].alias("text"), s["start_char"].alias("start_char"), (s["start_char"] + F.length(s["text"])).alias("end_char"), F.lit(CONFIDENCE["url"]).alias("confidence")))
 
 
-def _near_anchor(text: Column, anchor: str, pattern: str, near: int, reach: int, confidence: float) -> Column:
+def _near_anchor(text: Column, anchors: Column, pattern: str, near: int, reach: int, confidence: float) -> Column:
     """For each anchor the first match in the slice of near + reach characters after it, if it starts within `near`."""
-    anchors = match_spans(text, anchor)
 
     def first(a: Column) -> Column:
         value, offset = first_in(context_after(text, a["end_char"], near + reach), pattern)
@@ -55,17 +62,21 @@ def _near_anchor(text: Column, anchor: str, pattern: str, near: int, reach: int,
 
 def _kvk(text: Column) -> list[Column]:
     anchor, number = f"(?iU){V.KVK_ANCHOR}", f"(?U){V.KVK_NUMBER}"
-    close = _near_anchor(text, anchor, number, V.KVK_NEAR, 8, CONFIDENCE["kvk"])
-    anchors = match_spans(text, anchor)
-    numbers = F.when(text.rlike(anchor), match_spans(text, number)).otherwise(F.array())
 
     def in_table(n: Column, a: Column) -> Column:
         between = text.substr(a["end_char"] + 1, n["start_char"] - a["end_char"])
         return (n["start_char"] - a["end_char"]).between(0, V.KVK_FAR) & between.rlike("[A-Za-z]{2,}") & ~between.rlike(r"(?U)\.\s+[A-Z]")
 
-    taken = lambda n: F.exists(close, lambda c: c["start_char"] == n["start_char"])
-    far = F.filter(numbers, lambda n: ~taken(n) & F.exists(anchors, lambda a: in_table(n, a)))
-    return [close, _scored(far, KVK_FAR_CONFIDENCE)]
+    def both(anchors: Column) -> Column:
+        def passes(close: Column) -> Column:
+            numbers = F.when(F.size(anchors) > 0, match_spans(text, number, F.lit(True))).otherwise(F.array().cast(SPAN))
+            taken = lambda n: F.exists(close, lambda c: c["start_char"] == n["start_char"])
+            far = F.filter(numbers, lambda n: ~taken(n) & F.exists(anchors, lambda a: in_table(n, a)))
+            return F.concat(close.cast(_HIT), _scored(far, KVK_FAR_CONFIDENCE).cast(_HIT))
+
+        return let(_near_anchor(text, anchors, number, V.KVK_NEAR, 8, CONFIDENCE["kvk"]), passes)
+
+    return [let(match_spans(text, anchor), both)]
 
 
 def birth_date(text: Column) -> Column:
@@ -80,7 +91,7 @@ def birth_date(text: Column) -> Column:
 def _births(text: Column, as_of: Column) -> Column:
     names = "|".join(sorted(V.MONTHS, key=len, reverse=True))
     pattern = rf"(?iU)\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{4}}|\d{{1,2}}\s+(?:{names})\s+\d{{4}}"
-    hits = _near_anchor(text, f"(?iU){V.BIRTH_ANCHOR}", pattern, V.BIRTH_NEAR, 20, CONFIDENCE["geboortedatum"])
+    hits = _near_anchor(text, match_spans(text, f"(?iU){V.BIRTH_ANCHOR}"), pattern, V.BIRTH_NEAR, 20, CONFIDENCE["geboortedatum"])
     day = lambda s: birth_date(s["text"])
     return F.filter(hits, lambda s: F.coalesce((day(s) <= as_of) & (F.year(as_of) - F.year(day(s)) <= 120), F.lit(False)))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
-from inkveil.functions.text import context_after, context_before, match_spans, normalise_token, particle_pattern
+from inkveil.functions.text import context_after, context_before, let, match_spans, normalise_token, particle_pattern
 
 HIT = "array<struct<entity_type:string,text:string,start_char:int,end_char:int,confidence:double,source:string>>"
 _LINE_GAP = r"[^\S\n]+"
@@ -66,24 +66,34 @@ def score_name(text: Column, first_names: Sequence[str], surnames: Sequence[str]
     name; the rightmost other token that is no particle, else any inner one, as surname."""
     singles = sorted({w for p in V.DUTCH_PARTICLES + V.OTHER_PARTICLES for w in p.split()})
     particle = lambda t: t.isin(*singles)
-    tokens = F.filter(F.transform(F.split(F.trim(text), r"(?U)\s+"), normalise_token), lambda t: t != "")
-    lead = F.coalesce(F.array_position(F.transform(tokens, lambda t: ~particle(t)), True), F.lit(0))
-    body = F.when(lead > 0, F.slice(tokens, lead.cast("int"), F.size(tokens))).otherwise(F.array().cast("array<string>"))
     listed = lambda names: (lambda t: t.isin(*names)) if names else (lambda t: F.lit(False))
-    first = F.coalesce(F.exists(F.split(F.try_element_at(body, F.lit(1)), "-"), listed(list(first_names))), F.lit(False))
-    rest = F.filter(F.when(first, F.slice(body, 2, F.size(body))).otherwise(body), lambda t: ~particle(t))
-    last = F.exists(rest, listed(list(surnames)))
-    return F.struct(first.alias("first"), last.alias("last"), (first | last).alias("plausible"))
+
+    def scored(body: Column) -> Column:
+        first = F.coalesce(F.exists(F.split(F.try_element_at(body, F.lit(1)), "-"), listed(list(first_names))), F.lit(False))
+
+        def both(first: Column) -> Column:
+            rest = F.filter(F.when(first, F.slice(body, 2, F.size(body))).otherwise(body), lambda t: ~particle(t))
+            last = F.exists(rest, listed(list(surnames)))
+            return F.struct(first.alias("first"), last.alias("last"), (first | last).alias("plausible"))
+
+        return let(first, both)
+
+    def without_lead(tokens: Column) -> Column:
+        lead = F.coalesce(F.array_position(F.transform(tokens, lambda t: ~particle(t)), True), F.lit(0))
+        return let(lead, lambda at: F.when(at > 0, F.slice(tokens, F.greatest(at, F.lit(1)).cast("int"), F.size(tokens))).otherwise(F.array().cast("array<string>")))
+
+    tokens = F.filter(F.transform(F.split(F.trim(text), r"(?U)\s+"), normalise_token), lambda t: t != "")
+    return let(let(tokens, without_lead), scored)
 
 
 def streets(text: Column) -> Column:
-    codes = match_spans(text, f"(?U){V.POSTCODE}", text.rlike(r"\d{4}"))
-    spans = match_spans(text, STREET, text.rlike(r"\d"))
+    spans = match_spans(text, STREET, text.rlike(rf"(?:{'|'.join(V.STREET_ENDINGS)})\s+\d"))
 
-    def near(s: Column) -> Column:
-        return F.exists(codes, lambda c: (c["start_char"] - s["end_char"]).between(0, NEAR_POSTCODE) | (s["start_char"] - c["end_char"]).between(0, NEAR_POSTCODE))
+    def scored(codes: Column) -> Column:
+        near = lambda s: F.exists(codes, lambda c: (c["start_char"] - s["end_char"]).between(0, NEAR_POSTCODE) | (s["start_char"] - c["end_char"]).between(0, NEAR_POSTCODE))
+        return F.transform(spans, lambda s: hit("adres", s["text"], s["start_char"], F.when(near(s), 0.92).otherwise(0.85), "regex"))
 
-    hits = F.transform(spans, lambda s: hit("adres", s["text"], s["start_char"], F.when(near(s), 0.92).otherwise(0.85), "regex"))
+    hits = let(match_spans(text, f"(?U){V.POSTCODE}", text.rlike(r"\d{4}")), scored)
     return F.filter(hits, lambda h: plausible_home(h["text"], text, h["start_char"]))
 
 
@@ -127,7 +137,7 @@ def titled_names(text: Column) -> Column:
     capital = lambda t: t.rlike(rf"(?U)^{_CAP_TOKEN}") & ~F.lower(t).isin(*singles)
     hits = F.filter(F.transform(match_spans(text, TITLE), name), lambda h: F.exists(F.split(h["text"], r"(?U)\s+"), capital) & plausible_person(h["text"]))
     wider = lambda h, k: (k["start_char"] <= h["start_char"]) & (k["end_char"] >= h["end_char"]) & (k["end_char"] - k["start_char"] > h["end_char"] - h["start_char"])
-    return F.filter(hits, lambda h: ~F.exists(hits, lambda k: wider(h, k)))
+    return let(hits, lambda all_hits: F.filter(all_hits, lambda h: ~F.exists(all_hits, lambda k: wider(h, k))))
 
 
 def listed_names(text: Column, first_names: Sequence[str], surnames: Sequence[str]) -> Column:
@@ -136,9 +146,11 @@ def listed_names(text: Column, first_names: Sequence[str], surnames: Sequence[st
     spans = F.filter(match_spans(text, run, text.rlike(r"\p{Lu}")), lambda s: plausible_person(s["text"]))
 
     def candidate(s: Column) -> Column:
-        score = score_name(s["text"], first_names, surnames)
-        confidence = F.least(F.lit(0.95), F.round(F.lit(0.80) + F.when(score["first"], 0.10).otherwise(0.0) + F.when(score["last"], 0.05).otherwise(0.0), 2))
-        return F.when(score["plausible"], hit("persoon", s["text"], s["start_char"], confidence, "ner"))
+        def row(score: Column) -> Column:
+            confidence = F.least(F.lit(0.95), F.round(F.lit(0.80) + F.when(score["first"], 0.10).otherwise(0.0) + F.when(score["last"], 0.05).otherwise(0.0), 2))
+            return F.when(score["plausible"], hit("persoon", s["text"], s["start_char"], confidence, "ner"))
+
+        return let(score_name(s["text"], first_names, surnames), row)
 
     return F.filter(F.transform(spans, candidate), lambda h: h.isNotNull())
 
@@ -155,8 +167,8 @@ def merge_apart(base: Column, hits: Column) -> Column:
 
 def replace_contained(base: Column, hits: Column) -> Column:
     """Drop the base's addresses that lie within a hit, then append all hits."""
-    inside = lambda a: F.exists(hits, lambda h: (a["entity_type"] == "adres") & (h["start_char"] <= a["start_char"]) & (a["end_char"] <= h["end_char"]))
-    return F.concat(F.filter(base, lambda a: ~inside(a)), hits)
+    inside = lambda a, new: F.exists(new, lambda h: (a["entity_type"] == "adres") & (h["start_char"] <= a["start_char"]) & (a["end_char"] <= h["end_char"]))
+    return let(hits, lambda new: F.concat(F.filter(base, lambda a: ~inside(a, new)), new))
 
 
 def first_of_equals(spans: Column) -> Column:

@@ -33,6 +33,10 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.dutch_letters(spark, sf_dir)
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.spread(corpus.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.derived(spark, sf_dir, corpus.CONTACTS_SQL, "supplier")
 
@@ -68,12 +72,12 @@ for _kind in tier1.ORDER:
 query("t1_all_dedup", sql.tier1())(lambda s, d: found(s, d).select(*_T1))
 _DOCS = "(select doc_id, text from documents)"
 _URLS = "(select page_id as doc_id, url as text from pages)"
-query("documents_email", sql.tier1(("email",), _DOCS))(lambda s, d: tier1.detect(corpus.table(s, d, "documents"), ("email",)).select(*_T1))
-query("documents_card", sql.tier1(("creditcard",), _DOCS))(lambda s, d: tier1.detect(corpus.table(s, d, "documents"), ("creditcard",)).select(*_T1))
+query("documents_email", sql.tier1(("email",), _DOCS))(lambda s, d: tier1.detect(texts(s, d), ("email",)).select(*_T1))
+query("documents_card", sql.tier1(("creditcard",), _DOCS))(lambda s, d: tier1.detect(texts(s, d), ("creditcard",)).select(*_T1))
 query("pages_url", sql.tier1(("url",), _URLS))(lambda s, d: tier1.detect(corpus.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")), ("url",)).select(*_T1))
 query("status_tier1", sql.status())(decided)
 query("t1_counts", f"select entity_type, count(*) as n from ({sql.tier1()}) group by 1")(lambda s, d: found(s, d).groupBy("entity_type").agg(F.count("*").alias("n")))
-query("documents_identifiers")(lambda s, d: tier1.detect(corpus.table(s, d, "documents"), as_of=sql.AS_OF).select(*_T1))
+query("documents_identifiers")(lambda s, d: tier1.detect(texts(s, d), as_of=sql.AS_OF).select(*_T1))
 
 # --- tier 2 -------------------------------------------------------------------------------------------------------------
 for _rule, _name, _sql in (("street", "t2_street", sql.street()), ("house_number", "t2_housenumber", sql.house_number()), ("reference", "t2_reference", sql.reference()), ("initials", "t2_initials", sql.initials()), ("title", "t2_title", None)):

@@ -61,6 +61,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores is dealt out to all of them, since what follows costs far more than reading
+    it; a larger one stays as its files are split, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """The rows of a statement over given tables; views are session-local and named for their folder."""
     for name in tables:
@@ -72,4 +79,4 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFra
 
 def dutch_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, gm_code, text."""
-    return derived(spark, sf_dir, CORPUS_SQL, "customer").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("gm_code").cast("int").alias("gm_code"), "text")
+    return spread(derived(spark, sf_dir, CORPUS_SQL, "customer")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("gm_code").cast("int").alias("gm_code"), "text")
