@@ -120,3 +120,20 @@ def buckets(values: DataFrame, column: str, edges: tuple[int, ...] = (0, 10, 50,
     for e in edges:
         name = F.when(F.col(column) >= e, f">={e}").otherwise(name)
     return values.groupBy(name.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def missing_fields(records: DataFrame, required: tuple[str, ...], key: str = "doc_id") -> DataFrame:
+    """key, missing: the names of required fields that are null or blank, in their order, joined; null if none."""
+    names = F.filter(F.array(*[F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "", F.lit(c)) for c in required]), lambda n: n.isNotNull())
+    return records.select(key, F.nullif(F.array_join(names, ", "), F.lit("")).alias("missing"))
+
+
+def export_name(name: Column) -> Column:
+    """A file name for a redacted copy: without folders and unusual characters, of at most 100 characters, with a prefix."""
+    base = F.regexp_replace(F.element_at(F.split(name, r"[/\\]"), -1), r"[^A-Za-z0-9._-]+", "_")
+    return F.concat(F.lit("gelakt_"), F.when(base == "", "document").otherwise(F.left(base, F.lit(100))))
+
+
+def per_period(events: DataFrame) -> DataFrame:
+    """year, month, status, n with subtotals (null: all), by rollup. events: (ts, status)."""
+    return events.select(F.year("ts").alias("year"), F.month("ts").alias("month"), "status").rollup("year", "month", "status").agg(F.count("*").alias("n"))

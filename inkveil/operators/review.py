@@ -77,3 +77,32 @@ def page_states(pages: DataFrame, reviews: DataFrame) -> DataFrame:
     """status, n: pages without a review count as unreviewed."""
     joined = pages.join(reviews.select("doc_id", "page", "status"), ["doc_id", "page"], "left")
     return joined.groupBy(F.coalesce("status", F.lit("unreviewed")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def neighbours(detections: DataFrame) -> DataFrame:
+    """Rows with the det_id before and after them in their document's reading order (start, end, id)."""
+    order = W.partitionBy("doc_id").orderBy("start_char", "end_char", "det_id")
+    return detections.withColumn("before", F.lag("det_id").over(order)).withColumn("after", F.lead("det_id").over(order))
+
+
+def recent(uses: DataFrame, most: int = 5) -> DataFrame:
+    """user_id, value, place: each user's last used values (user_id, value, seq), the latest first, at most `most` (the feature itself)."""
+    last = uses.groupBy("user_id", "value").agg(F.max("seq").alias("seq"))
+    ranked = last.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("seq"))).cast("long"))
+    return ranked.filter(F.col("place") <= most).select("user_id", "value", "place")
+
+
+def block_groups(detections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks (doc_id, kind, start_char, end_char) with how many detections lie in them and how many of those wait; empty ones are dropped.
+
+    A detection belongs to the narrowest block around it.
+    """
+    b = blocks.select("doc_id", "kind", F.col("start_char").alias("b_start"), F.col("end_char").alias("b_end"))
+    inside = detections.join(b, "doc_id").filter("b_start <= start_char and end_char <= b_end")
+    narrow = inside.groupBy("doc_id", "start_char", "end_char", "review_status").agg(F.min(F.struct((F.col("b_end") - F.col("b_start")).alias("width"), "b_start", "b_end", "kind")).alias("b"))
+    return narrow.groupBy("doc_id", F.col("b.kind").alias("kind"), F.col("b.b_start").alias("start_char"), F.col("b.b_end").alias("end_char")).agg(F.count("*").alias("n"), F.count_if(F.col("review_status") == "pending").alias("pending"))
+
+
+def weighed(items: DataFrame) -> DataFrame:
+    """det_id, complete: whether all required items (det_id, required, checked) of a checklist are checked."""
+    return items.groupBy("det_id").agg(F.bool_and(~F.col("required") | F.col("checked")).alias("complete"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.operators import classify, custom, locate, reports, review, structure, tier1, tier2
 from inkveil.plans import sql
-from inkveil.sources import corpus
+from inkveil.sources import corpus, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -190,6 +190,28 @@ query("detection_buckets", f"select case when n >= 100 then '>=100' when n >= 50
 query("confidence_levels", f"select case when confidence >= 0.85 then 'high' when confidence >= 0.6 then 'medium' else 'low' end as level, count(*) as n from {_D} group by 1")(lambda s, d: decided(s, d).groupBy(reports.level(F.col("confidence")).alias("level")).agg(F.count("*").alias("n")))
 
 
+# --- further parts ----------------------------------------------------------------------------------------------------------
+_LINKS = "(select page_id, i, m[i] as link from (select page_id, m, unnest(range(1, len(m) + 1)) as i from (select page_id, regexp_extract_all(html, '(?s)<a\\s+href=\"[^\"]+\"[^>]*>[^<]*</a>') as m from pages)))"
+query("html_concepts", f"select uri, min_by(label, (page_id, i)) as label from (select page_id, i, regexp_extract(link, 'href=\"([^\"]+)\"', 1) as uri, regexp_extract(link, '>([^<]*)<', 1) as label from {_LINKS}) group by 1")(lambda s, d: readers.concepts(corpus.table(s, d, "pages")))
+query("list_changes", "select *, 'added' as change from (select c_name, c_acctbal from customer where c_custkey % 3 <> 0 except all select c_name, c_acctbal from customer where c_custkey % 3 <> 1) union all select *, 'removed' from (select c_name, c_acctbal from customer where c_custkey % 3 <> 1 except all select c_name, c_acctbal from customer where c_custkey % 3 <> 0)")(lambda s, d: readers.changed(corpus.table(s, d, "customer").filter("c_custkey % 3 <> 1").select("c_name", "c_acctbal"), corpus.table(s, d, "customer").filter("c_custkey % 3 <> 0").select("c_name", "c_acctbal")))
+query("session_patch", "select coalesce(o.c_custkey, n.k) as doc_id, coalesce(n.name, o.c_name) as name, coalesce(n.seg, o.c_mktsegment) as segment from customer o full join (select c_custkey + 5 as k, case when c_custkey % 2 = 0 then c_name end as name, case when c_custkey % 3 = 0 then c_mktsegment end as seg from customer) n on o.c_custkey = n.k")(lambda s, d: readers.patched(corpus.table(s, d, "customer").selectExpr("c_custkey as doc_id", "c_name as name", "c_mktsegment as segment"), corpus.table(s, d, "customer").selectExpr("c_custkey + 5 as doc_id", "case when c_custkey % 2 = 0 then c_name end as name", "case when c_custkey % 3 = 0 then c_mktsegment end as segment")))
+query("neighbours", f"select doc_id, start_char, end_char, coalesce(lag(start_char) over w, -1) as before, coalesce(lead(start_char) over w, -1) as after from ({sql.initials()}) window w as (partition by doc_id order by start_char, end_char)")(lambda s, d: review.neighbours(persons(s, d).withColumn("det_id", F.col("start_char"))).select("doc_id", "start_char", "end_char", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("after", F.lit(-1)).alias("after")))
+query("recent_values", "select user_id, event_type as value, place from (select user_id, event_type, row_number() over (partition by user_id order by max(event_id) desc) as place from events group by 1, 2) where place <= 3")(lambda s, d: review.recent(corpus.table(s, d, "events").selectExpr("user_id", "event_type as value", "event_id as seq"), 3))
+query("block_groups", f"with i as (select p.doc_id, p.start_char as s, p.end_char as e, b.kind, b.start_char, b.end_char, row_number() over (partition by p.doc_id, p.start_char, p.end_char order by b.end_char - b.start_char, b.start_char, b.end_char, b.kind) as r from ({sql.initials()}) p join ({sql.structures()}) b on b.doc_id = p.doc_id and b.start_char <= p.start_char and p.end_char <= b.end_char) select doc_id, kind, start_char, end_char, count(*) as n, count(*) as pending from i where r = 1 group by 1, 2, 3, 4")(lambda s, d: review.block_groups(pending(s, d), structure.detect(letters(s, d))))
+query("weighed", "select user_id as det_id, bool_and(event_type <> 'error' or value > 10) as complete from events group by 1")(lambda s, d: review.weighed(corpus.table(s, d, "events").selectExpr("user_id as det_id", "event_type = 'error' as required", "value > 10 as checked")))
+query("missing_fields", "select page_id as doc_id, nullif(concat_ws(', ', case when regexp_extract(html, '<title>([^<]*)', 1) = '' then 'title' end, case when trim(coalesce(url, '')) = '' then 'url' end, case when regexp_extract(url, '#(.+)', 1) = '' then 'anchor' end), '') as missing from pages")(lambda s, d: reports.missing_fields(corpus.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), "url", F.regexp_extract("url", "#(.+)", 1).alias("anchor")), ("title", "url", "anchor")))
+query("export_names", "select page_id, 'gelakt_' || case when b = '' then 'document' else left(b, 100) end as name from (select page_id, regexp_replace(string_split_regex(url, '[/\\\\]')[-1], '[^A-Za-z0-9._-]+', '_', 'g') as b from pages)")(lambda s, d: corpus.table(s, d, "pages").select("page_id", reports.export_name(F.col("url")).alias("name")))
+query("per_period", "select coalesce(cast(year(ts) as varchar), 'all') as year, coalesce(cast(month(ts) as varchar), 'all') as month, coalesce(event_type, 'all') as status, count(*) as n from events group by rollup (year(ts), month(ts), event_type)")(lambda s, d: reports.per_period(corpus.table(s, d, "events").select("ts", F.col("event_type").alias("status"))).select(*[F.coalesce(F.col(c).cast("string"), F.lit("all")).alias(c) for c in ("year", "month", "status")], "n"))
+query("name_scores", None)(lambda s, d: persons(s, d).select("doc_id", "text", tier2.score_name(F.col("text"), FIRST, LAST).alias("score")).select("doc_id", "text", "score.*"))
+query("covered_boxes", f"select a.doc_id, a.ord, max(case when least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 and least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0 and (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.5 * (a.x1 - a.x0) * (a.y1 - a.y0) then 1 else 0 end) = 1 as covered from ({_ITEMS}) a join (select doc_id, page, x0 - 4 as x0, x1 - 4 as x1, y0, y1 from ({_ITEMS}) where ord % 2 = 0) b on a.doc_id = b.doc_id and a.page = b.page group by 1, 2")(lambda s, d: _covered(s, d))
+
+
+def _covered(s: SparkSession, d: str) -> DataFrame:
+    box = lambda shift: F.struct("page", (F.col("x0") - shift).alias("x0"), "y0", (F.col("x1") - shift).alias("x1"), "y1")
+    boxes = items(s, d).filter("ord % 2 = 0").groupBy("doc_id").agg(F.collect_list(box(4)).alias("boxes"))
+    return items(s, d).join(boxes, "doc_id").select("doc_id", "ord", locate.covered(box(0), F.col("boxes")).alias("covered"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
