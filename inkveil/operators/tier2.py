@@ -155,6 +155,40 @@ def listed_names(text: Column, first_names: Sequence[str], surnames: Sequence[st
     return F.filter(F.transform(spans, candidate), lambda h: h.isNotNull())
 
 
+_MONTHS = "|".join(sorted(V.MONTHS, key=len, reverse=True))
+DATE = rf"(?iU)\b(?:\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{4}}|\d{{1,2}}\s+(?:{_MONTHS})\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})\b"
+_KEYWORDS = "|".join(w.capitalize() for w in sorted(V.ORGANISATION_WORDS, key=lambda w: (-len(w), w)))
+ORGANISATION = rf"(?U)\b(?:{_KEYWORDS})(?:{_LINE_GAP}(?:{particle_pattern(V.DUTCH_PARTICLES, _LINE_GAP)})?{_CAPITAL_WORD}){{1,4}}"
+
+
+def dates(text: Column, as_of: Column) -> Column:
+    """Dates that may be birth dates: not of recent years, not after an administrative word."""
+    hits = F.transform(match_spans(text, DATE, text.rlike(r"\d{4}")), lambda s: hit("datum", s["text"], s["start_char"], F.lit(0.60), "ner"))
+    return F.filter(hits, lambda h: ~event_date(h["text"], text, h["start_char"], as_of))
+
+
+def organisations(text: Column) -> Column:
+    """A capitalised organisation word and the capitalised words after it."""
+    return F.transform(match_spans(text, ORGANISATION), lambda s: hit("organisatie", s["text"], s["start_char"], F.lit(0.50), "ner"))
+
+
+def trimmed(span: Column) -> Column:
+    """A hit without punctuation and spaces at its ends, its offsets moved along."""
+    lead = F.length(F.regexp_extract(span["text"], r"(?U)^[\s\p{P}]+", 0))
+    bare = F.regexp_replace(span["text"], r"(?U)^[\s\p{P}]+|[\s\p{P}]+$", "")
+    return F.struct(span["entity_type"].alias("entity_type"), bare.alias("text"), (span["start_char"] + lead).cast("int").alias("start_char"), (span["start_char"] + lead + F.length(bare)).cast("int").alias("end_char"), span["confidence"].alias("confidence"), span["source"].alias("source"))
+
+
+def without_titles(text: Column, titles: Sequence[str]) -> Column:
+    """A person's span without function titles: those at its end go, from one at the third word or later all goes, then one before the name."""
+    any_title = "|".join(t.replace(" ", r"\s+") for t in sorted(titles, key=len, reverse=True))
+    if not any_title:
+        return text
+    end = F.regexp_replace(text, rf"(?iU)(?:[\s,]+(?:{any_title})[.,;:()]*)+$", "")
+    inner = F.regexp_replace(text, rf"(?iU)^(\S+\s+\S+(?:\s+\S+)*?)\s+(?:{any_title})\b.*$", "$1")
+    return F.regexp_replace(F.when(end != text, end).otherwise(inner), rf"(?iU)^(?:{any_title})\s+(?=\S)", "")
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start_char"] < b["end_char"]) & (b["start_char"] < a["end_char"])
 
@@ -176,7 +210,7 @@ def first_of_equals(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast(HIT), lambda acc, h: F.when(F.exists(acc, lambda a: same(a, h)), acc).otherwise(F.array_append(acc, h)))
 
 
-RULES = {"street": streets, "house_number": house_numbers, "initials": initials_names, "reference": references, "title": titled_names}
+RULES = {"street": streets, "house_number": house_numbers, "initials": initials_names, "reference": references, "title": titled_names, "organisation": organisations}
 
 
 def rule_rows(docs: DataFrame, rule: str) -> DataFrame:
@@ -184,15 +218,20 @@ def rule_rows(docs: DataFrame, rule: str) -> DataFrame:
     return docs.select("doc_id", F.inline(RULES[rule](F.col("text")).cast(HIT)))
 
 
-def detect(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[str] = ()) -> DataFrame:
-    """One row per contextual span: doc_id, entity_type, tier, text, start_char, end_char, confidence, woo_article, source, ord."""
-    text = F.col("text")
-    staged = docs.select("doc_id", "text", listed_names(text, first_names, surnames).cast(HIT).alias("spans"))
+def detect(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[str] = (), as_of: str | None = None) -> DataFrame:
+    """One row per contextual span: doc_id, entity_type, tier, text, start_char, end_char, confidence, woo_article, source, ord.
+
+    Candidates (listed names, dates, organisations) come first, then streets, house numbers, initials, references and titled names are merged in.
+    """
+    text, day = F.col("text"), F.lit(as_of).cast("date") if as_of else F.current_date()
+    candidates = F.concat(listed_names(text, first_names, surnames).cast(HIT), dates(text, day).cast(HIT), organisations(text).cast(HIT))
+    staged = docs.select("doc_id", "text", F.filter(F.transform(candidates, trimmed), lambda s: s["text"] != "").alias("spans"))
     for step, rule in ((merge_apart, streets), (replace_contained, house_numbers), (merge_apart, initials_names)):
         staged = staged.withColumn("new", rule(text).cast(HIT)).withColumn("spans", step(F.col("spans"), F.col("new")))
     staged = staged.withColumn("spans", F.concat("spans", references(text).cast(HIT))).withColumn("new", titled_names(text).cast(HIT)).withColumn("spans", merge_apart(F.col("spans"), F.col("new")))
     rows = staged.select("doc_id", F.posexplode(first_of_equals(F.col("spans"))).alias("ord", "s")).select("doc_id", "ord", "s.*")
-    return rows.select("doc_id", "entity_type", F.lit("2").alias("tier"), "text", "start_char", "end_char", "confidence", F.lit(V.GROUND).alias("woo_article"), "source", F.col("ord").cast("long").alias("ord"))
+    ground = F.when(F.col("entity_type") == "organisatie", "").otherwise(V.GROUND)
+    return rows.select("doc_id", "entity_type", F.lit("2").alias("tier"), "text", "start_char", "end_char", "confidence", ground.alias("woo_article"), "source", F.col("ord").cast("long").alias("ord"))
 
 
 def detect_all(tier1: DataFrame, tier2: DataFrame) -> DataFrame:

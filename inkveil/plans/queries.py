@@ -80,9 +80,10 @@ query("t1_counts", f"select entity_type, count(*) as n from ({sql.tier1()}) grou
 query("documents_identifiers")(lambda s, d: tier1.detect(texts(s, d), as_of=sql.AS_OF).select(*_T1))
 
 # --- tier 2 -------------------------------------------------------------------------------------------------------------
-for _rule, _name, _sql in (("street", "t2_street", sql.street()), ("house_number", "t2_housenumber", sql.house_number()), ("reference", "t2_reference", sql.reference()), ("initials", "t2_initials", sql.initials()), ("title", "t2_title", None)):
+for _rule, _name, _sql in (("street", "t2_street", sql.street()), ("house_number", "t2_housenumber", sql.house_number()), ("reference", "t2_reference", sql.reference()), ("initials", "t2_initials", sql.initials()), ("title", "t2_title", None), ("organisation", "t2_organisation", sql.organisations())):
     query(_name, _sql)(lambda s, d, rule=_rule: tier2.rule_rows(letters(s, d), rule).select(*_T2))
-query("t2_all")(lambda s, d: tier2.detect(letters(s, d), FIRST, LAST).select(*_T1))
+query("t2_dates", sql.dates())(lambda s, d: letters(s, d).select("doc_id", F.replace("text", F.lit("Geboortedatum: "), F.lit("Geboren op ")).alias("text")).select("doc_id", F.inline(tier2.dates(F.col("text"), F.lit(sql.AS_OF).cast("date")))))
+query("t2_all")(lambda s, d: tier2.detect(letters(s, d), FIRST, LAST, sql.AS_OF).select(*_T1))
 
 
 def _small_tier2(s: SparkSession, d: str) -> DataFrame:
@@ -96,7 +97,7 @@ _SMALL = f"select * from ({sql.reference()}) union all select * from ({sql.stree
 query("detect_all_boost", f"""with t1 as ({sql.tier1()}), t2 as ({_SMALL})
     select * from t1 union all select doc_id, entity_type, '2', text, start_char, end_char, case when exists (select 1 from t1 where t1.doc_id = t2.doc_id and lower(t1.text) = lower(t2.text)) then least(1.0, round(confidence + 0.10, 2)) else confidence end, '5.1.2e', source
     from t2 where not exists (select 1 from t1 where t1.doc_id = t2.doc_id and t1.start_char = t2.start_char and t1.end_char = t2.end_char)""")(lambda s, d: tier2.detect_all(found(s, d).select(*_T1), _small_tier2(s, d).select(*_T1)))
-query("detect_all")(lambda s, d: tier2.detect_all(found(s, d).select(*_T1), tier2.detect(letters(s, d), FIRST, LAST).select(*_T1)))
+query("detect_all")(lambda s, d: tier2.detect_all(found(s, d).select(*_T1), tier2.detect(letters(s, d), FIRST, LAST, sql.AS_OF).select(*_T1)))
 
 # --- structure and documents -----------------------------------------------------------------------------------------------
 query("structure_lines", f"select doc_id, i, line, start_char, end_char from {sql.LINES}")(lambda s, d: structure.line_rows(letters(s, d)))

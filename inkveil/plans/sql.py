@@ -150,6 +150,18 @@ def initials() -> str:
     return f"select doc_id, 'persoon' as entity_type, text, start_char, end_char, cast(0.85 as double) as confidence, 'initials_rule' as source from {found} where not regexp_matches(substr(full_text, end_char + 1, 2), '^\\.\\p{{L}}') and {norm} not in ({_list(V.NOT_SURNAMES)[1:-1]}) and {plausible()}"
 
 
+BORN = f"(select doc_id, replace(text, 'Geboortedatum: ', 'Geboren op ') as text from {LETTERS})"
+
+
+def dates() -> str:
+    year = "try_cast(regexp_extract(text, '\\b(?:19|20)\\d{2}\\b') as integer)"
+    return f"select doc_id, 'datum' as entity_type, text, start_char, end_char, cast(0.60 as double) as confidence, 'ner' as source from {spans(BORN, tier2.DATE)} where not (coalesce({year} >= year(date '{AS_OF}') - 2, false) or regexp_matches({_before(30)}, {q('(?i)' + V.EVENT_BEFORE)}))"
+
+
+def organisations() -> str:
+    return f"select doc_id, 'organisatie' as entity_type, text, start_char, end_char, cast(0.50 as double) as confidence, 'ner' as source from {spans(LETTERS, tier2.ORGANISATION)}"
+
+
 LINES = f"(select doc_id, cast(i - 1 as integer) as i, l[i] as line, cast(coalesce(list_sum(list_transform(l[1:i-1], lambda x: length(x) + 1)), 0) as integer) as start_char, cast(coalesce(list_sum(list_transform(l[1:i-1], lambda x: length(x) + 1)), 0) + length(l[i]) as integer) as end_char from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(text, chr(10)) as l from {LETTERS})))"
 _GREETING = "case " + " ".join(f"when regexp_matches(line, {q(p.replace('(?=' + chr(92) + 's|[,;:!?]|$)', '(?:' + chr(92) + 's|[,;:!?]|$)'))}) then trim(regexp_extract(line, {q(p.replace('(?=' + chr(92) + 's|[,;:!?]|$)', ''))}))" for p in V.SALUTATIONS) + " else '' end"
 

@@ -123,3 +123,21 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     decide_by_batch(detect_stream(stream), lambda b: b.filter(F.col("tier") == "1"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a@b.nl"]
+
+
+def test_dates_of_acts_are_no_birth_dates(spark):
+    d = docs(spark, "vastgesteld op 1-2-1990, geboren 3 mei 1980 en 2024-05-01")
+    rows = d.select(F.inline(tier2.dates(F.col("text"), F.lit("2025-01-01").cast("date"))))
+    assert texts(rows) == ["3 mei 1980"]
+
+
+def test_organisations(spark):
+    assert texts(tier2.rule_rows(docs(spark, "De Stichting van het Open Huis en de gemeente; Gemeente Ede."), "organisation")) == ["Gemeente Ede", "Stichting van het Open Huis"]
+
+
+def test_trims(spark):
+    d = docs(spark, "wethouder Jan de Vries, burgemeester", "Jan de Vries raadslid van Ede", "Jan de Vries")
+    rows = d.select(tier2.without_titles(F.col("text"), ("wethouder", "burgemeester", "raadslid")).alias("text"))
+    assert texts(rows) == ["Jan de Vries", "Jan de Vries", "Jan de Vries"]
+    one = d.limit(1).select(tier2.trimmed(tier2.hit("persoon", F.lit(" (Jan) "), F.lit(4), F.lit(0.8), "ner")).alias("h")).first().h
+    assert (one.text, one.start_char, one.end_char) == ("Jan", 6, 9)
