@@ -12,6 +12,7 @@ the count of the last whole character), which answers `count_at`, `longest_prefi
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +24,8 @@ from inkveil.llm.common import bytes_array, map_slices, text_rows
 from inkveil.llm.tokenizing import PATTERN, from_json
 
 #: Entries of a worker's memory of pieces and of token pairs before it starts anew.
-MEMORY = 400_000
-_SPACES = regex.compile(r"\s{2,}(?=\S)")
+MEMORY = 800_000
+_SPACES, _MAYBE_SPACES = regex.compile(r"\s{2,}(?=\S)"), re.compile(r"\s\s")
 _CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
@@ -38,25 +39,29 @@ class PrefixCounter:
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.special = regex.compile("|".join(map(regex.escape, tokenizer.special))) if tokenizer.special else None
         self.pieces: dict[str, bytes] = {}
+        self.tables: dict[bytes, bytes] = {}  # one copy of each table: pieces are many, tables few
         self.pairs: dict[int, bool] = {}
 
-    def _stable(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            known = self.pairs[key] = self.bpe._encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+    def _stable(self, pair: int) -> bool:
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        if len(self.pairs) >= MEMORY:
+            self.pairs.clear()
+        known = self.pairs[pair] = self.bpe._encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def _dp(self, piece: bytes) -> list[int]:
-        """Counts of the prefixes of 1, 2, ... bytes."""
-        ranks, stable, longest = self.ranks, self._stable, self.longest
+        """Counts of the prefixes of 1, 2, ... bytes. Only one token ends each prefix's encoding, so the order of trying is free: short ones are likelier."""
+        ranks, pairs, longest = self.ranks, self.pairs, self.longest
         last, counts = [-1], [0]
         for i in range(1, len(piece) + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - 1, max(-1, i - 1 - longest), -1):
                 token = ranks.get(piece[j:i])
-                if token is not None and (not j or stable(last[j], token)):
+                if token is not None:
+                    if j:
+                        key = last[j] << 32 | token
+                        known = pairs.get(key)
+                        if not (self._stable(key) if known is None else known):
+                            continue
                     last.append(token)
                     counts.append(counts[j] + 1)
                     break
@@ -74,7 +79,8 @@ class PrefixCounter:
                 held = counts[i]
         if text in _CONTRACTIONS:  # cut short, the apostrophe stands alone
             counts[1] = 2
-        return np.array(counts, "<i4").tobytes()
+        table = np.array(counts, "<i4").tobytes()
+        return self.tables.setdefault(table, table)
 
     def ordinary(self, text: str) -> np.ndarray:
         """Prefix counts of a text without special strings."""
@@ -84,6 +90,7 @@ class PrefixCounter:
         except KeyError:
             if len(known) >= MEMORY:
                 known.clear()
+                self.tables.clear()
             for p in pieces:
                 if p not in known:
                     known[p] = self.piece(p)
@@ -99,9 +106,7 @@ class PrefixCounter:
 
     def _fix_spaces(self, text: str, counts: np.ndarray) -> None:
         """A prefix that ends with a run of white space has the run as one piece; in the whole text the run's last character goes to what follows."""
-        found = list(_SPACES.finditer(text))
-        if not found:
-            return
+        found = list(_SPACES.finditer(text)) if _MAYBE_SPACES.search(text) else []
         at = 0 if text.isascii() else None
         for m in found:
             start, end = (m.start(), m.end()) if at == 0 else (len(text[: m.start()].encode()), len(text[: m.end()].encode()))
