@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MARKS = "\uFDD0\uFDD1"
+_MARK = "\uFDD0"
 SPAN = "array<struct<text:string,start_char:int,end_char:int>>"
 
 
@@ -20,13 +20,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def match_spans(text: Column, pattern: str, only_if: Column | None = None) -> Column:
     """All matches of a Java pattern (never empty ones) as an array of (text, start_char, end_char).
 
-    One pass puts a mark before and after each match (two code points that Unicode keeps free; should a text hold them,
-    they count as spaces); cut at the marks, matches and what stands between them alternate, and a fold adds up their lengths.
+    One pass puts a mark before and after each match (a code point that Unicode keeps free; should a text hold it, it
+    counts as a space); cut at the marks, matches and what stands between them alternate, and a fold adds up their lengths.
     `only_if`: a cheap test that a text with matches passes.
     """
-    marked = F.regexp_replace(F.translate(text, _MARKS, "  "), F.lit(pattern), F.lit(f"{_MARKS[0]}$0{_MARKS[1]}"))
+    clean = F.when(text.contains(_MARK), F.translate(text, _MARK, " ")).otherwise(text)
+    marked = F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}"))
     test = text.rlike(pattern) if only_if is None else only_if
-    return F.when(test, place_matches(F.split(marked, f"[{_MARKS}]", -1))).otherwise(F.array().cast(SPAN))
+    return F.when(test, place_matches(F.split(marked, _MARK, -1))).otherwise(F.array().cast(SPAN))
 
 
 def place_matches(parts: Column) -> Column:
