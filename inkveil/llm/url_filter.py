@@ -1,8 +1,8 @@
 """URL lists by host and path, with DataFrame functions only.
 
 A listed rule is (host, path, verdict); it fits its host and all subdomains where the url's path starts with the
-rule's, and the longest fitting rule wins. A url's candidate keys are its host's domain suffixes, each with the path
-prefixes of the lengths that occur in the list. A blocked Bloom filter of the listed keys (each key sets bits within one
+rule's, and the longest fitting rule wins. A url's candidate keys are its host's domain suffixes with as many labels as
+hosts in the list have, each with the path prefixes of the lengths that occur in the list. A blocked Bloom filter of the listed keys (each key sets bits within one
 512-bit block) drops nearly all keys that are not listed, inside the row; the few that pass go to an exact hash
 join with the list, which removes false positives.
 """
@@ -65,9 +65,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, d
     """
     spark = pages.sparkSession
     listed = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, verdict string")
-    listed = listed.select(F.concat(F.translate("host", _UPPER, _LOWER), F.col("path")).alias("rule"), "verdict", F.length("path").alias("n")).filter("rule is not null")
-    listed = listed.groupBy("rule").agg(F.max("verdict").alias("rule_verdict"), F.max("n").alias("n"))
-    facts = listed.agg(F.count("*").alias("n"), F.collect_set("n").alias("lengths")).first()
+    listed = listed.select(F.concat(F.translate("host", _UPPER, _LOWER), F.col("path")).alias("rule"), "verdict", F.length("path").alias("n"), F.size(F.split("host", r"\.")).alias("labels")).filter("rule is not null")
+    listed = listed.groupBy("rule").agg(F.max("verdict").alias("rule_verdict"), F.max("n").alias("n"), F.max("labels").alias("labels"))
+    facts = listed.agg(F.count("*").alias("n"), F.collect_set("n").alias("lengths"), F.collect_set("labels").alias("labels")).first()
     host, path = host_and_path(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     if not facts.n:
@@ -81,8 +81,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, d
         return F.forall(F.transform(masks, lambda m, i: word(i).bitwiseAND(m) == m), lambda ok: ok)
 
     labels = F.split(F.col("host"), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.array(*[F.when(F.length("path") >= n, F.concat(s, F.left(F.col("path"), F.lit(n)))) for n in sorted(facts.lengths)])))
+    suffixes = [F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), F.lit(n)), ".")) for n in sorted(facts.labels)]
+    keys = F.array(*[F.when(F.length("path") >= n, F.concat(s, F.left(F.col("path"), F.lit(n)))) for s in suffixes for n in sorted(facts.lengths)])
     keyed = base.withColumn("keys", F.filter(F.filter(keys, lambda k: k.isNotNull()), passes)).withColumn("row", F.monotonically_increasing_id())
     none = keyed.filter(F.size("keys") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     possible = keyed.filter(F.size("keys") > 0).select("row", "page_id", "host", "path", F.explode("keys").alias("rule"))
