@@ -13,13 +13,6 @@ from pyspark.sql import functions as F
 from inkveil.functions import values as V
 from inkveil.functions.text import context_after, context_before, digits_only, fold, normalise_name
 
-_POST_BOX = r"(?iU)\bpostbus\s+\d{1,6}[\s,.;:\-]*$"
-_LIST_INSIDE = (
-    r"(?iU)^(?>(?>\s+|,\s*|;\s*|/\s*|en\s+|[○•▪▸–—\-]\s*|dhr\.?|mw\.?|mr\.?|drs\.?|prof\.?|dr\.?|mevrouw|mevr\.?|meneer|familie|de\s+heer|[A-Z]\.(?:\s*[A-Z]\.)*"
-    r"|(?-i:[A-ZÄÖÜÁÀÉÈÍÎÏÓÔÚÛÇŞİĞ][\w’-]{1,30})|(?:van|ter|ten|der|den|de|da|du|del|la|le|bin|al|el|in\s+’t|op\s+den)|\([^)]{0,23}\))+)\s*$"
-)
-
-
 def contact_key(kind: Column, text: Column) -> Column:
     """How a value is compared with public contact data, by its type."""
     return (
@@ -48,7 +41,7 @@ def with_contacts(spans: DataFrame, contacts: DataFrame) -> DataFrame:
 def with_post_box(spans: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds post_box: whether a postcode follows 'Postbus N'."""
     texts = docs.select("doc_id", F.col("text").alias("full_text"))
-    flag = (F.col("entity_type") == "postcode") & context_before(F.col("full_text"), F.col("start_char"), 30).rlike(_POST_BOX)
+    flag = (F.col("entity_type") == "postcode") & context_before(F.col("full_text"), F.col("start_char"), 30).rlike(V.POST_BOX)
     return spans.join(texts, "doc_id").withColumn("post_box", flag).drop("full_text")
 
 
@@ -115,7 +108,7 @@ def title_matches(persons: DataFrame, docs: DataFrame, titles: DataFrame) -> Dat
     pairs = pairs.select("*", pieces("before").alias("pb"), pieces("list_before").alias("pl"), pieces("after").alias("pa"))
     narrow = F.when((F.size("pb") > 1) & (_tokens_between(F.element_at("pb", -1)) <= V.MOST_TOKENS_BETWEEN), F.struct(F.lit("before").alias("position"), _tokens_between(F.element_at("pb", -1)).alias("tokens")))
     inside = F.ltrim(F.element_at("pl", -1), F.lit(": "))
-    listing = F.when((F.size("pl") > 1) & narrow.isNull() & (inside != "") & inside.rlike(_LIST_INSIDE), F.struct(F.lit("before").alias("position"), _tokens_between(inside).alias("tokens")))
+    listing = F.when((F.size("pl") > 1) & narrow.isNull() & (inside != "") & inside.rlike(V.LIST_INSIDE), F.struct(F.lit("before").alias("position"), _tokens_between(inside).alias("tokens")))
     behind = F.when((F.size("pa") > 1) & (_tokens_between(F.element_at("pa", 1)) <= V.MOST_TOKENS_BETWEEN), F.struct(F.lit("after").alias("position"), _tokens_between(F.element_at("pa", 1)).alias("tokens")))
     found = pairs.select("doc_id", "start_char", "end_char", "text", "list_name", "title", "ord", F.explode(F.filter(F.array(narrow, listing, behind), lambda s: s.isNotNull())).alias("m"))
     order = W.partitionBy("doc_id", "start_char", "end_char").orderBy((F.col("m.position") == "before").desc(), (F.col("list_name") == "publiek").desc(), F.col("m.tokens"), F.col("ord"))

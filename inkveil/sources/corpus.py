@@ -1,4 +1,4 @@
-"""Inputs of the reference-style queries: the given tables, and a Dutch corpus derived from them.
+"""Inputs of the queries: the given tables, and a Dutch corpus derived from them.
 
 The corpus is one letter for each customer, built by integer and string SQL that Spark and DuckDB read alike, so both
 engines see the same text. Identifiers have right check digits but for planned exceptions.
