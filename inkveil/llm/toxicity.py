@@ -28,8 +28,8 @@ from inkveil.llm.labelled import THRESHOLD, filter_documents, label_rows, sample
 EXAMPLES, TERMS = 3000, 200
 #: A term must stand in so many examples, and its shares in the two labels must lie so many standard errors apart.
 LEAST_EXAMPLES, LEAST_Z = 4, 5.0
-#: A term that stands in more than this share of all documents is a stop word.
-MOST_SHARE = 0.1
+#: Its share in one label must be so many times that in the other; words that all documents use are not.
+LEAST_RATIO = 3.0
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.4
 _WORD = re.compile(r"\w+")
 
@@ -139,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
     single = held.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     p = (F.col("a") + F.col("b") + 0.5) / (n1 + n0 + 1)
     z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    chosen = single.filter(f"a + b >= {LEAST_EXAMPLES}").select("word", F.abs(z).alias("z")).filter(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "word").limit(terms)
+    ratio = F.abs(F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1)))
+    chosen = single.filter(f"a + b >= {LEAST_EXAMPLES}").filter(ratio >= math.log(LEAST_RATIO)).select("word", F.abs(z).alias("z")).filter(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "word").limit(terms)
     vocabulary = {r.word: i for i, r in enumerate(chosen.orderBy("word").collect())}
 
     def frequencies(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -150,8 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
 
     df = {r.word: r.n for r in map_slices(text_rows(docs), frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = df.pop("", 0)
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w in vocabulary if df.get(w, 0) <= MOST_SHARE * total))}
-    weighted = {w: (i, math.log((1 + total) / (1 + df.get(w, 0)))) for w, i in vocabulary.items()}
+    weighted = {w: (i, math.log((1 + total) / (1 + df.get(w, 0))) + 1e-9) for w, i in vocabulary.items()}
     pairs = held.select("doc_id", "label", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("doc_id", "label", "p.words", "p.counts")
     known: dict[int, tuple[int, int, dict[int, int]]] = {}
     if vocabulary:
