@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a task turns into rows of output at once.
-SLICE_BYTES = 4 << 20
+#: Text bytes, and rows at most, that a task turns into output at once.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,12 +36,12 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def sliced(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that `column` has about `most` bytes in each part; a longer value stands alone."""
+    """Cut a batch so that `column` has about `most` bytes, and SLICE_ROWS rows at most, in each part; a longer value stands alone."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()
     begin = total = 0
     for i, size in enumerate(sizes):
         size = size or 0
-        if i > begin and total + size > most:
+        if i > begin and (total + size > most or i - begin == SLICE_ROWS):
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += size

@@ -39,6 +39,8 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SKETCH, SKETCH_SHARE = 512, 4
 #: Sets of a star that are compared in one block.
 BLOCK = 1024
+#: Sets that one group of blocks holds, about.
+TASK_ROWS = 20_000
 #: Candidate documents up to this number (8 bytes each) are broadcast to the scan, more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
@@ -307,11 +309,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _rest_of_stars(stars: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components within a star that sizes and sketches let through; large stars are cut into blocks."""
     placed = stars.select(F.col("a").alias("star"), F.col("b").alias("set")).join(components.select(F.col("node").alias("set"), "component"), "set", "left").select("star", "set", F.coalesce("component", "set").alias("component"))
-    mixed = placed.groupBy("star").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("star", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed, "star").join(sets.select("set", "n", "sketch"), "set")
+    mixed = placed.groupBy("star").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("star", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    mixed = materialise(mixed, "mixed")
+    total = mixed.agg(F.coalesce(F.sum(F.col("m") * F.col("blocks")), F.lit(0))).first()[0]
+    rows = placed.join(mixed.drop("m"), "star").join(sets.select("set", "n", "sketch"), "set")
     spread = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "component", "n", "sketch")
-    tasks = 8 * int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # blocks are many and mostly small: some share a group
+    tasks = max(8 * int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)  # blocks are many and mostly small: some share a group
     spread = spread.withColumn("task", F.pmod(F.xxhash64("star", "i", "j"), F.lit(tasks)))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
