@@ -37,6 +37,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Least bits of a parity sketch; a larger set has at least SKETCH_SHARE bits a shingle. Sketches only drop pairs that differ too much.
 SKETCH, SKETCH_SHARE = 512, 4
+#: Text bytes that are cut into shingles at once: arrays take some 100 bytes for each.
+SLICE = 1 << 20
 #: Sets of a star that are compared in one block.
 BLOCK = 1024
 #: Sets that one group of blocks holds, about.
@@ -190,7 +192,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
         n = np.array([len(s) for s in sets], np.int64)
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(set_ids(sets), mask=n == 0), bytes_array([sketch(s) if len(s) else None for s in sets])], ["doc_id", "n_shingles", "set", "sketch"])
 
-    return map_slices(text_rows(docs), run, "doc_id long, n_shingles long, set long, sketch binary")
+    return map_slices(text_rows(docs), run, "doc_id long, n_shingles long, set long, sketch binary", most=SLICE)
 
 
 def _even_keys(spark: SparkSession, n: int) -> list[int]:
@@ -210,7 +212,7 @@ def _signature_rows(docs: DataFrame, keys: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, n_keys = Bands(), _U(len(keys))
         for batch in batches:
-            for rows in sliced(batch, "text"):
+            for rows in sliced(batch, "text", SLICE):
                 sets = [s for s in shingle_sets(rows.column("text").to_pylist()) if len(s)]
                 if not sets:
                     continue
@@ -271,7 +273,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     wanted = wanted.select("doc_id").distinct()
     few = wanted.count() <= MOST_BROADCAST
     chosen = text_rows(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    return map_slices(chosen, run, "set long, n long, shingles binary")
+    return map_slices(chosen, run, "set long, n long, shingles binary", most=SLICE)
 
 
 def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
