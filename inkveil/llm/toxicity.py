@@ -1,10 +1,14 @@
 """Toxicity by the nearest labelled examples, exact TF-IDF cosine over block-max inverted indexes.
 
-A bounded, documented sample of labelled documents (`EXAMPLES` of either label) is the set of examples. Terms are words that
-tell the two labels apart in the sample; their document frequencies come from all documents. A posting list holds a
-term's weight in each example; examples stand in blocks of 64, and for each term and block the largest weight is known.
-For a text, the weights' products with those maxima bound the cosine with any example of a block: blocks are scored
-in the order of their bounds until no bound exceeds the k-th best cosine, so the neighbours are exact.
+A bounded, documented sample of labelled documents (`EXAMPLES` of either label) is the set of examples. Every word of
+the examples is a term; document frequencies come from all documents. A term's TF-IDF weight is multiplied by 1 + z * z,
+z being how many standard errors its shares in the two labels of the examples lie apart: no term is left out, and one that
+tells nothing keeps its plain TF-IDF weight. (With plain weights the neighbours of long texts agree in subject, not in label.)
+Words that no example holds meet nothing and do not enter a text's length.
+
+A posting list holds a term's weight in each example; examples stand in blocks of 64, and for each term and block the
+largest weight is known. Terms of many examples stand in a dense matrix instead, whose products are taken first. For a text, the weights' products with those maxima, added to the dense ones, bound the cosine with any example of a
+block: blocks are scored in the order of their bounds until no bound exceeds the k-th best cosine, so the neighbours are exact.
 
 The score is the vote of the neighbours, each with weight cosine cubed and class weights that undo the sampling, drawn
 towards the share of label 1 among all labelled rows by `PRIOR` of a vote; so a text near no example has that share.
@@ -15,22 +19,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import map_slices, text_rows
+from inkveil.llm.common import map_slices, sliced, text_rows
 from inkveil.llm.labelled import THRESHOLD, filter_documents, label_rows, sample_ids, sampled_texts, score_documents
 
-#: At most so many labelled examples of either label, and so many terms.
-EXAMPLES, TERMS = 3000, 200
-#: A term must stand in so many examples, and its shares in the two labels must lie so many standard errors apart.
-LEAST_EXAMPLES, LEAST_Z = 4, 5.0
-#: Its share in one label must be so many times that in the other; words that all documents use are not.
-LEAST_RATIO = 3.0
+#: At most so many labelled examples of either label.
+EXAMPLES = 3000
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.4
+#: Terms in at least one of so many examples stand in a dense matrix instead of posting lists; queries that meet it at once.
+OFTEN, AT_ONCE = 24, 128
 _WORD = re.compile(r"\w+")
 
 
@@ -38,46 +42,83 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges [begin, end) in a row, and for each the range that it is of."""
+    size = end - begin
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (begin - np.cumsum(size) + size)[of], of
+
+
 class BlockMaxIndex:
-    """Exact top-k inner products of sparse query vectors with sparse example vectors."""
+    """Exact top-k inner products of sparse query vectors with sparse example vectors; no weight is negative."""
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.n_blocks = max(1, -(-len(vectors) // block))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings[t].append((i, w))
-        self.ids = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        self.starts = [np.searchsorted(i, np.arange(self.n_blocks + 1) * block) for i in self.ids]
-        self.maxima = np.zeros((n_terms, self.n_blocks))
-        for t, (i, w) in enumerate(zip(self.ids, self.weights, strict=True)):
-            if len(i):
-                np.maximum.at(self.maxima[t], i // block, w)
-
-    def _score(self, blocks: np.ndarray, terms: list[int], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
-        where = np.full(self.n_blocks, -1)
-        where[blocks] = np.arange(len(blocks))
-        out = np.zeros((len(blocks), self.block))
-        for t, w in zip(terms, weights, strict=True):
-            begin, size = self.starts[t][blocks], self.starts[t][blocks + 1] - self.starts[t][blocks]
-            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-            ids = self.ids[t][at]
-            out[where[ids // self.block], ids % self.block] += w * self.weights[t][at]
-        return (blocks[:, None] * self.block + np.arange(self.block)).ravel(), out.ravel()
+        rows = np.repeat(np.arange(len(vectors)), [len(v) for v in vectors])
+        self._build(rows, np.array([t for v in vectors for t in v], np.int64), np.array([w for v in vectors for w in v.values()], float), len(vectors), n_terms, block)
+
+    @classmethod
+    def of(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+        """From one entry for each term of each vector."""
+        out = cls.__new__(cls)
+        out._build(rows, terms, weights, n, n_terms, block)
+        return out
+
+    def _build(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int) -> None:
+        self.n, self.block, self.n_blocks = n, block, max(1, -(-n // block))
+        often = np.bincount(terms, minlength=n_terms) * OFTEN >= max(1, n)
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense, in_dense = np.zeros((int(often.sum()), self.n_blocks * block)), often[terms]
+        self.dense[self.column[terms[in_dense]], rows[in_dense]] = weights[in_dense]
+        rows, terms, weights = rows[~in_dense], terms[~in_dense], weights[~in_dense]
+        order = np.lexsort((rows, terms))
+        terms, self.ids, self.weights = terms[order], rows[order].astype(np.int32), weights[order]
+        # A run is what one term has in one block.
+        key = terms * self.n_blocks + self.ids // block
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.run_block, self.starts = (key[first] % self.n_blocks).astype(np.int32), np.append(first, len(key)).astype(np.int32)
+        self.maxima = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.runs = np.searchsorted(terms[first], np.arange(n_terms + 1)).astype(np.int32)
 
     def search(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """(examples, products, blocks scored): the k best positive products, larger first, then smaller numbers."""
-        terms, weights = list(query), list(query.values())
-        bounds = np.array(weights) @ self.maxima[terms] if terms else np.zeros(self.n_blocks)
+        return self.nearest([(np.array(list(query), np.int64), np.array(list(query.values()), float))], k)[0]
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """As search, for many queries of (terms, weights)."""
+        out = []
+        for i in range(0, len(queries), AT_ONCE):
+            own = queries[i : i + AT_ONCE]
+            dense = np.zeros((AT_ONCE, len(self.dense)))  # always of one size, so that equal queries have equal products
+            for row, (terms, weights) in enumerate(own):
+                column = self.column[terms]
+                dense[row, column[column >= 0]] = weights[column >= 0]
+            products = dense @ self.dense
+            for row, (terms, weights) in enumerate(own):
+                rare = self.column[terms] < 0
+                out.append(self._nearest(terms[rare], weights[rare], products[row], k))
+        return out
+
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """known: the products over the frequent terms."""
+        known = known.reshape(self.n_blocks, self.block)
+        runs, of = _ranges(self.runs[terms], self.runs[terms + 1])
+        weights, blocks = weights[of], self.run_block[runs]
+        bounds = known.max(1) + np.bincount(blocks, weights * self.maxima[runs], self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        ids, products, least, done, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
+        place = np.full(self.n_blocks, self.n_blocks)
+        place[order] = np.arange(len(order))
+        at = place[blocks]
+        ids, products, least, done, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 8
         while done < len(order) and bounds[order[done]] >= least * (1 - 1e-12):
-            more, values = self._score(order[done : done + step], terms, weights)
-            done, step = min(len(order), done + step), step * 2
-            ids, products = np.concatenate([ids, more[values > 0]]), np.concatenate([products, values[values > 0]])
+            now = order[done : done + step]
+            chosen = np.flatnonzero((at >= done) & (at < done + len(now)))
+            postings, of = _ranges(self.starts[runs[chosen]], self.starts[runs[chosen] + 1])
+            slot = (at[chosen] - done - blocks[chosen]) * self.block
+            values = known[now].ravel() + np.bincount(self.ids[postings] + slot[of], weights[chosen][of] * self.weights[postings], len(now) * self.block)
+            found = np.flatnonzero((values > 0) & (values >= least))
+            done, step = done + len(now), step * 4
+            ids, products = np.concatenate([ids, now[found // self.block] * self.block + found % self.block]), np.concatenate([products, values[found]])
             best = np.lexsort((ids, -products))[:k]
             ids, products = ids[best], products[best]
             least = products[-1] if len(products) == k else 0.0
@@ -85,44 +126,69 @@ class BlockMaxIndex:
 
 
 class ToxicityModel:
-    """terms: term -> (number, idf); examples: (doc_id, label, counts by term number)."""
+    """terms: word -> number; weights: by number; examples: ids, labels, and (example, term, count) for each word of each."""
 
-    def __init__(self, terms: dict[str, tuple[int, float]], examples: list[tuple[int, int, dict[int, int]]], share: float, neighbours: int = NEIGHBOURS):
-        self.terms, self.share, self.k = terms, share, neighbours
-        self.idf = [w for _, w in terms.values()]
-        self.doc_ids, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], float)
-        ones = float(self.labels.mean()) if examples else 0.0
+    def __init__(self, terms: dict[str, int], weights: np.ndarray, doc_ids: list[int], labels: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], share: float, neighbours: int = NEIGHBOURS):
+        self.terms, self.weights, self.share, self.k = terms, weights, share, neighbours
+        self.doc_ids, self.labels = doc_ids, np.asarray(labels, float)
+        ones = float(self.labels.mean()) if len(doc_ids) else 0.0
         self.class_weight = np.where(self.labels == 1, share / ones if ones else 0.0, (1 - share) / (1 - ones) if ones < 1 else 0.0)
-        self.index = BlockMaxIndex([self._unit(c) for _, _, c in examples], len(terms))
+        rows, numbers, counts = entries
+        own = (1 + np.log(counts)) * weights[numbers]
+        norms = np.sqrt(np.bincount(rows, own * own, len(doc_ids)))[rows]
+        self.index = BlockMaxIndex.of(rows, numbers, np.divide(own, norms, out=np.zeros(len(own)), where=norms > 0), len(doc_ids), len(terms))
 
-    def _unit(self, counts: dict[int, int]) -> dict[int, float]:
-        weights = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / norm for t, w in weights.items()} if norm else {}
-
-    def counts(self, text: str) -> dict[int, int]:
+    def _unit(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and weights of a text."""
         terms = self.terms
-        return Counter([terms[w][0] for w in words_of(text) if w in terms])
+        counts = Counter([terms[w] for w in words_of(text) if w in terms])
+        numbers = np.fromiter(counts, np.int64, len(counts))
+        own = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weights[numbers]
+        return numbers, own / (math.sqrt(own @ own) or 1.0)
 
     def neighbours(self, text: str) -> list[tuple[int, float, int]]:
         """(doc_id, cosine, label) of the nearest examples: the evidence of a score."""
-        ids, cosines, _ = self.index.search(self._unit(self.counts(text)), self.k)
+        ids, cosines, _ = self.index.nearest([self._unit(text)], self.k)[0]
         return [(self.doc_ids[i], float(c), int(self.labels[i])) for i, c in zip(ids, cosines, strict=True)]
 
     def score(self, texts: list[str]) -> np.ndarray:
         out = np.full(len(texts), self.share)
-        for row, text in enumerate(texts):
-            counts = self.counts(text)
-            if counts:
-                ids, cosines, _ = self.index.search(self._unit(counts), self.k)
-                votes = cosines**3 * self.class_weight[ids]
-                prior = PRIOR * self.class_weight.mean()
-                out[row] = (float(votes @ self.labels[ids]) + prior * self.share) / (float(votes.sum()) + prior)
+        for begin in range(0, len(texts), AT_ONCE):
+            found = self.index.nearest([self._unit(t) for t in texts[begin : begin + AT_ONCE]], self.k)
+            for row, (ids, cosines, _) in enumerate(found, begin):
+                if len(ids):
+                    votes = cosines**3 * self.class_weight[ids]
+                    prior = PRIOR * self.class_weight.mean()
+                    out[row] = (float(votes @ self.labels[ids]) + prior * self.share) / (float(votes.sum()) + prior)
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int = 0, examples: int = EXAMPLES, terms: int = TERMS) -> ToxicityModel:
-    """Learn from rows outside the held-out fold. Frequencies are counted over all of docs; no labels give the score 0."""
+def _document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
+    """In how many rows of docs each term stands, by number, and how many rows there are. A partition is summed up before it is sent."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = np.zeros(len(terms), np.int64), 0
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                numbers: list[int] = []
+                for t in part.column("text").to_pylist():
+                    numbers += [terms[w] for w in set(words_of(t)) if w in terms]
+                found += np.bincount(np.array(numbers, np.int64), minlength=len(terms))
+                rows += part.num_rows
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(found[some], rows))], ["term", "n"])
+
+    summed = text_rows(docs).mapInArrow(partial, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[summed["term"].to_numpy()] = summed["n"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int = 0, examples: int = EXAMPLES) -> ToxicityModel:
+    """Learn from rows outside the held-out fold. Frequencies are counted over all of docs; no labels give the score 0.
+
+    Sent to the driver: the words and counts of the examples, and one frequency for each of their words.
+    """
     rows = label_rows(labels, "toxic", folds, fold)
     share = rows.agg(F.avg("label")).first()[0] or 0.0
     texts = sampled_texts(docs, sample_ids(rows, examples, "label = 1", "label = 0"))
@@ -134,39 +200,31 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
     held = map_slices(texts.select("doc_id", "text", "label"), counted, "doc_id long, label int, words array<string>, counts array<int>")
     # Copies are one example, the one with the smallest id.
     held = held.groupBy(F.xxhash64("words", "counts").alias("h")).agg(F.min_by(F.struct(*held.columns), "doc_id").alias("e")).select("e.*")
-    sizes = {r.label: r.n for r in held.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = float(max(1, sizes.get(1, 0))), float(max(1, sizes.get(0, 0)))
-    single = held.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    p = (F.col("a") + F.col("b") + 0.5) / (n1 + n0 + 1)
-    z = (F.col("a") / n1 - F.col("b") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    ratio = F.abs(F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1)))
-    chosen = single.filter(f"a + b >= {LEAST_EXAMPLES}").filter(ratio >= math.log(LEAST_RATIO)).select("word", F.abs(z).alias("z")).filter(f"z >= {LEAST_Z}").orderBy(F.desc("z"), "word").limit(terms)
-    vocabulary = {r.word: i for i, r in enumerate(chosen.orderBy("word").collect())}
-
-    def frequencies(part: pa.RecordBatch) -> pa.RecordBatch:
-        found: Counter[str] = Counter()
-        for t in part.column("text").to_pylist():
-            found.update(set(words_of(t)) & vocabulary.keys())
-        return pa.RecordBatch.from_arrays([pa.array(["", *found], pa.string()), pa.array([part.num_rows, *found.values()], pa.int64())], ["word", "n"])
-
-    df = {r.word: r.n for r in map_slices(text_rows(docs), frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    total = df.pop("", 0)
-    weighted = {w: (i, math.log((1 + total) / (1 + df.get(w, 0))) + 1e-9) for w, i in vocabulary.items()}
-    pairs = held.select("doc_id", "label", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("doc_id", "label", "p.words", "p.counts")
-    known: dict[int, tuple[int, int, dict[int, int]]] = {}
-    if vocabulary:
-        for r in held.select("doc_id", "label").collect():
-            known[r.doc_id] = (r.doc_id, r.label, {})
-        listed = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "words string")  # at most `terms` rows
-        for r in pairs.join(F.broadcast(listed), "words").collect():
-            known[r.doc_id][2][vocabulary[r.words]] = r.counts
-    return ToxicityModel(weighted, [known[d] for d in sorted(known)], share)
+    known = held.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    of_label = known["label"].to_numpy()
+    of_row = np.repeat(np.arange(len(known)), pc.list_value_length(known["words"]).to_numpy())
+    coded = pc.list_flatten(known["words"]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    terms = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(order)).to_pylist())}
+    number = np.empty(len(terms), np.int64)
+    number[order] = np.arange(len(terms))
+    numbers, counts = number[coded.indices.to_numpy()], pc.list_flatten(known["counts"]).to_numpy()
+
+    ones = np.bincount(numbers, of_label[of_row], len(terms))
+    zeros = np.bincount(numbers, minlength=len(terms)) - ones
+    n1, n0 = float(max(1, of_label.sum())), float(max(1, len(known) - of_label.sum()))
+    p = (ones + zeros + 0.5) / (n1 + n0 + 1)
+    z = (ones / n1 - zeros / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    df, total = _document_frequencies(docs, terms) if terms else (np.zeros(0), 0)
+    weights = (np.log((1 + total) / (1 + df)) + 1e-9) * (1 + z * z)
+    return ToxicityModel(terms, weights, known["doc_id"].to_pylist(), of_label, (of_row, numbers, counts), share)
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Null, empty and wordless texts score the share of label 1 among the labelled training rows; equal texts score alike, repeated rows stay; a null
+    Null, empty and wordless texts, and those that share no word with an example, score the share of label 1 among the labelled
+    training rows; equal texts score alike, repeated rows stay; a null
     doc_id is not held out; labels of missing documents, null labels and extra columns are ignored; empty tables give no rows.
     """
     return score_documents(docs, fit(docs, labels, folds, fold).score, folds, fold)

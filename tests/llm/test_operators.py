@@ -201,6 +201,26 @@ def test_evidence(spark):
     assert row.neighbours and all(0 < n.cosine <= 1 + 1e-9 for n in row.neighbours) and row.neighbours[0].label == 1
 
 
+def test_every_word_of_the_examples_counts(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    examples = {r.doc_id: r.text for r in docs.collect() if r.doc_id in truth}
+    assert set(model.terms) == {w for t in examples.values() for w in toxicity.words_of(t)} and (model.weights > 0).all()
+
+    def unit(text):
+        counts = {w: toxicity.words_of(text).count(w) for w in toxicity.words_of(text) if w in model.terms}
+        weights = {w: (1 + np.log(n)) * model.weights[model.terms[w]] for w, n in counts.items()}
+        return {w: x / np.sqrt(sum(y * y for y in weights.values())) for w, x in weights.items()}
+
+    units = {d: unit(t) for d, t in examples.items()}
+    for text in (examples[1], "w1 w2 w2 w3", "unheard w7"):  # none holds a word that tells the labels apart
+        own = unit(text)
+        exact = sorted((sum(x * u.get(w, 0) for w, x in own.items()) for u in units.values()), reverse=True)
+        found = model.neighbours(text)
+        assert found and np.allclose([c for _, c, _ in found], exact[: len(found)]) and any(label == 0 for *_, label in found)
+
+
 def test_flat_trees_fit():
     x = np.random.default_rng(6).random((2000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
