@@ -152,15 +152,25 @@ class ToxicityModel:
         return [(self.doc_ids[i], float(c), int(self.labels[i])) for i, c in zip(ids, cosines, strict=True)]
 
     def score(self, texts: list[str]) -> np.ndarray:
-        out = np.full(len(texts), self.share)
+        return self._judge(texts)[0]
+
+    def proven(self, texts: list[str]) -> np.ndarray:
+        """The scores, with 0 for texts whose neighbours alone, without the share of label 1, do not reach THRESHOLD."""
+        scores, votes = self._judge(texts)
+        return np.where(votes >= THRESHOLD, scores, 0.0)
+
+    def _judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the neighbours' votes for label 1 as a share of all their votes (0 without any)."""
+        out, alone = np.full(len(texts), self.share), np.zeros(len(texts))
         for begin in range(0, len(texts), AT_ONCE):
             found = self.index.nearest([self._unit(t) for t in texts[begin : begin + AT_ONCE]], self.k)
             for row, (ids, cosines, _) in enumerate(found, begin):
                 if len(ids):
                     votes = cosines**3 * self.class_weight[ids]
-                    prior = PRIOR * self.class_weight.mean()
-                    out[row] = (float(votes @ self.labels[ids]) + prior * self.share) / (float(votes.sum()) + prior)
-        return out
+                    prior, ones, total = PRIOR * self.class_weight.mean(), float(votes @ self.labels[ids]), float(votes.sum())
+                    out[row] = (ones + prior * self.share) / (total + prior)
+                    alone[row] = ones / total if total else 0.0
+        return out, alone
 
 
 def _document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -242,5 +252,8 @@ def evidence(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
-    return filter_documents(docs, fit(docs, labels).score, lambda s: s < THRESHOLD)
+    """The rows of docs, with all their columns, without those that are predicted toxic and whose neighbours alone say so.
+
+    A high share of label 1 among the labelled rows rejects nothing by itself: texts without any evidence, null and empty ones included, stay.
+    """
+    return filter_documents(docs, fit(docs, labels).proven, lambda s: s < THRESHOLD)

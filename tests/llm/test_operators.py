@@ -221,6 +221,15 @@ def test_every_word_of_the_examples_counts(spark):
         assert found and np.allclose([c for _, c, _ in found], exact[: len(found)]) and any(label == 0 for *_, label in found)
 
 
+def test_a_high_share_of_toxic_labels_rejects_nothing_by_itself(spark):
+    rnd = random.Random(9)
+    docs = [(i, " ".join([rnd.choice([f"w{j}" for j in range(40)]) for _ in range(20)] + ["vile nasty awful"] * (i % 2))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    docs += [(300, None), (301, ""), (302, "unheard words"), (303, "w1 w2 w3 w4 w5"), (304, "vile nasty awful")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in toxicity.keep_clean(table, labels).collect()) == [*range(0, 200, 2), 300, 301, 302, 303]
+
+
 def test_flat_trees_fit():
     x = np.random.default_rng(6).random((2000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
