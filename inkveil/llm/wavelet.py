@@ -2,7 +2,8 @@
 
 A file holds the ids of consecutive documents (ascending doc_id) as bit planes, highest bit first; in each plane
 the ids stand in the order that stable partitioning by the planes above gives. With counts of ones before each block of
-512 bits, the planes answer access(i), rank(id, i) and select(id, k) in one step a plane, and give all ids back
+512 bits, the planes answer access(i) and rank(id, i) in one step a plane, and select(id, k) from the lowest plane up with one search
+of the counts a plane, and give all ids back
 without any other copy. Planes are compressed one by one.
 """
 
@@ -74,6 +75,17 @@ class WaveletMatrix:
             part[-1] &= (1 << rest % 8) - 1
         return int(self.ones_before[plane][block]) + int(np.bitwise_count(part).sum())
 
+    def _select(self, plane: int, k: int, bit: int) -> int:
+        """Place of a plane's bit number k (from 0) of this value: its block by the counts before blocks, then within the block."""
+        before = self.ones_before[plane]
+        low, high = 0, len(before) - 1  # the last block with at most k such bits before it
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if (before[mid] if bit else mid * BLOCK - before[mid]) <= k else (low, mid)
+        rest = k - int(before[low] if bit else low * BLOCK - before[low])
+        part = self.planes[plane][low * (BLOCK // 8) : (low + 1) * (BLOCK // 8)]
+        return low * BLOCK + int(np.flatnonzero(np.unpackbits(part, bitorder="little") == bit)[rest])
+
     def access(self, i: int) -> int:
         value = 0
         for plane in range(self.bits):
@@ -108,11 +120,13 @@ class WaveletMatrix:
         """Position of the token's occurrence number k (from 0), or -1."""
         if k < 0 or k >= self.count(token):
             return -1
-        low, high = 0, self.n  # the least prefix with k + 1 occurrences
-        while low < high:
-            mid = (low + high) // 2
-            low, high = (low, mid) if self.rank(token, mid) > k else (mid + 1, high)
-        return low - 1
+        at = self._narrow(token, 0)[0] + k  # its place after all planes; from the lowest plane up, where it stood before
+        for plane in range(self.bits - 1, -1, -1):
+            if token >> (self.bits - 1 - plane) & 1:
+                at = self._select(plane, at - self.zeros[plane], 1)
+            else:
+                at = self._select(plane, at, 0)
+        return at
 
 
 def to_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:

@@ -108,6 +108,19 @@ def test_wavelet_matrix():
     assert m.count(299) == (ids == 299).sum() and m.rank(100_000, 3000) == 0 and m.select(7, 10**6) == -1
 
 
+def test_select_goes_up_the_planes_once(monkeypatch):
+    ids = np.concatenate([np.random.default_rng(2).integers(0, 9, 2000), np.zeros(1500), np.full(1600, 8)]).astype(np.uint32)
+    m = wavelet.WaveletMatrix.build(ids)
+    descents, narrow = [], wavelet.WaveletMatrix._narrow
+    monkeypatch.setattr(wavelet.WaveletMatrix, "_narrow", lambda *a: descents.append(a) or narrow(*a))
+    for t in range(9):
+        at = np.flatnonzero(ids == t)
+        for k in (*range(0, len(at), 89), len(at) - 1):
+            descents.clear()
+            assert m.select(t, k) == at[k] and len(descents) <= 2
+        assert m.select(t, len(at)) == -1
+
+
 def test_shards(spark, odd, library):
     files = wavelet.write_shards(odd.filter("doc_id is not null"), JSON, shard_tokens=100)
     rows = sorted(wavelet.read_shards(files).collect(), key=lambda r: r.start)
