@@ -10,6 +10,10 @@ from inkveil.llm.common import materialise
 from inkveil.llm.queries import table, vocabulary
 
 
+#: A column for the place of a row, within keep_distinct only.
+_ROW = "_inkveil_row"
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -21,16 +25,20 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows with equal ids count as one document."""
-    found = materialise(ngram_join.near_duplicates(docs), "near")
-    gone = found.groupBy("doc_id").agg(F.min(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id")
-    few = gone.count() <= ngram_join.MOST_BROADCAST
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """Of each group of near duplicates one row stays: the first by (id, hash of the text, place of the row), null ids last.
+
+    Rows are told apart by their place in a written copy, so equal or null ids with different texts are different documents.
+    Rows without words are near no other; of those with equal ids and texts one stays.
+    """
+    rows = materialise(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    found = materialise(ngram_join.near_duplicates(rows.select(F.col(_ROW).alias("doc_id"), "text")), "near").withColumnRenamed("doc_id", _ROW)
+    doc_id, h = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    place = F.struct(doc_id.isNull().alias("unknown"), doc_id.alias("id"), h.alias("h"), F.col(_ROW).alias("row"))
+    placed = rows.select(_ROW, place.alias("place")).join(found, _ROW)
+    shown = placed.filter("n_shingles > 0").groupBy("component_id").agg(F.min("place").alias("first")).select("first.row")
+    bare = placed.filter("n_shingles = 0").groupBy("place.unknown", "place.id", "place.h").agg(F.min("place.row").alias("row")).select("row")
+    kept = materialise(shown.unionByName(bare).select(F.col("row").alias(_ROW)), "kept")
+    return rows.join(kept, _ROW, "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

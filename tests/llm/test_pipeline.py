@@ -49,6 +49,13 @@ def test_repeated_ids_are_one_document(spark, sf):
     assert kept.columns == docs.columns and kept.count() == corpus_pipeline.keep_distinct(spark, docs, sf).count()
 
 
+def test_rows_with_repeated_or_null_ids_are_told_apart(spark, sf):
+    a, b, c = ("one two three four five six seven", "red green blue white black grey pink", "north south east west up down left")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, "quite other words than those of the third row"), (None, a), (None, b), (None, "no id at all but words of its own"), (None, "no id at all but words of its own"), (4, ""), (5, None), (4, "")]
+    kept = corpus_pipeline.keep_distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, a), (2, b), (3, c), rows[4], rows[7], (4, ""), (5, None)], key=str)
+
+
 def test_everything_kept_is_packed(spark, sf, stages):
     packed = stages[4].groupBy("doc_id").sum("length").count()
     assert packed == stages[3].count()
