@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkveil.llm import bpe, embeddings, media, ngram_join, packing, quality, token_counts, toxicity, url_filter, wavelet
+from inkveil.llm.common import materialise
 
 #: The listed hosts and paths of op8 (fixed values of its contract).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -42,7 +43,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(table(spark, sf_dir, "documents")), keep_tensors=False).drop("spans")
+    stored = materialise(media.store(table(spark, sf_dir, "documents")), "media")
+    return materialise(media.features(stored), "tensors").drop("spans", "tensors")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from inkveil.llm import bpe, embeddings, media, ngram_join, packing, quality, queries, token_counts, toxicity, url_filter, wavelet
+from inkveil.llm.common import materialise
 from inkveil.llm.components import connected_components
 from inkveil.llm.tokenizing import from_json
 
@@ -145,6 +146,14 @@ def test_media(spark, odd):
     assert media.features(media.store(odd.limit(0))).count() == 0
 
 
+def test_the_media_query_stores_media_and_tensors(spark, sf, monkeypatch):
+    written = {}
+    monkeypatch.setattr(queries, "materialise", lambda df, name: written.setdefault(name, materialise(df, name)), raising=False)
+    rows = queries.op5_media(spark, sf)
+    assert {"media", "tensors"} == set(written) and not {"spans", "tensors"} & set(rows.columns)
+    assert all(written[n].count() == written[n].filter(f"length({n}) > 0").count() == rows.count() for n in written)
+
+
 def test_resampling_keeps_low_tones_and_drops_high_ones():
     t = np.arange(16_000) / 16_000
     low, high = (media.resample(np.sin(2 * np.pi * f * t))[100:-100].std() for f in (500, 7000))
