@@ -2,7 +2,7 @@
 
 Features: 2:1 polyphase resampling, overlapped log-mel filterbanks, and segments of sound found by an energy
 threshold with hysteresis. They are kept as an Arrow stream of fixed-shape tensors (clips of `CLIP` frames by
-`MELS` bands, the last clip filled up with the floor value) with each clip's time span.
+`MELS` bands of half-precision logarithms, the last clip filled up with the floor value) with each clip's time span.
 """
 
 from __future__ import annotations
@@ -80,9 +80,9 @@ def segments(mel: np.ndarray) -> list[tuple[int, int]]:
 
 
 def tensors(mel: np.ndarray) -> bytes:
-    """Clips as an Arrow stream: mel (fixed-shape tensor, float32), begin_ms, end_ms."""
+    """Clips as an Arrow stream: mel (fixed-shape tensor, float16), begin_ms, end_ms."""
     n = -(-len(mel) // CLIP)
-    clips = np.full((n * CLIP, MELS), np.log(FLOOR), np.float32)
+    clips = np.full((n * CLIP, MELS), np.log(FLOOR), np.float16)
     clips[: len(mel)] = mel
     begin = np.arange(n) * CLIP
     ms = lambda frame: pa.array(frame * HOP * 2000 // RATE, pa.int64())
@@ -107,24 +107,43 @@ def store(docs: DataFrame) -> DataFrame:
     return map_slices(text_rows(docs), write, "doc_id long, n_bytes long, media binary")
 
 
-def features(stored: DataFrame, keep_tensors: bool = True) -> DataFrame:
-    """Per stored sound: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, spans (ms), feature (a
-    short text form) and, if kept, tensors. Each sound is worked on alone, so equal sounds have equal values.
+def mel_frames(stream: bytes) -> np.ndarray:
+    """The frames of a stored tensor stream, without those that fill up the last clip."""
+    table = pa.ipc.open_stream(stream).read_all()
+    clips = table["mel"].combine_chunks().to_numpy_ndarray()
+    return clips.reshape(-1, MELS)[: round(table["end_ms"][-1].as_py() * RATE / (2000 * HOP))]
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """Per stored sound: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, spans of sound (ms) and tensors.
+    Each sound is worked on alone, so equal sounds have equal values.
     """
 
     def read(rows: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(7)]
         for wav in rows.column("media").to_pylist():
             payload = from_wav(wav)
             mel = log_mel(resample((np.frombuffer(payload, np.uint8) - 128.0) / 128))
             spans = [{"begin_ms": a * HOP * 2000 // RATE, "end_ms": b * HOP * 2000 // RATE} for a, b in segments(mel)]
-            feature = f"frames={len(mel)} segments={len(spans)} mel=" + ",".join(f"{v:.3f}" for v in mel.mean(0))
-            values = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), spans, feature, tensors(mel) if keep_tensors else None]
+            values = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), spans, tensors(mel)]
             for column, value in zip(out, values, strict=True):
                 column.append(value)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin_ms", pa.int64()), ("end_ms", pa.int64())])), pa.string(), pa.binary()]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "spans", "feature", "tensors"]
-        n = len(names) - (not keep_tensors)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *[pa.array(v, k) for v, k in zip(out[:n], kinds, strict=False)]], ["doc_id", "n_bytes", *names[:n]])
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("begin_ms", pa.int64()), ("end_ms", pa.int64())])), pa.binary()]
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "spans", "tensors"]
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], ["doc_id", "n_bytes", *names])
+
+    return map_slices(stored, read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, spans array<struct<begin_ms:long,end_ms:long>>, tensors binary", column="media")
+
+
+def digests(stored: DataFrame) -> DataFrame:
+    """The columns of stored features, with a short text form (feature) of their spans and tensors in place of these."""
+    kept = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+
+    def read(rows: pa.RecordBatch) -> pa.RecordBatch:
+        n_spans = [len(s) for s in rows.column("spans").to_pylist()]
+        mels = [mel_frames(t) for t in rows.column("tensors").to_pylist()]
+        text = [f"frames={len(m)} segments={n} mel=" + ",".join(f"{v:.2f}" for v in m.mean(0, dtype=np.float64)) for m, n in zip(mels, n_spans, strict=True)]
+        return pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(text, pa.string())], [*kept, "feature"])
 
-    return map_slices(stored, read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, spans array<struct<begin_ms:long,end_ms:long>>, feature string" + ", tensors binary" * keep_tensors, column="media")
+    kinds = dict(stored.dtypes)
+    return map_slices(stored.select(*kept, "spans", "tensors"), read, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", feature string", column="tensors")

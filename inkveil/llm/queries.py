@@ -38,13 +38,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.prefix_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep=False)
-    return counts.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {MAX_TOKENS} as over_limit")
+    stored = materialise(token_counts.prefix_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")), "prefixes")
+    return token_counts.within_budget(stored, MAX_TOKENS)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialise(media.store(table(spark, sf_dir, "documents")), "media")
-    return materialise(media.features(stored), "tensors").drop("spans", "tensors")
+    return media.digests(materialise(media.features(stored), "tensors"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ last token of the shorter prefix. So one pass gives the count of every prefix. C
 Places where a cut changes the split itself (runs of white space before a word, cut contractions, cut
 special strings) are corrected, so that each stored count equals what encoding that prefix would give.
 
-The stored form of a text is one signed 32-bit count per UTF-8 byte prefix (a position within a character has
-the count of the last whole character), which answers `count_at`, `longest_prefix` and budget questions alone.
+A position within a character has the count of the last whole character. The stored form keeps the steps between the
+counts of successive prefixes as signed bytes, with a whole 32-bit count at every 512th prefix (a text with a larger step keeps
+32-bit counts only). It answers `count_at`, `longest_prefix` and budget questions alone, without the text or the tokenizer.
 """
 
 from __future__ import annotations
@@ -23,13 +24,19 @@ from pyspark.sql import DataFrame
 from inkveil.llm.common import bytes_array, map_slices, text_rows
 from inkveil.llm.tokenizing import PATTERN, from_json
 
-#: Entries of a worker's memory of pieces and of token pairs before it starts anew.
-MEMORY = 800_000
+#: Bytes that a worker's memory of pieces and their tables may take, and its entries of token pairs, before it starts anew;
+#: longer pieces (in characters) are not remembered.
+MEMORY, MOST_PAIRS, LONG_PIECE = 160 << 20, 800_000, 1024
+#: Distance of whole counts in the stored form.
+STEP = 512
 _SPACES, _MAYBE_SPACES = regex.compile(r"\s{2,}(?=\S)"), re.compile(r"\s\s")
 _CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
 class PrefixCounter:
+    """Counts for a plain byte-level BPE whose merges stand in the order of their ids; any other vocabulary raises ValueError,
+    since the longest-token rule holds only there."""
+
     def __init__(self, path: str, pattern: str = PATTERN):
         tokenizer = from_json(path)
         if tokenizer.encoding is None:
@@ -39,12 +46,13 @@ class PrefixCounter:
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.special = regex.compile("|".join(map(regex.escape, tokenizer.special))) if tokenizer.special else None
         self.pieces: dict[str, bytes] = {}
+        self.held = 0  # bytes, about
         self.tables: dict[bytes, bytes] = {}  # one copy of each table: pieces are many, tables few
         self.pairs: dict[int, bool] = {}
 
     def _stable(self, pair: int) -> bool:
         a, b = pair >> 32, pair & 0xFFFFFFFF
-        if len(self.pairs) >= MEMORY:
+        if len(self.pairs) >= MOST_PAIRS:
             self.pairs.clear()
         known = self.pairs[pair] = self.bpe._encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
@@ -80,7 +88,7 @@ class PrefixCounter:
         if text in _CONTRACTIONS:  # cut short, the apostrophe stands alone
             counts[1] = 2
         table = np.array(counts, "<i4").tobytes()
-        return self.tables.setdefault(table, table)
+        return self.tables.setdefault(table, table) if len(text) <= LONG_PIECE else table
 
     def ordinary(self, text: str) -> np.ndarray:
         """Prefix counts of a text without special strings."""
@@ -88,13 +96,16 @@ class PrefixCounter:
         try:
             parts = list(map(known.__getitem__, pieces))
         except KeyError:
-            if len(known) >= MEMORY:
+            if self.held >= MEMORY:
                 known.clear()
                 self.tables.clear()
-            for p in pieces:
-                if p not in known:
-                    known[p] = self.piece(p)
-            parts = list(map(known.__getitem__, pieces))
+                self.held = 0
+            fresh = {p: self.piece(p) for p in dict.fromkeys(pieces) if p not in known}
+            parts = [known.get(p) or fresh[p] for p in pieces]
+            for p, table in fresh.items():
+                if len(p) <= LONG_PIECE:
+                    known[p] = table
+                    self.held += 200 + len(p) + len(table)
         counts = np.frombuffer(b"".join(parts), "<i4").copy()
         if len(parts) > 1:
             lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
@@ -135,32 +146,69 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def prefix_counts(docs: DataFrame, tokenizer_path: str, keep: bool = True) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_tokens and, if keep, prefixes (binary, see above).
+def pack_counts(counts: np.ndarray) -> bytes:
+    """The stored form of the counts of the prefixes of 0, 1, 2, ... bytes."""
+    steps = np.diff(counts)
+    if len(steps) and max(steps.max(), -steps.min()) > 127:
+        return b"w" + counts.astype("<i4").tobytes()
+    return b"s" + counts[::STEP].astype("<i4").tobytes() + steps.astype(np.int8).tobytes()
+
+
+def unpack_counts(stored: bytes) -> np.ndarray:
+    """All counts from the stored form."""
+    if stored[:1] == b"w":
+        return np.frombuffer(stored, "<i4", offset=1)
+    steps = np.frombuffer(stored, np.int8, offset=1 + 4 * _blocks(stored))
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int32)])
+
+
+def _blocks(stored: bytes) -> int:
+    """Whole counts in the form with steps: n prefixes have ceil(n / STEP) of them and n - 1 steps."""
+    return -(-len(stored) // (STEP + 4))
+
+
+def prefix_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_tokens, and prefixes (binary, the stored form above).
 
     Null and empty texts: 0 bytes, 0 tokens, the one count 0. Repeated rows and null ids stay; extra columns are
-    ignored. keep=False computes the same table and drops it in the task, for callers that want totals only.
+    ignored; an empty table gives no rows.
     """
 
     def count(rows: pa.RecordBatch) -> pa.RecordBatch:
         own = counter(tokenizer_path)
         tables = [own.counts(t) for t in rows.column("text").to_pylist()]
-        columns = [rows.column("doc_id"), pa.array([len(t) - 1 for t in tables], pa.int64()), pa.array([int(t[-1]) for t in tables], pa.int64())]
-        names = ["doc_id", "n_bytes", "n_tokens"]
-        if keep:
-            columns.append(bytes_array([t.tobytes() for t in tables]))
-            names.append("prefixes")
-        return pa.RecordBatch.from_arrays(columns, names)
+        columns = [rows.column("doc_id"), pa.array([len(t) - 1 for t in tables], pa.int64()), pa.array([int(t[-1]) for t in tables], pa.int64()), bytes_array(list(map(pack_counts, tables)))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "prefixes"])
 
-    return map_slices(text_rows(docs), count, "doc_id long, n_bytes long, n_tokens long" + ", prefixes binary" * keep)
+    return map_slices(text_rows(docs), count, "doc_id long, n_bytes long, n_tokens long, prefixes binary")
 
 
 def count_at(prefixes: bytes, n_bytes: int) -> int:
-    """Tokens of the first n_bytes bytes."""
-    table = np.frombuffer(prefixes, "<i4")
-    return int(table[min(n_bytes, len(table) - 1)])
+    """Tokens of the first n_bytes bytes (of all, if there are fewer)."""
+    if prefixes[:1] == b"w":
+        table = np.frombuffer(prefixes, "<i4", offset=1)
+        return int(table[min(n_bytes, len(table) - 1)])
+    blocks = _blocks(prefixes)
+    steps = np.frombuffer(prefixes, np.int8, offset=1 + 4 * blocks)
+    at = min(n_bytes, len(steps))
+    block = at // STEP
+    return int(np.frombuffer(prefixes, "<i4", blocks, 1)[block]) + int(steps[block * STEP : at].sum(dtype=np.int64))
 
 
 def longest_prefix(prefixes: bytes, budget: int) -> int:
     """Bytes of the longest prefix that has at most `budget` tokens (a prefix can have more tokens than a longer one)."""
-    return int(np.flatnonzero(np.frombuffer(prefixes, "<i4") <= budget)[-1])
+    return int(np.flatnonzero(unpack_counts(prefixes) <= budget)[-1])
+
+
+def within_budget(stored: DataFrame, budget: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fit_bytes, fit_tokens, read from stored prefixes alone: whether a text has more than
+    `budget` tokens, and the bytes and tokens of its longest prefix within them."""
+
+    def answer(rows: pa.RecordBatch) -> pa.RecordBatch:
+        raw, sizes = rows.column("prefixes").to_pylist(), rows.column("n_bytes").to_pylist()
+        total = [count_at(p, n) for p, n in zip(raw, sizes, strict=True)]
+        fit = [n if t <= budget else longest_prefix(p, budget) for p, n, t in zip(raw, sizes, total, strict=True)]
+        columns = [rows.column("doc_id"), rows.column("n_bytes"), pa.array(total, pa.int64()), pa.array([t > budget for t in total], pa.bool_()), pa.array(fit, pa.int64()), pa.array([count_at(p, n) for p, n in zip(raw, fit, strict=True)], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_bytes", "fit_tokens"])
+
+    return map_slices(stored.select("doc_id", "n_bytes", "prefixes"), answer, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long, fit_tokens long", column="prefixes")

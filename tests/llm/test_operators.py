@@ -71,18 +71,51 @@ def test_every_prefix_count(library):
         assert len(table) == len(text.encode()) + 1
         for j in range(len(text) + 1):
             assert table[len(text[:j].encode())] == len(library.encode(text[:j], add_special_tokens=False).ids)
-        raw = table.tobytes()
+        raw = token_counts.pack_counts(table)
         assert token_counts.count_at(raw, 10**9) == table[-1] and table[token_counts.longest_prefix(raw, 3)] <= 3
 
 
+@pytest.mark.parametrize("step", [1, 200])
+def test_stored_prefixes_answer_as_the_counts_do(step):
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 511, 512, 513, 1023, 1024, 5000):
+        counts = np.concatenate([[0], np.cumsum(rnd.integers(-1, step + 1, n))]).astype(np.int32)
+        raw = token_counts.pack_counts(counts)
+        assert np.array_equal(token_counts.unpack_counts(raw), counts)
+        assert all(token_counts.count_at(raw, i) == counts[i] for i in range(0, n + 1, 97)) and token_counts.count_at(raw, n + 9) == counts[n]
+        assert token_counts.longest_prefix(raw, 40) == max(i for i in range(n + 1) if counts[i] <= 40)
+
+
+def test_forgetting_pieces_changes_nothing(monkeypatch):
+    want = [token_counts.PrefixCounter(JSON).counts(t) for t in shapes(20, 5)]
+    monkeypatch.setattr(token_counts, "MEMORY", 300)
+    monkeypatch.setattr(token_counts, "LONG_PIECE", 3)
+    own = token_counts.PrefixCounter(JSON)
+    assert all(np.array_equal(own.counts(t), w) for t, w in zip(shapes(20, 5), want, strict=True))
+
+
 def test_counts_of_documents(spark, odd, library):
     want = sorted((d or 0, len(i) - 1) for d, i in expected(library, odd, 0))
     rows = token_counts.prefix_counts(odd, JSON).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == want
-    assert all(len(r.prefixes) == 4 * (r.n_bytes + 1) for r in rows)
+    assert all(len(token_counts.unpack_counts(r.prefixes)) == r.n_bytes + 1 for r in rows)
     assert token_counts.prefix_counts(odd.limit(0), JSON).count() == 0
 
 
+@pytest.mark.parametrize("budget", [0, 3, 1024])
+def test_budget_is_answered_from_stored_prefixes(spark, odd, library, budget):
+    n_tokens = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+    rows = token_counts.within_budget(materialise(token_counts.prefix_counts(odd, JSON), "prefixes"), budget).collect()
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    assert len(rows) == odd.count()
+    for r in rows:
+        text = texts[r.doc_id]
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n_tokens(text), n_tokens(text) > budget)
+        assert r.fit_tokens <= budget and n_tokens(text.encode()[: r.fit_bytes].decode(errors="ignore")) == r.fit_tokens
+        if len(text) < 100:
+            assert r.fit_bytes == max(len(text[:k].encode()) for k in range(len(text) + 1) if n_tokens(text[:k]) <= budget)
+
+
 @pytest.mark.parametrize("window", [8, 1024])
 def test_packing(spark, odd, library, window):
     pieces = packing.pack(odd, JSON, window=window).collect()
@@ -136,14 +169,17 @@ def test_shards(spark, odd, library):
 
 def test_media(spark, odd):
     by_text = {}
-    for r, source in zip(sorted(media.features(media.store(odd)).collect(), key=lambda r: (r.doc_id or 0)), sorted(odd.collect(), key=lambda r: (r.doc_id or 0)), strict=True):
+    stored = materialise(media.features(media.store(odd)), "tensors")
+    shown = {(r.doc_id, r.media_sha256): r.feature for r in media.digests(stored).collect()}
+    for r, source in zip(sorted(stored.collect(), key=lambda r: (r.doc_id or 0)), sorted(odd.collect(), key=lambda r: (r.doc_id or 0)), strict=True):
         raw = (source.text or "").encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        assert by_text.setdefault(source.text or "", r.feature) == r.feature
+        feature = shown[r.doc_id, r.media_sha256]
+        assert by_text.setdefault(source.text or "", feature) == feature
         clips = pa.ipc.open_stream(r.tensors).read_all()["mel"].combine_chunks().to_numpy_ndarray()
         assert clips.shape[1:] == (media.CLIP, media.MELS)
-    assert media.features(media.store(odd.limit(0))).count() == 0
+    assert media.digests(media.features(media.store(odd.limit(0)))).count() == 0
 
 
 def test_the_media_query_stores_media_and_tensors(spark, sf, monkeypatch):
@@ -154,6 +190,42 @@ def test_the_media_query_stores_media_and_tensors(spark, sf, monkeypatch):
     assert all(written[n].count() == written[n].filter(f"length({n}) > 0").count() == rows.count() for n in written)
 
 
+def slow_features(payload):
+    """Plain loops: every sample filtered and every second kept, each frame's transform and bands one by one, segments by walking."""
+    x = [(b - 128) / 128 for b in payload]
+    taps = [np.sinc((t - 15.5) / 2) / 2 * (0.54 - 0.46 * np.cos(2 * np.pi * t / 31)) for t in range(32)]
+    y = [sum(taps[k] / sum(taps) * x[n - k] for k in range(32) if 0 <= n - k < len(x)) for n in range(0, len(x), 2)]
+    y += [0.0] * (200 - len(y))
+    hertz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    top = 2595 * np.log10(1 + 4000 / 700)
+    edges = [hertz(top * i / 25) for i in range(26)]
+    frames = []
+    for begin in range(0, len(y) - 199, 80):
+        part = [y[begin + n] * (0.5 - 0.5 * np.cos(2 * np.pi * n / 199)) for n in range(200)]
+        power = [abs(sum(v * np.exp(-2j * np.pi * f * n / 256) for n, v in enumerate(part))) ** 2 for f in range(129)]
+        bands = []
+        for a, b, c in zip(edges, edges[1:], edges[2:], strict=False):
+            bands.append(sum(p * max(0, min((f * 8000 / 256 - a) / (b - a), (c - f * 8000 / 256) / (c - b))) for f, p in enumerate(power)))
+        frames.append([np.log(v + 1e-6) for v in bands])
+    loud = [10 * np.log10(sum(np.exp(v) for v in f)) for f in frames]
+    loud, found, begin = [v - max(loud) for v in loud], [], None
+    for i, v in enumerate([*loud, -99]):
+        if begin is None and v >= -12:
+            begin = i
+        if begin is not None and v < -12:
+            found += [(begin, i)] if max(loud[begin:i]) >= -6 else []
+            begin = None
+    return np.array(frames), found
+
+
+@pytest.mark.parametrize("payload", [b"\xff" * 576, bytes(random.Random(2).randbytes(1152)), ("Stil " * 60 + "!!!" * 80).encode().ljust(1152, b"\xff")])
+def test_features_equal_plain_loops(payload):
+    mel = media.log_mel(media.resample((np.frombuffer(payload, np.uint8) - 128.0) / 128))
+    want, spans = slow_features(payload)
+    assert np.allclose(mel, want, atol=1e-6) and media.segments(mel) == spans
+    assert np.allclose(media.mel_frames(media.tensors(mel)), want, atol=0.02)
+
+
 def test_resampling_keeps_low_tones_and_drops_high_ones():
     t = np.arange(16_000) / 16_000
     low, high = (media.resample(np.sin(2 * np.pi * f * t))[100:-100].std() for f in (500, 7000))
@@ -252,6 +324,93 @@ def test_a_high_share_of_toxic_labels_rejects_nothing_by_itself(spark):
     assert sorted(r.doc_id for r in toxicity.keep_clean(table, labels).collect()) == [*range(0, 200, 2), 300, 301, 302, 303]
 
 
+def slow_trees(x, y, trees, depth):
+    """Boosting by trying every cut of every feature at every node, and a walk node by node."""
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS)[1:-1])) for f in range(x.shape[1])]
+    base = np.log(y.mean() / (1 - y.mean()))
+    raw = np.full(len(y), base)
+    leaf = lambda g, h: -quality.RATE * g.sum() / (h.sum() + quality.SHRINK)
+    score = lambda g, h: g.sum() ** 2 / (h.sum() + quality.SHRINK)
+
+    def grow(rows, g, h, d):
+        best = (1e-6, None, None)
+        for f in range(x.shape[1]) if d < depth else ():
+            for cut in edges[f]:
+                low = rows[x[rows, f] <= cut]
+                high = rows[x[rows, f] > cut]
+                if h[low].sum() >= quality.LEAST_HESSIAN and h[high].sum() >= quality.LEAST_HESSIAN:
+                    gain = score(g[low], h[low]) + score(g[high], h[high]) - score(g[rows], h[rows])
+                    if gain > best[0] + 1e-9:
+                        best = (gain, f, cut)
+        _, f, cut = best
+        if f is None:
+            return leaf(g[rows], h[rows])
+        return f, cut, grow(rows[x[rows, f] <= cut], g, h, d + 1), grow(rows[x[rows, f] > cut], g, h, d + 1)
+
+    def walk(node, row):
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    grown = []
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        grown.append(grow(np.arange(len(y)), p - y, np.maximum(p * (1 - p), 1e-9), 0))
+        raw = raw + np.array([walk(grown[-1], r) for r in x])
+    return lambda rows: 1 / (1 + np.exp(-(base + np.array([sum(walk(t, r) for t in grown) for r in rows]))))
+
+
+def test_trees_equal_a_search_of_every_cut():
+    rnd = np.random.default_rng(11)
+    x = rnd.random((160, 4))
+    y = ((x[:, 0] + 0.3 * rnd.random(160) > 0.6) ^ (x[:, 2] > 0.7)).astype(float)
+    own = quality.BoostedTrees.fit(x[:120], y[:120], trees=6, depth=3)
+    assert np.allclose(own.predict(x), slow_trees(x[:120], y[:120], 6, 3)(x), atol=1e-9)
+
+
+def test_repeated_ids_give_one_model(spark):
+    docs, labels = labelled(spark, 60)
+    more = docs.unionByName(docs.filter("doc_id < 30").selectExpr("doc_id", "concat(text, ' quite other words') as text", "score", "label"))
+    scores = lambda d: [r.score for r in quality.score(d, labels).orderBy("doc_id", "score").collect()]
+    assert scores(more.repartition(7, "score", "text")) == scores(more.orderBy("text"))
+
+
+def test_votes_equal_a_naive_cosine(spark):
+    docs, labels = labelled(spark, 120)
+    model = toxicity.fit(docs, labels)
+    rows, truth = docs.collect(), {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and r.doc_id is not None}
+    examples = {}
+    for r in sorted((r for r in rows if r.doc_id in truth), key=lambda r: r.doc_id):
+        examples.setdefault(tuple(sorted(toxicity.words_of(r.text))), (r.text, truth[r.doc_id]))
+    words = [toxicity.words_of(r.text or "") for r in rows]
+    share = sum(truth.values()) / len(truth)
+    texts, of = zip(*examples.values(), strict=True)
+    n1, n0 = sum(of), len(of) - sum(of)
+
+    def weight(w):
+        ones, zeros = (sum(w in toxicity.words_of(t) for t, x in zip(texts, of, strict=True) if x == label) for label in (1, 0))
+        p = (ones + zeros + 0.5) / (n1 + n0 + 1)
+        z = (ones / n1 - zeros / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+        return (np.log((1 + len(rows)) / (1 + sum(w in d for d in words))) + 1e-9) * (1 + z * z)
+
+    weights = {w: weight(w) for w in {w for t in texts for w in toxicity.words_of(t)}}
+
+    def unit(text):
+        own = toxicity.words_of(text)
+        v = {w: (1 + np.log(own.count(w))) * weights[w] for w in set(own) if w in weights}
+        return {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    units, rate = [unit(t) for t in texts], {1: share / (n1 / len(of)), 0: (1 - share) / (n0 / len(of))}
+    prior = toxicity.PRIOR * np.mean([rate[x] for x in of])
+    for text in [r.text for r in rows[:25]] + ["nasty w1 w2", "w9", "none of these"]:
+        own = unit(text)
+        near = sorted(((sum(x * u.get(w, 0) for w, x in own.items()), x) for u, x in zip(units, of, strict=True)), key=lambda p: -p[0])
+        near = [(c, x) for c, x in near if c > 0][: toxicity.NEIGHBOURS]
+        votes = [(c**3 * rate[x], x) for c, x in near]
+        want = (sum(v for v, x in votes if x) + prior * share) / (sum(v for v, _ in votes) + prior) if votes else share
+        assert abs(model.score([text])[0] - want) < 1e-9
+
+
 def test_flat_trees_fit():
     x = np.random.default_rng(6).random((2000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
