@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inkveil.llm.common import map_slices
 from inkveil.llm.labelled import THRESHOLD, filter_documents, label_rows, sample_ids, sampled_texts, score_documents
@@ -138,7 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(matrix(rows.column("text").to_pylist()).tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    rows = map_slices(texts.select("doc_id", "text", "label"), run, "doc_id long, label int, x array<double>").dropDuplicates(["doc_id"]).collect()
+    rows = map_slices(texts.select("doc_id", "text", "label"), run, "doc_id long, label int, x array<double>")
+    # Of rows with one id the one whose statistics come first is learnt from, whatever order they are read in.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("e")).select("doc_id", "e.label", "e.x").collect()
     rows.sort(key=lambda r: r.doc_id)
     return QualityModel(BoostedTrees.fit(np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.label for r in rows], float)))
 
