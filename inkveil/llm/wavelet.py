@@ -161,7 +161,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
     """Encode all documents, each followed by end_id, and write shard files in ascending doc_id order.
 
     Returns the written table: part, nth (together the files' order), n_docs, n_tokens, file (binary). One range
-    shuffle by doc_id carries the texts; equal doc_ids stand in the order of their texts, null ones first. Null and empty texts
+    shuffle by doc_id and a hash of the text carries the texts, so rows of one id can be many; they stand in the order of that hash, null ids first. Null and empty texts
     have the one id end_id; extra columns are ignored; an empty table gives no file.
     """
 
@@ -186,7 +186,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_to
         if ids:
             yield close()
 
-    ordered = text_rows(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash lets ranges end within the rows of one id, or of none.
+    ordered = text_rows(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return materialise(ordered.mapInArrow(build, "part int, nth int, n_docs long, n_tokens long, file binary"), "shards", "none")
 
 
