@@ -209,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
 
     held = map_slices(texts.select("doc_id", "text", "label"), counted, "doc_id long, label int, words array<string>, counts array<int>")
     # Copies are one example, the one with the smallest id.
-    held = held.groupBy(F.xxhash64("words", "counts").alias("h")).agg(F.min_by(F.struct(*held.columns), "doc_id").alias("e")).select("e.*")
-    known = held.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    held = held.groupBy(F.xxhash64("words", "counts").alias("h")).agg(F.min_by(F.struct(*held.columns), "doc_id").alias("e")).select("e.*", "h")
+    known = held.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("h", "ascending")])
     of_label = known["label"].to_numpy()
     of_row = np.repeat(np.arange(len(known)), pc.list_value_length(known["words"]).to_numpy())
     coded = pc.list_flatten(known["words"]).combine_chunks().dictionary_encode()
