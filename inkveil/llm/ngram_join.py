@@ -1,29 +1,34 @@
 """Near-duplicate documents by the Jaccard similarity of word shingles, with PartEnum signatures.
 
 Sets of similar size fall in one size band or in two neighbouring ones; each band is an instance of the join with its
-own number of partitions of the shingle domain. A signature is what a set has in one partition (the
-enumerated subsets are single partitions, the choice of parameters with the fewest signatures). If two sets reach the
-similarity t, they differ in at most D = (a + b)(1 - t)/(1 + t) shingles and thus in at most D partitions. Each set
-gives the signatures of its first D + 1 partitions that are not empty, D being the most that any partner of it
-can have; so of the set whose D + 1 partitions end first, at least one is equal in the other set, which
-gives that signature too. Sets with too few such partitions give all of theirs, and the empty ones, so the
-pigeonhole still holds. No similar pair is lost.
-
-Candidates are checked exactly. In a bucket of one signature every set is first checked against the one with the smallest
-id, the bucket's leader; the sets that meet a leader in any bucket are its star. Pairs within a star are only looked at where the star
+own partitioning of the shingle domain. If two sets reach the similarity t, they differ in at most D = (a + b)(1 - t)/(1 + t)
+shingles. The domain is cut into partitions of CELLS cells each. Of any D // 2 + 1 partitions, one holds at most one
+differing shingle, so the sets agree in all but one of its cells: the subsets of CELLS - 1 cells of each partition are
+enumerated, and what a set has in one subset is a signature. (With D = 0 the whole set is its only signature.)
+
+A set gives the subsets that are not empty, up to the partition with which it has D // 2 + 1 full ones (in which no subset is
+empty), D being the most that any partner of it can have. Of two similar sets, take the one that ends first: among its full
+partitions is one with at most one difference; the subset on which they agree is not empty and both give it. A set that has
+too few full partitions gives all subsets that are not empty and takes part in a further round with other hashes as well; two
+such sets meet in the first round in which one of them has enough. Only in the last of ROUNDS rounds are empty subsets given, too.
+No similar pair is lost.
+
+Candidates are checked exactly. In a bucket of one signature every set is first checked against one, the bucket's leader;
+the sets that meet a leader in any bucket are its star. Pairs within a star are only looked at where the star
 still holds sets of different components, each pair once a star instead of once a bucket. All pairs are first sieved by
 parity sketches (the sketches of two sets differ in at most as many bits as the sets differ in shingles), then checked exactly.
-Sets are known by a 64-bit hash of their shingles, so exact copies are one set.
+Sets are known by 128-bit hashes, so exact copies are one set. A bucket is read as a stream, in memory that does not grow with it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import bytes_array, map_slices, materialise, sliced, text_rows
@@ -31,19 +36,23 @@ from inkveil.llm.components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 _U = np.uint64
-_BASE, _SALT = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
+_BASE, _SALT, _SALT_2 = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Least bits of a parity sketch; a larger set has at least SKETCH_SHARE bits a shingle. Sketches only drop pairs that differ too much.
 SKETCH, SKETCH_SHARE = 512, 4
-#: Text bytes that are cut into shingles at once: arrays take some 100 bytes for each.
-SLICE = 1 << 20
+#: Text bytes that are cut into shingles at once (a longer text stands alone), and bytes that are hashed at once within them.
+SLICE, CHUNK = 1 << 20, 1 << 18
+#: Cells of a partition, of which subsets leave out one, and rounds for sets with too few full partitions.
+CELLS, ROUNDS = 3, 8
+#: Signatures that a task packs at once, bytes of signatures that share a key, and signatures that are looked at together.
+PACKED, KEY_BYTES, AT_ONCE = 1 << 20, 24 << 20, 1 << 20
 #: Sets of a star that are compared in one block.
 BLOCK = 1024
 #: Sets that one group of blocks holds, about.
 TASK_ROWS = 20_000
-#: Candidate documents up to this number (8 bytes each) are broadcast to the scan, more are joined by a shuffle.
+#: Ids of candidate documents up to this number (8 bytes each, 4 MB in all) are broadcast to the scan, more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
@@ -72,12 +81,20 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     raw = [t.encode() for t in texts]
     data = np.frombuffer((b"\n".join(raw) + b"\n").translate(_LOWER), np.uint8)
     ends = np.cumsum([len(r) + 1 for r in raw])
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
+    # A word's hash is the sum of its bytes' terms times powers of the base, moved to power 0; sums run over chunks, kept at the words' edges.
+    power, inverse = _power(CHUNK + 1)
+    edges, sums, moved, before, was_space = [], [], [], 0, True
+    for begin in range(0, len(data), CHUNK):
+        part = data[begin : begin + CHUNK]
+        space = _SPACE[part]
+        edge = np.flatnonzero(np.diff(np.concatenate([[was_space], space])))
+        total = np.concatenate([[_U(0)], np.cumsum(_BYTE[part] * power[: len(part)])])
+        shift, back = (pow(int(p[1]), begin, 1 << 64) for p in (power, inverse))
+        edges.append(edge + begin), sums.append(total[edge] * _U(shift) + _U(before)), moved.append(inverse[edge] * _U(back))
+        before, was_space = (before + shift * int(total[-1])) % (1 << 64), space[-1]
+    edge, total = np.concatenate(edges), np.concatenate(sums)
     start, stop = edge[0::2], edge[1::2]
-    power, inverse = _power(len(data) + 1)
-    total = np.concatenate([[_U(0)], np.cumsum(_BYTE[data] * power[: len(data)])])
-    word = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(_U) * _SALT)
+    word = mix((total[1::2] - total[0::2]) * np.concatenate(moved)[0::2] + (stop - start).astype(_U) * _SALT)
     first = np.searchsorted(start, np.concatenate([[0], ends[:-1]]))
     bounds = np.concatenate([first, [len(start)]])
     many = max(0, len(word) - words + 1)
@@ -101,10 +118,18 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def set_ids(sets: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit id for equal sets."""
-    sums = np.array([np.add.reduce(mix(s + _SALT)) for s in sets], _U)
-    return mix(sums + np.array([len(s) for s in sets], _U) * _BASE).view(np.int64)
+def set_ids(sets: list[np.ndarray], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit ids for equal sets that are not empty. The second one of a set of one or two shingles comes from the words
+    themselves, since both hashes of so few could agree by one chance."""
+    if not sets:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    every, begin = np.concatenate(sets), np.cumsum(sizes) - sizes
+    one, two = (mix(np.add.reduceat(mix(every ^ salt), begin) + sizes.astype(_U) * _BASE).view(np.int64) for salt in (_SALT, _SALT_2))
+    for i in np.flatnonzero(sizes <= 2).tolist():
+        words = b" ".join(texts[i].encode().translate(_LOWER).split())
+        two[i] = int.from_bytes(hashlib.blake2b(words, digest_size=8).digest(), "little", signed=True)
+    return one, two
 
 
 class Bands:
@@ -128,7 +153,11 @@ class Bands:
         own, largest = self.band(size), size * self.d // self.n
         self.band(largest + 1)
         self.band(self.tops[own] + 1)
-        parts = lambda band: (self.most(2 * self.tops[band]) + 1) * 23 // 20 + 8  # noqa: E731  a reserve for empty ones
+
+        def parts(band: int) -> int:
+            needed = self.most(2 * self.tops[band]) // 2 + 1
+            return needed + needed * 3 // 20  # a reserve for those that are not full
+
         out = [(own, parts(own), self.most(size + min(largest, self.tops[own])))]
         if largest > self.tops[own]:
             out.append((own + 1, parts(own + 1), self.most(size + largest)))
@@ -139,16 +168,28 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """Signatures (64-bit) of one set that is not empty."""
     out = []
     for instance, parts, most in bands.instances(len(shingles)):
-        hashed = mix(shingles ^ _U(instance * 0x1F123BB5 + 1))
-        part = (hashed % _U(parts)).astype(np.int64)
-        sums = np.zeros(parts, _U)
-        np.add.at(sums, part, mix(hashed))
-        held = np.bincount(part, minlength=parts)
-        chosen = np.flatnonzero(held)[: most + 1]
-        if len(chosen) < most + 1:
-            chosen = np.arange(parts)
-        tag = chosen.astype(_U) * _BASE + held[chosen].astype(_U) * _SALT + _U(instance)
-        out.append(mix(sums[chosen] + mix(tag)))
+        if not most:
+            out.append(mix(np.add.reduce(mix(shingles), keepdims=True) + np.array([instance], _U) * _SALT))
+            continue
+        needed = most // 2 + 1
+        for turn in range(ROUNDS):
+            hashed = mix(shingles ^ _U((instance * ROUNDS + turn) * 0x1F123BB5 + 1))
+            cell = (hashed % _U(parts * CELLS)).astype(np.int64)
+            sums = np.zeros(parts * CELLS, _U)
+            np.add.at(sums, cell, mix(hashed))
+            sums = sums.reshape(parts, CELLS)
+            held = np.bincount(cell, minlength=parts * CELLS).reshape(parts, CELLS)
+            left = held.sum(1, keepdims=True) - held  # by the cell that a subset leaves out
+            full = np.flatnonzero((left > 0).all(1))
+            enough = len(full) >= needed
+            given = left > 0 if enough or turn < ROUNDS - 1 else np.ones_like(left, bool)
+            if enough:
+                given[full[needed - 1] + 1 :] = False
+            part, leaves = np.nonzero(given)
+            tag = (part * CELLS + leaves).astype(_U) * _BASE + left[part, leaves].astype(_U) * _SALT + _U(instance * ROUNDS + turn)
+            out.append(mix((sums.sum(1, keepdims=True) - sums)[part, leaves] + mix(tag)))
+            if enough:
+                break
     return np.concatenate(out)
 
 
@@ -185,118 +226,152 @@ def similar(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, numerator: int = N
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set and sketch (both null where a text has no words)."""
+    """doc_id, n_shingles, set, set_2 and sketch (the last three null where a text has no words)."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(rows.column("text").to_pylist())
+        texts = rows.column("text").to_pylist()
+        sets = shingle_sets(texts)
         n = np.array([len(s) for s in sets], np.int64)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(set_ids(sets), mask=n == 0), bytes_array([sketch(s) if len(s) else None for s in sets])], ["doc_id", "n_shingles", "set", "sketch"])
-
-    return map_slices(text_rows(docs), run, "doc_id long, n_shingles long, set long, sketch binary", most=SLICE)
+        ids = np.zeros((2, len(n)), np.int64)
+        ids[:, n > 0] = set_ids([s for s in sets if len(s)], [t for t, k in zip(texts, n, strict=True) if k])
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), *(pa.array(i, mask=n == 0) for i in ids), bytes_array([sketch(s) if len(s) else None for s in sets])], ["doc_id", "n_shingles", "set", "set_2", "sketch"])
 
+    return map_slices(text_rows(docs), run, "doc_id long, n_shingles long, set long, set_2 long, sketch binary", most=SLICE)
 
-def _even_keys(spark: SparkSession, n: int) -> list[int]:
-    """n numbers of which hash partitioning into n partitions puts one into each."""
-    keys: dict[int, int] = {}
-    rows = spark.range(0, 40 * n + 400, 1, 1).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
-    for r in rows.groupBy("p").agg(F.min("k").alias("k")).collect():
-        keys[r.p] = r.k
-    spare = iter(range(40 * n + 400, 41 * n + 401))
-    return [keys.get(p, next(spare)) for p in range(n)]
 
+def _signature_rows(docs: DataFrame, n_keys: int) -> DataFrame:
+    """Signatures packed before the shuffle: for each key one row with 5-byte signatures (a chance hit only makes one
+    more candidate) and the first id of each one's set."""
 
-def _signature_rows(docs: DataFrame, keys: list[int]) -> DataFrame:
-    """Signatures packed before the shuffle: for each slice of texts and key one row with 5-byte signatures (a chance
-    hit only makes one more candidate), 2-byte places in the slice's list of sets, and that list."""
+    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        signature, ids = (np.concatenate(p) for p in zip(*parts, strict=True))
+        key = (signature % _U(n_keys)).astype(np.int32)
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1)).tolist()
+        short = (signature[order] >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        sets, keys = ids[order].astype("<i8").tobytes(), key[order[edges[:-1]]]
+        cut = lambda raw, width: bytes_array([raw[width * a : width * b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(keys), cut(short, 5), cut(sets, 8)], ["key", "signatures", "sets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, n_keys = Bands(), _U(len(keys))
+        bands, parts, held = Bands(), [], 0
         for batch in batches:
             for rows in sliced(batch, "text", SLICE):
-                sets = [s for s in shingle_sets(rows.column("text").to_pylist()) if len(s)]
-                if not sets:
-                    continue
-                ids, nth = np.unique(set_ids(sets), return_index=True)
-                each = [signatures(sets[i], bands) for i in nth.tolist()]
-                place = np.repeat(np.arange(len(ids), dtype=np.uint16), [len(e) for e in each])
-                signature = np.concatenate(each)
-                key = (signature % n_keys).astype(np.uint32)
-                order = np.argsort(key, kind="stable")
-                cuts = np.searchsorted(key[order], np.arange(len(keys) + 1))
-                short = (signature[order] >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                place, table, out = place[order].astype("<u2"), ids.astype("<i8"), ([], [], [], [])
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    a, b = cuts[k], cuts[k + 1]
-                    used, where = np.unique(place[a:b], return_inverse=True)
-                    for column, value in zip(out, (keys[k], short[a:b].tobytes(), where.astype("<u2").tobytes(), table[used].tobytes()), strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *map(bytes_array, out[1:])], ["key", "signatures", "places", "sets"])
-
-    return text_rows(docs).mapInArrow(run, "key int, signatures binary, places binary, sets binary")
-
-
-def _stars(group: pd.DataFrame) -> pd.DataFrame:
-    """For each bucket with two sets or more the pairs (a, b) of its smallest set id with the others, each pair once."""
-    signature, sets = [], []
-    for s, p, t in zip(group.signatures, group.places, group.sets, strict=True):
-        wide = np.zeros((len(s) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(s, np.uint8).reshape(-1, 5)
-        signature.append(wide.view("<u8").ravel())
-        sets.append(np.frombuffer(t, "<i8")[np.frombuffer(p, "<u2")])
-    signature, sets = np.concatenate(signature), np.concatenate(sets)
-    order = np.argsort(signature)
-    signature, sets = signature[order], sets[order]
-    again = signature[1:] == signature[:-1]
-    shared = np.concatenate([[False], again]) | np.concatenate([again, [False]])
-    signature, sets = signature[shared], sets[shared]
-    order = np.lexsort((sets, signature))
-    signature, sets = signature[order], sets[order]
-    fresh = np.concatenate([[True], (signature[1:] != signature[:-1]) | (sets[1:] != sets[:-1])]) if len(sets) else np.zeros(0, bool)
-    signature, sets = signature[fresh], sets[fresh]
-    if not len(sets):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    begin = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-    head = np.repeat(sets[begin], np.diff(np.concatenate([begin, [len(sets)]])))
-    pairs = np.unique(np.stack([head, sets], 1)[head != sets], axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                texts = rows.column("text").to_pylist()
+                some = [(s, t) for s, t in zip(shingle_sets(texts), texts, strict=True) if len(s)]
+                ids, nth = np.unique(set_ids([s for s, _ in some], [t for _, t in some])[0], return_index=True)
+                for i, at in zip(ids, nth.tolist(), strict=True):
+                    own = signatures(some[at][0], bands)
+                    parts.append((own, np.full(len(own), i)))
+                    held += len(own)
+                    if held >= PACKED:
+                        yield packed(parts)
+                        parts, held = [], 0
+        if parts:
+            yield packed(parts)
+
+    return text_rows(docs).mapInArrow(run, "key int, signatures binary, sets binary")
+
+
+class _Leaders:
+    """The leaders of the buckets of one key: per signature the first set that is met."""
+
+    def __init__(self) -> None:
+        self.signatures, self.sets = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def meet(self, signatures: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """Pairs (leader, set), each once, for further members of buckets."""
+        order = np.lexsort((sets, signatures))
+        signatures, sets = signatures[order], sets[order]
+        begin = np.flatnonzero(np.diff(signatures, prepend=~signatures[:1]))
+        own, leader = signatures[begin], sets[begin].copy()
+        at = np.searchsorted(self.signatures, own)
+        known = at < len(self.signatures)
+        known[known] = self.signatures[at[known]] == own[known]
+        leader[known] = self.sets[at[known]]
+        head = np.repeat(leader, np.diff(begin, append=len(sets)))
+        other = head != sets
+        pairs = np.stack([head[other], sets[other]], 1)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        self.signatures, self.sets = np.insert(self.signatures, at[~known], own[~known]), np.insert(self.sets, at[~known], leader[~known])
+        return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
+
+
+def _stars(packed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the first ids of leaders and of other sets of their buckets; memory is bounded by the signatures of one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, leaders, signatures, sets, held = None, _Leaders(), [], [], 0
+
+        def met() -> pa.RecordBatch:
+            raw = b"".join(signatures)
+            wide = np.zeros((len(raw) // 5, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+            pairs = leaders.meet(wide.view("<u8").ravel(), np.frombuffer(b"".join(sets), "<i8"))
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for k, s, i in zip(*(batch.column(c) for c in ("key", "signatures", "sets")), strict=True):
+                if key is not None and (k.as_py() != key or held >= AT_ONCE):
+                    yield met()
+                    signatures, sets, held = [], [], 0
+                    if k.as_py() != key:
+                        leaders = _Leaders()
+                key = k.as_py()
+                signatures.append(s.as_py()), sets.append(i.as_py())
+                held += len(sets[-1]) // 8
+        if signatures:
+            yield met()
+
+    # The order is total, so that a task that runs again chooses the same leaders.
+    ordered = packed.repartition("key").sortWithinPartitions("key", "signatures", "sets")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, n, shingles (binary, 8 bytes each) for the documents whose ids are in `wanted` (doc_id)."""
+    """set, set_2, n, shingles (binary, 8 bytes each) for the documents whose ids are in `wanted` (doc_id)."""
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = [s for s in shingle_sets(rows.column("text").to_pylist()) if len(s)]
-        if not sets:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(set_ids(sets)), pa.array([len(s) for s in sets], pa.int64()), bytes_array([s.astype("<u8").tobytes() for s in sets])], ["set", "n", "shingles"])
+        texts = rows.column("text").to_pylist()
+        some = [(s, t) for s, t in zip(shingle_sets(texts), texts, strict=True) if len(s)]
+        sets = [s for s, _ in some]
+        one, two = set_ids(sets, [t for _, t in some])
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([len(s) for s in sets], pa.int64()), bytes_array([s.astype("<u8").tobytes() for s in sets])], ["set", "set_2", "n", "shingles"])
 
-    wanted = wanted.select("doc_id").distinct()
+    wanted = wanted.select(F.col("doc_id").alias("wanted")).distinct()
     few = wanted.count() <= MOST_BROADCAST
-    chosen = text_rows(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    return map_slices(chosen, run, "set long, n long, shingles binary", most=SLICE)
+    chosen = text_rows(docs).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    return map_slices(chosen, run, "set long, set_2 long, n long, shingles binary", most=SLICE)
 
 
-def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches do not rule out."""
-    side = lambda x: sets.select(F.col("set").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a").drop("s_a"), "a").join(side("b").drop("s_b"), "b").filter(f"least(n_a, n_b) * {DENOMINATOR} >= greatest(n_a, n_b) * {NUMERATOR}").select("a", "b")
-    both = both.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+def _sieved(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of first ids as pairs of sets, with likely: whether sizes and sketches do not rule the pair out.
+
+    A member's sketch goes to its leader once a star. Different sets with equal first ids are pairs as well.
+    """
+    side = lambda x, *more: sets.select(F.col("set").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "sketch", *more)])
+    both = stars.join(side("b"), "b").drop("b").join(side("a"), "a").drop("a")
+    alike = sets.groupBy("set").agg(F.min("cls").alias("cls_a"), F.count("*").alias("m")).filter("m > 1").select("set", "cls_a")
+    alike = alike.join(sets.select("set", "cls"), "set").filter("cls_a <> cls").select(F.col("cls_a").alias("a"), F.col("cls").alias("b"), F.lit(True).alias("likely"))
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s_a, s_b = batch.column("s_a"), batch.column("s_b")
+            s_a, s_b = batch.column("sketch_a"), batch.column("sketch_b")
             good = [may_be_similar(np.frombuffer(s_a[i].as_buffer(), "<u8"), n_a, np.frombuffer(s_b[i].as_buffer(), "<u8"), n_b) for i, (n_a, n_b) in enumerate(zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("cls_a"), batch.column("cls_b"), pa.array(good, pa.bool_())], ["a", "b", "likely"])
 
-    return both.mapInArrow(sieve, "a long, b long")
+    return both.mapInArrow(sieve, "a long, b long, likely boolean").unionByName(alike)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, as (u, v): exact, on all shingles."""
-    ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    shingles = materialise(_shingles_of(docs, ends.join(sets.select("set", "least"), "set").select(F.col("least").alias("doc_id"))), "shingles", "lz4")
-    left = shingles.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    right = shingles.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    ends = materialise(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(sets.select("cls", "set", "set_2", "least"), "cls"), "ends")
+    found = _shingles_of(docs, ends.select(F.col("least").alias("doc_id")))
+    shingles = materialise(found.join(ends, ["set", "set_2"]).select("cls", "n", "shingles"), "shingles", "lz4")
+    if shingles.count() > ends.count():  # rows that repeat an id and its text
+        shingles = materialise(shingles.groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "shingles", "lz4")
+    left = shingles.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
+    right = shingles.select(F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,11 +385,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _rest_of_stars(stars: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components within a star that sizes and sketches let through; large stars are cut into blocks."""
-    placed = stars.select(F.col("a").alias("star"), F.col("b").alias("set")).join(components.select(F.col("node").alias("set"), "component"), "set", "left").select("star", "set", F.coalesce("component", "set").alias("component"))
+    placed = stars.select(F.col("a").alias("star"), F.col("b").alias("set")).distinct().join(components.select(F.col("node").alias("set"), "component"), "set", "left").select("star", "set", F.coalesce("component", "set").alias("component"))
     mixed = placed.groupBy("star").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("star", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     mixed = materialise(mixed, "mixed")
     total = mixed.agg(F.coalesce(F.sum(F.col("m") * F.col("blocks")), F.lit(0))).first()[0]
-    rows = placed.join(mixed.drop("m"), "star").join(sets.select("set", "n", "sketch"), "set")
+    rows = placed.join(mixed.drop("m"), "star").join(sets.select(F.col("cls").alias("set"), "n", "sketch"), "set")
     spread = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "component", "n", "sketch")
     tasks = max(8 * int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)  # blocks are many and mostly small: some share a group
@@ -358,21 +433,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     those of white space only have no shingles and stand alone; repeated rows are one set, as are texts with equal shingles; a null
     doc_id takes part and is never the smallest unless alone (then null); extra columns are ignored; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
     own = materialise(document_sets(docs), "sets")
-    sets = own.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    sets = materialise(sets, "classes")
+    sets = own.filter("set is not null").groupBy("set", "set_2").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sets = materialise(sets.withColumn("cls", F.monotonically_increasing_id()), "classes")
     shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    keys = _even_keys(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shingles * 5 // (24 << 20)))
-    found = _signature_rows(docs, keys).repartition(len(keys), "key").groupBy("key").applyInPandas(_stars, "a long, b long")
-    stars = materialise(found.distinct(), "stars")
-    links = materialise(_verified(docs, materialise(_likely(stars, sets), "likely"), sets), "links")
+    n_keys = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles * 13 // KEY_BYTES)
+    stars = materialise(_sieved(_stars(_signature_rows(docs, n_keys)), sets), "stars")
+    links = materialise(_verified(docs, stars.filter("likely").select("a", "b"), sets), "links")
     components = materialise(connected_components(links), "components")
     rest = materialise(_rest_of_stars(stars, components, sets), "rest")
     if not rest.isEmpty():
         more = _verified(docs, rest, sets)
         components = materialise(connected_components(links.unionByName(more)), "components")
-    placed = sets.join(components.select(F.col("node").alias("set"), "component"), "set", "left").select("set", "least", F.coalesce("component", "set").alias("component"))
+    placed = sets.join(components.select(F.col("node").alias("cls"), "component"), "cls", "left").select("set", "set_2", "least", F.coalesce("component", "cls").alias("component"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = materialise(placed.join(least, "component").select("set", "component_id"), "classes")
-    return own.drop("sketch").join(known, "set", "left").select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = materialise(placed.join(least, "component").select("set", "set_2", "component_id"), "classes")
+    return own.drop("sketch").join(known, ["set", "set_2"], "left").select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

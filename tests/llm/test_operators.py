@@ -514,6 +514,8 @@ def near_corpus(seed):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_near_duplicates(spark, seed, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "CHUNK", 1 << 10 if seed == 2 else ngram_join.CHUNK)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 50 if seed == 3 else ngram_join.AT_ONCE)
     texts = near_corpus(seed)
     sets = [shingles(t) for t in texts]
     links = {i: set() for i in range(len(texts))}
@@ -527,10 +529,12 @@ def test_near_duplicates(spark, seed, monkeypatch):
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(texts))] == [(len(sets[i]), root[i]) for i in range(len(texts))]
 
 
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("rounds", [1, 8])
+def test_similar_sets_share_a_signature(rounds, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     rnd, bands = random.Random(8), ngram_join.Bands()
-    for _ in range(400):
-        n = rnd.choice([1, 2, 3, 4, 7, 12, 40, 150, 600])
+    for _ in range(1500):
+        n = rnd.choice([1, 2, 3, 4, 5, 6, 7, 8, 12, 20, 40, 150, 600])
         a = [rnd.getrandbits(64) for _ in range(n)]
         lost = rnd.randint(0, n // 4)
         b = a[lost:]
@@ -544,6 +548,60 @@ def test_similar_sets_share_a_signature():
             assert ngram_join.may_be_similar(words(x), len(x), words(y), len(y))
 
 
+def test_chunks_and_long_words_change_no_shingle(monkeypatch):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice(["a", "B", "é", " ", "\n", "\t "]) for _ in range(n)) for n in (0, 1, 5, 300, 4000)] + ["x" * 5000, "y " * 3000, " "]
+    whole = ngram_join.shingle_sets(texts)
+    monkeypatch.setattr(ngram_join, "CHUNK", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, ngram_join.shingle_sets(texts), strict=True))
+    assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
+
+
+def test_leaders_do_not_depend_on_how_a_bucket_is_cut():
+    rnd = np.random.default_rng(1)
+    signature, sets = rnd.integers(0, 40, 3000).astype(np.uint64), rnd.integers(0, 200, 3000)
+    leaders, pairs = ngram_join._Leaders(), set()
+    for begin in range(0, 3000, 170):
+        pairs |= set(map(tuple, leaders.meet(signature[begin : begin + 170], sets[begin : begin + 170]).tolist()))
+    assert len(leaders.signatures) == 40
+    for s, leader in zip(leaders.signatures, leaders.sets, strict=True):
+        assert all((leader, x) in pairs for x in set(sets[signature == s].tolist()) - {leader})
+
+
+def test_a_star_of_thousands_of_different_sets(spark):
+    """All texts share most words; each differs from the next ones in a few, and every tenth in many."""
+    rnd = random.Random(13)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(2500):
+        words = list(base)
+        for _ in range(3 if i % 10 else 30):
+            words[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    where = {}
+    for i, s in enumerate(sets):
+        for w in s:
+            where.setdefault(w, []).append(i)
+    links = {i: set() for i in range(len(texts))}
+    for i, s in enumerate(sets):
+        common = {}
+        for w in s:
+            for j in where[w]:
+                common[j] = common.get(j, 0) + 1
+        links[i] = {j for j, n in common.items() if j != i and 4 * n >= 3 * (len(s) + len(sets[j]) - n)}
+    root = components(links)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == root
+
+
+def test_near_copies_without_ids_meet(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join(["other", *words[1:]])), (7, " ".join([*words[:-1], "else"])), (None, "alone")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.n_shingles, r.component_id or -1) for r in got) == [(1, -1), (56, 7), (56, 7), (56, 7)]
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = ngram_join.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
