@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,29 +17,59 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def match_spans(text: Column, pattern: str, only_if: Column | None = None) -> Column:
-    """All matches of a Java pattern (never empty ones) as an array of (text, start_char, end_char).
+#: Running totals are added up in blocks of so many numbers, so that work grows in proportion to an array's length.
+_BLOCK = 64
+
+
+def running_totals(numbers: Column) -> Column:
+    """For each number of an array the sum of those up to it."""
+
+    def from_base(block: Column, base: Column) -> Column:
+        sums = F.aggregate(block, F.array(base), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        return F.slice(sums, 2, F.size(block))
+
+    def placed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n))
+        bases = F.aggregate(totals, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+        return let(bases, lambda own: F.flatten(F.transform(blocks, lambda b, i: from_base(b, F.get(own, i)))))
+
+    def cut(own: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(_BLOCK))
+        return let(F.transform(firsts, lambda i: F.slice(own, i, _BLOCK)), placed)
+
+    return let(numbers, cut)
 
-    One pass puts a mark before and after each match (a code point that Unicode keeps free; should a text hold it, it
-    counts as a space); cut at the marks, matches and what stands between them alternate, and a fold adds up their lengths.
-    `only_if`: a cheap test that a text with matches passes.
+
+def match_many(text: Column, patterns: Sequence[tuple[str, Column | None]]) -> Column:
+    """For each (Java pattern, cheap test that a text with matches passes, or None) the array of all its matches (never empty ones)
+    as (text, start_char, end_char).
+
+    One pass a pattern puts a mark before and after each match (a code point that Unicode keeps free; should a text hold it, it
+    is matched as a space and given back as it is); cut at the marks, matches and what stands between them alternate, and
+    running totals of their lengths give the places.
     """
     clean = F.when(text.contains(_MARK), F.translate(text, _MARK, " ")).otherwise(text)
-    marked = F.regexp_replace(clean, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}"))
-    test = text.rlike(pattern) if only_if is None else only_if
-    return F.when(test, place_matches(F.split(marked, _MARK, -1))).otherwise(F.array().cast(SPAN))
+    own = lambda s: F.struct(text.substr(s["start_char"] + 1, s["end_char"] - s["start_char"]).alias("text"), s["start_char"].alias("start_char"), s["end_char"].alias("end_char"))
+    marked = F.array(*[F.when(text.rlike(p) if test is None else test, F.regexp_replace(clean, F.lit(p), F.lit(f"{_MARK}$0{_MARK}"))) for p, test in patterns])
+    found = F.transform(marked, lambda m: place_matches(F.split(m, _MARK, -1)))
+    return F.when(text.contains(_MARK), F.transform(found, lambda spans: F.transform(spans, own))).otherwise(found)
+
+
+def match_spans(text: Column, pattern: str, only_if: Column | None = None) -> Column:
+    """The matches of one pattern."""
+    return F.get(match_many(text, [(pattern, only_if)]), F.lit(0))
 
 
 def place_matches(parts: Column) -> Column:
     """Spans from an array of texts of which every second one is a match."""
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast(SPAN).alias("spans"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(part.alias("text"), acc["at"].alias("start_char"), end.alias("end_char"))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(own: Column) -> Column:
+        matches = F.filter(own, lambda p, i: i % 2 == 1)
+        gaps = F.filter(own, lambda p, i: (i % 2 == 0) & (i + 1 < F.size(own)))
+        ends = running_totals(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m)))
+        return F.zip_with(matches, ends, lambda m, end: F.struct(m.alias("text"), (end - F.length(m)).alias("start_char"), end.alias("end_char")))
 
-    return F.aggregate(parts, state, step, lambda acc: acc["spans"])
+    return let(parts, lambda own: F.when(F.size(own) > 1, placed(own)).otherwise(F.array().cast(SPAN)))
 
 
 def find_spans(docs: DataFrame, pattern: str, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",), only_if: Column | None = None) -> DataFrame:
@@ -84,6 +114,11 @@ def normalise_name(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(fold(name), r"(?U)\s+", " ")))
 
 
+def phrase(text: Column) -> Column:
+    """Folded, lower case, punctuation as spaces, spaces collapsed."""
+    return F.lower(F.trim(F.regexp_replace(fold(text), r"(?U)[^\w]+", " ")))
+
+
 def normalise_token(token: Column) -> Column:
     """Folded, without punctuation at the ends, lower case."""
     return F.lower(F.regexp_replace(fold(token), r"(?U)^[^\w]+|[^\w]+$", ""))
@@ -98,11 +133,13 @@ def digits_only(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def drop_repeated(spans: DataFrame, order: str = "ord", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Of spans with equal lower-cased text and offsets the first emitted one (the type is not part of the key)."""
-    rest = [F.col(c) for c in spans.columns if c not in (*keys, "start_char", "end_char")]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("first")
-    return spans.groupBy(*keys, F.lower("text").alias("_low"), "start_char", "end_char").agg(first).select(*keys, "start_char", "end_char", "first.*").select(*spans.columns)
+def first_of_repeated(spans: Column) -> Column:
+    """Of an array of spans (with ord) those that are first by ord among spans of equal lower-cased text and offsets, whatever their
+    type. Sorted, equals stand side by side, so nothing leaves the row."""
+    key = lambda s: F.struct(s["start_char"].alias("a"), s["end_char"].alias("b"), F.lower(s["text"]).alias("low"))
+    keyed = F.array_sort(F.transform(spans, lambda s: F.struct(key(s).alias("k"), s["ord"].alias("ord"), s.alias("s"))))
+    fresh = lambda own: F.filter(own, lambda x, i: (i == 0) | (x["k"] != F.get(own, i - 1)["k"]))
+    return F.transform(let(keyed, fresh), lambda x: x["s"])
 
 
 def particle_pattern(particles: tuple[str, ...], gap: str = r"\s+") -> str:

@@ -5,48 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import SPAN, context_after, let, normalise_term
+from inkveil.functions.text import SPAN, context_after, let, normalise_term, running_totals
 
 
 def literal_spans(text: Column, term: Column) -> Column:
     """Non-overlapping places of a term (any case) in a text, by cutting the lower-cased text at the term."""
     low = F.lower(text)
-    gaps = F.call_function("split", low, F.concat(F.lit(r"\Q"), term, F.lit(r"\E")), F.lit(-1))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(acc: Column, gap: Column) -> Column:
-        begin = acc["at"] + F.length(gap)
-        span = F.struct(text.substr(begin + 1, F.length(term)).alias("text"), begin.alias("start_char"), (begin + F.length(term)).alias("end_char"))
-        return F.struct((begin + F.length(term)).alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+    def placed(gaps: Column) -> Column:
+        ends = running_totals(F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda g: F.length(g) + F.length(term)))  # no place follows the last gap
+        return F.transform(ends, lambda end: F.struct(text.substr(end - F.length(term) + 1, F.length(term)).alias("text"), (end - F.length(term)).alias("start_char"), end.alias("end_char")))
 
-    found = F.aggregate(gaps, state, step, lambda acc: F.slice(acc["spans"], 1, F.size(acc["spans"]) - 1))  # no place follows the last gap
-    return F.when(low.contains(term), found).otherwise(F.array().cast(SPAN))
+    gaps = F.call_function("split", low, F.concat(F.lit(r"\Q"), term, F.lit(r"\E")), F.lit(-1))
+    return F.when(low.contains(term), let(gaps, placed)).otherwise(F.array().cast(SPAN))
 
 
-def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, ord, term, text, start_char, end_char of each document's own terms (doc_id, ord, term); order of terms is kept in ord."""
-    own = terms.select("doc_id", "ord", normalise_term(F.col("term")).alias("term")).filter("term <> ''")
-    return docs.join(own, "doc_id").select("doc_id", "ord", "term", F.inline(literal_spans(F.col("text"), F.col("term"))))
+def term_matches(docs: DataFrame, terms: DataFrame, ground: str = "5.1.2e") -> DataFrame:
+    """doc_id, ord, term, woo_article, text, start_char, end_char of each document's own terms (doc_id, ord, term and, if given,
+    match_mode and woo_article). Modes other than 'exact' are skipped; a term without a ground has the default one."""
+    own = terms if "match_mode" not in terms.columns else terms.filter("coalesce(match_mode, 'exact') = 'exact'")
+    article = F.coalesce(F.col("woo_article"), F.lit(ground)) if "woo_article" in terms.columns else F.lit(ground)
+    own = own.select("doc_id", "ord", normalise_term(F.col("term")).alias("term"), article.alias("woo_article")).filter("term <> ''")
+    return docs.join(own, "doc_id").select("doc_id", "ord", "term", "woo_article", F.inline(literal_spans(F.col("text"), F.col("term"))))
 
 
-def merge_terms(detections: DataFrame, matches: DataFrame, ground: str = "5.1.2e") -> DataFrame:
+def merge_terms(detections: DataFrame, matches: DataFrame) -> DataFrame:
     """Each match in order takes over the first detection that it overlaps (earlier matches included), else it is a new detection.
 
-    The fold is order-dependent, so it runs within the row of a document over its arrays. Returns doc_id, text, start_char,
+    Detections stand in their own order (pos, or by offset where there is no such column). The term's ground wins. The fold is
+    order-dependent, so it runs within the row of a document over its arrays. Returns doc_id, pos, text, start_char,
     end_char, review_status, source, confidence, woo_article.
     """
     kind = "array<struct<start_char:int,end_char:int,text:string,review_status:string,source:string,confidence:double,woo_article:string>>"
-    base = detections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "text", "review_status", "source", "confidence", "woo_article"))).cast(kind).alias("base"))
-    hits = matches.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start_char", "end_char", "text"))).alias("hits"))
-    both = base.join(hits, "doc_id", "full").select("doc_id", F.coalesce("base", F.array().cast(kind)).alias("base"), F.coalesce("hits", F.array().cast("array<struct<ord:int,start_char:int,end_char:int,text:string>>")).alias("hits"))
+    fields = ("start_char", "end_char", "text", "review_status", "source", "confidence", "woo_article")
+    place = F.col("pos") if "pos" in detections.columns else F.struct("start_char", "end_char")
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("pos"), F.struct(*fields).alias("d"))))
+    base = detections.groupBy("doc_id").agg(F.transform(listed, lambda x: x["d"]).cast(kind).alias("base"))
+    hits = matches.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start_char", "end_char", "text", "woo_article"))).alias("hits"))
+    none = F.array().cast("array<struct<ord:int,start_char:int,end_char:int,text:string,woo_article:string>>")
+    both = base.join(hits, "doc_id", "full").select("doc_id", F.coalesce("base", F.array().cast(kind)).alias("base"), F.coalesce("hits", none).alias("hits"))
 
     def step(acc: Column, h: Column) -> Column:
         touches = lambda a: (a["start_char"] < h["end_char"]) & (h["start_char"] < a["end_char"])
         at = F.array_position(F.transform(acc, touches), True)
-        row = lambda a, fresh: F.struct(a["start_char"].alias("start_char"), a["end_char"].alias("end_char"), a["text"].alias("text"), F.lit("accepted").alias("review_status"), F.lit("custom_wordlist").alias("source"), (F.lit(0.99) if fresh else a["confidence"]).alias("confidence"), F.lit(ground).alias("woo_article"))
+        row = lambda a, fresh: F.struct(a["start_char"].alias("start_char"), a["end_char"].alias("end_char"), a["text"].alias("text"), F.lit("accepted").alias("review_status"), F.lit("custom_wordlist").alias("source"), (F.lit(0.99) if fresh else a["confidence"]).alias("confidence"), h["woo_article"].alias("woo_article"))
         return let(at, lambda n: F.when(n > 0, F.transform(acc, lambda a, i: F.when(i + 1 == n, row(a, False)).otherwise(a))).otherwise(F.array_append(acc, row(h, True))))
 
-    return both.select("doc_id", F.inline(F.aggregate("hits", F.col("base"), step)))
+    return both.select("doc_id", F.posexplode(F.aggregate("hits", F.col("base"), step)).alias("pos", "d")).select("doc_id", "pos", "d.*")
 
 
 def search(pages: DataFrame, needle: str, context: int = 24) -> DataFrame:

@@ -76,3 +76,46 @@ def merge_line_boxes(boxes: DataFrame) -> DataFrame:
     fresh = F.coalesce((F.col("y0") - F.lag("y0").over(order) > LINE).cast("int"), F.lit(1))
     island = boxes.withColumn("fresh", fresh).withColumn("line", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return island.groupBy("group_id", "page", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).drop("line")
+
+
+def _whole(needle: Column) -> Column:
+    """A pattern for a needle (any case) that no letter or digit touches."""
+    return F.concat(F.lit(r"(?iU)(?<![\p{L}\p{N}])\Q"), needle, F.lit(r"\E(?![\p{L}\p{N}])"))
+
+
+def occurrences(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """Spans (doc_id, text, start_char, end_char) with nth (from 0), which of its text's whole occurrences in the document each is, and n_all,
+    how many there are. Null offsets count as the first."""
+    joined = spans.join(docs.select("doc_id", F.col("text").alias("full_text")), "doc_id")
+    count = lambda t: F.size(F.call_function("split", t, _whole(F.col("text")), F.lit(-1))) - 1
+    # What follows the span's beginning decides nothing about earlier ones, but an occurrence must not be cut: one character more stands for the edge.
+    before = F.concat(F.left("full_text", F.coalesce("start_char", F.lit(0))), F.lit(" "))
+    return joined.withColumn("nth", count(before)).withColumn("n_all", count(F.col("full_text"))).drop("full_text")
+
+
+def nth_occurrence(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, needle, nth, start_char, end_char of the nth (from 0) whole occurrence of a needle, or of the first where there are not so many; not
+    found: no row. wanted: (doc_id, needle, nth)."""
+    joined = wanted.join(docs.select("doc_id", "text"), "doc_id").withColumn("parts", F.call_function("split", F.col("text"), _whole(F.col("needle")), F.lit(-1))).filter("size(parts) > 1")
+    n = F.when(F.col("nth") < F.size("parts") - 1, F.col("nth")).otherwise(F.lit(0))
+    gaps = F.aggregate(F.slice("parts", 1, n + 1), F.lit(0), lambda acc, p: acc + F.length(p))
+    start = gaps + n * F.length("needle")
+    return joined.select("doc_id", "needle", "nth", start.cast("int").alias("start_char"), (start + F.length("needle")).cast("int").alias("end_char"))
+
+
+def _box(page: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return F.struct(page.alias("page"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def moved(box: Column, dx: float, dy: float) -> Column:
+    """A box nudged by (dx, dy)."""
+    return _box(box["page"], box["x0"] + dx, box["y0"] + dy, box["x1"] + dx, box["y1"] + dy)
+
+
+def resized(box: Column, handle: str, x: Column, y: Column, least: float = 2.0) -> Column:
+    """A box whose handle (of n, s, w, e) was dragged to (x, y); it stays at least `least` points wide and high."""
+    x0 = F.least(x, box["x1"] - least) if "w" in handle else box["x0"]
+    x1 = F.greatest(x, box["x0"] + least) if "e" in handle else box["x1"]
+    y0 = F.least(y, box["y1"] - least) if "n" in handle else box["y0"]
+    y1 = F.greatest(y, box["y0"] + least) if "s" in handle else box["y1"]
+    return _box(box["page"], x0, y0, x1, y1)

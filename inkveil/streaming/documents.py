@@ -12,9 +12,8 @@ from inkveil.operators import tier1
 
 
 def detect_stream(docs: DataFrame, as_of: str | None = None) -> DataFrame:
-    """Tier-1 rows of a stream of (doc_id, text): nothing but expressions on each row, so it runs under readStream unchanged.
-    Repeated hits stay; `drop_repeated` needs a batch."""
-    return tier1.detect(docs, as_of=as_of, repeated=True)
+    """Tier-1 rows of a stream of (doc_id, text): nothing but expressions on each row, so it runs under readStream unchanged."""
+    return tier1.detect(docs, as_of=as_of)
 
 
 def decide_by_batch(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
