@@ -82,13 +82,34 @@ def first_in(window: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract(window, pattern, 0), F.length(F.element_at(F.split(window, pattern, 2), 1))
 
 
-def context_before(text: Column, start: Column, width: int) -> Column:
+#: Slices of up to so many characters are cut from overlapping blocks of a text, so that one far behind costs no more than one in front.
+_REACH = 2048
+
+
+class Blocks:
+    """A text cut into overlapping blocks: block i holds the characters from i * _REACH on, twice _REACH of them."""
+
+    def __init__(self, column: Column):
+        self.column = column
+
+    def slice(self, start: Column, n: Column) -> Column:
+        """n (at most _REACH) characters from start on."""
+        return F.get(self.column, (start / _REACH).cast("int")).substr((start % _REACH).cast("int") + 1, n.cast("int"))
+
+
+def with_blocks(text: Column, body: Callable[[Blocks], Column]) -> Column:
+    """body with the text's blocks, which are cut once."""
+    last = (F.coalesce(F.length(text), F.lit(0)) / _REACH).cast("int")
+    return let(F.transform(F.sequence(F.lit(0), last), lambda i: text.substr(i * _REACH + 1, F.lit(2 * _REACH))), lambda own: body(Blocks(own)))
+
+
+def context_before(text: Column | Blocks, start: Column, width: int) -> Column:
     begin = F.greatest(start - width, F.lit(0))
-    return text.substr(begin + 1, start - begin)
+    return text.slice(begin, start - begin) if isinstance(text, Blocks) else text.substr(begin + 1, start - begin)
 
 
-def context_after(text: Column, end: Column, width: int) -> Column:
-    return text.substr(end + 1, F.lit(width))
+def context_after(text: Column | Blocks, end: Column, width: int) -> Column:
+    return text.slice(end, F.lit(width)) if isinstance(text, Blocks) else text.substr(end + 1, F.lit(width))
 
 
 def _folding() -> tuple[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.text import SPAN, context_after, let, normalise_term, running_totals
+from inkveil.functions.text import SPAN, Blocks, let, normalise_term, running_totals, with_blocks
 
 
 def literal_spans(text: Column, term: Column) -> Column:
@@ -14,7 +14,8 @@ def literal_spans(text: Column, term: Column) -> Column:
 
     def placed(gaps: Column) -> Column:
         ends = running_totals(F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda g: F.length(g) + F.length(term)))  # no place follows the last gap
-        return F.transform(ends, lambda end: F.struct(text.substr(end - F.length(term) + 1, F.length(term)).alias("text"), (end - F.length(term)).alias("start_char"), end.alias("end_char")))
+        span = lambda end, own: F.struct(own.slice(end - F.length(term), F.length(term)).alias("text"), (end - F.length(term)).alias("start_char"), end.alias("end_char"))
+        return with_blocks(text, lambda own: F.transform(ends, lambda end: span(end, own)))
 
     gaps = F.call_function("split", low, F.concat(F.lit(r"\Q"), term, F.lit(r"\E")), F.lit(-1))
     return F.when(low.contains(term), let(gaps, placed)).otherwise(F.array().cast(SPAN))
@@ -56,8 +57,14 @@ def merge_terms(detections: DataFrame, matches: DataFrame) -> DataFrame:
 
 def search(pages: DataFrame, needle: str, context: int = 24) -> DataFrame:
     """doc_id, page, text, start_char, end_char, snippet of a needle of two characters or more, in any case and without overlaps."""
-    term = normalise_term(F.lit(needle))
-    spans = pages.filter(F.length(term) >= 2).select("doc_id", "page", F.col("text").alias("full_text"), F.inline(literal_spans(F.col("text"), term)))
-    text, begin = F.col("full_text"), F.greatest(F.col("start_char") - context, F.lit(0))
-    around = F.concat(F.when(begin > 0, "…").otherwise(""), text.substr(begin + 1, F.col("start_char") - begin), F.col("text"), context_after(text, F.col("end_char"), context), F.when(F.length(text) > F.col("end_char") + context, "…").otherwise(""))
-    return spans.select("doc_id", "page", "text", "start_char", "end_char", F.trim(F.regexp_replace(around, r"(?U)\s+", " ")).alias("snippet"))
+    term, text = normalise_term(F.lit(needle)), F.col("text")
+
+    def shown(own: Blocks, length: Column) -> Column:
+        def row(s: Column) -> Column:
+            begin = F.greatest(s["start_char"] - context, F.lit(0))
+            around = F.concat(F.when(begin > 0, "…").otherwise(""), own.slice(begin, s["end_char"] - begin + context), F.when(length > s["end_char"] + context, "…").otherwise(""))
+            return s.withField("snippet", F.trim(F.regexp_replace(around, r"(?U)\s+", " ")))
+
+        return F.transform(literal_spans(text, term), row)
+
+    return pages.filter(F.length(term) >= 2).select("doc_id", "page", F.inline(with_blocks(text, lambda own: let(F.length(text), lambda n: shown(own, n)))))

@@ -78,11 +78,15 @@ def csv_lines(detections: DataFrame) -> DataFrame:
 
 
 def json_documents(detections: DataFrame) -> DataFrame:
-    """doc_id, json: counts by status and the rows of a document."""
-    row = F.struct("start_char", "end_char", "entity_type", "review_status")
-    by = detections.groupBy("doc_id", "review_status").agg(F.count("*").alias("n"), F.collect_list(row).alias("rows"))
-    whole = by.groupBy("doc_id").agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("review_status", "n")))).alias("by_status"), F.array_sort(F.flatten(F.collect_list("rows"))).alias("detections"))
-    return whole.select("doc_id", F.to_json(F.struct("total", "by_status", "detections")).alias("json"))
+    """doc_id, json: counts by tier and status, and the rows of a document."""
+    row = F.struct("start_char", "end_char", "entity_type", "tier", "review_status")
+    held = detections.groupBy("doc_id").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(row)).alias("detections"))
+
+    def by(field: str) -> Column:
+        values = F.array_sort(F.array_distinct(F.transform("detections", lambda d: d[field])))
+        return F.map_from_entries(F.transform(values, lambda v: F.struct(v, F.size(F.filter("detections", lambda d: d[field] == v))))).alias(f"by_{field.split('_')[-1]}")
+
+    return held.select("doc_id", F.to_json(F.struct("total", by("tier"), by("review_status"), "detections")).alias("json"))
 
 
 def xml_text(value: Column) -> Column:

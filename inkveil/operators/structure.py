@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
@@ -93,6 +94,11 @@ def detect(docs: DataFrame, kinds: tuple[str, ...] = ("email_header", "signature
     return out.select("doc_id", "kind", "start_char", "end_char", "confidence", "evidence")
 
 
+def ordered(structures: DataFrame) -> DataFrame:
+    """Structures with place (from 1) in their document: by start, end and kind."""
+    return structures.withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("start_char", "end_char", "kind")).cast("long"))
+
+
 def environmental(docs: DataFrame) -> DataFrame:
     """doc_id, environmental: whether a word of environmental information stands in the text."""
     return docs.select("doc_id", F.col("text").rlike(rf"(?iU)\b(?:{'|'.join(V.ENVIRONMENT)})\b").alias("environmental"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
 from inkveil.functions.checks import eleven_test, luhn, mod_97
-from inkveil.functions.text import context_after, context_before, digits_only, first_in, first_of_repeated, let, match_many
+from inkveil.functions.text import Blocks, context_after, context_before, digits_only, first_in, first_of_repeated, let, match_many, with_blocks
 
 #: Emission order of the types; the patterns of a type follow one another.
 ORDER = ("bsn", "iban", "telefoon", "email", "postcode", "kenteken", "url", "kvk", "btw", "geboortedatum", "creditcard")
@@ -31,7 +31,7 @@ def _bare_url(s: Column) -> Column:
     return F.struct(bare.alias("text"), s["start_char"].alias("start_char"), (s["start_char"] + F.length(bare)).alias("end_char"))
 
 
-def _near_anchor(text: Column, anchors: Column, pattern: str, near: int, reach: int, confidence: float) -> Column:
+def _near_anchor(text: Blocks, anchors: Column, pattern: str, near: int, reach: int, confidence: float) -> Column:
     """For each anchor the first match in the slice of near + reach characters after it, if it starts within `near`."""
 
     def first(a: Column) -> Column:
@@ -42,12 +42,13 @@ def _near_anchor(text: Column, anchors: Column, pattern: str, near: int, reach:
     return F.filter(F.transform(anchors, first), lambda s: s.isNotNull())
 
 
-def _kvk(text: Column, anchors: Column, numbers: Column) -> Column:
+def _kvk(text: Blocks, anchors: Column, numbers: Column) -> Column:
     """Numbers close behind an anchor, then others that are cells of a table after one."""
 
     def in_table(n: Column, a: Column) -> Column:
-        between = text.substr(a["end_char"] + 1, n["start_char"] - a["end_char"])
-        return (n["start_char"] - a["end_char"]).between(0, V.KVK_FAR) & between.rlike("[A-Za-z]{2,}") & ~between.rlike(r"(?U)\.\s+[A-Z]")
+        gap = n["start_char"] - a["end_char"]
+        between = text.slice(a["end_char"], F.greatest(F.least(gap, F.lit(V.KVK_FAR)), F.lit(0)))
+        return gap.between(0, V.KVK_FAR) & between.rlike("[A-Za-z]{2,}") & ~between.rlike(r"(?U)\.\s+[A-Z]")
 
     def passes(close: Column) -> Column:
         taken = lambda n: F.exists(close, lambda c: c["start_char"] == n["start_char"])
@@ -66,7 +67,7 @@ def birth_date(text: Column) -> Column:
     return F.try_make_date(part(3).try_cast("int"), month, part(1).try_cast("int")) if hasattr(F, "try_make_date") else F.try_to_date(F.concat_ws("-", part(3), month.cast("string"), part(1)), "y-M-d")
 
 
-def _births(text: Column, anchors: Column, as_of: Column) -> Column:
+def _births(text: Blocks, anchors: Column, as_of: Column) -> Column:
     names = "|".join(sorted(V.MONTHS, key=len, reverse=True))
     pattern = rf"(?iU)\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{4}}|\d{{1,2}}\s+(?:{names})\s+\d{{4}}"
     hits = _near_anchor(text, anchors, pattern, V.BIRTH_NEAR, 20, CONFIDENCE["geboortedatum"])
@@ -104,13 +105,13 @@ def _hits(text: Column, as_of: Column, types: tuple[str, ...]) -> Column:
                 test = test & text.contains("+31" if "+31" in p or r"\+31" in p else "0")
             patterns.append((f"(?{searches[kind][1]}){_first_character(p)}{p}", test))
 
-    def rows(found: Column, kind: str) -> Column:
+    def rows(found: Column, kind: str, blocks: Blocks | None) -> Column:
         own = [F.get(found, F.lit(first[kind] + k)) for k in range(len(searches[kind][0]))]
         keep, confidence = searches[kind][3], lambda s: F.lit(CONFIDENCE[kind])
         if kind == "kvk":
-            own, confidence = [let(own[0], lambda anchors: _kvk(text, anchors, own[1]))], lambda s: s["confidence"]
+            own, confidence = [let(own[0], lambda anchors: _kvk(blocks, anchors, own[1]))], lambda s: s["confidence"]
         elif kind == "geboortedatum":
-            own = [_births(text, own[0], as_of)]
+            own = [_births(blocks, own[0], as_of)]
         elif kind == "url":
             own = [F.filter(F.transform(own[0], _bare_url), lambda s: F.length(s["text"]) > 0)]
         ground, order = V.GROUND_BSN if kind == "bsn" else V.GROUND, ORDER.index(kind) * 100_000_000
@@ -121,7 +122,8 @@ def _hits(text: Column, as_of: Column, types: tuple[str, ...]) -> Column:
         kept = lambda spans: F.filter(spans, lambda s: keep(s["text"])) if keep else spans
         return F.flatten(F.transform(F.array(*own), lambda spans, k: F.transform(kept(spans), lambda s, i: row(s, k, i))))
 
-    return let(match_many(text, patterns), lambda found: F.flatten(F.array(*[rows(found, kind) for kind in types])))
+    every = lambda blocks: let(match_many(text, patterns), lambda found: F.flatten(F.array(*[rows(found, kind, blocks) for kind in types])))
+    return with_blocks(text, every) if {"kvk", "geboortedatum"} & set(types) else every(None)
 
 
 def detect(docs: DataFrame, types: tuple[str, ...] = ORDER, as_of: str | None = None, text_col: str = "text", before: int = 0) -> DataFrame:
@@ -135,6 +137,6 @@ def detect(docs: DataFrame, types: tuple[str, ...] = ORDER, as_of: str | None =
     day = F.lit(as_of).cast("date") if as_of else F.current_date()
     hits = first_of_repeated(_hits(text, day, types))
     if before:
-        hits = F.transform(hits, lambda h: h.withField("before", context_before(text, h["start_char"], before)))
+        hits = with_blocks(text, lambda own: F.transform(hits, lambda h: h.withField("before", context_before(own, h["start_char"], before))))
     rows = docs.select("doc_id", F.inline(hits))
     return rows.select("doc_id", "entity_type", F.lit("1").alias("tier"), "text", "start_char", "end_char", "confidence", "woo_article", F.lit("regex").alias("source"), "ord", *["before"] * bool(before))

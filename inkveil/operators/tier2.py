@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
-from inkveil.functions.text import context_after, context_before, let, match_spans, normalise_token, particle_pattern
+from inkveil.functions.text import context_after, context_before, let, match_spans, normalise_token, particle_pattern, with_blocks
 
 HIT = "array<struct<entity_type:string,text:string,start_char:int,end_char:int,confidence:double,source:string>>"
 _LINE_GAP = r"[^\S\n]+"
@@ -217,7 +217,8 @@ def rule_rows(docs: DataFrame, rule: str, context: bool = False) -> DataFrame:
     """The rows of one rule alone; context: with the text around each that later decisions look at, so that they need not join texts."""
     hits = RULES[rule](F.col("text")).cast(HIT)
     if context:
-        hits = F.transform(hits, lambda h: h.withField("before", context_before(F.col("text"), h["start_char"], V.WINDOW_LIST)).withField("after", context_after(F.col("text"), h["end_char"], V.WINDOW_TITLE)))
+        found = hits
+        hits = with_blocks(F.col("text"), lambda own: F.transform(found, lambda h: h.withField("before", context_before(own, h["start_char"], V.WINDOW_LIST)).withField("after", context_after(own, h["end_char"], V.WINDOW_TITLE))))
     return docs.select("doc_id", F.inline(hits))
 
 

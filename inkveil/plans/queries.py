@@ -77,10 +77,10 @@ query("documents_card", sql.tier1(("creditcard",), _DOCS))(lambda s, d: tier1.de
 query("pages_url", sql.tier1(("url",), _URLS))(lambda s, d: tier1.detect(corpus.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text")), ("url",)).select(*_T1))
 query("status_tier1", sql.status())(decided)
 query("t1_counts", f"select entity_type, count(*) as n from ({sql.tier1()}) group by 1")(lambda s, d: found(s, d).groupBy("entity_type").agg(F.count("*").alias("n")))
-query("documents_identifiers")(lambda s, d: tier1.detect(texts(s, d), as_of=sql.AS_OF).select(*_T1))
+query("documents_identifiers", sql.tier1(source=_DOCS))(lambda s, d: tier1.detect(texts(s, d), as_of=sql.AS_OF).select(*_T1))
 
 # --- tier 2 -------------------------------------------------------------------------------------------------------------
-for _rule, _name, _sql in (("street", "t2_street", sql.street()), ("house_number", "t2_housenumber", sql.house_number()), ("reference", "t2_reference", sql.reference()), ("initials", "t2_initials", sql.initials()), ("title", "t2_title", None), ("organisation", "t2_organisation", sql.organisations())):
+for _rule, _name, _sql in (("street", "t2_street", sql.street()), ("house_number", "t2_housenumber", sql.house_number()), ("reference", "t2_reference", sql.reference()), ("initials", "t2_initials", sql.initials()), ("title", "t2_title", sql.titles()), ("organisation", "t2_organisation", sql.organisations())):
     query(_name, _sql)(lambda s, d, rule=_rule: tier2.rule_rows(letters(s, d), rule).select(*_T2))
 query("t2_dates", sql.dates())(lambda s, d: letters(s, d).select("doc_id", F.replace("text", F.lit("Geboortedatum: "), F.lit("Geboren op ")).alias("text")).select("doc_id", F.inline(tier2.dates(F.col("text"), F.lit(sql.AS_OF).cast("date")))))
 query("t2_all")(lambda s, d: tier2.detect(letters(s, d), FIRST, LAST, sql.AS_OF).select(*_T1))
@@ -128,7 +128,7 @@ query("reference_match", sql.reference_match())(lambda s, d: classify.reference_
 query("officials_match", sql.officials_match())(lambda s, d: classify.official_matches(persons(s, d), letters(s, d), officials(s, d)))
 query("role_match", sql.role_match())(lambda s, d: classify.title_matches(persons(s, d), letters(s, d), titles(s)))
 query("classify_persons", sql.classify())(lambda s, d: classify.classify_persons(persons(s, d), letters(s, d), reference_names(s, d), officials(s, d), titles(s), structure.detect(letters(s, d))))
-query("other_status")(lambda s, d: classify.other_status(_small_tier2(s, d), letters(s, d), contacts(s, d)))
+query("other_status", f"select doc_id, entity_type, '2' as tier, text, start_char, end_char, confidence, source, case when pub then 'rejected' else 'pending' end as review_status, case when not pub then '5.1.2e' end as woo_article from (select *, entity_type = 'adres' and lower(text) in (select lower(value) from ({corpus.CONTACTS_SQL}) where kind = 'adres') as pub from ({_SMALL}))")(lambda s, d: classify.other_status(_small_tier2(s, d), letters(s, d), contacts(s, d)))
 
 
 # --- reviewers' terms and search --------------------------------------------------------------------------------------------
@@ -138,7 +138,20 @@ def terms(s: SparkSession, d: str) -> DataFrame:
 
 
 query("custom_terms", sql.terms())(lambda s, d: custom.term_matches(letters(s, d), terms(s, d)))
-query("custom_merge")(lambda s, d: custom.merge_terms(decided(s, d), custom.term_matches(letters(s, d), terms(s, d))))
+
+
+def merged_terms(s: SparkSession, d: str) -> DataFrame:
+    """The terms, one more that lies within mail addresses and has a ground of its own, and one of a mode that is not supported."""
+    rows = [(o, t, None, None) for o, t in enumerate(("stikstof", "Uw  Kenmerk", "sprak met"))] + [(3, "@voorbeeld", "exact", "5.2"), (4, "Mijn", "fuzzy", None)]
+    own = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(t).alias("term"), F.lit(m).cast("string").alias("match_mode"), F.lit(g).cast("string").alias("woo_article")) for o, t, m, g in rows])
+    return letters(s, d).select("doc_id", F.inline(own))
+
+
+_FRESH = f"(select doc_id, text, start_char, end_char, 'accepted' as review_status, 'custom_wordlist' as source, cast(0.99 as double) as confidence, '5.1.2e' as woo_article, 1 as late, ord from ({sql.terms()}))"
+_HELD = f"(select doc_id, text, start_char, end_char, case when entity_type = 'email' then 'accepted' else review_status end as review_status, case when entity_type = 'email' then 'custom_wordlist' else source end as source, confidence, case when entity_type = 'email' then '5.2' else woo_article end as woo_article, 0 as late, 0 as ord from ({sql.status()}))"
+query("custom_merge", f"select doc_id, cast(row_number() over (partition by doc_id order by late, ord, start_char, end_char) - 1 as integer) as pos, text, start_char, end_char, review_status, source, confidence, woo_article from (select * from {_HELD} union all select * from {_FRESH})")(
+    lambda s, d: custom.merge_terms(decided(s, d), custom.term_matches(letters(s, d), merged_terms(s, d)))
+)
 query("search_hits", sql.search("the"))(lambda s, d: custom.search(corpus.table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"), "The"))
 
 # --- places -----------------------------------------------------------------------------------------------------------------
@@ -152,7 +165,11 @@ def items(s: SparkSession, d: str) -> DataFrame:
 _GLUE = "case when abs(y0 - lag(y0) over w) < 2 and x0 - lag(x1) over w between -1.5 and 1.5 then '' else ' ' end"
 query("join_items", f"select doc_id, page, ltrim(string_agg(glue || text, '' order by ord)) as text from (select *, {_GLUE} as glue from ({_ITEMS}) window w as (partition by doc_id, page order by ord)) group by 1, 2")(lambda s, d: locate.join_items(items(s, d)))
 query("item_offsets", f"select doc_id, page, ord, text, cast(coalesce(sum(length(text) + 1) over (partition by doc_id, page order by ord rows between unbounded preceding and 1 preceding), 0) as integer) as start_char from ({_ITEMS})")(lambda s, d: locate.item_offsets(items(s, d)).select("doc_id", "page", "ord", "text", "start_char"))
-query("boxes_of_spans")(lambda s, d: locate.boxes_of_spans(items(s, d).select("doc_id", "page").distinct().select("doc_id", "page", F.lit(2).alias("start_char"), F.lit(12).alias("end_char")), items(s, d)))
+_PLACED = f"(select *, coalesce(sum(length(text) + 1) over (partition by doc_id, page order by ord rows between unbounded preceding and 1 preceding), 0) as s from ({_ITEMS}))"
+_CUT = f"(select doc_id, page, y0, y1, x0 + greatest(2 - s, 0) * (x1 - x0) / length(text) as x0, x1 - greatest(s + length(text) - 12, 0) * (x1 - x0) / length(text) as x1 from {_PLACED} where s < 12 and s + length(text) > 2)"
+query("boxes_of_spans", f"select doc_id, round(min(x0), 6) as x0, y0, round(max(x1), 6) as x1, max(y1) as y1 from {_CUT} group by doc_id, page, y0")(
+    lambda s, d: locate.boxes_of_spans(items(s, d).select("doc_id", "page").distinct().select("doc_id", "page", F.lit(2).alias("start_char"), F.lit(12).alias("end_char")), items(s, d)).select("doc_id", F.inline("boxes")).select("doc_id", F.round("x0", 6).alias("x0"), "y0", F.round("x1", 6).alias("x1"), "y1")
+)
 query("merge_boxes", f"with f as (select *, case when y0 - lag(y0) over w > 2 or lag(y0) over w is null then 1 else 0 end as fresh from ({_ITEMS}) window w as (partition by doc_id, page order by y0, x0)), l as (select *, sum(fresh) over (partition by doc_id, page order by y0, x0 rows unbounded preceding) as line from f) select doc_id as group_id, page, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from l group by doc_id, page, line")(lambda s, d: locate.merge_line_boxes(items(s, d).withColumnRenamed("doc_id", "group_id")))
 query("text_of_boxes", f"select doc_id as box_id, string_agg(text, ' ' order by y0, x0, text) as text from ({_ITEMS}) where (y0 + y1) / 2 between 0 and 10 and x0 < 27 and x1 > 13 group by 1")(lambda s, d: locate.text_of_boxes(items(s, d).select("doc_id", "page").distinct().select("doc_id", "page", F.col("doc_id").alias("box_id"), F.lit(15.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(25.0).alias("x1"), F.lit(10.0).alias("y1")), items(s, d)))
 query("split_boxes", f"select doc_id, ord, least(greatest(cast(25 as double), x0 + 2), x1 - 2) as at from ({_ITEMS})")(lambda s, d: items(s, d).select("doc_id", "ord", locate.split_box(F.struct("page", "x0", "y0", "x1", "y1"), F.lit(25.0))[0]["x1"].alias("at")))
@@ -176,7 +193,7 @@ def pending(s: SparkSession, d: str) -> DataFrame:
 query("sweep_block", f"select p.doc_id, p.start_char, p.end_char, p.text, case when exists (select 1 from {_BLOCK} b where b.doc_id = p.doc_id and b.start_char <= p.start_char and p.end_char <= b.end_char) then 'accepted' else 'pending' end as review_status from ({sql.initials()}) p")(lambda s, d: review.sweep_block(pending(s, d).drop("before", "after"), structure.detect(letters(s, d), ("email_header", "signature_block"))).select("doc_id", "start_char", "end_char", "text", "review_status"))
 query("same_name_sweep", f"select p.doc_id, p.start_char, p.end_char, p.text, case when exists (select 1 from ({sql.NAMES_SQL}) n where n.doc_id = p.doc_id and lower(n.name) = lower(regexp_replace(p.text, '\\s+', ' ', 'g'))) then 'accepted' else 'pending' end as review_status from ({sql.initials()}) p")(lambda s, d: review.sweep_name(pending(s, d).drop("before", "after"), reference_names(s, d).select("doc_id", F.lit("persoon").alias("entity_type"), F.col("name").alias("text"))).select("doc_id", "start_char", "end_char", "text", "review_status"))
 query("same_name_counts", f"select doc_id, start_char, count(*) over (partition by doc_id, lower(regexp_replace(text, '\\s+', ' ', 'g'))) as same_name from ({sql.initials()})")(lambda s, d: review.same_name_counts(persons(s, d)).select("doc_id", "start_char", "same_name"))
-query("split_rows")(lambda s, d: review.split(persons(s, d).drop("before", "after").withColumn("det_id", F.concat_ws("-", "doc_id", "start_char")), persons(s, d).select(F.concat_ws("-", "doc_id", "start_char").alias("det_id"), (F.col("start_char") + 2).alias("at"))))
+query("split_rows", f"select doc_id, entity_type, substr(text, s - start_char + 1, e - s) as text, cast(s as integer) as start_char, cast(e as integer) as end_char, confidence, 'manual' as source, doc_id || '-' || start_char || side as det_id, doc_id || '-' || start_char as split_from from (select *, start_char as s, start_char + 2 as e, 'a' as side from ({sql.initials()}) union all select *, start_char + 2, end_char, 'b' from ({sql.initials()}))")(lambda s, d: review.split(persons(s, d).drop("before", "after").withColumn("det_id", F.concat_ws("-", "doc_id", "start_char")), persons(s, d).select(F.concat_ws("-", "doc_id", "start_char").alias("det_id"), (F.col("start_char") + 2).alias("at"))))
 query("merge_rows", f"with p as (select *, row_number() over (partition by doc_id order by start_char) as click from ({sql.initials()})) select doc_id as merge_id, string_agg(text, ' ' order by click) as text, count(*) as n from p group by 1 having count(*) > 1")(lambda s, d: review.merge(persons(s, d).withColumn("det_id", F.concat_ws("-", "doc_id", "start_char")).withColumn("woo_article", F.lit("5.1.2e")), persons(s, d).select(F.col("doc_id").alias("merge_id"), F.concat_ws("-", "doc_id", "start_char").alias("det_id"), F.col("start_char").alias("click"))).select("merge_id", "text", F.size("merged_from").cast("long").alias("n")))
 query("page_states", f"select coalesce(r.status, 'unreviewed') as status, count(*) as n from {_PAGES} p left join (select det_id as doc_id, 0 as page, arg_max(status, seq) as status from {sql.EVENTS} group by 1) r on p.doc_id = r.doc_id and p.page = r.page group by 1")(lambda s, d: review.page_states(letter_pages(s, d), events(s, d).groupBy(F.col("det_id").alias("doc_id")).agg(F.max_by("status", "seq").alias("status")).withColumn("page", F.lit(0))))
 
@@ -190,7 +207,11 @@ query("report_summary", f"with d as (select * from {_D} where {_SHOWN}) select '
 query("grounds", f"select doc_id, nullif(coalesce(array_to_string(list_sort(list(distinct woo_article) filter (where {_SHOWN} and woo_article is not null)), ', '), ''), '') as grounds from {_D} group by 1")(lambda s, d: reports.grounds(decided(s, d)))
 query("log_filter_sort", f"select doc_id, entity_type, text, start_char, end_char, review_status, row_number() over (partition by doc_id order by start_char, end_char, entity_type) as nr from {_D} where review_status = 'rejected' and coalesce(source, 'regex') = 'whitelist_gemeente'")(lambda s, d: reports.numbered(reports.filtered(decided(s, d), status="rejected", source="whitelist_gemeente")).select("doc_id", "entity_type", "text", "start_char", "end_char", "review_status", "nr"))
 query("redaction_log_csv", f"select doc_id, nr, nr || ',' || {_LABEL} || ',' || coalesce(woo_article, '') || ',' || tier || ',auto,' || text as line from (select *, row_number() over (partition by doc_id order by start_char, end_char, entity_type) as nr from {_D} where {_SHOWN})")(lambda s, d: reports.csv_lines(decided(s, d)))
-query("json_documents")(lambda s, d: reports.json_documents(decided(s, d)))
+_COUNTED = "'{' || string_agg('\"' || {0} || '\":' || n, ',' order by {0}) || '}' from (select doc_id, {0}, count(*) as n from d group by 1, 2) group by 1"
+_JSON_ROWS = """'{"start_char":' || start_char || ',"end_char":' || end_char || ',"entity_type":"' || entity_type || '","tier":"' || tier || '","review_status":"' || review_status || '"}'"""
+query("json_documents", f"""with d as (select * from {_D}), t as (select doc_id, {_COUNTED.replace('{0}', 'tier')}), s as (select doc_id, {_COUNTED.replace('{0}', 'review_status')}),
+    r as (select doc_id, count(*) as total, string_agg({_JSON_ROWS}, ',' order by start_char, end_char, entity_type, tier, review_status) as rows from d group by 1)
+    select r.doc_id, '{{"total":' || total || ',"by_tier":' || t.j || ',"by_status":' || s.j || ',"detections":[' || rows || ']}}' as json from r join t on t.doc_id = r.doc_id join s on s.doc_id = r.doc_id""".replace(" from (select doc_id, tier", " as j from (select doc_id, tier").replace(" from (select doc_id, review_status", " as j from (select doc_id, review_status"))(lambda s, d: reports.json_documents(decided(s, d)))
 query("xml_documents", "select cast(p_partkey as bigint) as doc_id, '<document><title>' || p_name || '</title><creator>' || p_brand || '</creator>' || coalesce('<keyword>' || list_filter(string_split_regex(p_name, '\\s+'), lambda w: length(w) >= 4)[1] || '</keyword>', '') || '</document>' as xml from part")(lambda s, d: reports.xml_documents(corpus.table(s, d, "part").select(F.col("p_partkey").cast("long").alias("doc_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("creator"))))
 query("redact_text", f"with r as (select distinct doc_id, start_char, end_char from {_D} where {_SHOWN}), c as (select doc_id, text, unnest(range(1, length(text) + 1)) as p from {sql.LETTERS}) select c.doc_id, string_agg(case when h.p is null then substr(c.text, c.p, 1) else '█' end, '' order by c.p) as text, coalesce(any_value(n.n), 0) as n from c left join (select distinct doc_id, unnest(range(start_char + 1, end_char + 1)) as p from r) h on h.doc_id = c.doc_id and h.p = c.p left join (select doc_id, count(*) as n from r group by 1) n on n.doc_id = c.doc_id group by c.doc_id")(lambda s, d: reports.redact(letters(s, d), decided(s, d)))
 query("detection_buckets", f"select case when n >= 100 then '>=100' when n >= 50 then '>=50' when n >= 10 then '>=10' when n >= 0 then '>=0' end as bucket, count(*) as n from (select doc_id, count(*) as n from {_D} group by 1) group by 1")(lambda s, d: reports.buckets(decided(s, d).groupBy("doc_id").agg(F.count("*").alias("k")), "k"))
@@ -209,7 +230,9 @@ query("weighed", "select user_id as det_id, bool_and(event_type <> 'error' or va
 query("missing_fields", "select page_id as doc_id, nullif(concat_ws(', ', case when regexp_extract(html, '<title>([^<]*)', 1) = '' then 'title' end, case when trim(coalesce(url, '')) = '' then 'url' end, case when regexp_extract(url, '#(.+)', 1) = '' then 'anchor' end), '') as missing from pages")(lambda s, d: reports.missing_fields(corpus.table(s, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), "url", F.regexp_extract("url", "#(.+)", 1).alias("anchor")), ("title", "url", "anchor")))
 query("export_names", "select page_id, 'gelakt_' || case when b = '' then 'document' else left(b, 100) end as name from (select page_id, regexp_replace(string_split_regex(url, '[/\\\\]')[-1], '[^A-Za-z0-9._-]+', '_', 'g') as b from pages)")(lambda s, d: corpus.table(s, d, "pages").select("page_id", reports.export_name(F.col("url")).alias("name")))
 query("per_period", "select coalesce(cast(year(ts) as varchar), 'all') as year, coalesce(cast(month(ts) as varchar), 'all') as month, coalesce(event_type, 'all') as status, count(*) as n from events group by rollup (year(ts), month(ts), event_type)")(lambda s, d: reports.per_period(corpus.table(s, d, "events").select("ts", F.col("event_type").alias("status"))).select(*[F.coalesce(F.col(c).cast("string"), F.lit("all")).alias(c) for c in ("year", "month", "status")], "n"))
-query("name_scores", None)(lambda s, d: persons(s, d).select("doc_id", "text", tier2.score_name(F.col("text"), FIRST, LAST).alias("score")).select("doc_id", "text", "score.*"))
+_TOKENS = "list_filter(list_transform(string_split_regex(trim(text), '\\s+'), lambda t: lower(regexp_replace(t, '^\\W+|\\W+$', '', 'g'))), lambda t: t <> '' and t not in ('van', 'de', 'der', 'den', 'ter', 'ten', 'te'))"
+query("name_scores", f"""select doc_id, text, first, last, first or last as plausible from (select doc_id, text, list_contains({list(FIRST)}, t[1]) as first, len(list_filter(case when list_contains({list(FIRST)}, t[1]) then t[2:] else t end, lambda x: x in ({str(list(LAST))[1:-1]}))) > 0 as last
+    from (select doc_id, text, {_TOKENS} as t from ({sql.initials()})))""")(lambda s, d: persons(s, d).select("doc_id", "text", tier2.score_name(F.col("text"), FIRST, LAST).alias("score")).select("doc_id", "text", "score.*"))
 query("covered_boxes", f"select a.doc_id, a.ord, max(case when least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 and least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0 and (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.5 * (a.x1 - a.x0) * (a.y1 - a.y0) then 1 else 0 end) = 1 as covered from ({_ITEMS}) a join (select doc_id, page, x0 - 4 as x0, x1 - 4 as x1, y0, y1 from ({_ITEMS}) where ord % 2 = 0) b on a.doc_id = b.doc_id and a.page = b.page group by 1, 2")(lambda s, d: _covered(s, d))
 
 
@@ -220,8 +243,12 @@ def _covered(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from inkveil.plans import more
+
+    return _QUERIES | {name: plan for name, (plan, _) in more.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    from inkveil.plans import more
+
+    return _ORACLES | {name: answer for name, (_, answer) in more.QUERIES.items()}

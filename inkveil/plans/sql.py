@@ -150,6 +150,13 @@ def initials() -> str:
     return f"select doc_id, 'persoon' as entity_type, text, start_char, end_char, cast(0.85 as double) as confidence, 'initials_rule' as source from {found} where not regexp_matches(substr(full_text, end_char + 1, 2), '^\\.\\p{{L}}') and {norm} not in ({_list(V.NOT_SURNAMES)[1:-1]}) and {plausible()}"
 
 
+def titles() -> str:
+    """Names after 'dhr.': particles and one capitalised word (other forms of address in the letters are followed by no name)."""
+    name = "regexp_extract(text, 'dhr\\.\\s+((?:(?:van|de|der)\\s+)*[A-Z][a-z]+)', 1)"
+    start = "strpos(text, 'dhr. ') + 4"
+    return f"select doc_id, 'persoon' as entity_type, {name} as text, cast({start} as integer) as start_char, cast({start} + length({name}) as integer) as end_char, cast(0.75 as double) as confidence, 'title_rule' as source from {LETTERS} where {name} <> ''"
+
+
 BORN = f"(select doc_id, replace(text, 'Geboortedatum: ', 'Geboren op ') as text from {LETTERS})"
 
 
@@ -158,6 +165,16 @@ def dates() -> str:
     return f"select doc_id, 'datum' as entity_type, text, start_char, end_char, cast(0.60 as double) as confidence, 'ner' as source from {spans(BORN, tier2.DATE)} where not (coalesce({year} >= year(date '{AS_OF}') - 2, false) or regexp_matches({_before(30)}, {q('(?i)' + V.EVENT_BEFORE)}))"
 
 
+def listed(first: tuple[str, ...], last: tuple[str, ...]) -> str:
+    """Runs of capitalised words that hold a listed first name (at their begin) or surname."""
+    word = f"[{V.CAPITAL}][{V.INNER}\\-]*"
+    particles = "(?:(?:van der|van den|van de|van het|van|de|der|den|ter|ten|te|op de|op den|op)[^\\S\\n]+)?"
+    run = f"\\b{word}(?:[^\\S\\n]+{particles}{word}){{0,4}}"
+    tokens = "list_filter(list_transform(string_split_regex(trim(text), '\\s+'), lambda t: lower(regexp_replace(t, '^\\W+|\\W+$', '', 'g'))), lambda t: t <> '' and t not in ('van', 'de', 'der', 'den'))"
+    scored = f"(select *, list_contains({list(first)}, t[1]) as f, len(list_filter(case when list_contains({list(first)}, t[1]) then t[2:] else t end, lambda x: x in ({str(list(last))[1:-1]}))) > 0 as l from (select *, {tokens} as t from {spans(LETTERS, run)} where {plausible()}))"
+    return f"select doc_id, 'persoon' as entity_type, text, start_char, end_char, cast(least(0.95, round(0.80 + case when f then 0.10 else 0.0 end + case when l then 0.05 else 0.0 end, 2)) as double) as confidence, 'ner' as source from {scored} where f or l"
+
+
 def organisations() -> str:
     return f"select doc_id, 'organisatie' as entity_type, text, start_char, end_char, cast(0.50 as double) as confidence, 'ner' as source from {spans(LETTERS, tier2.ORGANISATION)}"
 

@@ -49,7 +49,7 @@ from (
     from (select c_custkey as k, cast(10000000 + (c_custkey * 7919) % 89999999 as string) as b8, cast(1000000000 + (c_custkey * 104729) % 899999999 as bigint) as acct from customer) a) b) c
 """
 #: Dimension tables of the queries, in SQL that both engines read.
-CONTACTS_SQL = "select 'email' as kind, 'klant' || cast(s_suppkey as string) || '@voorbeeld' || cast(s_suppkey % 7 as string) || '.nl' as value from supplier union all select 'postcode', cast(1000 + s_suppkey % 8999 as string) || 'AB' from supplier where s_suppkey % 3 = 0 union all select 'telefoon', '06' || cast(10000000 + (s_suppkey * 31) % 89999999 as string) from supplier where s_suppkey % 3 = 1"
+CONTACTS_SQL = "select 'email' as kind, 'klant' || cast(s_suppkey as string) || '@voorbeeld' || cast(s_suppkey % 7 as string) || '.nl' as value from supplier union all select 'postcode', cast(1000 + s_suppkey % 8999 as string) || 'AB' from supplier where s_suppkey % 3 = 0 union all select 'telefoon', '06' || cast(10000000 + (s_suppkey * 31) % 89999999 as string) from supplier where s_suppkey % 3 = 1 union all select 'adres', cast(1000 + s_suppkey % 8999 as string) || ' AB' from supplier where s_suppkey % 3 = 2"
 OFFICIALS_SQL = f"select distinct n_nationkey % 4 as gm_code, split_part('{_LAST}', ',', cast(1 + n_nationkey % 11 as int)) as surname, substr('ABCDEFGH', cast(1 + n_nationkey % 8 as int), 1) as initials from nation"
 TITLES = (("publiek", "wethouder", 0), ("publiek", "burgemeester", 1), ("publiek", "raadslid", 2), ("ambtenaar", "beleidsmedewerker", 3), ("ambtenaar", "projectleider", 4))
 TITLES_SQL = "select * from (values " + ", ".join(f"('{a}', '{b}', {c})" for a, b, c in TITLES) + ") as t(list_name, title, ord)"
@@ -73,7 +73,7 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFra
     for name in tables:
         view = f"{name}_{abs(hash(sf_dir))}"
         table(spark, sf_dir, name).createOrReplaceTempView(view)
-        sql = sql.replace(f"from {name}", f"from {view}")
+        sql = sql.replace(f"from {name}", f"from {view}").replace(f"join {name} ", f"join {view} as {name} ")
     return spark.sql(sql)
 
 

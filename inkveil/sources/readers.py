@@ -29,7 +29,8 @@ def items(requests_: DataFrame) -> DataFrame:
 
 
 def pdf_files(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
-    """path, length, valid, reason of PDF files: by size, emptiness and magic bytes. Only checks; no parser is bundled."""
+    """path, length, valid, reason of PDF files: by size, emptiness and magic bytes. Only checks; no parser is bundled.
+    Spark's reader may leave out files without any byte."""
     files = spark.read.format("binaryFile").load(path)
     reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > most_bytes, "too large").when(F.substring("content", 1, 5) != F.to_binary(F.lit("255044462D"), F.lit("hex")), "no PDF")
     return files.select("path", "length", reason.isNull().alias("valid"), reason.alias("reason"))
@@ -83,7 +84,7 @@ def write_log(lines: DataFrame, path: str) -> None:
 
 def addresses(rows: DataFrame, column: str = "adressen") -> DataFrame:
     """gm_code, nth, record (map) of packed addresses: records between semicolons, 'key: value' parts between commas; other parts are left out."""
-    records = F.filter(F.transform(F.split(column, ";"), F.trim), lambda r: r != "")
+    records = F.filter(F.transform(F.split(column, ";"), lambda r: F.trim(r)), lambda r: r != "")
 
     def record(text: Column) -> Column:
         pairs = F.filter(F.split(text, ","), lambda p: p.contains(":"))

@@ -1,9 +1,12 @@
 """Contextual rules, structure, decisions, terms, places, review and reports on small rows."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from inkveil.operators import classify, custom, locate, reports, review, structure, tier2
+from inkveil.operators import classify, custom, locate, reports, review, structure, tier1, tier2
+from inkveil.sources import readers
 
 
 def docs(spark, *texts):
@@ -69,6 +72,118 @@ def test_titles_and_lists(spark):
     assert rows == {"J. Smit": "wethouder", "A. Bos": "raadsleden", "B. Vos": "raadsleden", "C. Mos": "raadsleden"}
 
 
+def test_names_in_lists_may_begin_like_forms_of_address(spark):
+    d = docs(spark, "De raadsleden A. Drost, B. Drenth, C. Mrksa en P. Profijt stemden. J. van 't Veer ook.")
+    titles = spark.createDataFrame([("publiek", "raadsleden", 0)], "list_name string, title string, ord int")
+    persons = tier2.rule_rows(d, "initials", context=True)
+    assert texts(persons) == ["A. Drost", "B. Drenth", "C. Mrksa", "J. van 't Veer", "P. Profijt"]
+    found = texts(classify.title_matches(persons, d, titles))
+    assert found == texts(classify.title_matches(persons.drop("before", "after"), d, titles)) == ["A. Drost", "B. Drenth", "C. Mrksa", "P. Profijt"]
+
+
+def test_spaces_in_a_list_take_no_time(spark):
+    d = docs(spark, "De raadsleden A. Bos," + " " * 180 + "zei B. Vos")
+    titles = spark.createDataFrame([("publiek", "raadsleden", 0)], "list_name string, title string, ord int")
+    assert texts(classify.title_matches(tier2.rule_rows(d, "initials"), d, titles)) == ["A. Bos"]
+
+
+def officials_found(spark, text, surname, initials):
+    d = docs(spark, text).withColumn("gm_code", F.lit(1))
+    listed = spark.createDataFrame([(1, surname, initials)], "gm_code int, surname string, initials string")
+    persons = d.select("doc_id", F.inline(tier2.titled_names(F.col("text")).cast(tier2.HIT))).unionByName(tier2.rule_rows(d, "initials"))
+    return texts(classify.official_matches(persons, d, listed).select("text").distinct())
+
+
+@pytest.mark.parametrize(
+    "text,surname,initials,found",
+    [
+        ("de heer Jansen sprak", "Jansen", "A.B.".replace(".", ""), []),  # a common surname needs initials
+        ("A. Jansen sprak", "jansen", "ab", ["A. Jansen"]),
+        ("A.C. Jansen sprak", "jansen", "ab", []),  # they must agree as far as both go
+        ("A.B.C. Jansen sprak", "jansen", "ab", ["A.B.C. Jansen"]),
+        ("A. Jansen sprak", "jansen", "", []),
+        ("de heer Erdogan sprak", "erdogan", "hh", ["Erdogan"]),
+        ("M. Erdogan sprak", "erdogan", "hh", []),
+        ("H.K. Erdogan sprak", "erdogan", "hh", ["H.K. Erdogan"]),  # others only need to begin alike
+        ("mevrouw Van den Oever sprak", "oever", "", ["Van den Oever"]),
+        ("mevrouw Oever sprak", "van den oever", "", []),
+    ],
+)
+def test_officials(spark, text, surname, initials, found):
+    assert officials_found(spark, text, surname, initials) == found
+
+
+def test_person_rows(spark):
+    names = ["Dhr. H.H. (Arjan) van den Oever", "Mw. mr. E. Ünal-Bos", "Juridische zaken", "Jan Jansen", "K.J. Vos", "mevrouw", ""]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select(readers.parsed_person(F.col("name")).alias("p")).collect()
+    assert [tuple(r.p) if r.p else None for r in rows] == [("van den oever", "hh"), ("unal bos", "e"), None, None, ("vos", "kj"), None, None]
+
+
+def test_urls_of_listed_sites(spark):
+    spans = spark.createDataFrame([(1, "url", f"https://site.nl{t}", i, i + 1) for i, t in enumerate(["", "/", "/a/b", "?x", "#a", "x", ".be"])], "doc_id long, entity_type string, text string, start_char int, end_char int")
+    listed = spark.createDataFrame([("url", "https://site.nl/")], "kind string, value string")
+    found = {r.text[15:]: r.public_value for r in classify.with_contacts(spans, listed).collect()}
+    assert found == {"": True, "/": True, "/a/b": True, "?x": True, "#a": True, "x": False, ".be": False}
+
+
+def test_document_dates_with_labels(spark):
+    rows = [(1, 0, "Datum: 3 mei 2021, in antwoord op uw brief van 1-2-2023"), (2, 0, "geboren 1-1-2020, 2-2-2010, verzonden: 1-1-2009 en verzonden: 2009-05-01"), (3, 0, "1-1-2049"), (4, 0, "geb. 1-1-1990")]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string")
+    got = {r.doc_id: str(r.document_date) for r in structure.document_dates(pages, "2025-01-01").collect()}
+    assert got == {1: "2021-05-03", 2: "2009-05-01", 3: "None", 4: "None"}
+
+
+@pytest.mark.parametrize("build,hits", [("tier1", lambda d: tier1.detect(d, ("postcode",))), ("lines", structure.line_rows), ("terms", lambda d: custom.search(d.withColumn("page", F.lit(0)), "ab"))])
+def test_time_grows_with_the_hits_in_a_text(spark, build, hits):
+    took = []
+    for n in (4_000, 4_000, 32_000):
+        d = docs(spark, "1234 AB x\n" * n)
+        plan, began = hits(d), time.time()
+        assert plan.count() >= n
+        took.append(time.time() - began)
+    assert took[2] < 8 * took[1] + 6
+
+
+def test_offsets_of_many_matches(spark):
+    text = "".join(f"é😀{i} {1000 + i} AB\n" for i in range(1000))
+    rows = tier1.detect(docs(spark, text, "geen", "\ufdd0 1234 AB"), ("postcode",)).collect()
+    assert len(rows) == 1001 and all(text[r.start_char : r.end_char] == r.text for r in rows if r.doc_id == 0)
+
+
+def test_reviewers_terms_keep_their_ground_and_the_order_of_detections(spark):
+    d = docs(spark, "aap NOOT aap")
+    terms = spark.createDataFrame([(0, 0, "aap", None, "5.2"), (0, 1, "noot", "prefix", None)], "doc_id long, ord int, term string, match_mode string, woo_article string")
+    base = spark.createDataFrame([(0, 1, 0, 3, "aap", "pending", "ner", 0.8, "x"), (0, 0, 0, 12, "alles", "pending", "ner", 0.7, "y")], "doc_id long, pos int, start_char int, end_char int, text string, review_status string, source string, confidence double, woo_article string")
+    rows = custom.merge_terms(base, custom.term_matches(d, terms)).orderBy("pos").collect()
+    assert [(r.text, r.woo_article, r.review_status) for r in rows] == [("alles", "5.2", "accepted"), ("aap", "x", "pending")]
+
+
+def test_redo_ends_with_a_new_event(spark):
+    log = spark.createDataFrame([(1, 7, "accepted", False), (2, 7, "rejected", True), (3, 7, "deferred", True), (1, 8, "accepted", True), (2, 8, "rejected", False)], "seq long, det_id long, status string, undone boolean")
+    got = {r.det_id: r.status for r in review.states(review.redo_next(log, 1)).collect()}
+    assert got == {7: "rejected", 8: "rejected"}
+
+
+def test_first_new_boxes_keep_the_old_ones(spark):
+    box = "array<struct<page:int,x0:double,y0:double,x1:double,y1:double>>"
+    own = spark.createDataFrame([(1, "pending", "5.2", [(0, 1.0, 1.0, 2.0, 2.0)])], f"det_id long, review_status string, woo_article string, boxes {box}")
+    change = lambda x: spark.createDataFrame([(1, [(0, x, 1.0, 2.0, 2.0)])], f"det_id long, boxes {box}")
+    row = review.adjust_boundary(review.adjust_boundary(own, change(0.5)), change(0.7)).first()
+    assert (row.review_status, row.original_boxes[0].x0, row.boxes[0].x0) == ("edited", 1.0, 0.7)
+
+
+def test_page_and_request_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"doc_id": "a", "pages": [{"page_number": 0, "full_text": "x y", "text_items": [{"text": "x", "x0": 1.0}, {"text": " "}]}]}')
+    got = readers.requests(spark, str(tmp_path / "r.json"))
+    assert [(r.doc_id, r.page, r.text) for r in readers.pages(got).collect()] == [("a", 0, "x y")] and [r.text for r in readers.items(got).collect()] == ["x"]
+    for name, content in (("a.pdf", b"%PDF-1"), ("c.pdf", b"PK")):
+        (tmp_path / "files").mkdir(exist_ok=True)
+        (tmp_path / "files" / name).write_bytes(content)
+    assert {r.path[-5:]: r.reason for r in readers.pdf_files(spark, str(tmp_path / "files")).collect()} == {"a.pdf": None, "c.pdf": "no PDF"}
+    (tmp_path / "v.json").write_text('[{"uri": "u1", "label": "b"}, {"uri": "u1", "label": "a"}]')
+    assert [tuple(r) for r in readers.value_list(spark, str(tmp_path / "v.json")).collect()] == [("u1", "a")]
+
+
 def test_custom_merge(spark):
     d = docs(spark, "aap NOOT aap")
     terms = spark.createDataFrame([(0, 0, "aap"), (0, 1, "noot  AAP")], "doc_id long, ord int, term string")
