@@ -103,7 +103,6 @@ query("publication_json", f"""select doc_id, '{{"publicatie":{{"uuid":"' || uuid
 query("bundle_readme", "select p_partkey as doc_id, p_name || chr(10) || chr(10) || 'Bestand: a.pdf' || chr(10) || 'Gelakte passages: ' || p_size || chr(10) || chr(10) || '- redacted.pdf: gelakt document' || chr(10) || '- metadata.xml, metadata.json: publicatiegegevens' || chr(10) || '- redaction-log.csv: lijst van gelakte passages' || chr(10) as readme from part")(lambda s, d: reports.bundle_readme(corpus.table(s, d, "part").selectExpr("p_partkey as doc_id", "p_name as title", "'a.pdf' as filename", "p_size as n")))
 
 # --- review ------------------------------------------------------------------------------------------------------------------
-_AFTER = "select det_id, review_status, woo_article from "
 query("review_edits", f"select det_id, case when det_id % 4 = 0 then 'rejected' when det_id % 4 = 2 then 'edited' else review_status end as review_status, case when det_id % 4 = 0 then '5.1.5' else woo_article end as woo_article, det_id % 4 = 2 and page is not null as kept_boxes, case when det_id % 2 = 0 then 1700000000 else coalesce(seen, 0) end as seen from {D}")(lambda s, d: _edited(s, d))
 
 
@@ -152,7 +151,6 @@ _TAGGED = "select p_partkey as id, case p_partkey % 6 when 0 then 'NAAM' when 1
 query("tag_map", "select p_partkey as id, case p_partkey % 6 when 0 then 'persoon' when 1 then 'adres' when 4 then 'organisatie' else 'datum' end as entity_type from part where p_partkey % 6 in (0, 1, 4, 5)")(lambda s, d: tier2.by_tag(corpus.derived(s, d, _TAGGED, "part")).select("id", "entity_type"))
 
 # --- places and decisions ----------------------------------------------------------------------------------------------------
-_NTH = "(select p.*, c.text as full_text, row_number() over (partition by p.doc_id, lower(p.text) order by p.start_char) - 1 as k from (" + sql.initials() + ") p join " + sql.LETTERS + " c using (doc_id))"
 _WORDS = "select c_custkey as doc_id, 'jan Jan janssen, JAN; anjan jan' as text, cast(c_custkey % 6 as int) as nth from customer"
 query("nth_occurrence", "select c_custkey as doc_id, cast(case c_custkey % 6 when 0 then 0 when 1 then 4 when 2 then 17 when 3 then 28 else 0 end as integer) as start_char from customer")(lambda s, d: locate.nth_occurrence(corpus.derived(s, d, _WORDS, "customer"), corpus.derived(s, d, _WORDS, "customer").select("doc_id", F.lit("jan").alias("needle"), "nth")).select("doc_id", "start_char"))
 query("occurrence_counts", "select c_custkey as doc_id, 2 as nth, 4 as n_all from customer")(lambda s, d: locate.occurrences(corpus.derived(s, d, _WORDS, "customer").select("doc_id", F.lit("JAN").alias("text"), F.lit(17).alias("start_char"), F.lit(20).alias("end_char")), corpus.derived(s, d, _WORDS, "customer")).select("doc_id", "nth", "n_all"))
