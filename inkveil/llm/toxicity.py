@@ -16,6 +16,7 @@ towards the share of label 1 among all labelled rows by `PRIOR` of a vote; so a
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter
@@ -69,9 +70,9 @@ class BlockMaxIndex:
         self.column = np.where(often, np.cumsum(often) - 1, -1)
         self.dense, in_dense = np.zeros((int(often.sum()), self.n_blocks * block)), often[terms]
         self.dense[self.column[terms[in_dense]], rows[in_dense]] = weights[in_dense]
-        rows, terms, weights = rows[~in_dense], terms[~in_dense], weights[~in_dense]
-        order = np.lexsort((rows, terms))
-        terms, self.ids, self.weights = terms[order], rows[order].astype(np.int32), weights[order]
+        rare = np.flatnonzero(~in_dense)
+        rare = rare[np.lexsort((rows[rare], terms[rare]))]
+        terms, self.ids, self.weights = terms[rare].astype(np.int64), rows[rare].astype(np.int32), weights[rare]
         # A run is what one term has in one block.
         key = terms * self.n_blocks + self.ids // block
         first = np.flatnonzero(np.diff(key, prepend=-1))
@@ -199,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
 
     Sent to the driver: the words and counts of the examples, and one frequency for each of their words.
     """
+    gc.collect()  # models of earlier runs in this session stand in reference cycles
     rows = label_rows(labels, "toxic", folds, fold)
     share = rows.agg(F.avg("label")).first()[0] or 0.0
     texts = sampled_texts(docs, sample_ids(rows, examples, "label = 1", "label = 0"))
@@ -212,17 +214,19 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
     held = held.groupBy(F.xxhash64("words", "counts").alias("h")).agg(F.min_by(F.struct(*held.columns), "doc_id").alias("e")).select("e.*", "h")
     known = held.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("h", "ascending")])
     of_label = known["label"].to_numpy()
-    of_row = np.repeat(np.arange(len(known)), pc.list_value_length(known["words"]).to_numpy())
+    of_row = np.repeat(np.arange(len(known), dtype=np.int32), pc.list_value_length(known["words"]).to_numpy())
     coded = pc.list_flatten(known["words"]).combine_chunks().dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     terms = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(order)).to_pylist())}
-    number = np.empty(len(terms), np.int64)
+    number = np.empty(len(terms), np.int32)
     number[order] = np.arange(len(terms))
-    numbers, counts = number[coded.indices.to_numpy()], pc.list_flatten(known["counts"]).to_numpy()
+    numbers, counts, doc_ids = number[coded.indices.to_numpy()], pc.list_flatten(known["counts"]).to_numpy(), known["doc_id"].to_numpy()
+    n_examples = len(known)
+    del known, coded  # the words stand in terms from here on
 
     ones = np.bincount(numbers, of_label[of_row], len(terms))
     zeros = np.bincount(numbers, minlength=len(terms)) - ones
-    n1, n0 = float(max(1, of_label.sum())), float(max(1, len(known) - of_label.sum()))
+    n1, n0 = float(max(1, of_label.sum())), float(max(1, n_examples - of_label.sum()))
     p = (ones + zeros + 0.5) / (n1 + n0 + 1)
     z = (ones / n1 - zeros / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     df, total = _document_frequencies(docs, terms) if terms else (np.zeros(0), 0)
@@ -230,12 +234,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
     # Examples of one label whose heaviest term is the same stand side by side: blocks of like examples have tighter bounds.
     by_weight = np.lexsort(((1 + np.log(counts)) * weights[numbers], of_row))
     last = by_weight[np.flatnonzero(np.diff(of_row[by_weight], append=-1))]
-    heaviest = np.full(len(known), -1)
+    heaviest = np.full(n_examples, -1)
     heaviest[of_row[last]] = numbers[last]
     order = np.lexsort((heaviest, of_label))
-    place = np.empty(len(known), np.int64)
-    place[order] = np.arange(len(known))
-    return ToxicityModel(terms, weights, known["doc_id"].take(pa.array(order)).to_pylist(), of_label[order], (place[of_row], numbers, counts), share)
+    place = np.empty(n_examples, np.int32)
+    place[order] = np.arange(n_examples)
+    del by_weight, last
+    return ToxicityModel(terms, weights, doc_ids[order].tolist(), of_label[order], (place[of_row], numbers, counts), share)
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
