@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm.common import bytes_array, map_slices, materialise, sliced, text_rows
@@ -48,6 +48,10 @@ SLICE, CHUNK = 1 << 20, 1 << 18
 CELLS, ROUNDS = 3, 8
 #: Signatures that a task packs at once, bytes of signatures that share a key, and signatures that are looked at together.
 PACKED, KEY_BYTES, AT_ONCE = 1 << 20, 24 << 20, 1 << 20
+#: Sets that a task of signatures knows at once, so as not to give those of copies again (about 25 MB).
+SEEN = 100_000
+#: Low bits of a set's first id that its name leaves out (24 at least: a name has five bytes).
+NAME_SHIFT = 24
 #: Sets of a star that are compared in one block.
 BLOCK = 1024
 #: Sets that one group of blocks holds, about.
@@ -239,38 +243,71 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return map_slices(text_rows(docs), run, "doc_id long, n_shingles long, set long, set_2 long, sketch binary", most=SLICE)
 
 
+def _five(values: np.ndarray) -> bytes:
+    """The low five bytes of each value."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_five(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def set_name(column: str) -> Column:
+    """The high bits of a set's first id: what goes with its signatures. Different sets of one name are candidates of their own."""
+    return F.shiftrightunsigned(column, NAME_SHIFT)
+
+
+def _packed(signature: np.ndarray, names: np.ndarray, n_keys: int) -> pa.RecordBatch:
+    """For each key one row: 5-byte signatures (a chance hit only makes one more candidate), and, for each run of signatures
+    of one set, its name in 5 bytes and the length of the run in one (a longer one is several)."""
+    key = (signature % _U(n_keys)).astype(np.int32)
+    order = np.argsort(key, kind="stable")
+    key, names, short = key[order], names[order], _five(signature[order] >> _U(24))
+    rows = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
+    first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | np.append(True, names[1:] != names[:-1]))
+    length = np.diff(first, append=len(key))
+    pieces = -(-length // 255)
+    nth, of = _nth(pieces)
+    counts = np.minimum(255, length[of] - 255 * nth).astype(np.uint8)
+    runs = np.searchsorted(first[of] + 255 * nth, rows).tolist()
+    cut = lambda raw, width, at: bytes_array([raw[width * i : width * j] for i, j in zip(at[:-1], at[1:], strict=True)])
+    return pa.RecordBatch.from_arrays([pa.array(key[rows[:-1]]), cut(short, 5, rows.tolist()), cut(_five(names[first[of]]), 5, runs), cut(counts.tobytes(), 1, runs)], ["key", "signatures", "sets", "counts"])
+
+
+def _nth(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 within each run of pieces, and the run of each."""
+    of = np.repeat(np.arange(len(pieces)), pieces)
+    return np.arange(len(of)) - (np.cumsum(pieces) - pieces)[of], of
+
+
 def _signature_rows(docs: DataFrame, n_keys: int) -> DataFrame:
-    """Signatures packed before the shuffle: for each key one row with 5-byte signatures (a chance hit only makes one
-    more candidate) and the first id of each one's set."""
-
-    def packed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        signature, ids = (np.concatenate(p) for p in zip(*parts, strict=True))
-        key = (signature % _U(n_keys)).astype(np.int32)
-        order = np.argsort(key, kind="stable")
-        edges = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1)).tolist()
-        short = (signature[order] >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-        sets, keys = ids[order].astype("<i8").tobytes(), key[order[edges[:-1]]]
-        cut = lambda raw, width: bytes_array([raw[width * a : width * b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
-        return pa.RecordBatch.from_arrays([pa.array(keys), cut(short, 5), cut(sets, 8)], ["key", "signatures", "sets"])
+    """Signatures packed before the shuffle. A task sends those of one set once, as long as it knows the set as one of the last SEEN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, parts, held = Bands(), [], 0
+        bands, parts, held, seen = Bands(), [], 0, set()
         for batch in batches:
             for rows in sliced(batch, "text", SLICE):
                 texts = rows.column("text").to_pylist()
                 some = [(s, t) for s, t in zip(shingle_sets(texts), texts, strict=True) if len(s)]
-                ids, nth = np.unique(set_ids([s for s, _ in some], [t for _, t in some])[0], return_index=True)
-                for i, at in zip(ids, nth.tolist(), strict=True):
-                    own = signatures(some[at][0], bands)
-                    parts.append((own, np.full(len(own), i)))
+                one, two = set_ids([s for s, _ in some], [t for _, t in some])
+                for (shingles, _), name, known in zip(some, (one.view(np.uint64) >> _U(NAME_SHIFT)).tolist(), zip(one.tolist(), two.tolist(), strict=True), strict=True):
+                    if known in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(known)
+                    own = signatures(shingles, bands)
+                    parts.append((own, np.full(len(own), name, np.uint64)))
                     held += len(own)
                     if held >= PACKED:
-                        yield packed(parts)
+                        yield _packed(*(np.concatenate(p) for p in zip(*parts, strict=True)), n_keys)
                         parts, held = [], 0
         if parts:
-            yield packed(parts)
+            yield _packed(*(np.concatenate(p) for p in zip(*parts, strict=True)), n_keys)
 
-    return text_rows(docs).mapInArrow(run, "key int, signatures binary, sets binary")
+    return text_rows(docs).mapInArrow(run, "key int, signatures binary, sets binary, counts binary")
 
 
 class _Leaders:
@@ -297,34 +334,34 @@ class _Leaders:
         return pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
 
 
-def _stars(packed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the first ids of leaders and of other sets of their buckets; memory is bounded by the signatures of one key."""
+def _stars(packed: DataFrame, tasks: int) -> DataFrame:
+    """Pairs (a, b) of the names of leaders and of other sets of their buckets; memory is bounded by the signatures of one key.
+
+    Keys are numbers that go round the tasks, so every task gets as many of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leaders, signatures, sets, held = None, _Leaders(), [], [], 0
 
         def met() -> pa.RecordBatch:
-            raw = b"".join(signatures)
-            wide = np.zeros((len(raw) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-            pairs = leaders.meet(wide.view("<u8").ravel(), np.frombuffer(b"".join(sets), "<i8"))
+            pairs = leaders.meet(_from_five(b"".join(signatures)), np.concatenate(sets).astype(np.int64))
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            for k, s, i in zip(*(batch.column(c) for c in ("key", "signatures", "sets")), strict=True):
+            for k, s, i, c in zip(*(batch.column(c) for c in ("key", "signatures", "sets", "counts")), strict=True):
                 if key is not None and (k.as_py() != key or held >= AT_ONCE):
                     yield met()
                     signatures, sets, held = [], [], 0
                     if k.as_py() != key:
                         leaders = _Leaders()
                 key = k.as_py()
-                signatures.append(s.as_py()), sets.append(i.as_py())
-                held += len(sets[-1]) // 8
+                signatures.append(s.as_py()), sets.append(np.repeat(_from_five(i.as_py()), np.frombuffer(c.as_py(), np.uint8)))
+                held += len(sets[-1])
         if signatures:
             yield met()
 
     # The order is total, so that a task that runs again chooses the same leaders.
-    ordered = packed.repartition("key").sortWithinPartitions("key", "signatures", "sets")
+    ordered = packed.repartitionById(tasks, F.pmod("key", F.lit(tasks))).sortWithinPartitions("key", "signatures", "sets", "counts")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -345,14 +382,15 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sieved(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of first ids as pairs of sets, with likely: whether sizes and sketches do not rule the pair out.
+    """Pairs (a, b) of names as pairs of sets, with likely: whether sizes and sketches do not rule the pair out.
 
-    A member's sketch goes to its leader once a star. Different sets with equal first ids are pairs as well.
+    A member's sketch goes to its leader once a star. Different sets of one name are pairs as well.
     """
-    side = lambda x, *more: sets.select(F.col("set").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "sketch", *more)])
+    sets = sets.withColumn("name", set_name("set"))
+    side = lambda x, *more: sets.select(F.col("name").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "sketch", *more)])
     both = stars.join(side("b"), "b").drop("b").join(side("a"), "a").drop("a")
-    alike = sets.groupBy("set").agg(F.min("cls").alias("cls_a"), F.count("*").alias("m")).filter("m > 1").select("set", "cls_a")
-    alike = alike.join(sets.select("set", "cls"), "set").filter("cls_a <> cls").select(F.col("cls_a").alias("a"), F.col("cls").alias("b"), F.lit(True).alias("likely"))
+    alike = sets.groupBy("name").agg(F.min("cls").alias("cls_a"), F.count("*").alias("m")).filter("m > 1").select("name", "cls_a")
+    alike = alike.join(sets.select("name", "cls"), "name").filter("cls_a <> cls").select(F.col("cls_a").alias("a"), F.col("cls").alias("b"), F.lit(True).alias("likely"))
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,8 +475,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = own.filter("set is not null").groupBy("set", "set_2").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     sets = materialise(sets.withColumn("cls", F.monotonically_increasing_id()), "classes")
     shingles = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_keys = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles * 13 // KEY_BYTES)
-    stars = materialise(_sieved(_stars(_signature_rows(docs, n_keys)), sets), "stars")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_keys = tasks * max(1, -(-shingles * 10 // (tasks * KEY_BYTES)))
+    stars = materialise(_sieved(_stars(_signature_rows(docs, n_keys), tasks), sets), "stars")
     links = materialise(_verified(docs, stars.filter("likely").select("a", "b"), sets), "links")
     components = materialise(connected_components(links), "components")
     rest = materialise(_rest_of_stars(stars, components, sets), "rest")

@@ -516,6 +516,10 @@ def test_near_duplicates(spark, seed, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "CHUNK", 1 << 10 if seed == 2 else ngram_join.CHUNK)
     monkeypatch.setattr(ngram_join, "AT_ONCE", 50 if seed == 3 else ngram_join.AT_ONCE)
+    monkeypatch.setattr(ngram_join, "NAME_SHIFT", 61 if seed == 1 else ngram_join.NAME_SHIFT)  # many sets of one name
+    monkeypatch.setattr(ngram_join, "SEEN", 3 if seed == 2 else ngram_join.SEEN)
+    monkeypatch.setattr(ngram_join, "PACKED", 700 if seed == 2 else ngram_join.PACKED)
+    monkeypatch.setattr(ngram_join, "KEY_BYTES", 2000 if seed == 3 else ngram_join.KEY_BYTES)  # several keys a task
     texts = near_corpus(seed)
     sets = [shingles(t) for t in texts]
     links = {i: set() for i in range(len(texts))}
@@ -557,6 +561,19 @@ def test_chunks_and_long_words_change_no_shingle(monkeypatch):
     assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
 
 
+def test_packed_signatures_come_back():
+    rnd = np.random.default_rng(5)
+    names = np.repeat(rnd.integers(0, 1 << 40, 12).astype(np.uint64), [1, 2, 254, 255, 256, 600, 3, 1, 1, 765, 9, 1])
+    signature = rnd.integers(0, 1 << 63, len(names)).astype(np.uint64)
+    for n_keys in (1, 2, 7, 4000):
+        got = []
+        for row in ngram_join._packed(signature, names, n_keys).to_pylist():
+            own = ngram_join._from_five(row["signatures"]).tolist()
+            sets = np.repeat(ngram_join._from_five(row["sets"]), np.frombuffer(row["counts"], np.uint8)).tolist()
+            got += [(row["key"], *pair) for pair in zip(own, sets, strict=True)]
+        assert sorted(got) == sorted(zip((signature % np.uint64(n_keys)).tolist(), (signature >> np.uint64(24)).tolist(), names.tolist(), strict=True))
+
+
 def test_leaders_do_not_depend_on_how_a_bucket_is_cut():
     rnd = np.random.default_rng(1)
     signature, sets = rnd.integers(0, 40, 3000).astype(np.uint64), rnd.integers(0, 200, 3000)
