@@ -16,7 +16,8 @@ No similar pair is lost.
 Candidates are checked exactly. In a bucket of one signature every set is first checked against one, the bucket's leader;
 the sets that meet a leader in any bucket are its star. Pairs within a star are only looked at where the star
 still holds sets of different components, each pair once a star instead of once a bucket. All pairs are first sieved by
-parity sketches (the sketches of two sets differ in at most as many bits as the sets differ in shingles), then checked exactly.
+folded parity sketches, those left by whole ones (the sketches of two sets differ in at most as many bits as the sets differ in
+shingles), then checked exactly.
 Sets are known by 128-bit hashes, so exact copies are one set. A bucket is read as a stream, in memory that does not grow with it.
 """
 
@@ -381,24 +382,51 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_slices(chosen, run, "set long, set_2 long, n long, shingles binary", most=SLICE)
 
 
-def _sieved(stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of names as pairs of sets, with likely: whether sizes and sketches do not rule the pair out.
+def coarse(bits: bytes, n: int) -> bytes:
+    """The sketch of a set of n shingles, folded to about a bit a shingle: a quarter of it, enough to drop most pairs."""
+    return folded(np.frombuffer(bits, "<u8"), max(SKETCH, 1 << (n - 1).bit_length()) // 64).tobytes()
 
-    A member's sketch goes to its leader once a star. Different sets of one name are pairs as well.
-    """
-    sets = sets.withColumn("name", set_name("set"))
-    side = lambda x, *more: sets.select(F.col("name").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "sketch", *more)])
-    both = stars.join(side("b"), "b").drop("b").join(side("a"), "a").drop("a")
-    alike = sets.groupBy("name").agg(F.min("cls").alias("cls_a"), F.count("*").alias("m")).filter("m > 1").select("name", "cls_a")
-    alike = alike.join(sets.select("name", "cls"), "name").filter("cls_a <> cls").select(F.col("cls_a").alias("a"), F.col("cls").alias("b"), F.lit(True).alias("likely"))
 
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coarse(sets: DataFrame) -> DataFrame:
+    """cls, name, n and the coarse sketch of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s_a, s_b = batch.column("sketch_a"), batch.column("sketch_b")
-            good = [may_be_similar(np.frombuffer(s_a[i].as_buffer(), "<u8"), n_a, np.frombuffer(s_b[i].as_buffer(), "<u8"), n_b) for i, (n_a, n_b) in enumerate(zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True))]
-            yield pa.RecordBatch.from_arrays([batch.column("cls_a"), batch.column("cls_b"), pa.array(good, pa.bool_())], ["a", "b", "likely"])
+            small = [coarse(s.as_buffer(), n) for s, n in zip(batch.column("sketch"), batch.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("name"), batch.column("n"), bytes_array(small)], ["cls", "name", "n", "sketch"])
+
+    return sets.select("cls", set_name("set").alias("name"), "n", "sketch").mapInArrow(run, "cls long, name long, n long, sketch binary")
+
+
+def _sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        s_a, s_b = batch.column("sketch_a"), batch.column("sketch_b")
+        good = [may_be_similar(np.frombuffer(s_a[i].as_buffer(), "<u8"), n_a, np.frombuffer(s_b[i].as_buffer(), "<u8"), n_b) for i, (n_a, n_b) in enumerate(zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True))]
+        yield pa.RecordBatch.from_arrays([batch.column("cls_a"), batch.column("cls_b"), pa.array(good, pa.bool_())], ["a", "b", "likely"])
+
 
-    return both.mapInArrow(sieve, "a long, b long, likely boolean").unionByName(alike)
+def _sides(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """Pairs of keys (a, b) with what _sieve reads of both sets."""
+    side = lambda x: sets.select(F.col(key).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "sketch")])
+    return pairs.join(side("b"), "b").drop("b").join(side("a"), "a").drop("a")
+
+
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that whole sketches let through; pairs is a written table. Only sketches of their sets are joined."""
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    own = materialise(ends.join(sets.select("cls", "n", "sketch"), "cls"), "sketches")
+    return _sides(pairs, own, "cls").mapInArrow(_sieve, "a long, b long, likely boolean").filter("likely").select("a", "b")
+
+
+def _sieved(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names as pairs of sets, with likely: whether sizes and coarse sketches do not rule the pair out.
+
+    A member's coarse sketch goes to its leader once a star. Different sets of one name are pairs as well.
+    """
+    named = sets.select("cls", set_name("set").alias("name"))
+    alike = named.groupBy("name").agg(F.min("cls").alias("cls_a"), F.count("*").alias("m")).filter("m > 1").select("name", "cls_a")
+    alike = alike.join(named, "name").filter("cls_a <> cls").select(F.col("cls_a").alias("a"), F.col("cls").alias("b"), F.lit(True).alias("likely"))
+    return _sides(stars, _coarse(sets), "name").mapInArrow(_sieve, "a long, b long, likely boolean").unionByName(alike)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -422,12 +450,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rest_of_stars(stars: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within a star that sizes and sketches let through; large stars are cut into blocks."""
+    """Pairs (a, b) of different components within a star that sizes and coarse sketches let through; large stars are cut into blocks."""
     placed = stars.select(F.col("a").alias("star"), F.col("b").alias("set")).distinct().join(components.select(F.col("node").alias("set"), "component"), "set", "left").select("star", "set", F.coalesce("component", "set").alias("component"))
     mixed = placed.groupBy("star").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("star", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     mixed = materialise(mixed, "mixed")
     total = mixed.agg(F.coalesce(F.sum(F.col("m") * F.col("blocks")), F.lit(0))).first()[0]
-    rows = placed.join(mixed.drop("m"), "star").join(sets.select(F.col("cls").alias("set"), "n", "sketch"), "set")
+    rows = placed.join(mixed.drop("m"), "star").join(_coarse(sets).select(F.col("cls").alias("set"), "n", "sketch"), "set")
     spread = rows.withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "component", "n", "sketch")
     tasks = max(8 * int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)  # blocks are many and mostly small: some share a group
@@ -478,9 +506,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_keys = tasks * max(1, -(-shingles * 10 // (tasks * KEY_BYTES)))
     stars = materialise(_sieved(_stars(_signature_rows(docs, n_keys), tasks), sets), "stars")
-    links = materialise(_verified(docs, stars.filter("likely").select("a", "b"), sets), "links")
+    close = materialise(_close(stars.filter("likely").select("a", "b"), sets), "close")
+    links = materialise(_verified(docs, close, sets), "links")
     components = materialise(connected_components(links), "components")
     rest = materialise(_rest_of_stars(stars, components, sets), "rest")
+    rest = materialise(_close(rest, sets), "close")
     if not rest.isEmpty():
         more = _verified(docs, rest, sets)
         components = materialise(connected_components(links.unionByName(more)), "components")

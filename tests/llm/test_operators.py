@@ -550,6 +550,8 @@ def test_similar_sets_share_a_signature(rounds, monkeypatch):
             assert np.intersect1d(ngram_join.signatures(x, bands), ngram_join.signatures(y, bands)).size
             words = lambda s: np.frombuffer(ngram_join.sketch(s), "<u8")
             assert ngram_join.may_be_similar(words(x), len(x), words(y), len(y))
+            rough = lambda s: np.frombuffer(ngram_join.coarse(ngram_join.sketch(s), len(s)), "<u8")
+            assert ngram_join.may_be_similar(rough(x), len(x), rough(y), len(y))
 
 
 def test_chunks_and_long_words_change_no_shingle(monkeypatch):
