@@ -94,13 +94,31 @@ class Blocks:
 
     def slice(self, start: Column, n: Column) -> Column:
         """n (at most _REACH) characters from start on."""
-        return F.get(self.column, (start / _REACH).cast("int")).substr((start % _REACH).cast("int") + 1, n.cast("int"))
+        return F.coalesce(F.get(self.column, (start / _REACH).cast("int")), F.lit("")).substr((start % _REACH).cast("int") + 1, n.cast("int"))
+
+
+def cut_blocks(text: Column, width: int, size: int) -> Column:
+    """The text from each multiple of `width` on, `size` characters of it (or what is left).
+
+    A character's place is found by a walk from the beginning, so the text is first cut coarsely and the coarse parts finely.
+    """
+    wide = 64 * width
+    last = lambda n, w: (F.greatest(n - 1, F.lit(0)) / w).cast("int")
+
+    def fine(part: Column, j: Column, length: Column) -> Column:
+        own = F.least(length - j * wide, F.lit(wide))
+        return F.transform(F.sequence(F.lit(0), last(own, width)), lambda i: part.substr(i * width + 1, F.lit(size)))
+
+    def coarse(length: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), last(length, wide)), lambda j: text.substr(j * wide + 1, F.lit(wide + size - width)))
+        return F.flatten(F.transform(parts, lambda part, j: fine(part, j, length)))
+
+    return let(F.coalesce(F.length(text), F.lit(0)), coarse)
 
 
 def with_blocks(text: Column, body: Callable[[Blocks], Column]) -> Column:
     """body with the text's blocks, which are cut once."""
-    last = (F.coalesce(F.length(text), F.lit(0)) / _REACH).cast("int")
-    return let(F.transform(F.sequence(F.lit(0), last), lambda i: text.substr(i * _REACH + 1, F.lit(2 * _REACH))), lambda own: body(Blocks(own)))
+    return let(cut_blocks(text, _REACH, 2 * _REACH), lambda own: body(Blocks(own)))
 
 
 def context_before(text: Column | Blocks, start: Column, width: int) -> Column:

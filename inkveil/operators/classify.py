@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
 from inkveil.functions.text import context_after, context_before, digits_only, let, normalise_name, phrase
+from inkveil.operators.containment import with_first_around
 
 
 def contact_key(kind: Column, text: Column) -> Column:
@@ -172,10 +173,9 @@ def title_evidence(persons: DataFrame, docs: DataFrame, titles: DataFrame) -> Da
 
 def enclosing(spans: DataFrame, structures: DataFrame) -> DataFrame:
     """Each span with the kind of the structure around it: the first by start, salutations last."""
-    s = structures.select("doc_id", "kind", F.col("start_char").alias("s_start"), F.col("end_char").alias("s_end"))
-    inside = spans.join(s, "doc_id").filter("s_start <= start_char and end_char <= s_end")
-    key = F.struct((F.col("kind") == "salutation").alias("late"), "s_start", "s_end", "kind")
-    return inside.groupBy("doc_id", "start_char", "end_char").agg(F.min(key).alias("s")).select("doc_id", "start_char", "end_char", "s.kind")
+    salutation = F.col("kind") == "salutation"
+    swept = with_first_around(spans.select("doc_id", "start_char", "end_char").distinct(), structures, {"early": ~salutation, "late": salutation})
+    return swept.select("doc_id", "start_char", "end_char", F.coalesce("early", "late").alias("kind")).filter("kind is not null")
 
 
 def classify_persons(persons: DataFrame, docs: DataFrame, names: DataFrame, officials: DataFrame, titles: DataFrame, structures: DataFrame) -> DataFrame:

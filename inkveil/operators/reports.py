@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkveil.functions import intervals
 from inkveil.functions import values as V
+from inkveil.functions.text import cut_blocks, let
 
 REPORTABLE = ("accepted", "auto_accepted")
 LABELS = {
@@ -103,21 +105,49 @@ def xml_documents(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, detections: DataFrame, block: str = "█") -> DataFrame:
-    """doc_id, text, n: texts whose reportable ranges are block characters; overlapping ranges are joined first.
+    """doc_id, text, n: texts whose reportable ranges are block characters; n is the number of distinct ranges.
 
-    The text is put together from the parts between ranges, in one pass over the sorted ranges.
+    Overlapping ranges are joined first. Each block of a text is put together from the parts of ranges within it, so a range far
+    behind costs no more than one in front.
     """
-    ranges = detections.filter(F.col("review_status").isin(*REPORTABLE)).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("start_char").alias("s"), F.col("end_char").alias("e")))).alias("ranges"))
-    joined = docs.select("doc_id", "text").join(ranges, "doc_id", "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<struct<s:int,e:int>>")))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    ranges = detections.filter(F.col("review_status").isin(*REPORTABLE)).groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"))).alias("ranges"))
+    held = docs.select("doc_id", "text").join(ranges, "doc_id", "left").withColumn("ranges", F.coalesce("ranges", F.array().cast("array<struct<start_char:int,end_char:int>>")))
+    done = F.when(F.size("ranges") == 0, F.col("text")).otherwise(painted(F.col("text"), intervals.joined(F.col("ranges")), block))
+    return held.select("doc_id", done.alias("text"), F.size("ranges").cast("long").alias("n"))
 
-    def step(acc: Column, r: Column) -> Column:
-        begin = F.greatest(acc["at"], r["s"])
-        more = F.concat(acc["parts"], F.array(F.col("text").substr(acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(block), F.greatest(r["e"] - begin, F.lit(0)))))
-        return F.struct(F.greatest(acc["at"], r["e"]).alias("at"), more.alias("parts"))
 
-    done = F.aggregate("ranges", state, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    return joined.select("doc_id", done.alias("text"), F.size("ranges").cast("long").alias("n"))
+def painted(text: Column, ranges: Column, block: str) -> Column:
+    """The text with its sorted, disjoint ranges as block characters."""
+    width = 2048
+    first = lambda r: F.greatest(r["start_char"], F.lit(0))
+
+    def pieces(r: Column) -> Column:
+        """A range cut at the borders of blocks: the block's number, and begin and end within it."""
+        numbers = F.sequence((first(r) / width).cast("int"), ((r["end_char"] - 1) / width).cast("int"))
+        return F.transform(numbers, lambda k: F.struct(k.alias("k"), F.greatest(first(r) - k * width, F.lit(0)).alias("a"), F.least(r["end_char"] - k * width, F.lit(width)).alias("b")))
+
+    def of_block(here: Column, k: Column, own: Column, upto: Column) -> Column:
+        """One block: what stands before each piece, block characters for it, and the rest."""
+        before = F.when(k == 0, F.lit(0)).otherwise(F.get(upto, k - 1))
+
+        def put(mine: Column) -> Column:
+            gap = lambda p, i: F.when(i == 0, F.lit(0)).otherwise(F.get(mine, i - 1)["b"])
+            parts = F.transform(mine, lambda p, i: F.concat(here.substr(gap(p, i) + 1, p["a"] - gap(p, i)), F.repeat(F.lit(block), p["b"] - p["a"])))
+            return F.concat(F.array_join(parts, ""), here.substr(F.coalesce(F.try_element_at(mine, F.lit(-1))["b"], F.lit(0)) + 1, F.lit(width)))
+
+        return let(F.slice(own, before + 1, F.get(upto, k) - before), put)
+
+    def whole(own: Column, length: Column) -> Column:
+        counts = F.transform(own, lambda p, i: F.struct(p["k"].alias("start_char"), (i + 1).alias("end_char")))
+        numbers = F.sequence(F.lit(0), (F.greatest(length - 1, F.lit(0)) / width).cast("int"))
+        upto = F.transform(intervals.reaches(counts, numbers, inclusive=True), lambda n: F.greatest(n, F.lit(0)))
+        return let(upto, lambda u: F.array_join(F.transform(cut_blocks(text, width, width), lambda here, k: of_block(here, k, own, u)), ""))
+
+    def within(length: Column) -> Column:
+        inside = F.filter(F.transform(ranges, lambda r: r.withField("end_char", F.least(r["end_char"], length))), lambda r: r["end_char"] > first(r))
+        return let(F.flatten(F.transform(inside, pieces)), lambda own: whole(own, length))
+
+    return let(F.length(text), within)
 
 
 def buckets(values: DataFrame, column: str, edges: tuple[int, ...] = (0, 10, 50, 100)) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import normalise_name
+from inkveil.operators.containment import with_inside, with_narrowest_around
 
 
 def apply_edits(detections: DataFrame, edits: DataFrame) -> DataFrame:
@@ -93,9 +94,8 @@ def remove(detections: DataFrame, ids: DataFrame) -> DataFrame:
 
 def sweep_block(detections: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pending detections inside a block (doc_id, start_char, end_char) become accepted."""
-    b = blocks.select("doc_id", F.col("start_char").alias("b_start"), F.col("end_char").alias("b_end"))
-    inside = detections.filter("review_status = 'pending'").join(b, "doc_id").filter("b_start <= start_char and end_char <= b_end").select("doc_id", "start_char", "end_char").distinct().withColumn("swept", F.lit(True))
-    return detections.join(inside, ["doc_id", "start_char", "end_char"], "left").withColumn("review_status", F.when(F.col("swept") & (F.col("review_status") == "pending"), "accepted").otherwise(F.col("review_status"))).drop("swept")
+    swept = F.when(F.col("swept") & (F.col("review_status") == "pending"), "accepted").otherwise(F.col("review_status"))
+    return with_inside(detections, blocks, "swept").withColumn("review_status", swept).drop("swept")
 
 
 def sweep_name(detections: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -167,10 +167,14 @@ def block_groups(detections: DataFrame, blocks: DataFrame) -> DataFrame:
 
     A detection belongs to the narrowest block around it.
     """
-    b = blocks.select("doc_id", "kind", F.col("start_char").alias("b_start"), F.col("end_char").alias("b_end"))
-    inside = detections.join(b, "doc_id").filter("b_start <= start_char and end_char <= b_end")
-    narrow = inside.groupBy("doc_id", "start_char", "end_char", "review_status").agg(F.min(F.struct((F.col("b_end") - F.col("b_start")).alias("width"), "b_start", "b_end", "kind")).alias("b"))
-    return narrow.groupBy("doc_id", F.col("b.kind").alias("kind"), F.col("b.b_start").alias("start_char"), F.col("b.b_end").alias("end_char")).agg(F.count("*").alias("n"), F.count_if(F.col("review_status") == "pending").alias("pending"))
+    narrow = with_narrowest_around(detections.select("doc_id", "start_char", "end_char", "review_status"), blocks).filter("around is not null")
+    groups = narrow.groupBy("doc_id", F.col("around.kind").alias("kind"), F.col("around.start_char").alias("start_char"), F.col("around.end_char").alias("end_char"))
+    return groups.agg(F.count("*").alias("n"), F.count_if(F.col("review_status") == "pending").alias("pending"))
+
+
+def sweepable(groups: DataFrame) -> DataFrame:
+    """Groups that a sweep would change: those with a row that waits."""
+    return groups.filter("pending > 0")
 
 
 def weighed(items: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions import intervals
 from inkveil.functions import values as V
 from inkveil.functions.checks import eleven_test, luhn, mod_97
 from inkveil.functions.text import Blocks, context_after, context_before, digits_only, first_in, first_of_repeated, let, match_many, with_blocks
@@ -51,9 +52,21 @@ def _kvk(text: Blocks, anchors: Column, numbers: Column) -> Column:
         return gap.between(0, V.KVK_FAR) & between.rlike("[A-Za-z]{2,}") & ~between.rlike(r"(?U)\.\s+[A-Z]")
 
     def passes(close: Column) -> Column:
-        taken = lambda n: F.exists(close, lambda c: c["start_char"] == n["start_char"])
-        far = F.filter(numbers, lambda n: ~taken(n) & F.exists(anchors, lambda a: in_table(n, a)))
-        return F.concat(close.cast(_HIT), F.transform(far, lambda s: F.struct(s["text"], s["start_char"], s["end_char"], F.lit(KVK_FAR_CONFIDENCE))).cast(_HIT))
+        starts, ends = F.transform(numbers, lambda n: n["start_char"]), F.transform(numbers, lambda n: n["start_char"] - V.KVK_FAR)
+        # How many anchors end before a number and before its reach: those between are the only ones that can have it.
+        ended = F.transform(anchors, lambda a, i: F.struct(a["end_char"].alias("start_char"), (i + 1).alias("end_char")))
+        met = F.transform(close, lambda c: F.struct(c["start_char"].alias("start_char"), c["start_char"].alias("end_char")))
+        places = F.arrays_zip(
+            numbers.alias("n"), intervals.reaches(met, starts, inclusive=True).alias("met"),
+            intervals.reaches(ended, starts, inclusive=True).alias("upto"), intervals.reaches(ended, ends).alias("gone"))
+
+        def far(p: Column) -> Column:
+            gone = F.greatest(p["gone"], F.lit(0))
+            own = F.slice(anchors, gone + 1, F.greatest(p["upto"] - gone, F.lit(0)))
+            return (p["met"] != p["n"]["start_char"]) & F.exists(own, lambda a: in_table(p["n"], a))
+
+        rows = F.transform(F.filter(places, far), lambda p: F.struct(p["n"]["text"], p["n"]["start_char"], p["n"]["end_char"], F.lit(KVK_FAR_CONFIDENCE)))
+        return F.concat(close.cast(_HIT), rows.cast(_HIT))
 
     return let(_near_anchor(text, anchors, f"(?U){V.KVK_NUMBER}", V.KVK_NEAR, 8, CONFIDENCE["kvk"]), passes)
 

@@ -1,18 +1,21 @@
 """Contextual identifiers: names, addresses, reference numbers and dates, found and merged within each text's row.
 
-Everything works on arrays of spans in the row of a text, so there is no shuffle; order-dependent merges are folds over
-those arrays. Column functions take the text and give arrays; `detect` turns the final array into rows.
+Everything works on arrays of spans in the row of a text, so there is no shuffle; merges are sweeps over sorted spans, and contexts
+come from blocks of the text, so that work grows with a text's hits and not with their square. Column functions take the text and give
+arrays; `detect` turns the final array into rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions import intervals
 from inkveil.functions import values as V
-from inkveil.functions.text import context_after, context_before, let, match_spans, normalise_token, particle_pattern, with_blocks
+from inkveil.functions.text import Blocks, context_after, context_before, first_of_repeated, let, match_spans, normalise_token, particle_pattern, with_blocks
 
 HIT = "array<struct<entity_type:string,text:string,start_char:int,end_char:int,confidence:double,source:string>>"
 _LINE_GAP = r"[^\S\n]+"
@@ -47,7 +50,7 @@ def plausible_person(text: Column) -> Column:
     )
 
 
-def plausible_home(span: Column, text: Column, start: Column) -> Column:
+def plausible_home(span: Column, text: Column | Blocks, start: Column) -> Column:
     """False where an address is an institution's: by its words or by the label before it."""
     tokens = F.transform(F.split(F.trim(span), r"(?U)\s+"), lambda t: F.lower(F.regexp_replace(t, r"^[.,;:()]+|[.,;:()]+$", "")))
     words = F.array(*[F.lit(w) for w in V.ORGANISATION_WORDS + V.PUBLIC_BUILDINGS])
@@ -55,7 +58,7 @@ def plausible_home(span: Column, text: Column, start: Column) -> Column:
     return F.trim(span).contains(" ") & ~F.arrays_overlap(tokens, words) & ~context_before(text, start, CONTEXT).rlike(label)
 
 
-def event_date(span: Column, text: Column, start: Column, as_of: Column) -> Column:
+def event_date(span: Column, text: Column | Blocks, start: Column, as_of: Column) -> Column:
     """True where a date is that of a recent year or of an administrative act, thus not a birth date."""
     year = F.regexp_extract(span, r"\b(?:19|20)\d{2}\b", 0).try_cast("int")
     return F.coalesce(year >= F.year(as_of) - 2, F.lit(False)) | context_before(text, start, CONTEXT).rlike(f"(?iU){V.EVENT_BEFORE}")
@@ -87,14 +90,13 @@ def score_name(text: Column, first_names: Sequence[str], surnames: Sequence[str]
 
 
 def streets(text: Column) -> Column:
-    spans = match_spans(text, STREET, text.rlike(rf"(?:{'|'.join(V.STREET_ENDINGS)})\s+\d"))
-
-    def scored(codes: Column) -> Column:
-        near = lambda s: F.exists(codes, lambda c: (c["start_char"] - s["end_char"]).between(0, NEAR_POSTCODE) | (s["start_char"] - c["end_char"]).between(0, NEAR_POSTCODE))
-        return F.transform(spans, lambda s: hit("adres", s["text"], s["start_char"], F.when(near(s), 0.92).otherwise(0.85), "regex"))
+    def scored(spans: Column) -> Column:
+        codes = match_spans(text, f"(?U){V.POSTCODE}", text.rlike(r"\d{4}"))
+        row = lambda s, near: hit("adres", s["text"], s["start_char"], F.when(near, 0.92).otherwise(0.85), "regex")
+        return F.zip_with(spans, let(codes, lambda own: intervals.near(spans, own, NEAR_POSTCODE)), row)
 
-    hits = let(match_spans(text, f"(?U){V.POSTCODE}", text.rlike(r"\d{4}")), scored)
-    return F.filter(hits, lambda h: plausible_home(h["text"], text, h["start_char"]))
+    spans = match_spans(text, STREET, text.rlike(rf"(?:{'|'.join(V.STREET_ENDINGS)})\s+\d"))
+    return with_blocks(text, lambda own: F.filter(let(spans, scored), lambda h: plausible_home(h["text"], own, h["start_char"])))
 
 
 def house_numbers(text: Column) -> Column:
@@ -108,8 +110,9 @@ def house_numbers(text: Column) -> Column:
 
 
 def initials_names(text: Column) -> Column:
-    spans = match_spans(text, INITIALS, text.rlike(r"[A-Z]\."))
-    kept = F.filter(spans, lambda s: ~context_after(text, s["end_char"], 2).rlike(r"^\.\p{L}") & ~F.upper(F.regexp_replace(F.regexp_extract(s["text"], r"(?U)^(?:[A-Z]\.\s*){1,4}", 0), r"(?U)[\s.]", "")).isin(*V.NOT_SURNAMES))
+    found = match_spans(text, INITIALS, text.rlike(r"[A-Z]\."))
+    spans = with_blocks(text, lambda own: F.filter(found, lambda s: ~context_after(own, s["end_char"], 2).rlike(r"^\.\p{L}")))
+    kept = F.filter(spans, lambda s: ~F.upper(F.regexp_replace(F.regexp_extract(s["text"], r"(?U)^(?:[A-Z]\.\s*){1,4}", 0), r"(?U)[\s.]", "")).isin(*V.NOT_SURNAMES))
     return F.filter(F.transform(kept, lambda s: hit("persoon", F.trim(s["text"]), s["start_char"], F.lit(0.85), "initials_rule")), lambda h: plausible_person(h["text"]))
 
 
@@ -127,17 +130,16 @@ def references(text: Column) -> Column:
 def titled_names(text: Column) -> Column:
     """Names after a form of address: particles, initials and capitalised tokens as far as they go."""
 
-    def name(a: Column) -> Column:
-        run = F.regexp_extract(context_after(text, a["end_char"], TITLE_REACH), _AFTER_TITLE, 0)
+    def name(a: Column, own: Blocks) -> Column:
+        run = F.regexp_extract(context_after(own, a["end_char"], TITLE_REACH), _AFTER_TITLE, 0)
         bare = F.ltrim(F.regexp_replace(run, r"(?U)^\s+", ""))
         bare = F.when(bare.rlike(r"(?U)(?:^|\s)(?:[A-Z]\.)+$"), bare).otherwise(F.regexp_replace(bare, r"[,.;:!?)\]}]+$", ""))
         return hit("persoon", bare, a["end_char"] + F.length(F.regexp_extract(run, r"(?U)^\s+", 0)), F.lit(0.75), "title_rule")
 
     singles = sorted({w for p in V.DUTCH_PARTICLES + V.OTHER_PARTICLES for w in p.split()})
     capital = lambda t: t.rlike(rf"(?U)^{_CAP_TOKEN}") & ~F.lower(t).isin(*singles)
-    hits = F.filter(F.transform(match_spans(text, TITLE), name), lambda h: F.exists(F.split(h["text"], r"(?U)\s+"), capital) & plausible_person(h["text"]))
-    wider = lambda h, k: (k["start_char"] <= h["start_char"]) & (k["end_char"] >= h["end_char"]) & (k["end_char"] - k["start_char"] > h["end_char"] - h["start_char"])
-    return let(hits, lambda all_hits: F.filter(all_hits, lambda h: ~F.exists(all_hits, lambda k: wider(h, k))))
+    hits = with_blocks(text, lambda own: F.transform(match_spans(text, TITLE), lambda a: name(a, own)))
+    return intervals.not_within_longer(F.filter(hits, lambda h: F.exists(F.split(h["text"], r"(?U)\s+"), capital) & plausible_person(h["text"])))
 
 
 def listed_names(text: Column, first_names: Sequence[str], surnames: Sequence[str]) -> Column:
@@ -164,7 +166,7 @@ ORGANISATION = rf"(?U)\b(?:{_KEYWORDS})(?:{_LINE_GAP}(?:{particle_pattern(V.DUTC
 def dates(text: Column, as_of: Column) -> Column:
     """Dates that may be birth dates: not of recent years, not after an administrative word."""
     hits = F.transform(match_spans(text, DATE, text.rlike(r"\d{4}")), lambda s: hit("datum", s["text"], s["start_char"], F.lit(0.60), "ner"))
-    return F.filter(hits, lambda h: ~event_date(h["text"], text, h["start_char"], as_of))
+    return with_blocks(text, lambda own: F.filter(hits, lambda h: ~event_date(h["text"], own, h["start_char"], as_of)))
 
 
 def organisations(text: Column) -> Column:
@@ -189,25 +191,27 @@ def without_titles(text: Column, titles: Sequence[str]) -> Column:
     return F.regexp_replace(F.when(end != text, end).otherwise(inner), rf"(?iU)^(?:{any_title})\s+(?=\S)", "")
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start_char"] < b["end_char"]) & (b["start_char"] < a["end_char"])
-
-
-def merge_apart(base: Column, hits: Column) -> Column:
-    """Append the hits that overlap no span of their type, accepted hits included."""
-    clash = lambda acc, h: F.exists(acc, lambda a: (a["entity_type"] == h["entity_type"]) & overlaps(a, h))
-    return F.aggregate(hits, base, lambda acc, h: F.when(clash(acc, h), acc).otherwise(F.array_append(acc, h)))
+def merge_apart(base: Column, hits: Column, kind: str) -> Column:
+    """Append the hits, which are of one type and in the order of their starts, that overlap no span of that type, accepted hits included."""
+    same = lambda spans: F.filter(spans, lambda a: a["entity_type"] == kind)
+    return let(base, lambda own: F.concat(own, let(let(hits, lambda new: intervals.clear_of(new, same(own))), intervals.apart)))
 
 
 def replace_contained(base: Column, hits: Column) -> Column:
     """Drop the base's addresses that lie within a hit, then append all hits."""
-    inside = lambda a, new: F.exists(new, lambda h: (a["entity_type"] == "adres") & (h["start_char"] <= a["start_char"]) & (a["end_char"] <= h["end_char"]))
-    return let(hits, lambda new: F.concat(F.filter(base, lambda a: ~inside(a, new)), new))
+
+    def both(own: Column, new: Column) -> Column:
+        reach = intervals.reaches(new, F.transform(own, lambda a: a["start_char"]), inclusive=True)
+        kept = F.filter(F.zip_with(own, reach, lambda a, r: F.when((a["entity_type"] != "adres") | (r < a["end_char"]), a)), lambda a: a.isNotNull())
+        return F.concat(kept, new)
+
+    return let(base, lambda own: let(hits, lambda new: both(own, new)))
 
 
 def first_of_equals(spans: Column) -> Column:
-    same = lambda a, h: (F.lower(a["text"]) == F.lower(h["text"])) & (a["start_char"] == h["start_char"]) & (a["end_char"] == h["end_char"])
-    return F.aggregate(spans, F.array().cast(HIT), lambda acc, h: F.when(F.exists(acc, lambda a: same(a, h)), acc).otherwise(F.array_append(acc, h)))
+    """The first of spans of equal lower-cased text and offsets, in their order."""
+    ranked = first_of_repeated(F.transform(spans, lambda s, i: s.withField("ord", i)))
+    return F.transform(F.array_sort(F.transform(ranked, lambda s: F.struct(s["ord"].alias("ord"), s.alias("s")))), lambda x: x["s"].dropFields("ord")).cast(HIT)
 
 
 RULES = {"street": streets, "house_number": house_numbers, "initials": initials_names, "reference": references, "title": titled_names, "organisation": organisations}
@@ -248,11 +252,11 @@ def detect(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[
     """
     text, day = F.col("text"), F.lit(as_of).cast("date") if as_of else F.current_date()
     candidates = F.concat(trim_persons(listed_names(text, first_names, surnames).cast(HIT), titles).cast(HIT), dates(text, day).cast(HIT), organisations(text).cast(HIT))
-    staged = docs.select("doc_id", "text", F.filter(F.transform(candidates, trimmed), lambda s: s["text"] != "").alias("spans"))
-    for step, rule in ((merge_apart, streets), (replace_contained, house_numbers), (merge_apart, initials_names)):
-        staged = staged.withColumn("new", rule(text).cast(HIT)).withColumn("spans", step(F.col("spans"), F.col("new")))
-    staged = staged.withColumn("spans", F.concat("spans", references(text).cast(HIT))).withColumn("new", titled_names(text).cast(HIT)).withColumn("spans", merge_apart(F.col("spans"), F.col("new")))
-    rows = staged.select("doc_id", F.posexplode(first_of_equals(F.col("spans"))).alias("ord", "s")).select("doc_id", "ord", "s.*")
+    # One column a step: each is analysed by itself, which deeply nested lambdas would make slow.
+    staged, spans = docs.select("doc_id", "text", F.filter(F.transform(candidates, trimmed), lambda s: s["text"] != "").alias("spans")), F.col("spans")
+    for step, rule in ((partial(merge_apart, kind="adres"), streets), (replace_contained, house_numbers), (partial(merge_apart, kind="persoon"), initials_names), (F.concat, references), (partial(merge_apart, kind="persoon"), titled_names)):
+        staged = staged.withColumn("new", rule(text).cast(HIT)).withColumn("spans", step(spans, F.col("new")))
+    rows = staged.select("doc_id", F.posexplode(first_of_equals(spans)).alias("ord", "s")).select("doc_id", "ord", "s.*")
     ground = F.when(F.col("entity_type") == "organisatie", "").otherwise(V.GROUND)
     return rows.select("doc_id", "entity_type", F.lit("2").alias("tier"), "text", "start_char", "end_char", "confidence", ground.alias("woo_article"), "source", F.col("ord").cast("long").alias("ord"))
 
