@@ -201,7 +201,7 @@ def motivation(code: Column, missing: str) -> Column:
 def redaction_label(code: Column) -> Column:
     """What a reader of a redacted file is told: codes written 5.1.2.e count as 5.1.2e; a general sentence for others."""
     key = F.regexp_replace(F.lower(F.replace(code, F.lit(" "), F.lit(""))), r"\.(?=[a-z]$)", "")
-    name = _by_code(key, {c: V.SHORT_GROUNDS.get(c, g[0]) for c, g in V.GROUNDS.items()})
+    name = _by_code(key, V.SHORT_GROUNDS)
     return F.coalesce(F.concat(F.lit("Gelakt — Artikel "), code, F.lit(" — "), name), F.lit("Gelakt op grond van de Wet open overheid"))
 
 

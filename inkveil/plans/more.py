@@ -74,7 +74,7 @@ _CELL = lambda c: f"case when contains({c}, ',') then '\"' || {c} || '\"' else {
 query("csv_log", f"""select doc_id, nr, nr || ',' || coalesce(cast(page as varchar), '') || ',' || {LABEL} || ',' || tier || ',' || coalesce(woo_article, '') || ',' || coalesce({_CELL(NAME)}, '') || ',' || review_status || ',' || coalesce(source, '') || ',' || coalesce(strftime(to_timestamp(seen) at time zone 'UTC', '%Y-%m-%d %H:%M:%S'), '') || ',' || case when page is null then '0' else '1' end || ',' || case when woo_article is null then 'Geen Woo-artikel gekoppeld' else {_CELL('(' + MOTIVE + ')')} end as line
     from (select *, row_number() over (partition by doc_id order by det_id) as nr from {D} where {SHOWN}) union all select distinct doc_id, 0, '{",".join(reports.CSV_COLUMNS)}' from {D} where {SHOWN}""")(lambda s, d: reports.csv_log(detections(s, d)))
 query("redaction_boxes", f"select doc_id, det_id, page, cast(1 as double) as x0, y0, cast(9 as double) as x1, y0 + 8 as y1, coalesce(woo_article, '') as woo_article from {D} where {SHOWN} and page is not null")(lambda s, d: reports.redaction_boxes(detections(s, d)))
-_SHORT = {c: V.SHORT_GROUNDS.get(c, g[0]) for c, g in V.GROUNDS.items()}
+_SHORT = V.SHORT_GROUNDS
 query("redaction_labels", f"select det_id, coalesce('Gelakt — Artikel ' || woo_article || ' — ' || {case_of('replace(woo_article, chr(46) || chr(101), chr(101))', _SHORT)}, 'Gelakt op grond van de Wet open overheid') as label from {D}")(lambda s, d: detections(s, d).select("det_id", reports.redaction_label(F.col("woo_article")).alias("label")))
 query("ground_helpers", f"select det_id, 'Art. ' || woo_article || coalesce(' — ' || {NAME}, '') as label, {case_of('woo_article', {c: g[1] for c, g in V.GROUNDS.items()})} as kind from {D}")(lambda s, d: detections(s, d).select("det_id", reports.ground_label(F.col("woo_article")).alias("label"), reports.ground_kind(F.col("woo_article")).alias("kind")))
 _LISTED = ", ".join("('" + "', '".join((g[2], c, g[0], g[1])) + "')" for c, g in V.GROUNDS.items())

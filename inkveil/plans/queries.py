@@ -242,13 +242,15 @@ def _covered(s: SparkSession, d: str) -> DataFrame:
     return items(s, d).join(boxes, "doc_id").select("doc_id", "ord", locate.covered(box(0), F.col("boxes")).alias("covered"))
 
 
-def queries() -> dict[str, Query]:
-    from inkveil.plans import more
+def _others() -> dict[str, tuple[Query, str | None]]:
+    from inkveil.plans import more, places
 
-    return _QUERIES | {name: plan for name, (plan, _) in more.QUERIES.items()}
+    return more.QUERIES | places.QUERIES
 
 
-def oracle_sql() -> dict[str, str]:
-    from inkveil.plans import more
+def queries() -> dict[str, Query]:
+    return _QUERIES | {name: plan for name, (plan, _) in _others().items()}
 
-    return _ORACLES | {name: answer for name, (_, answer) in more.QUERIES.items()}
+
+def oracle_sql() -> dict[str, str]:
+    return _ORACLES | {name: answer for name, (_, answer) in _others().items() if answer}
