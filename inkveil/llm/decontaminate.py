@@ -160,9 +160,11 @@ class Prefixes:
         hashes, doc = word_hashes(data, start, stop), np.repeat(np.arange(len(first) - 1), np.diff(first))
         for size, (tokens, windows, places, begins) in self.by_size.items():
             place, token = tokens.meet(run_hashes(hashes, size))
+            if not len(place):
+                continue
             many = begins[token + 1] - begins[token]
             ends = np.cumsum(many)
-            edges = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, AT_ONCE), side="left").tolist()
+            edges = np.searchsorted(ends, np.arange(0, int(ends[-1]), AT_ONCE), side="left").tolist()
             for a, b in zip(edges, [*edges[1:], len(place)], strict=True):
                 some = many[a:b]
                 at = np.repeat(begins[token[a:b]], some) + np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)

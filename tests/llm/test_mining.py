@@ -99,6 +99,15 @@ def test_contamination_of_empty_tables(odd):
     assert len(clean) == len(docs) and not any(r.contaminated or r.n_hit or r.n_items for r in clean)
 
 
+def test_documents_without_any_passage(spark, odd):
+    """Not one shingle of an item is anywhere, or is in some slices only."""
+    _, _, _, benchmark, _ = odd
+    clean = spark.createDataFrame([(k, "nothing of the kind " * 9) for k in range(30)], "doc_id long, text string").repartition(7)
+    assert not any(r.contaminated for r in decontaminate.contamination_digests(decontaminate.contaminated(clean, benchmark.filter("item_id = 104"))).collect())
+    mixed = clean.unionByName(spark.createDataFrame([(99, "x " * 400)], "doc_id long, text string"))
+    assert [r.doc_id for r in decontaminate.contamination_digests(decontaminate.contaminated(mixed, benchmark.filter("item_id = 104"))).filter("contaminated").collect()] == [99]
+
+
 def test_equal_hashes_are_told_apart_by_bytes(odd, monkeypatch):
     docs, items, documents, benchmark, _ = odd
     real = words.word_hashes
