@@ -210,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int | None = None, fold: int
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["doc_id", "label", "words", "counts"])
 
     held = map_slices(texts.select("doc_id", "text", "label"), counted, "doc_id long, label int, words array<string>, counts array<int>")
-    # Copies are one example, the one with the smallest id.
-    held = held.groupBy(F.xxhash64("words", "counts").alias("h")).agg(F.min_by(F.struct(*held.columns), "doc_id").alias("e")).select("e.*", "h")
+    # Copies of one label are one example, the one with the smallest id; where equal words have both labels, each label keeps its own.
+    held = held.groupBy("label", F.xxhash64("words", "counts").alias("h")).agg(F.min_by(F.struct(*held.columns), "doc_id").alias("e")).select("e.*", "h")
     known = held.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("h", "ascending")])
     of_label = known["label"].to_numpy()
     of_row = np.repeat(np.arange(len(known), dtype=np.int32), pc.list_value_length(known["words"]).to_numpy())

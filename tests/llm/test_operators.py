@@ -288,6 +288,13 @@ def test_block_max_search_is_exact():
     assert skipped > 0
 
 
+def test_equal_texts_of_both_labels_keep_both(spark):
+    docs = spark.createDataFrame([(1, "same words here"), (2, "same words here"), (3, "same words here"), (4, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert sorted(zip(model.doc_ids, model.labels.tolist(), strict=True)) == [(1, 0.0), (2, 1.0), (4, 0.0)]
+
+
 def test_evidence(spark):
     docs, labels = labelled(spark)
     model = toxicity.fit(docs, labels)
