@@ -243,9 +243,9 @@ def _covered(s: SparkSession, d: str) -> DataFrame:
 
 
 def _others() -> dict[str, tuple[Query, str | None]]:
-    from inkveil.plans import more, places
+    from inkveil.plans import more, places, reviews
 
-    return more.QUERIES | places.QUERIES
+    return more.QUERIES | places.QUERIES | reviews.QUERIES
 
 
 def queries() -> dict[str, Query]:
