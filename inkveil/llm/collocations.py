@@ -24,7 +24,7 @@ MOST_WORDS, LEAST_COUNT, TOP, ABSORBED = 5, 100, 2000, 100
 #: Bits of the bitmap for each frequent phrase, and at most (16 MB).
 BITS_EACH, MAX_BITS = 32, 1 << 27
 #: Text bytes whose phrases are counted together in a task.
-SLICE = 8 << 20
+SLICE = 3 << 20
 #: Parts of a language whose best phrases are found apart.
 SALTS = 64
 _CUT = np.array([b in b".,;:!?" or 0x0A <= b <= 0x0D for b in range(256)])
@@ -68,22 +68,22 @@ class Slice:
         cuts = np.cumsum(_CUT[data])[start] if len(start) else start
         begins = np.diff(cuts, prepend=-1) != 0
         begins[first[:-1][first[:-1] < len(start)]] = True
-        self.piece = np.cumsum(begins)
+        self.piece = np.cumsum(begins, dtype=np.int32)
         self.line, self.end = joined_words(data, start, stop)
         self.begin = self.end - (stop - start)
         langs = rows.column("lang").dictionary_encode()
         self.langs = langs.dictionary.to_pylist()
-        self.lang = np.repeat(langs.indices.to_numpy(), np.diff(first)).astype(np.int64)
-        self.word, self.hash, self.distinct = np.empty(0, np.int64), np.empty(0, np.uint64), 0
+        self.lang = np.repeat(langs.indices.to_numpy(), np.diff(first))
+        self.word, self.hash, self.distinct = np.empty(0, np.int32), np.empty(0, np.uint64), 0
         if len(start):
             known = gathered(self.line, self.begin, self.end).dictionary_encode()
-            self.word, self.distinct = known.indices.to_numpy().astype(np.int64), len(known.dictionary)
+            self.word, self.distinct = known.indices.to_numpy(), len(known.dictionary)
             self.hash = _hashes(known.dictionary)[self.word] ^ np.array([_language_hash(x) for x in self.langs], np.uint64)[self.lang]
 
     def counted(self, size: int, frequent: Bitmap | None) -> pa.RecordBatch:
         """The phrases of `size` words that may be frequent, with their counts in the slice; at size 1 also, as the empty phrase, all words."""
         if size == 1:
-            code = self.lang * self.distinct + self.word
+            code = self.lang.astype(np.int64) * self.distinct + self.word
             n = np.bincount(code)
             some = np.flatnonzero(n)
             at = np.zeros(len(n), np.int64)

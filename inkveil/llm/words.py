@@ -82,10 +82,11 @@ def gathered(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
 
 def joined_words(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All words in one line with one space after each, and where each ends there."""
-    length = stop - start
-    ends = np.cumsum(length + 1) - 1
+    ends = np.cumsum(stop - start + 1) - 1
     line = np.full(int(ends[-1]) + 1 if len(ends) else 0, 32, np.uint8)
-    inside = np.ones(len(line), bool)
+    held, inside = np.zeros(len(data) + 1, np.int8), np.ones(len(line), bool)
+    held[start] += 1
+    held[stop] -= 1
     inside[ends] = False
-    line[inside] = data[np.repeat(start - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
+    line[inside] = data[np.cumsum(held[:-1], dtype=np.int8).view(bool)]
     return line, ends
