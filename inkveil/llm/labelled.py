@@ -54,12 +54,17 @@ def score_documents(docs: DataFrame, score: Callable[[list[str]], np.ndarray], f
 
 
 def filter_documents(docs: DataFrame, score: Callable[[list[str]], np.ndarray], keep: Callable[[np.ndarray], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose score `keep` accepts; null texts are scored as empty ones."""
+    """The rows of docs, all columns as they are, whose score `keep` accepts; null texts are scored as empty ones.
+
+    Columns are only known by their place meanwhile, so their names can hold dots and back-ticks.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in sliced(batch, text_col):
-                kept = keep(score([t or "" for t in rows.column(text_col).to_pylist()]))
+            for rows in sliced(batch, text):
+                kept = keep(score([t or "" for t in rows.column(text).to_pylist()]))
                 yield rows.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
