@@ -122,3 +122,15 @@ def joined(spans: Column) -> Column:
 
     plain = F.transform(spans, lambda s: F.struct(s["start_char"].cast("int").alias("start_char"), s["end_char"].cast("int").alias("end_char")))
     return F.when(F.size(spans) > 0, let(F.array_sort(F.filter(plain, lambda s: s["end_char"] > s["start_char"])), islands)).otherwise(F.array()).cast(kind)
+
+
+def known(keys: Column, others: Column) -> Column:
+    """For each of an array of texts whether the other array holds it: both are sorted together, and the last of the others is carried along."""
+    events = F.concat(F.transform(others, lambda k: F.struct(k.alias("key"), F.lit(0).alias("turn"), F.lit(-1).alias("i"))), F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.lit(1).alias("turn"), i.cast("int").alias("i"))))
+
+    def swept(own: Column) -> Column:
+        last = scan(own, F.lit(None).cast("string"), lambda key, e: F.when(e["turn"] == 0, e["key"]).otherwise(key))
+        answers = F.filter(F.zip_with(own, last, lambda e, key: F.struct(e["i"].alias("i"), e["key"].eqNullSafe(key).alias("met"))), lambda a: a["i"] >= 0)
+        return F.transform(F.array_sort(answers), lambda a: a["met"])
+
+    return let(F.array_sort(events), swept)

@@ -72,8 +72,8 @@ def reference_matches(persons: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def surname_of(text: Column) -> Column:
-    """A span's name without forms of address and initials, folded and in lower case."""
-    tokens = F.split(F.trim(text), r"(?U)\s+")
+    """A span's name without parts in brackets, forms of address and initials, folded and in lower case."""
+    tokens = F.split(F.trim(F.regexp_replace(text, r"\([^)]*\)", " ")), r"(?U)\s+")
     kept = F.filter(tokens, lambda t: ~F.lower(F.rtrim(t, F.lit("."))).isin(*V.HONORIFICS, "familie") & ~t.rlike(r"^(?:[A-Z]\.)+$") & ~t.rlike(r"^\p{L}$"))
     return phrase(F.array_join(kept, " "))
 

@@ -40,11 +40,16 @@ def breakdown(detections: DataFrame) -> DataFrame:
 
 
 def summary(detections: DataFrame) -> DataFrame:
-    """dimension, value, n over reportable rows: by ground, by tier (all three, zeros too), by source and by label."""
-    rows = detections.filter(F.col("review_status").isin(*REPORTABLE)).select(F.array(F.struct(F.lit("ground").alias("d"), F.coalesce("woo_article", F.lit("")).alias("v")), F.struct(F.lit("tier").alias("d"), F.col("tier").alias("v")), F.struct(F.lit("source").alias("d"), F.when(F.col("source").isin("manual", "search_redact"), "handmatig").otherwise("auto").alias("v")), F.struct(F.lit("label").alias("d"), label(F.col("entity_type")).alias("v"))).alias("keys"))
-    found = rows.select(F.inline("keys")).groupBy("d", "v").agg(F.count("*").alias("n"))
+    """dimension, value, n over reportable rows: by ground (rows without one not), by tier (all three, zeros too), by source and by label."""
+    by = {
+        "ground": F.expr("nullif(woo_article, '')"), "tier": F.col("tier"), "label": label(F.col("entity_type")),
+        "source": F.when(F.col("source").isin("manual", "search_redact"), "handmatig").otherwise("auto"),
+    }
+    keys = F.array(*[F.struct(F.lit(d).alias("d"), v.alias("v")) for d, v in by.items()])
+    rows = detections.filter(F.col("review_status").isin(*REPORTABLE)).select(F.inline(keys)).filter("v is not null")
     zeros = detections.sparkSession.createDataFrame([("tier", t, 0) for t in "123"], "d string, v string, n long")
-    return found.unionByName(zeros).groupBy(F.col("d").alias("dimension"), F.col("v").alias("value")).agg(F.sum("n").alias("n"))
+    found = rows.groupBy("d", "v").agg(F.count("*").alias("n")).unionByName(zeros)
+    return found.groupBy(F.col("d").alias("dimension"), F.col("v").alias("value")).agg(F.sum("n").alias("n"))
 
 
 def grounds(detections: DataFrame) -> DataFrame:
@@ -205,11 +210,12 @@ def redaction_label(code: Column) -> Column:
     return F.coalesce(F.concat(F.lit("Gelakt — Artikel "), code, F.lit(" — "), name), F.lit("Gelakt op grond van de Wet open overheid"))
 
 
-def grounds_of_tier(spark: SparkSession) -> DataFrame:
-    """tier, code, name, kind, place: the grounds that a tier offers, in the order of their codes."""
+def ground_choices(detections: DataFrame) -> DataFrame:
+    """det_id, tier, code, name, kind, place: the grounds that each detection's tier offers, in the order of their codes."""
     rows = [(g[2], c, g[0], g[1]) for c, g in V.GROUNDS.items()]
-    listed = spark.createDataFrame(rows, "tier string, code string, name string, kind string")
-    return listed.withColumn("place", F.row_number().over(W.partitionBy("tier").orderBy("code")).cast("long"))
+    listed = detections.sparkSession.createDataFrame(rows, "tier string, code string, name string, kind string")
+    placed = listed.withColumn("place", F.row_number().over(W.partitionBy("tier").orderBy("code")).cast("long"))
+    return detections.select("det_id", "tier").join(F.broadcast(placed), "tier").select("det_id", "tier", "code", "name", "kind", "place")  # twelve rows
 
 
 def by_hand(source: Column) -> Column:
@@ -279,8 +285,12 @@ def redaction_boxes(detections: DataFrame) -> DataFrame:
 
 
 def responses(detections: DataFrame) -> DataFrame:
-    """Rows as a client gets them: id (a hash of document, type and place, so that a second run gives the same), audit fields null."""
-    key = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "entity_type", F.col("start_char").cast("string"), F.col("end_char").cast("string")), 256)
+    """Rows as a client gets them: id (a hash of document, type and place, so that a second run gives the same; of rows without a place, which
+    reviewers made, of their det_id), audit fields null."""
+    place = F.col("start_char").cast("string"), F.col("end_char").cast("string")
+    made = F.concat_ws("|", F.lit("det"), F.col("det_id").cast("string")) if "det_id" in detections.columns else F.lit("")
+    unplaced = F.when(F.col("start_char").isNull() | F.col("end_char").isNull(), made)
+    key = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "entity_type", *place, unplaced), 256)
     empty = [F.lit(None).cast("string").alias(c) for c in ("reviewer_id", "reviewed_at", "propagated_from", "split_from")]
     return detections.select(key.alias("id"), "doc_id", "entity_type", "tier", "confidence", "woo_article", "review_status", "source", "start_char", "end_char", *empty)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
-from inkveil.functions.text import context_before, let, match_spans, running_totals
+from inkveil.functions.text import Blocks, context_before, let, match_many, running_totals, with_blocks
 
 _SPAN = "array<struct<start_char:int,end_char:int,evidence:string>>"
 _CLOSING = rf"(?iU)^\s*(?:{'|'.join(V.CLOSINGS)})"
@@ -110,25 +110,38 @@ def assemble(pages: DataFrame, gap: str = "\n\n") -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), gap).alias("text"), F.count("*").alias("n_pages"))
 
 
-_MONTHS = "|".join(sorted(V.MONTHS, key=len, reverse=True))
-_DATE = rf"(?iU)\b(?:\d{{1,2}}(?:-\d{{1,2}}-|\s+(?:{_MONTHS})\s+)\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})\b"
+_DATES = (rf"(?iU)\b\d{{1,2}}\s+(?:{'|'.join(V.MONTH_NAMES)})\s+\d{{4}}\b", r"(?U)\b\d{1,2}[-/]\d{1,2}[-/]\d{4}\b", r"(?U)\b\d{4}-\d{1,2}-\d{1,2}\b")
 
 
 def document_dates(pages: DataFrame, as_of: str | None = None) -> DataFrame:
     """doc_id, document_date: that of the first page that has one. pages: (doc_id, page, text).
 
-    Dates are 'd month Y', d-m-Y and Y-m-d with a year from 1901 to the one after as_of's (today's), but no birth dates. On a page the
-    latest date with a label such as 'datum' or 'verzonden' in the 30 characters before it counts, else the latest one.
+    Dates are 'd month Y' with the month's whole name, d-m-Y or d/m/Y, and Y-m-d, with or without leading zeros, of a year from 1901 to the one after as_of's
+    (today's), but no birth dates. On a page the latest date with a label such as 'datum' or 'verzonden' in the 30 characters before it counts, else the latest one.
     """
-    from inkveil.operators.tier1 import birth_date
-
     text, last = F.col("text"), F.year(F.lit(as_of).cast("date") if as_of else F.current_date()) + 1
+    months = F.array(*[F.lit(m) for m in V.MONTH_NAMES])
+
+    def day(written: Column) -> Column:
+        """The day of a date in one of the forms, or null where there is none such."""
+
+        def made(parts: Column) -> Column:
+            number = lambda k: F.get(parts, F.lit(k)).try_cast("int")
+            month = F.coalesce(number(1), F.array_position(months, F.lower(F.get(parts, F.lit(1)))).cast("int"))
+            first = F.length(F.get(parts, F.lit(0))) == 4
+            return F.to_date(F.try_to_timestamp(F.concat_ws("-", F.when(first, number(0)).otherwise(number(2)), month, F.when(first, number(2)).otherwise(number(0))), F.lit("y-M-d")))
+
+        return let(F.split(written, r"(?U)[-/]|\s+"), made)
+
+    def dated(s: Column, own: Blocks) -> Column:
+        before = context_before(own, s["start_char"], 30)
+
+        def judged(found: Column) -> Column:
+            fits = F.coalesce(F.year(found).between(1901, F.least(last, F.lit(2099))), F.lit(False)) & ~before.rlike(V.BIRTH_BEFORE)
+            return F.when(fits, F.struct(before.rlike(V.DATE_BEFORE).alias("labelled"), found.alias("day")))
 
-    def dated(s: Column) -> Column:
-        day = F.when(s["text"].rlike(r"^\d{4}-"), F.try_to_date(s["text"], "yyyy-MM-dd")).otherwise(birth_date(s["text"]))
-        before = context_before(text, s["start_char"], 30)
-        fits = F.coalesce(F.year(day).between(1901, F.least(last, F.lit(2099))), F.lit(False)) & ~before.rlike(V.BIRTH_BEFORE)
-        return F.when(fits, F.struct(before.rlike(V.DATE_BEFORE).alias("labelled"), day.alias("day")))
+        return let(day(s["text"]), judged)
 
-    found = F.array_max(F.transform(match_spans(text, _DATE, text.rlike(r"\d{4}")), dated))["day"]
+    spans = F.flatten(match_many(text, [(p, text.rlike(r"\d{4}")) for p in _DATES]))
+    found = F.array_max(with_blocks(text, lambda own: F.transform(spans, lambda s: dated(s, own))))["day"]
     return pages.select("doc_id", "page", found.alias("date")).groupBy("doc_id").agg(F.min_by("date", F.when(F.col("date").isNotNull(), F.col("page"))).alias("document_date"))

@@ -139,6 +139,11 @@ def _hits(text: Column, as_of: Column, types: tuple[str, ...]) -> Column:
     return with_blocks(text, every) if {"kvk", "geboortedatum"} & set(types) else every(None)
 
 
+def hits(text: Column, as_of: str | None = None, types: tuple[str, ...] = ORDER) -> Column:
+    """The rows of `detect` of a text, as an array of structs in its row."""
+    return first_of_repeated(_hits(text, F.lit(as_of).cast("date") if as_of else F.current_date(), types))
+
+
 def detect(docs: DataFrame, types: tuple[str, ...] = ORDER, as_of: str | None = None, text_col: str = "text", before: int = 0) -> DataFrame:
     """One row per hard identifier: doc_id, entity_type, tier, text, start_char, end_char, confidence, woo_article, source, ord.
 
@@ -147,9 +152,9 @@ def detect(docs: DataFrame, types: tuple[str, ...] = ORDER, as_of: str | None =
     of that name with so many characters before the hit, for decisions that look there. Nothing leaves the row of a document.
     """
     text = F.col(text_col)
-    day = F.lit(as_of).cast("date") if as_of else F.current_date()
-    hits = first_of_repeated(_hits(text, day, types))
+    found = hits(text, as_of, types)
     if before:
-        hits = with_blocks(text, lambda own: F.transform(hits, lambda h: h.withField("before", context_before(own, h["start_char"], before))))
-    rows = docs.select("doc_id", F.inline(hits))
+        plain = found
+        found = with_blocks(text, lambda own: F.transform(plain, lambda h: h.withField("before", context_before(own, h["start_char"], before))))
+    rows = docs.select("doc_id", F.inline(found))
     return rows.select("doc_id", "entity_type", F.lit("1").alias("tier"), "text", "start_char", "end_char", "confidence", "woo_article", F.lit("regex").alias("source"), "ord", *["before"] * bool(before))

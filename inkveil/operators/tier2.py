@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import intervals
 from inkveil.functions import values as V
 from inkveil.functions.text import Blocks, context_after, context_before, first_of_repeated, let, match_spans, normalise_token, particle_pattern, with_blocks
+from inkveil.operators import tier1
 
 HIT = "array<struct<entity_type:string,text:string,start_char:int,end_char:int,confidence:double,source:string>>"
 _LINE_GAP = r"[^\S\n]+"
@@ -245,20 +246,47 @@ def trim_persons(spans: Column, titles: Sequence[str]) -> Column:
     return F.filter(F.transform(spans, bare), lambda h: h["text"] != "") if titles else spans
 
 
+def _staged(docs: DataFrame, first_names: Sequence[str], surnames: Sequence[str], as_of: str | None, titles: Sequence[str], *keep: str) -> DataFrame:
+    """doc_id, text, what is to be kept, and spans: the merged hits of all rules."""
+    text, day = F.col("text"), F.lit(as_of).cast("date") if as_of else F.current_date()
+    candidates = F.concat(trim_persons(listed_names(text, first_names, surnames).cast(HIT), titles).cast(HIT), dates(text, day).cast(HIT), organisations(text).cast(HIT))
+    # One column a step: each is analysed by itself, which deeply nested lambdas would make slow.
+    staged, spans = docs.select("doc_id", "text", *keep, F.filter(F.transform(candidates, trimmed), lambda s: s["text"] != "").alias("spans")), F.col("spans")
+    addresses, persons = partial(merge_apart, kind="adres"), partial(merge_apart, kind="persoon")
+    for step, rule in ((addresses, streets), (replace_contained, house_numbers), (persons, initials_names), (F.concat, references), (persons, titled_names)):
+        staged = staged.withColumn("new", rule(text).cast(HIT)).withColumn("spans", step(spans, F.col("new")))
+    return staged.withColumn("spans", first_of_equals(spans)).drop("new")
+
+
+def _ground(kind: Column) -> Column:
+    return F.when(kind == "organisatie", "").otherwise(V.GROUND)
+
+
 def detect(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[str] = (), as_of: str | None = None, titles: Sequence[str] = ()) -> DataFrame:
     """One row per contextual span: doc_id, entity_type, tier, text, start_char, end_char, confidence, woo_article, source, ord.
 
     Candidates (listed names without function titles, dates, organisations) come first, then streets, house numbers, initials, references and titled names are merged in.
     """
-    text, day = F.col("text"), F.lit(as_of).cast("date") if as_of else F.current_date()
-    candidates = F.concat(trim_persons(listed_names(text, first_names, surnames).cast(HIT), titles).cast(HIT), dates(text, day).cast(HIT), organisations(text).cast(HIT))
-    # One column a step: each is analysed by itself, which deeply nested lambdas would make slow.
-    staged, spans = docs.select("doc_id", "text", F.filter(F.transform(candidates, trimmed), lambda s: s["text"] != "").alias("spans")), F.col("spans")
-    for step, rule in ((partial(merge_apart, kind="adres"), streets), (replace_contained, house_numbers), (partial(merge_apart, kind="persoon"), initials_names), (F.concat, references), (partial(merge_apart, kind="persoon"), titled_names)):
-        staged = staged.withColumn("new", rule(text).cast(HIT)).withColumn("spans", step(spans, F.col("new")))
-    rows = staged.select("doc_id", F.posexplode(first_of_equals(spans)).alias("ord", "s")).select("doc_id", "ord", "s.*")
-    ground = F.when(F.col("entity_type") == "organisatie", "").otherwise(V.GROUND)
-    return rows.select("doc_id", "entity_type", F.lit("2").alias("tier"), "text", "start_char", "end_char", "confidence", ground.alias("woo_article"), "source", F.col("ord").cast("long").alias("ord"))
+    rows = _staged(docs, first_names, surnames, as_of, titles).select("doc_id", F.posexplode("spans").alias("ord", "s")).select("doc_id", "ord", "s.*")
+    return rows.select("doc_id", "entity_type", F.lit("2").alias("tier"), "text", "start_char", "end_char", "confidence", _ground(F.col("entity_type")).alias("woo_article"), "source", F.col("ord").cast("long").alias("ord"))
+
+
+def detect_both(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[str] = (), as_of: str | None = None, titles: Sequence[str] = ()) -> DataFrame:
+    """Both tiers of each text in its row, as detect_all puts them together, without a join: each tier is found once, nothing is shuffled."""
+    held = docs.select("doc_id", "text", tier1.hits(F.col("text"), as_of).alias("hard"))
+    staged = _staged(held, first_names, surnames, as_of, titles, "hard")
+    place, low = (lambda s: F.concat_ws(":", s["start_char"], s["end_char"])), (lambda s: F.lower(s["text"]))
+    flags = [intervals.known(F.transform("spans", of), F.transform("hard", of)).alias(name) for name, of in (("same", place), ("again", low))]
+    staged = staged.select("doc_id", "hard", F.arrays_zip("spans", *flags).alias("soft"))
+    kind = "array<struct<entity_type:string,tier:string,text:string,start_char:int,end_char:int,confidence:double,woo_article:string,source:string,ord:long>>"
+
+    def row(s: Column, tier: str, confidence: Column, ground: Column, source: Column, order: Column) -> Column:
+        return F.struct(s["entity_type"], F.lit(tier), s["text"], s["start_char"], s["end_char"], confidence, ground, source, order.cast("long"))
+
+    raised = lambda x: F.when(x["again"], F.least(F.lit(1.0), F.round(x["spans"]["confidence"] + 0.10, 2))).otherwise(x["spans"]["confidence"])
+    hard = F.transform("hard", lambda h: row(h, "1", h["confidence"], h["woo_article"], F.lit("regex"), h["ord"])).cast(kind)
+    soft = F.transform(F.filter(F.transform("soft", lambda x, i: x.withField("ord", i)), lambda x: ~x["same"]), lambda x: row(x["spans"], "2", raised(x), _ground(x["spans"]["entity_type"]), x["spans"]["source"], x["ord"])).cast(kind)
+    return staged.select("doc_id", F.inline(F.concat(hard, soft)))
 
 
 def detect_all(tier1: DataFrame, tier2: DataFrame) -> DataFrame:

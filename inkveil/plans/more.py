@@ -78,7 +78,9 @@ _SHORT = V.SHORT_GROUNDS
 query("redaction_labels", f"select det_id, coalesce('Gelakt — Artikel ' || woo_article || ' — ' || {case_of('replace(woo_article, chr(46) || chr(101), chr(101))', _SHORT)}, 'Gelakt op grond van de Wet open overheid') as label from {D}")(lambda s, d: detections(s, d).select("det_id", reports.redaction_label(F.col("woo_article")).alias("label")))
 query("ground_helpers", f"select det_id, 'Art. ' || woo_article || coalesce(' — ' || {NAME}, '') as label, {case_of('woo_article', {c: g[1] for c, g in V.GROUNDS.items()})} as kind from {D}")(lambda s, d: detections(s, d).select("det_id", reports.ground_label(F.col("woo_article")).alias("label"), reports.ground_kind(F.col("woo_article")).alias("kind")))
 _LISTED = ", ".join("('" + "', '".join((g[2], c, g[0], g[1])) + "')" for c, g in V.GROUNDS.items())
-query("ground_choices", f"select *, row_number() over (partition by tier order by code) as place from (values {_LISTED}) t(tier, code, name, kind)")(lambda s, d: reports.grounds_of_tier(s))
+query("ground_choices", f"select det_id, d.tier, code, name, kind, place from {D} d join (select *, row_number() over (partition by tier order by code) as place from (values {_LISTED}) t(tier, code, name, kind)) g on g.tier = d.tier")(
+    lambda s, d: reports.ground_choices(detections(s, d))
+)
 query("tier_progress", f"select tier, count(*) filter (where review_status not in ('pending', 'deferred')) as reviewed, count(*) as total, count(*) filter (where review_status = 'pending') as pending, count(*) filter (where review_status = 'pending' and confidence >= 0.85) as high_pending, count(*) filter (where review_status <> 'rejected') as not_rejected, count(*) filter (where review_status = 'accepted') as accepted from {D} group by 1")(lambda s, d: reports.progress(detections(s, d)))
 query("log_statistics", f"with d as (select * from {D} where entity_type = 'persoon') select 'status' as dimension, review_status as value, count(*) as n from d group by 2 union all select 'tier', tier, count(*) from d group by 2 union all select 'ground', woo_article, count(*) from d where woo_article is not null group by 2 union all select 'source', case when {HAND} then 'manual' else 'auto' end, count(*) from d group by 2")(lambda s, d: reports.log_statistics(reports.filtered(detections(s, d), kind="persoon")))
 _REVIEWS = "select o_orderkey as doc_id, cast(o_custkey % 3 as int) as page, case o_custkey % 4 when 0 then 'complete' when 1 then 'flagged' when 2 then 'unreviewed' end as status from orders"
@@ -152,8 +154,6 @@ query("tag_map", "select p_partkey as id, case p_partkey % 6 when 0 then 'persoo
 
 # --- places and decisions ----------------------------------------------------------------------------------------------------
 _WORDS = "select c_custkey as doc_id, 'jan Jan janssen, JAN; anjan jan' as text, cast(c_custkey % 6 as int) as nth from customer"
-query("nth_occurrence", "select c_custkey as doc_id, cast(case c_custkey % 6 when 0 then 0 when 1 then 4 when 2 then 17 when 3 then 28 else 0 end as integer) as start_char from customer")(lambda s, d: locate.nth_occurrence(corpus.derived(s, d, _WORDS, "customer"), corpus.derived(s, d, _WORDS, "customer").select("doc_id", F.lit("jan").alias("needle"), "nth")).select("doc_id", "start_char"))
-query("occurrence_counts", "select c_custkey as doc_id, 2 as nth, 4 as n_all from customer")(lambda s, d: locate.occurrences(corpus.derived(s, d, _WORDS, "customer").select("doc_id", F.lit("JAN").alias("text"), F.lit(17).alias("start_char"), F.lit(20).alias("end_char")), corpus.derived(s, d, _WORDS, "customer")).select("doc_id", "nth", "n_all"))
 _LED = "select c_custkey as doc_id, 0 as start_char, 30 as end_char, case c_custkey % 4 when 0 then 'Wethouder Jan Smit' when 1 then 'wethouder' when 2 then 'Projectleider A. Bos' else 'Jan de wethouder' end as text from customer"
 query("leading_titles", "select c_custkey as doc_id, case c_custkey % 4 when 0 then 'publiek' else 'ambtenaar' end as list_name, case c_custkey % 4 when 0 then 'wethouder' else 'projectleider' end as title from customer where c_custkey % 4 in (0, 2)")(lambda s, d: classify.leading_titles(corpus.derived(s, d, _LED, "customer"), base.titles(s)).select("doc_id", "list_name", "title"))
 query("structure_order", f"select doc_id, kind, start_char, row_number() over (partition by doc_id order by start_char, end_char, kind) as place from ({sql.structures()})")(lambda s, d: structure.ordered(structure.detect(base.letters(s, d))).select("doc_id", "kind", "start_char", "place"))

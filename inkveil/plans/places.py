@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
-from inkveil.operators import locate, places
+from inkveil.operators import locate, places, tier2
 from inkveil.plans import queries as base
 from inkveil.plans import sql
 from inkveil.sources import corpus
@@ -123,6 +123,38 @@ def occurrence_boxes(s: SparkSession, d: str) -> DataFrame:
     return placed.select("doc_id", "text", "start_char", "nth", "box.page", F.round("box.x0", 6).alias("x0"), "box.y0", F.round("box.x1", 6).alias("x1"), "box.y1").distinct()
 
 
+_COUNTS = _NTH.replace("len(list_filter(range(1, start_char + 1)", "len(list_filter(range(1, length(full_text)::int + 1)").replace("nths as (", "alls as (").replace("texts as (select doc_id, lower(text) as full_text", "whole as (select doc_id, lower(text) as full_text").replace("join texts", "join whole").replace("as nth\n", "as n_all\n")
+
+
+@query("occurrence_counts", "with " + ", ".join((_DETECTED, _NTH, _COUNTS)) + " select doc_id, text, start_char, nth, n_all from nths join alls using (doc_id, text, start_char)")
+def occurrence_counts(s: SparkSession, d: str) -> DataFrame:
+    """Which of its text's whole occurrences in the letter each person is, and how many there are."""
+    persons = base.persons(s, d).select("doc_id", "text", "start_char", "end_char")
+    return locate.occurrences(persons, base.letters(s, d)).select("doc_id", "text", "start_char", "nth", "n_all")
+
+
+@query("nth_occurrence", "with " + ", ".join((_DETECTED, _NTH)) + " select doc_id, text as needle, nth, start_char, start_char + length(text) as end_char from nths")
+def nth_occurrence(s: SparkSession, d: str) -> DataFrame:
+    """From a person's text and number back to its place in the letter."""
+    return locate.nth_occurrence(base.letters(s, d), found(s, d).select("doc_id", F.col("text").alias("needle"), "nth"))
+
+
+# --- persons' spans without function titles ----------------------------------------------------------------------------------
+_TITLED = f"""select k as doc_id, first || ' ' || last as name, case k % 5 when 0 then first || ' ' || last || ', ' || title when 1 then first || ' ' || last || ' ' || title || ' te Gouda'
+    when 2 then upper(title) || ' ' || first || ' ' || last when 3 then first || ' ' || last || ' ' || title || ', ' || title || '.' else first || ' ' || last end as text
+from (select c_custkey as k, split_part('{corpus._FIRST}', ',', cast(1 + c_custkey % 7 as int)) as first, split_part('{corpus._LAST}', ',', cast(1 + c_custkey % 11 as int)) as last,
+    split_part('{corpus._TITLES}', ',', cast(1 + c_custkey % 5 as int)) as title from customer) a"""
+
+
+@query("trimmed_titles", f"select doc_id, name as text, cast(case doc_id % 5 when 2 then strpos(text, ' ') else 0 end as integer) as start_char from ({_TITLED})")
+def trimmed_titles(s: SparkSession, d: str) -> DataFrame:
+    """Titles behind, within and before a name go, and the name's offsets move along."""
+    rows = corpus.derived(s, d, _TITLED, "customer")
+    hit = tier2.hit("persoon", F.col("text"), F.lit(0), F.lit(0.8), "ner")
+    bare = tier2.trim_persons(F.array(hit).cast(tier2.HIT), [t for _, t, _ in corpus.TITLES])
+    return rows.select("doc_id", F.inline(bare)).select("doc_id", "text", "start_char")
+
+
 # --- texts in boxes ----------------------------------------------------------------------------------------------------------
 _CHARS = f"""
 asked as (select distinct doc_id, page, y0 - 1 as top from i),

@@ -97,7 +97,7 @@ _SMALL = f"select * from ({sql.reference()}) union all select * from ({sql.stree
 query("detect_all_boost", f"""with t1 as ({sql.tier1()}), t2 as ({_SMALL})
     select * from t1 union all select doc_id, entity_type, '2', text, start_char, end_char, case when exists (select 1 from t1 where t1.doc_id = t2.doc_id and lower(t1.text) = lower(t2.text)) then least(1.0, round(confidence + 0.10, 2)) else confidence end, '5.1.2e', source
     from t2 where not exists (select 1 from t1 where t1.doc_id = t2.doc_id and t1.start_char = t2.start_char and t1.end_char = t2.end_char)""")(lambda s, d: tier2.detect_all(found(s, d).select(*_T1), _small_tier2(s, d).select(*_T1)))
-query("detect_all")(lambda s, d: tier2.detect_all(found(s, d).select(*_T1), tier2.detect(letters(s, d), FIRST, LAST, sql.AS_OF).select(*_T1)))
+query("detect_all")(lambda s, d: tier2.detect_both(letters(s, d), FIRST, LAST, sql.AS_OF).select(*_T1))
 
 # --- structure and documents -----------------------------------------------------------------------------------------------
 query("structure_lines", f"select doc_id, i, line, start_char, end_char from {sql.LINES}")(lambda s, d: structure.line_rows(letters(s, d)))
@@ -114,9 +114,14 @@ def letter_pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def marked_pages(s: SparkSession, d: str) -> DataFrame:
-    """Pages whose one date is the document's own (labelled), a plain one, or a birth date, by doc_id."""
+    """Pages whose one date is the document's own (labelled), a plain one, or a birth date, by doc_id; in four forms, without leading zeros."""
     label = F.when(F.col("doc_id") % 3 == 0, "Datum: ").when(F.col("doc_id") % 3 == 1, "Gezien op ").otherwise("Geboren op ")
-    return letter_pages(s, d).withColumn("text", F.replace("text", F.lit("Geboortedatum: "), label))
+    born = r"Geboortedatum: 0?(\d+)-0?(\d+)-(\d+)"
+    day, month, year = (F.regexp_extract("text", born, k) for k in (1, 2, 3))
+    name = F.get(F.array(*[F.lit(m) for m in sql.V.MONTH_NAMES]), month.try_cast("int") - 1)
+    form = F.col("doc_id") % 4
+    date = F.when(form == 0, F.concat(day, F.lit("-"), month, F.lit("-"), year)).when(form == 1, F.concat(day, F.lit("/"), month, F.lit("/"), year)).when(form == 2, F.concat(year, F.lit("-"), month, F.lit("-"), day)).otherwise(F.concat_ws(" ", day, name, year))
+    return letter_pages(s, d).withColumn("text", F.regexp_replace(F.col("text"), F.lit(born), F.concat(label, date)))
 
 
 _DATED = f"(select doc_id, page, list_max(list_filter(list_transform(regexp_extract_all(text, '\\b\\d{{1,2}}-\\d{{1,2}}-\\d{{4}}\\b'), lambda x: try_cast(split_part(x, '-', 3) || '-' || split_part(x, '-', 2) || '-' || split_part(x, '-', 1) as date)), lambda x: x is not null)) as dt from {_PAGES})"
@@ -203,7 +208,7 @@ _SHOWN = "review_status in ('accepted', 'auto_accepted')"
 _LABEL = "case entity_type " + " ".join(f"when '{k}' then '{v}'" for k, v in reports.LABELS.items()) + " else entity_type end"
 query("log_stats_sets", f"with d as (select * from {_D}) select 'tier' as dimension, tier as value, count(*) as n from d group by tier union all select 'status', review_status, count(*) from d group by review_status union all select 'type', entity_type, count(*) from d group by entity_type union all select 'total', 'all', count(*) from d")(lambda s, d: reports.counts(decided(s, d)))
 query("status_breakdown", f"select count(*) filter (where review_status in ('accepted', 'auto_accepted', 'edited')) as reviewable, count(*) filter (where review_status = 'rejected') as rejected, count(*) filter (where review_status = 'pending') as pending, count(*) filter (where review_status = 'deferred') as deferred, count(*) filter (where review_status not in ('pending', 'deferred')) as reviewed, count(*) filter (where review_status = 'pending' and tier = '2' and confidence >= 0.85) as high_pending from {_D}")(lambda s, d: reports.breakdown(decided(s, d)))
-query("report_summary", f"with d as (select * from {_D} where {_SHOWN}) select 'ground' as dimension, coalesce(woo_article, '') as value, count(*) as n from d group by 2 union all select 'tier', t.t, count(d.doc_id) from (values ('1'), ('2'), ('3')) t(t) left join d on d.tier = t.t group by 2 union all select 'source', case when source in ('manual', 'search_redact') then 'handmatig' else 'auto' end, count(*) from d group by 2 union all select 'label', {_LABEL}, count(*) from d group by 2")(lambda s, d: reports.summary(decided(s, d)))
+query("report_summary", f"with d as (select * from {_D} where {_SHOWN}) select 'ground' as dimension, woo_article as value, count(*) as n from d where woo_article <> '' group by 2 union all select 'tier', t.t, count(d.doc_id) from (values ('1'), ('2'), ('3')) t(t) left join d on d.tier = t.t group by 2 union all select 'source', case when source in ('manual', 'search_redact') then 'handmatig' else 'auto' end, count(*) from d group by 2 union all select 'label', {_LABEL}, count(*) from d group by 2")(lambda s, d: reports.summary(decided(s, d)))
 query("grounds", f"select doc_id, nullif(coalesce(array_to_string(list_sort(list(distinct woo_article) filter (where {_SHOWN} and woo_article is not null)), ', '), ''), '') as grounds from {_D} group by 1")(lambda s, d: reports.grounds(decided(s, d)))
 query("log_filter_sort", f"select doc_id, entity_type, text, start_char, end_char, review_status, row_number() over (partition by doc_id order by start_char, end_char, entity_type) as nr from {_D} where review_status = 'rejected' and coalesce(source, 'regex') = 'whitelist_gemeente'")(lambda s, d: reports.numbered(reports.filtered(decided(s, d), status="rejected", source="whitelist_gemeente")).select("doc_id", "entity_type", "text", "start_char", "end_char", "review_status", "nr"))
 query("redaction_log_csv", f"select doc_id, nr, nr || ',' || {_LABEL} || ',' || coalesce(woo_article, '') || ',' || tier || ',auto,' || text as line from (select *, row_number() over (partition by doc_id order by start_char, end_char, entity_type) as nr from {_D} where {_SHOWN})")(lambda s, d: reports.csv_lines(decided(s, d)))

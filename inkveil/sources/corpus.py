@@ -6,6 +6,9 @@ engines see the same text. Identifiers have right check digits but for planned e
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +74,9 @@ def spread(df: DataFrame) -> DataFrame:
 def derived(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """The rows of a statement over given tables; views are session-local and named for their folder."""
     for name in tables:
-        view = f"{name}_{abs(hash(sf_dir))}"
+        view = f"{name}_{hashlib.md5(sf_dir.encode()).hexdigest()}"
         table(spark, sf_dir, name).createOrReplaceTempView(view)
-        sql = sql.replace(f"from {name}", f"from {view}").replace(f"join {name} ", f"join {view} as {name} ")
+        sql = re.sub(rf"\bjoin {name}\b", f"join {view} as {name}", re.sub(rf"\bfrom {name}\b", f"from {view}", sql))
     return spark.sql(sql)
 
 

@@ -65,6 +65,31 @@ def test_document_date_is_the_latest_of_the_first_dated_page(spark):
     assert str(structure.document_dates(pages).first().document_date) == "2021-05-03"
 
 
+@pytest.mark.parametrize("text,day", [("Datum: 01/02/2023", "2023-02-01"), ("Datum: 2024-3-5", "2024-03-05"), ("op 3 mrt 2021", None), ("op 3 Maart 2021", "2021-03-03"), ("op 3-12/1999", "1999-12-03"), ("op 31/2/2020 en 1-1-1900", None), ("geb. 1/1/2001, verzonden 2/2/2002 en een lange tussenzin later 3/3/2003", "2002-02-02")])
+def test_forms_of_dates(spark, text, day):
+    pages = spark.createDataFrame([(1, 0, text)], "doc_id long, page int, text string")
+    found = structure.document_dates(pages, "2025-01-01").first().document_date
+    assert (found and str(found)) == day
+
+
+def test_both_tiers_in_one_row(spark):
+    texts_ = ["Mail jan@x.nl en jan@x.nl. Dhr. J. Smit, Kerkstraat 12, 1234 AB. Geboren op 01-02-1980, datum 3-4-1990; klantnummer 123456782, BSN 123456782.", "", "Jan Jansen sprak met A. Bos", None, "Klantnummer: 06-12345678, bel 06-12345678"]
+    d = docs(spark, *texts_)
+    shape = lambda df: sorted(map(str, df.select("doc_id", "entity_type", "tier", "text", "start_char", "end_char", F.round("confidence", 2), "woo_article", "source").collect()))
+    names = (("jan",), ("jansen",), "2025-01-01", ("wethouder",))
+    apart = tier2.detect_all(tier1.detect(d, as_of="2025-01-01"), tier2.detect(d, *names))
+    assert shape(tier2.detect_both(d, *names)) == shape(apart) and apart.count() > 8
+
+
+def test_brackets_are_no_part_of_a_surname(spark):
+    assert spark.range(1).select(classify.surname_of(F.lit("mevr. A. Jansen (VVD) van Dam"))).first()[0] == "jansen van dam"
+
+
+def test_rows_without_a_place_have_ids_of_their_own(spark):
+    rows = spark.createDataFrame([(k, 1, "area", "2", 1.0, None, "accepted", "manual", None, None) for k in (1, 2)], "det_id long, doc_id long, entity_type string, tier string, confidence double, woo_article string, review_status string, source string, start_char int, end_char int")
+    assert reports.responses(rows).select("id").distinct().count() == 2
+
+
 def test_titles_and_lists(spark):
     d = docs(spark, "De wethouder J. Smit sprak. De raadsleden A. Bos, B. Vos en C. Mos stemden. Later belde D. Das.")
     titles = spark.createDataFrame([("publiek", "wethouder", 0), ("publiek", "raadsleden", 1)], "list_name string, title string, ord int")

@@ -5,7 +5,9 @@ import pytest
 
 from inkveil.plans import queries
 
-NAMES = sorted(queries.queries())
+#: Queries that SQL cannot express; their own tests hold them against brute force.
+ALONE = {"near_copies"}
+NAMES = sorted(set(queries.queries()) - ALONE)
 
 @pytest.fixture(scope="module")
 def duck(sf):
