@@ -6,13 +6,17 @@ caller knows to be small are left to Spark's size-checked broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkveil.functions import values as V
 from inkveil.functions.text import context_after, context_before, digits_only, let, normalise_name, phrase
+from inkveil.operators import structure, tier2
 from inkveil.operators.containment import with_first_around
+from inkveil.operators.groups import written
 
 
 def contact_key(kind: Column, text: Column) -> Column:
@@ -180,8 +184,10 @@ def enclosing(spans: DataFrame, structures: DataFrame) -> DataFrame:
 
 def classify_persons(persons: DataFrame, docs: DataFrame, names: DataFrame, officials: DataFrame, titles: DataFrame, structures: DataFrame) -> DataFrame:
     """Persons with review_status, subject_role, confidence, source and ground by the first of: reference list, official, public title,
-    header or signature, salutation, civil servant's title, none."""
-    at = ["doc_id", "start_char", "end_char"]
+    header or signature, salutation, civil servant's title, none.
+
+    Each kind of evidence looks at the persons, so they are written once; finding them costs far more than reading them again."""
+    at, persons = ["doc_id", "start_char", "end_char"], written(persons, "persons")
     flags = (
         persons.join(reference_matches(persons, names).select(*at).distinct().withColumn("listed", F.lit(True)), at, "left")
         .join(official_matches(persons, docs, officials).select(*at).distinct().withColumn("official", F.lit(True)), at, "left")
@@ -227,10 +233,24 @@ def other_status(spans: DataFrame, docs: DataFrame, contacts: DataFrame) -> Data
 
 
 def route(spans: DataFrame, docs: DataFrame, contacts: DataFrame, names: DataFrame, officials: DataFrame, titles: DataFrame, structures: DataFrame) -> DataFrame:
-    """All detections of both tiers with their decision, each by the rule of its tier and type."""
+    """All detections of both tiers with their decision, each by the rule of its tier and type. The spans are written once for all rules."""
+    spans = written(spans, "spans")
     out = ["doc_id", "entity_type", "tier", "text", "start_char", "end_char", "confidence", "woo_article", "source", "review_status"]
     hard = tier1_status(spans.filter("tier = '1'"), docs, contacts).select(*out)
     other = other_status(spans.filter("tier = '2'"), docs, contacts).select(*out)
     persons = classify_persons(spans.filter("tier = '2' and entity_type = 'persoon'"), docs, names, officials, titles, structures)
     people = persons.select("doc_id", F.lit("persoon").alias("entity_type"), F.lit("2").alias("tier"), *out[3:])
     return hard.unionByName(other).unionByName(people)
+
+
+def decide(
+    docs: DataFrame, contacts: DataFrame, names: DataFrame, officials: DataFrame, titles: DataFrame, aliases: DataFrame,
+    first_names: Sequence[str] = (), surnames: Sequence[str] = (), as_of: str | None = None, title_words: Sequence[str] = (),
+) -> DataFrame:
+    """From documents (doc_id, text) to the decisions on all their detections, as route gives them.
+
+    Both tiers are found in one pass over the texts, with the context that decisions look at; the municipalities whose officials count are those that a text
+    names by an alias (gm_code, alias); structures come from a pass over the lines.
+    """
+    spans = tier2.detect_both(docs, first_names, surnames, as_of, title_words, context=True)
+    return route(spans, active_municipalities(docs, aliases), contacts, names, officials, titles, structure.detect(docs))

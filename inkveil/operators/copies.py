@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import let
-from inkveil.operators.groups import _written, connected
+from inkveil.operators.groups import connected, written
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 3, 4
 BANDS, ROWS = 16, 3
@@ -39,15 +39,15 @@ def near_copies(pages: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and stand alone; repeated keys are looked at by text each.
     """
-    held = _written(pages.select("key", shingles(F.col("text")).alias("s")).withColumn("n_shingles", F.size("s").cast("long")).withColumn("set", F.when(F.col("n_shingles") > 0, F.xxhash64(F.array_sort("s")))), "shingles")
-    sets = _written(held.filter("n_shingles > 0").groupBy("set").agg(F.first("s").alias("s"), F.min("key").alias("least"), F.count("*").alias("copies")), "sets")
+    held = written(pages.select("key", shingles(F.col("text")).alias("s")).withColumn("n_shingles", F.size("s").cast("long")).withColumn("set", F.when(F.col("n_shingles") > 0, F.xxhash64(F.array_sort("s")))), "shingles")
+    sets = written(held.filter("n_shingles > 0").groupBy("set").agg(F.first("s").alias("s"), F.min("key").alias("least"), F.count("*").alias("copies")), "sets")
     banded = sets.select("set", F.posexplode(bands(F.col("s"))).alias("band", "h"))
     first = banded.groupBy("band", "h").agg(F.min("set").alias("first"), F.count("*").alias("m")).filter("m > 1")
     pairs = banded.join(first, ["band", "h"]).filter("set <> first").select("set", "first").distinct()
     sides = pairs.join(sets.select("set", F.col("s").alias("a")), "set").join(sets.select(F.col("set").alias("first"), F.col("s").alias("b")), "first")
     common = F.size(F.array_intersect("a", "b")).cast("long")
     checked = sides.select("set", "first", common.alias("both"), (F.size("a") + F.size("b") - common).alias("any")).filter(f"both * {DENOMINATOR} >= any * {NUMERATOR}")
-    links = _written(checked.select("set", "first", (F.col("both") / F.col("any")).alias("similarity")), "links")
+    links = written(checked.select("set", "first", (F.col("both") / F.col("any")).alias("similarity")), "links")
     edges = links.select(F.struct("set", "first").alias("link"), F.explode(F.array("set", "first")).alias("node"))
     labels = connected(edges)
     classed = sets.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the folder that driver and executors share, so a round's lineage ends there and outlives lost executors."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
@@ -24,13 +24,13 @@ def connected(members: DataFrame, most_rounds: int | None = None) -> DataFrame:
     shorten by more than half a round. Rounds only pre-aggregate and join by equal keys, so a link of many members costs its rows, not their pairs.
     Nodes that are null, or have only null links, are left out. most_rounds is for tests.
     """
-    rows = _written(members.filter("node is not null and link is not null").distinct(), "members")
-    labels, before, rounds = _written(rows.select("node").distinct().withColumn("label", F.col("node")), "labels"), None, 0
+    rows = written(members.filter("node is not null and link is not null").distinct(), "members")
+    labels, before, rounds = written(rows.select("node").distinct().withColumn("label", F.col("node")), "labels"), None, 0
     while most_rounds is None or rounds < most_rounds:
         by_link = rows.join(labels, "node").groupBy("link").agg(F.min("label").alias("label"))
         least = rows.join(by_link, "link").groupBy("node").agg(F.min("label").alias("label"))
         jumped = least.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
-        labels = _written(jumped.select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        labels = written(jumped.select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         now = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()[0]
         rounds += 1
         if now == before:

@@ -271,13 +271,15 @@ def detect(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[
     return rows.select("doc_id", "entity_type", F.lit("2").alias("tier"), "text", "start_char", "end_char", "confidence", _ground(F.col("entity_type")).alias("woo_article"), "source", F.col("ord").cast("long").alias("ord"))
 
 
-def detect_both(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[str] = (), as_of: str | None = None, titles: Sequence[str] = ()) -> DataFrame:
-    """Both tiers of each text in its row, as detect_all puts them together, without a join: each tier is found once, nothing is shuffled."""
+def detect_both(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequence[str] = (), as_of: str | None = None, titles: Sequence[str] = (), context: bool = False) -> DataFrame:
+    """Both tiers of each text in its row, as detect_all puts them together, without a join: each tier is found once, nothing is shuffled.
+
+    context: also the text before and after each hit that decisions look at."""
     held = docs.select("doc_id", "text", tier1.hits(F.col("text"), as_of).alias("hard"))
     staged = _staged(held, first_names, surnames, as_of, titles, "hard")
     place, low = (lambda s: F.concat_ws(":", s["start_char"], s["end_char"])), (lambda s: F.lower(s["text"]))
     flags = [intervals.known(F.transform("spans", of), F.transform("hard", of)).alias(name) for name, of in (("same", place), ("again", low))]
-    staged = staged.select("doc_id", "hard", F.arrays_zip("spans", *flags).alias("soft"))
+    staged = staged.select("doc_id", "text", "hard", F.arrays_zip("spans", *flags).alias("soft"))
     kind = "array<struct<entity_type:string,tier:string,text:string,start_char:int,end_char:int,confidence:double,woo_article:string,source:string,ord:long>>"
 
     def row(s: Column, tier: str, confidence: Column, ground: Column, source: Column, order: Column) -> Column:
@@ -286,7 +288,11 @@ def detect_both(docs: DataFrame, first_names: Sequence[str] = (), surnames: Sequ
     raised = lambda x: F.when(x["again"], F.least(F.lit(1.0), F.round(x["spans"]["confidence"] + 0.10, 2))).otherwise(x["spans"]["confidence"])
     hard = F.transform("hard", lambda h: row(h, "1", h["confidence"], h["woo_article"], F.lit("regex"), h["ord"])).cast(kind)
     soft = F.transform(F.filter(F.transform("soft", lambda x, i: x.withField("ord", i)), lambda x: ~x["same"]), lambda x: row(x["spans"], "2", raised(x), _ground(x["spans"]["entity_type"]), x["spans"]["source"], x["ord"])).cast(kind)
-    return staged.select("doc_id", F.inline(F.concat(hard, soft)))
+    if not context:
+        return staged.select("doc_id", F.inline(F.concat(hard, soft)))
+    around = lambda own, h: h.withField("before", context_before(own, h["start_char"], V.WINDOW_LIST)).withField("after", context_after(own, h["end_char"], V.WINDOW_TITLE))
+    both = staged.withColumn("both", F.concat(hard, soft))
+    return both.select("doc_id", F.inline(with_blocks(F.col("text"), lambda own: F.transform("both", lambda h: around(own, h)))))
 
 
 def detect_all(tier1: DataFrame, tier2: DataFrame) -> DataFrame:

@@ -171,6 +171,17 @@ def _routed(s: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "entity_type", "tier", "start_char", "end_char", "review_status")
 
 
+_TOWNS = ", ".join(f"({k}, '{t}')" for k, t in enumerate(corpus._TOWNS.split(",")))
+
+
+def decided_documents(s: SparkSession, d: str) -> DataFrame:
+    """From the letters to decisions; their municipality is the one that the text names."""
+    letters = base.letters(s, d).select("doc_id", "text")
+    towns = s.sql(f"select gm_code, name, name as short from values {_TOWNS} as t(gm_code, name)")
+    out = classify.decide(letters, base.contacts(s, d), base.reference_names(s, d), base.officials(s, d), base.titles(s), classify.municipality_aliases(towns), as_of=sql.AS_OF)
+    return out.select("doc_id", "entity_type", "tier", "start_char", "end_char", "review_status")
+
+
 _OVER = "exists (select 1 from {0} x where x.doc_id = p.doc_id and x.start_char < p.end_char and p.start_char < x.end_char)"
 _T2 = f"""with l as ({sql.listed(base.FIRST, base.LAST)}), i as (select * from ({sql.initials()}) p where not {_OVER.format('l')}), t as (select * from ({sql.titles()}) p where not {_OVER.format('l')} and not {_OVER.format('i')}),
     every as (select * from l union all select * from ({sql.organisations()}) union all select * from ({sql.street()}) union all select * from ({sql.house_number()}) union all select * from i union all select * from ({sql.reference()}) union all select * from t)
@@ -179,3 +190,11 @@ query("t2_all", _T2)(lambda s, d: base._QUERIES["t2_all"](s, d))
 query("detect_all", f"""with t1 as ({sql.tier1()}), t2 as ({_T2}) select * from t1 union all
     select doc_id, entity_type, tier, text, start_char, end_char, case when exists (select 1 from t1 where t1.doc_id = t2.doc_id and lower(t1.text) = lower(t2.text)) then least(1.0, round(confidence + 0.10, 2)) else confidence end, woo_article, source
     from t2 where not exists (select 1 from t1 where t1.doc_id = t2.doc_id and t1.start_char = t2.start_char and t1.end_char = t2.end_char)""")(lambda s, d: base._QUERIES["detect_all"](s, d))
+#: Persons by initials, and by forms of address where no such person is; then the other rules, without what tier 1 found at the same place.
+#: The letters' one date stands behind "Geboortedatum:", which counts as a date of an act for tier 2, so it has none.
+_COLUMNS = "doc_id, entity_type, text, start_char, end_char, confidence, source"
+_PERSONS = f"with i as (select {_COLUMNS} from ({sql.initials()})), t as (select {_COLUMNS} from ({sql.titles()}) p where not {_OVER.format('i')}) select * from i union all select * from t"
+_OTHERS = " union all ".join(f"select doc_id, entity_type, start_char, end_char from ({x})" for x in (sql.organisations(), sql.street(), sql.house_number(), sql.reference()))
+query("decided_documents", f"""select doc_id, entity_type, '1' as tier, start_char, end_char, review_status from ({sql.status()}) union all select doc_id, 'persoon', '2', start_char, end_char, review_status from ({sql.classify().replace(sql.initials(), _PERSONS)})
+    union all select doc_id, entity_type, '2', start_char, end_char, 'pending' from ({_OTHERS}) o where not exists (select 1 from ({sql.tier1()}) t where t.doc_id = o.doc_id and t.start_char = o.start_char and t.end_char = o.end_char)""")(decided_documents)
+
