@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.operators import classify, copies, dossiers, incremental, undo
+from inkveil.operators import classify, copies, dossiers, incremental, metadata, undo
 from inkveil.plans import queries as base
 from inkveil.plans import sql
 from inkveil.sources import corpus
@@ -170,3 +170,36 @@ def propagated_decisions(s: SparkSession, d: str) -> DataFrame:
 def five_year_rule(s: SparkSession, d: str) -> DataFrame:
     dated = corpus.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").cast("date").alias("document_date"))
     return dossiers.five_year_rule(dated, "2005-01-01").select("doc_id", "over_five_years")
+
+
+# --- publication metadata --------------------------------------------------------------------------------------------------------
+_RECORDS = """select cast(p_partkey as bigint) as doc_id, 'u-' || cast(p_partkey as string) as uuid, replace(p_name, ' ', '_') || '.pdf' as title, 'P-' || cast(p_partkey as string) as identifier, p_brand as author,
+    case when p_partkey % 3 = 0 then 'Gemeente "' || p_brand || '"' end as responsible, '2024-01-0' || cast(1 + p_partkey % 9 as string) as created, p_partkey % 2 as acts, p_partkey % 4 as n,
+    case when p_partkey % 5 = 0 then 'Over <' || p_brand || '> & ''anders''' end as description from part"""
+
+
+def _e(column: str) -> str:
+    return f"replace(replace(replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+_XML = f"""select doc_id, replace(replace('<?xml version="1.0" encoding="UTF-8"?>~<diwoo:Document xmlns:diwoo="https://standaarden.overheid.nl/diwoo/metadata/" xmlns:dcterms="http://purl.org/dc/terms/">~|<diwoo:DiWoo>~||<diwoo:classificatiecollectie>'
+    || '~|||<diwoo:documentsoorten>~||||<diwoo:documentsoort>besluit</diwoo:documentsoort>~|||</diwoo:documentsoorten>~|||<diwoo:informatiecategorieen>'
+    || array_to_string(list_transform(range(1, n + 1), lambda k: '~||||<diwoo:informatiecategorie resource="https://x/' || k || '">Soort &amp; ' || k || '</diwoo:informatiecategorie>'), '')
+    || '~|||</diwoo:informatiecategorieen>~|||<diwoo:themas>~||||<diwoo:thema>' || case when n > 0 then 'Soort &amp; 1' else 'overig' end || '</diwoo:thema>~|||</diwoo:themas>~|||<diwoo:trefwoorden>~||||<diwoo:trefwoord>'
+    || coalesce(list_filter(string_split(lower(replace(regexp_replace(title, '\\.pdf$', ''), '_', ' ')), ' '), lambda w: length(w) >= 4)[1], string_split(lower(replace(regexp_replace(title, '\\.pdf$', ''), '_', ' ')), ' ')[1])
+    || '</diwoo:trefwoord>~|||</diwoo:trefwoorden>~||</diwoo:classificatiecollectie>~||<diwoo:creatiedatum>' || created || '</diwoo:creatiedatum>'
+    || case when acts = 1 then '~||<diwoo:documenthandelingen>~|||<diwoo:documenthandeling>~||||<diwoo:soortHandeling>anonimiseren</diwoo:soortHandeling>~||||<diwoo:atTime>' || created || 'T10:00:00Z</diwoo:atTime>~|||</diwoo:documenthandeling>~||</diwoo:documenthandelingen>' else '' end
+    || '~||<diwoo:format>application/pdf</diwoo:format>~||<diwoo:geldigheid>~|||<diwoo:begindatum>' || created || '</diwoo:begindatum>~||</diwoo:geldigheid>~||<diwoo:identifiers>~|||<diwoo:identifier>' || identifier
+    || '</diwoo:identifier>~|||<diwoo:identifier>urn:uuid:' || uuid || '</diwoo:identifier>~||</diwoo:identifiers>~||<diwoo:language>nld</diwoo:language>'
+    || coalesce('~||<diwoo:omschrijvingen>~|||<diwoo:omschrijving>' || {_e('description')} || '</diwoo:omschrijving>~||</diwoo:omschrijvingen>', '')
+    || '~||<diwoo:opsteller>' || author || '</diwoo:opsteller>~||<diwoo:publisher>' || coalesce({_e('responsible')}, author) || '</diwoo:publisher>~||<diwoo:verantwoordelijke>' || coalesce({_e('responsible')}, author)
+    || '</diwoo:verantwoordelijke>~||<diwoo:titelcollectie>~|||<diwoo:officieleTitel>' || title || '</diwoo:officieleTitel>~||</diwoo:titelcollectie>~|</diwoo:DiWoo>~</diwoo:Document>~', '~', chr(10)), '|', chr(9)) as xml from ({_RECORDS})"""
+
+
+@query("publication_xml", _XML)
+def publication_xml(s: SparkSession, d: str) -> DataFrame:
+    rows = corpus.derived(s, d, _RECORDS, "part")
+    category = lambda k: F.struct(F.concat(F.lit("https://x/"), k.cast("string")).alias("uri"), F.concat(F.lit("Soort & "), k.cast("string")).alias("label"))
+    categories = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), category))
+    actions = F.when(F.col("acts") == 1, F.array(F.struct(F.lit("anonimiseren").alias("type"), F.concat("created", F.lit("T10:00:00Z")).alias("at"))))
+    return metadata.publication_xml(rows.withColumns({"categories": categories, "actions": actions, "format": F.lit("application/pdf"), "language": F.lit("nld")}))
