@@ -188,7 +188,7 @@ def box_texts(s: SparkSession, d: str) -> DataFrame:
 
 
 # --- search ------------------------------------------------------------------------------------------------------------------
-_HITS = r"""
+_HITS = """
 p as (select doc_id, page, string_agg(text, ' ' order by nr) as text from i group by all),
 o as (select *, coalesce(sum(length(text) + 1) over (partition by doc_id, page order by nr rows between unbounded preceding and 1 preceding), 0) as s from i),
 h as (
@@ -201,14 +201,14 @@ c as (
     from l join r on r.doc_id = l.doc_id and r.page = l.page and r.x0 < l.x1 and r.x1 > l.x0 and r.y0 < l.y1 and r.y1 > l.y0 group by all),
 g as (
     select l.doc_id, l.page, l.a, l.y0, count(*) * 2.0 * 8 as taken from l, unnest(range(0, ((l.x1 - l.x0) / 2)::int)) as u(k)
-    where exists (select 1 from r where r.doc_id = l.doc_id and r.page = l.page and r.y0 = l.y0 + 2 and r.x0 <= l.x0 + 2 * k and r.x1 >= l.x0 + 2 * k + 2) group by all)
-select l.doc_id, l.page, a::int as start_char, substr(max(full_text), a + 1, 9) as text,
+    where exists (select 1 from r where r.doc_id = l.doc_id and r.page = l.page and r.y0 = l.y0 + 2 and r.x0 <= l.x0 + 2 * k and r.x1 >= l.x0 + 2 * k + 2) group by all)"""
+_FOUND = """select l.doc_id, l.page, a::int as start_char, substr(max(full_text), a + 1, 9) as text,
     case when a > 24 then '…' else '' end || substr(max(full_text), greatest(a - 24, 0) + 1, a - greatest(a - 24, 0) + 33) || case when a + 33 < max(length(full_text)) then '…' else '' end as snippet,
     count(*) as lines, min(x0) as x0, max(x1) as x1, coalesce(bool_or(covered), false) as covered, round(coalesce(sum(taken), 0) / sum((x1 - x0) * (y1 - l.y0)), 6) as covered_share
 from l join h using (doc_id, page, a) left join c using (doc_id, page, a, y0) left join g using (doc_id, page, a, y0) group by l.doc_id, l.page, a"""
 
 
-@query("search_boxes", with_(_HITS.split("\nselect l.doc_id", 1)[0]) + "select l.doc_id" + _HITS.split("\nselect l.doc_id", 1)[1])
+@query("search_boxes", with_(_HITS) + _FOUND)
 def search_boxes(s: SparkSession, d: str) -> DataFrame:
     """Hits on the pages with their boxes, and how much of them boxes round every second item take."""
     items = letter_items(s, d)
