@@ -57,7 +57,7 @@ NAME_SHIFT = 24
 BLOCK = 1024
 #: Sets that one group of blocks holds, about.
 TASK_ROWS = 20_000
-#: Ids of candidate documents up to this number (8 bytes each, 4 MB in all) are broadcast to the scan, more are joined by a shuffle.
+#: Sets that are to be verified are broadcast to the scan up to this number (32 bytes each, 16 MB in all), more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
@@ -367,19 +367,23 @@ def _stars(packed: DataFrame, tasks: int) -> DataFrame:
 
 
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, set_2, n, shingles (binary, 8 bytes each) for the documents whose ids are in `wanted` (doc_id)."""
+    """cls, n, shingles (binary, 8 bytes each) of the sets in `wanted` (cls, set, set_2, and doc_id of a text with it).
+
+    A set's row goes to its text, and the text's own set tells whether it is the one, so no shingles are shuffled for it.
+    """
 
     def run(rows: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = rows.column("text").to_pylist()
-        some = [(s, t) for s, t in zip(shingle_sets(texts), texts, strict=True) if len(s)]
-        sets = [s for s, _ in some]
-        one, two = set_ids(sets, [t for _, t in some])
-        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([len(s) for s in sets], pa.int64()), bytes_array([s.astype("<u8").tobytes() for s in sets])], ["set", "set_2", "n", "shingles"])
+        known = list(zip(*(rows.column(c).to_pylist() for c in ("cls", "set", "set_2")), strict=True))
+        some = [(s, t, k) for s, t, k in zip(shingle_sets(texts), texts, known, strict=True) if len(s)]
+        one, two = set_ids([s for s, _, _ in some], [t for _, t, _ in some])
+        own = [(cls, s) for (s, _, (cls, x, y)), a, b in zip(some, one.tolist(), two.tolist(), strict=True) if (a, b) == (x, y)]
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.int64()), pa.array([len(s) for _, s in own], pa.int64()), bytes_array([s.astype("<u8").tobytes() for _, s in own])], ["cls", "n", "shingles"])
 
-    wanted = wanted.select(F.col("doc_id").alias("wanted")).distinct()
+    wanted = wanted.withColumnRenamed("doc_id", "wanted")
     few = wanted.count() <= MOST_BROADCAST
-    chosen = text_rows(docs).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    return map_slices(chosen, run, "set long, set_2 long, n long, shingles binary", most=SLICE)
+    chosen = text_rows(docs).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("wanted")))
+    return map_slices(chosen.select("text", "cls", "set", "set_2"), run, "cls long, n long, shingles binary", most=SLICE)
 
 
 def coarse(bits: bytes, n: int) -> bytes:
@@ -432,8 +436,7 @@ def _sieved(stars: DataFrame, sets: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity, as (u, v): exact, on all shingles."""
     ends = materialise(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(sets.select("cls", "set", "set_2", "least"), "cls"), "ends")
-    found = _shingles_of(docs, ends.select(F.col("least").alias("doc_id")))
-    shingles = materialise(found.join(ends, ["set", "set_2"]).select("cls", "n", "shingles"), "shingles", "lz4")
+    shingles = materialise(_shingles_of(docs, ends.withColumnRenamed("least", "doc_id")), "shingles", "lz4")
     if shingles.count() > ends.count():  # rows that repeat an id and its text
         shingles = materialise(shingles.groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "shingles", "lz4")
     left = shingles.select(F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
