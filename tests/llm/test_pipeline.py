@@ -60,3 +60,23 @@ def test_everything_kept_is_packed(spark, sf, stages):
     packed = stages[4].groupBy("doc_id").sum("length").count()
     assert packed == stages[3].count()
     assert corpus_pipeline.run(spark, sf).count() == stages[4].count()
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_odd_tables_in_every_stage(spark, sf, monkeypatch, most):
+    """Null, empty and very long texts, repeated rows, null ids, and columns called as stages call theirs, with a dot or a back-tick."""
+    monkeypatch.setattr(corpus_pipeline, "MOST_BROADCAST", most)
+    columns = "doc_id long, text string, `row` long, `row_` long, `a.b` string, `c``d` string, score double, label int, component_id long"
+    long = " ".join(f"word{i % 9973} is here" for i in range(30_000))
+    rows = [(1, long), (2, long + " again"), (3, None), (3, None), (4, ""), (None, long), (None, "quite another text of its own and nothing else"), (5, "quite other words"), (5, "quite other words")]
+    docs = spark.createDataFrame([(*r, 7, 9, "x", "y", 0.5, 1, 3) for r in rows], columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns, name
+        assert set(map(tuple, kept.collect())) <= set(map(tuple, docs.collect())), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    distinct = corpus_pipeline.keep_distinct(spark, docs, sf).collect()
+    assert sorted(((r.doc_id, (r.text or "")[:5]) for r in distinct), key=str) == sorted([(1, "word0"), (3, ""), (4, ""), (None, "quite"), (5, "quite")], key=str)
+    assert all((r.row, r.row_, r["a.b"], r["c`d"]) == (7, 9, "x", "y") for r in distinct)
+    pieces = corpus_pipeline.pack(spark, docs, sf)
+    assert pieces.select("doc_id").distinct().count() == 6 and corpus_pipeline.pack(spark, docs.limit(0), sf).count() == 0
