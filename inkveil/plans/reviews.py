@@ -159,11 +159,11 @@ mine as (select entity_type, norm, doc_id, max((reviewed_at, det_id, review_stat
 given as (
     select p.*, case when review_status in ('pending', 'deferred') then coalesce(m.d, l.d) end as d from placed p
     left join latest l on l.entity_type = p.entity_type and l.norm = p.norm and l.g = p.g left join mine m on m.entity_type = p.entity_type and m.norm = p.norm and m.doc_id = p.doc_id)
-select det_id, doc_id, coalesce(d[3], review_status) as review_status, coalesce(d[4], woo_article) as woo_article, d[2] as propagated_from from given""",
+select det_id, doc_id, coalesce(d[3], review_status) as review_status, coalesce(d[4], woo_article) as woo_article, cast(d[2] as varchar) as propagated_from from given""",
 )
 def propagated_decisions(s: SparkSession, d: str) -> DataFrame:
     rows, dossier = corpus.derived(s, d, DECIDED, "lineitem"), corpus.derived(s, d, DOSSIERS, "orders")
-    return dossiers.propagate(rows, dossier).select("det_id", "doc_id", "review_status", "woo_article", "propagated_from")
+    return dossiers.propagate(rows, dossier).select("det_id", "doc_id", "review_status", "woo_article", F.col("propagated_from").cast("string").alias("propagated_from"))
 
 
 @query("five_year_rule", "select o_orderkey as doc_id, o_orderdate < date '2000-01-01' as over_five_years from orders")
