@@ -48,7 +48,7 @@ SLICE, CHUNK = 1 << 20, 1 << 18
 #: Cells of a partition, of which subsets leave out one, and rounds for sets with too few full partitions.
 CELLS, ROUNDS = 3, 8
 #: Signatures that a task packs at once, bytes of signatures that share a key, and signatures that are looked at together.
-PACKED, KEY_BYTES, AT_ONCE = 1 << 20, 24 << 20, 1 << 20
+PACKED, KEY_BYTES, AT_ONCE = 1 << 19, 24 << 20, 1 << 19
 #: Sets that a task of signatures knows at once, so as not to give those of copies again (about 25 MB).
 SEEN = 100_000
 #: Low bits of a set's first id that its name leaves out (24 at least: a name has five bytes).
