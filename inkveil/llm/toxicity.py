@@ -17,10 +17,10 @@ towards the share of label 1 among all labelled rows by `PRIOR` of a vote; so a
 from __future__ import annotations
 
 import gc
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +36,42 @@ EXAMPLES = 3000
 NEIGHBOURS, BLOCK, PRIOR = 15, 64, 0.4
 #: Terms in at least one of so many examples stand in a dense matrix instead of posting lists; queries that meet it at once.
 OFTEN, AT_ONCE = 24, 128
+#: Bytes of text, and texts, whose words are counted at once.
+COUNTED_BYTES, COUNTED_TEXTS = 1 << 20, 4 * AT_ONCE
 _WORD = re.compile(r"\w+")
+#: Each Latin-1 character in lower case (which is Latin-1 again), or a space if it is of no word.
+_LATIN = b"".join((chr(c).lower() if _WORD.match(chr(c)) else " ").encode("latin-1") for c in range(256))
+
+
+def _spaced(text: str) -> bytes:
+    """The words of a text with white space between them, as UTF-8; a text of Latin-1 characters alone takes one step of a table for each."""
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").encode()
+    except UnicodeEncodeError:
+        return " ".join(_WORD.findall(text.lower())).encode()
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The runs of letters, digits and underscores, in lower case."""
+    return _spaced(text).decode().split()
+
+
+def _counted(texts: list[str], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) for each of terms in each of texts, in this order: each word of all texts is looked up once."""
+    words = pc.ascii_split_whitespace(pa.array([_spaced(t) for t in texts], pa.large_binary()).view(pa.large_string()))
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy())
+    coded = words.flatten().dictionary_encode()
+    held = coded.dictionary.to_numpy(zero_copy_only=False)
+    number = np.fromiter(map(terms.get, held, repeat(-1)), np.int64, len(held))[coded.indices.to_numpy()]
+    known = number >= 0
+    found, counts = np.unique(row[known] * len(terms) + number[known], return_counts=True)
+    return *np.divmod(found, max(1, len(terms))), counts
 
 
-def _ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of all ranges [begin, end) in a row, and for each the range that it is of."""
-    size = end - begin
-    of = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(of)) + (begin - np.cumsum(size) + size)[of], of
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [begin, begin + size) in a row."""
+    end = np.cumsum(size)
+    return np.repeat(begin - end + size, size) + np.arange(end[-1] if len(end) else 0)
 
 
 class BlockMaxIndex:
@@ -102,22 +126,28 @@ class BlockMaxIndex:
     def _nearest(self, terms: np.ndarray, weights: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """known: the products over the frequent terms."""
         known = known.reshape(self.n_blocks, self.block)
-        runs, of = _ranges(self.runs[terms], self.runs[terms + 1])
-        weights, blocks = weights[of], self.run_block[runs]
-        bounds = known.max(1) + np.bincount(blocks, weights * self.maxima[runs], self.n_blocks)
+        size = self.runs[terms + 1] - self.runs[terms]
+        runs, weights = _ranges(self.runs[terms], size), np.repeat(weights, size)
+        blocks = self.run_block.take(runs)
+        bounds = known.max(1) + np.bincount(blocks, weights * self.maxima.take(runs), self.n_blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         place = np.full(self.n_blocks, self.n_blocks)
         place[order] = np.arange(len(order))
-        at = place[blocks]
+        at, begin = place.take(blocks), self.starts.take(runs)
+        size = self.starts.take(runs + 1) - begin
         ids, products, least, done, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 8
         while done < len(order) and bounds[order[done]] >= least * (1 - 1e-12):
             now = order[done : done + step]
+            now = now[bounds[now] >= least * (1 - 1e-12)]
             chosen = np.flatnonzero((at >= done) & (at < done + len(now)))
-            postings, of = _ranges(self.starts[runs[chosen]], self.starts[runs[chosen] + 1])
-            slot = (at[chosen] - done - blocks[chosen]) * self.block
-            values = known[now].ravel() + np.bincount(self.ids[postings] + slot[of], weights[chosen][of] * self.weights[postings], len(now) * self.block)
-            found = np.flatnonzero((values > 0) & (values >= least))
+            many = size.take(chosen)
+            postings = _ranges(begin.take(chosen), many)
+            slots = self.ids.take(postings) + np.repeat((at.take(chosen) - done - blocks.take(chosen)) * self.block, many)
+            values = known[now].ravel() + np.bincount(slots, np.repeat(weights.take(chosen), many) * self.weights.take(postings), len(now) * self.block)
+            # Only what is among the k best of these blocks, equal products included, can be among the k best of all.
+            here = np.partition(values, -k)[-k] if len(values) > k else 0.0
+            found = np.flatnonzero((values > 0) & (values >= max(least, here)))
             done, step = done + len(now), step * 4
             ids, products = np.concatenate([ids, now[found // self.block] * self.block + found % self.block]), np.concatenate([products, values[found]])
             best = np.lexsort((ids, -products))[:k]
@@ -139,17 +169,18 @@ class ToxicityModel:
         norms = np.sqrt(np.bincount(rows, own * own, len(doc_ids)))[rows]
         self.index = BlockMaxIndex.of(rows, numbers, np.divide(own, norms, out=np.zeros(len(own)), where=norms > 0), len(doc_ids), len(terms))
 
-    def _unit(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights of a text."""
-        terms = self.terms
-        counts = Counter([terms[w] for w in words_of(text) if w in terms])
-        numbers = np.fromiter(counts, np.int64, len(counts))
-        own = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weights[numbers]
-        return numbers, own / (math.sqrt(own @ own) or 1.0)
+    def _units(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Term numbers and weights of each text."""
+        rows, numbers, counts = _counted(texts, self.terms)
+        own = (1 + np.log(counts)) * self.weights[numbers]
+        norms = np.sqrt(np.bincount(rows, own * own, len(texts)))[rows]
+        own = np.divide(own, norms, out=np.zeros(len(own)), where=norms > 0)
+        ends = np.searchsorted(rows, np.arange(len(texts) + 1)).tolist()
+        return [(numbers[i:j], own[i:j]) for i, j in pairwise(ends)]
 
     def neighbours(self, text: str) -> list[tuple[int, float, int]]:
         """(doc_id, cosine, label) of the nearest examples: the evidence of a score."""
-        ids, cosines, _ = self.index.nearest([self._unit(text)], self.k)[0]
+        ids, cosines, _ = self.index.nearest(self._units([text]), self.k)[0]
         return [(self.doc_ids[i], float(c), int(self.labels[i])) for i, c in zip(ids, cosines, strict=True)]
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -163,12 +194,13 @@ class ToxicityModel:
     def _judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores, and the neighbours' votes for label 1 as a share of all their votes (0 without any)."""
         out, alone = np.full(len(texts), self.share), np.zeros(len(texts))
-        for begin in range(0, len(texts), AT_ONCE):
-            found = self.index.nearest([self._unit(t) for t in texts[begin : begin + AT_ONCE]], self.k)
+        prior = PRIOR * float(self.class_weight.mean()) if len(self.class_weight) else 0.0
+        for begin in range(0, len(texts), COUNTED_TEXTS):
+            found = self.index.nearest(self._units(texts[begin : begin + COUNTED_TEXTS]), self.k)
             for row, (ids, cosines, _) in enumerate(found, begin):
                 if len(ids):
                     votes = cosines**3 * self.class_weight[ids]
-                    prior, ones, total = PRIOR * self.class_weight.mean(), float(votes @ self.labels[ids]), float(votes.sum())
+                    ones, total = float(votes @ self.labels[ids]), float(votes.sum())
                     out[row] = (ones + prior * self.share) / (total + prior)
                     alone[row] = ones / total if total else 0.0
         return out, alone
@@ -180,11 +212,8 @@ def _document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.nd
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = np.zeros(len(terms), np.int64), 0
         for batch in batches:
-            for part in sliced(batch, "text"):
-                numbers: list[int] = []
-                for t in part.column("text").to_pylist():
-                    numbers += [terms[w] for w in set(words_of(t)) if w in terms]
-                found += np.bincount(np.array(numbers, np.int64), minlength=len(terms))
+            for part in sliced(batch, "text", COUNTED_BYTES):
+                found += np.bincount(_counted(part.column("text").to_pylist(), terms)[1], minlength=len(terms))
                 rows += part.num_rows
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(found[some], rows))], ["term", "n"])

@@ -288,6 +288,38 @@ def test_block_max_search_is_exact():
     assert skipped > 0
 
 
+def test_blocks_below_the_kth_product_are_not_scored():
+    index = toxicity.BlockMaxIndex([{0: 0.5}] * 30 + [{0: 1.0}] * 10, 1, block=1)
+    ids, products, done = index.search({0: 1.0}, 5)
+    assert ids.tolist() == [30, 31, 32, 33, 34] and products.tolist() == [1.0] * 5 and done == 10
+
+
+def test_words_of_texts_of_any_characters():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["A".join(every[i : i + 256]) for i in range(0, len(every), 256)] + ["", " ", "Naïve É_1\u00a0x\u0085y\x1cZ", "İ K Σας ſ\u2003“Wörd”"]
+    assert [toxicity.words_of(t) for t in texts] == [re.findall(r"\w+", t.lower()) for t in texts]
+
+
+def test_a_word_of_many_texts_is_looked_up_once(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    texts = [f"w1 w2 w2 W3 unheard {i} “w{i}”" if i % 3 else f"w1 w2 w2 W3 unheard {i} w{i}" for i in range(100)]
+    expected, looked = [model.score([t])[0] for t in texts], []
+
+    class Watched(dict):
+        def __contains__(self, w):
+            looked.append(w)
+            return super().__contains__(w)
+
+        def get(self, w, *other):
+            looked.append(w)
+            return super().get(w, *other)
+
+    model.terms = Watched(model.terms)
+    assert np.allclose(model.score(texts), expected, rtol=1e-12, atol=0)
+    assert sorted(looked) == sorted({w for t in texts for w in toxicity.words_of(t)})
+
+
 def test_equal_texts_of_both_labels_keep_both(spark):
     docs = spark.createDataFrame([(1, "same words here"), (2, "same words here"), (3, "same words here"), (4, "other text")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0)], "doc_id long, toxic int")
