@@ -1,7 +1,7 @@
 """Decisions: every span meets the evidence about it (lists, titles, structure) and takes the first branch that fits.
 
-All joins are equi-joins on the document (with a residual interval test) or on normalised values; dimension tables that the
-caller knows to be small are left to Spark's size-checked broadcast.
+All joins are equi-joins on the document (with a residual interval test) or on normalised values. They sort both sides, since Spark's
+estimate of rows made from texts is far too small; only lists of titles and of municipalities' aliases are broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from inkveil.functions import values as V
 from inkveil.functions.text import context_after, context_before, digits_only, let, normalise_name, phrase
 from inkveil.operators import structure, tier2
 from inkveil.operators.containment import with_first_around
-from inkveil.operators.groups import written
+from inkveil.operators.groups import grown, written
 
 
 def contact_key(kind: Column, text: Column) -> Column:
@@ -51,7 +51,7 @@ def with_context(spans: DataFrame, docs: DataFrame | None, **widths: int) -> Dat
     if not missing:
         return spans
     text, cut = F.col("full_text"), {"before": (context_before, "start_char"), "after": (context_after, "end_char")}
-    joined = spans.join(docs.select("doc_id", F.col("text").alias("full_text")), "doc_id")
+    joined = spans.join(grown(docs.select("doc_id", F.col("text").alias("full_text"))), "doc_id")
     return joined.withColumns({c: cut[c][0](text, F.col(cut[c][1]), widths[c]) for c in missing}).drop("full_text")
 
 
@@ -137,14 +137,14 @@ def title_matches(persons: DataFrame, docs: DataFrame, titles: DataFrame) -> Dat
 
     Titles within 40 characters before or after the span with at most two tokens between; before it also titles up to 240 characters
     away where only a list of names lies between. Before beats after, public beats civil servant, then fewer tokens, then list order.
-    titles: (list_name, title, ord), a handful of rows whose size Spark checks before it broadcasts them.
+    titles: (list_name, title, ord), the lists of function titles; they are broadcast, as the persons with their contexts must never be.
     """
     # A title can only be in a window that holds it, so the window's words pick the titles by an equi-join on the first word.
     near = with_context(persons, docs, before=V.WINDOW_LIST, after=V.WINDOW_TITLE).select(
         "doc_id", "start_char", "end_char", "text", F.right("before", F.lit(V.WINDOW_LIST)).alias("list_before"), F.right("before", F.lit(V.WINDOW_TITLE)).alias("before"), F.left("after", F.lit(V.WINDOW_TITLE)).alias("after"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "list_before", "after")), F.lit(r"(?U)\w+"), F.lit(0)))
     listed = titles.withColumn("word", F.regexp_extract(F.lower("title"), r"(?U)\w+", 0))
-    pairs = near.withColumn("word", F.explode(words)).join(listed, "word")
+    pairs = near.withColumn("word", F.explode(words)).join(F.broadcast(listed), "word")
     pattern = F.concat(F.lit(r"(?iU)\b"), F.array_join(F.split(F.col("title"), r"\s+"), r"\s+"), F.lit(r"\b"))
     pieces = lambda c: F.call_function("split", F.col(c), pattern, F.lit(-1))
     pairs = pairs.select("*", pieces("before").alias("pb"), pieces("list_before").alias("pl"), pieces("after").alias("pa"))
@@ -161,7 +161,7 @@ def title_matches(persons: DataFrame, docs: DataFrame, titles: DataFrame) -> Dat
 def leading_titles(persons: DataFrame, titles: DataFrame) -> DataFrame:
     """Persons whose span begins with a function title and goes on after it, as title_matches gives them; public titles first, then list order."""
     listed = titles.withColumn("word", F.regexp_extract(F.lower("title"), r"(?U)\w+", 0))
-    own = persons.select("doc_id", "start_char", "end_char", "text", F.regexp_extract(F.lower("text"), r"(?U)^\s*(\w+)", 1).alias("word")).join(listed, "word")
+    own = persons.select("doc_id", "start_char", "end_char", "text", F.regexp_extract(F.lower("text"), r"(?U)^\s*(\w+)", 1).alias("word")).join(F.broadcast(listed), "word")
     pattern = F.concat(F.lit(r"(?iU)^\s*"), F.array_join(F.split(F.col("title"), r"\s+"), r"\s+"), F.lit(r"\b"))
     rest = F.regexp_replace(F.col("text"), pattern, F.lit(""))
     best = F.min_by(F.struct("list_name", "title"), F.struct((F.col("list_name") != "publiek").alias("late"), "ord")).alias("t")
@@ -172,7 +172,7 @@ def leading_titles(persons: DataFrame, titles: DataFrame) -> DataFrame:
 def title_evidence(persons: DataFrame, docs: DataFrame, titles: DataFrame) -> DataFrame:
     """The nearest title of each person, and where there is none, the one that the span itself begins with."""
     near = title_matches(persons, docs, titles)
-    return near.unionByName(leading_titles(persons, titles).join(near, ["doc_id", "start_char", "end_char"], "left_anti"))
+    return near.unionByName(leading_titles(persons, titles).join(grown(near), ["doc_id", "start_char", "end_char"], "left_anti"))
 
 
 def enclosing(spans: DataFrame, structures: DataFrame) -> DataFrame:

@@ -17,6 +17,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """df as a side of a join that sorts both sides. Spark reckons the size of rows made from texts by the files that the texts' keys come from, so a
+    side that it thinks small enough for a broadcast can be many times what the driver holds."""
+    return df.hint("merge")
+
+
 def connected(members: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """node, label from (node, link): the least node that a node reaches over common links.
 

@@ -46,7 +46,7 @@ def officials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(corpus.TITLES), "list_name string, title string, ord int")
+    return spark.sql(corpus.TITLES_SQL)
 
 
 def reference_names(spark: SparkSession, sf_dir: str) -> DataFrame:
