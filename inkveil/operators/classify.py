@@ -116,14 +116,14 @@ def official_matches(persons: DataFrame, docs: DataFrame, officials: DataFrame)
     """
     near, runs = with_context(persons, docs, before=30), lambda c: F.regexp_extract_all(c, F.lit(r"(?:[A-Z]\.){1,4}"), F.lit(0))
     seen = F.lower(F.replace(F.coalesce(F.try_element_at(runs(F.right("before", F.lit(30))), F.lit(-1)), F.try_element_at(runs(F.col("text")), F.lit(-1)), F.lit("")), F.lit("."), F.lit("")))
-    own = near.join(docs.select("doc_id", "gm_code"), "doc_id").select("doc_id", "start_char", "end_char", "text", "gm_code", seen.alias("seen"), surname_of(F.col("text")).alias("whole"))
+    own = near.join(grown(docs.select("doc_id", "gm_code")), "doc_id").select("doc_id", "start_char", "end_char", "text", "gm_code", seen.alias("seen"), surname_of(F.col("text")).alias("whole"))
     tokens = F.split("whole", " ")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_join(F.slice(tokens, i, F.size(tokens)), " "))
     own = own.withColumn("surname", F.explode(suffixes)).filter("surname <> ''")
     listed = officials.select("gm_code", phrase(F.col("surname")).alias("surname"), F.lower("initials").alias("initials"))
     both = F.least(F.length("seen"), F.length("initials"))
     agree = F.when(F.col("whole").isin(*V.COMMON_SURNAMES), (both > 0) & (F.left("seen", both) == F.left("initials", both))).otherwise((both == 0) | (F.left("seen", F.lit(1)) == F.left("initials", F.lit(1))))
-    fits = own.join(listed, ["gm_code", "surname"]).filter(agree)
+    fits = own.join(grown(listed), ["gm_code", "surname"]).filter(agree)
     best = F.min(F.struct("gm_code", "surname", "initials")).alias("o")
     return fits.groupBy("doc_id", "start_char", "end_char", "text").agg(best).select("doc_id", "start_char", "end_char", "text", "o.gm_code", "o.surname")
 

@@ -7,6 +7,7 @@ from inkveil.plans import queries
 #: Broadcasts of a query's last plan: only of lists of titles and of municipalities' aliases.
 BROADCASTS = {
     "role_match": 1,
+    "officials_match": 0,
 }
 
 
