@@ -72,7 +72,7 @@ def tier1_status(spans: DataFrame, docs: DataFrame | None, contacts: DataFrame)
 def reference_matches(persons: DataFrame, names: DataFrame) -> DataFrame:
     """The persons whose normalised name is on the document's reference list (doc_id, name)."""
     listed = names.select("doc_id", normalise_name(F.col("name")).alias("norm")).distinct()
-    return persons.withColumn("norm", normalise_name(F.col("text"))).join(listed, ["doc_id", "norm"], "left_semi").drop("norm")
+    return persons.withColumn("norm", normalise_name(F.col("text"))).join(grown(listed), ["doc_id", "norm"], "left_semi").drop("norm")
 
 
 def surname_of(text: Column) -> Column:
@@ -189,10 +189,10 @@ def classify_persons(persons: DataFrame, docs: DataFrame, names: DataFrame, offi
     Each kind of evidence looks at the persons, so they are written once; finding them costs far more than reading them again."""
     at, persons = ["doc_id", "start_char", "end_char"], written(persons, "persons")
     flags = (
-        persons.join(reference_matches(persons, names).select(*at).distinct().withColumn("listed", F.lit(True)), at, "left")
-        .join(official_matches(persons, docs, officials).select(*at).distinct().withColumn("official", F.lit(True)), at, "left")
-        .join(title_evidence(persons, docs, titles).select(*at, "list_name").distinct(), at, "left")
-        .join(enclosing(persons, structures), at, "left")
+        persons.join(grown(reference_matches(persons, names).select(*at).distinct().withColumn("listed", F.lit(True))), at, "left")
+        .join(grown(official_matches(persons, docs, officials).select(*at).distinct().withColumn("official", F.lit(True))), at, "left")
+        .join(grown(title_evidence(persons, docs, titles).select(*at, "list_name").distinct()), at, "left")
+        .join(grown(enclosing(persons, structures)), at, "left")
     )
     case = (
         F.when(F.col("listed"), F.lit("reference"))

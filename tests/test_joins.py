@@ -8,6 +8,7 @@ from inkveil.plans import queries
 BROADCASTS = {
     "role_match": 1,
     "officials_match": 0,
+    "classify_persons": 3,
 }
 
 
