@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import SPAN, Blocks, let, normalise_term, running_totals, with_blocks
+from inkveil.operators.groups import grown
 
 
 def literal_spans(text: Column, term: Column) -> Column:
@@ -32,7 +33,7 @@ def term_matches(docs: DataFrame, terms: DataFrame, ground: str = "5.1.2e") -> D
     own = terms if "match_mode" not in terms.columns else terms.filter("coalesce(match_mode, 'exact') = 'exact'")
     article = F.coalesce(F.col("woo_article"), F.lit(ground)) if "woo_article" in terms.columns else F.lit(ground)
     own = own.select("doc_id", "ord", normalise_term(F.col("term")).alias("term"), article.alias("woo_article")).filter("term <> ''")
-    return docs.join(own, "doc_id").select("doc_id", "ord", "term", "woo_article", F.inline(literal_spans(F.col("text"), F.col("term"))))
+    return docs.join(grown(own), "doc_id").select("doc_id", "ord", "term", "woo_article", F.inline(literal_spans(F.col("text"), F.col("term"))))
 
 
 class _Taken:

@@ -9,6 +9,7 @@ BROADCASTS = {
     "role_match": 1,
     "officials_match": 0,
     "classify_persons": 3,
+    "custom_terms": 0,
 }
 
 
