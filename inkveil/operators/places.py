@@ -16,6 +16,7 @@ from inkveil.functions import intervals
 from inkveil.functions import values as V
 from inkveil.functions.text import context_after, context_before, let, normalise_term, running_totals, with_blocks
 from inkveil.operators.custom import literal_spans
+from inkveil.operators.groups import grown
 from inkveil.operators.locate import area
 
 BOX = "struct<page:int,x0:double,y0:double,x1:double,y1:double>"
@@ -129,8 +130,8 @@ def needle_boxes(items: DataFrame, needles: DataFrame) -> DataFrame:
     runs = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("item.text"), F.lit(rf"{_BORDER}+"), F.lit(0))), lambda w: F.concat(F.lit("~"), w))
     anchors = pages.select("doc_id", "page", F.posexplode("items").alias("at", "item"))
     anchors = anchors.select("doc_id", "page", "at", F.explode(F.concat(runs, F.array(F.concat(F.lit("="), F.lower("item.text"))))).alias("key"))
-    met = anchors.join(keyed, ["doc_id", "key"]).select("doc_id", "page", "at", "needle").distinct()
-    rows = met.join(pages, ["doc_id", "page"]).withColumn("low", F.lower(F.get("items", F.col("at"))["text"]))
+    met = anchors.join(grown(keyed), ["doc_id", "key"]).select("doc_id", "page", "at", "needle").distinct()
+    rows = met.join(grown(pages), ["doc_id", "page"]).withColumn("low", F.lower(F.get("items", F.col("at"))["text"]))
     needle, low = F.col("needle"), F.col("low")
     offset = F.when(_holds(low, needle), F.length(F.element_at(F.call_function("split", low, _whole(needle), F.lit(2)), 1)))
     anchored = _holds(low, F.split(needle, " ", 2)[0]) | needle.startswith(low)
@@ -151,8 +152,8 @@ def boxes_of_occurrences(detections: DataFrame, items: DataFrame) -> DataFrame:
     by_place, whole_first = W.partitionBy("doc_id", "needle").orderBy("page", "at"), W.partitionBy("doc_id", "needle").orderBy("page", F.desc("single"), "at")
     ranked = found.select("doc_id", "needle", "box", (F.row_number().over(by_place) - 1).alias("nth"), F.row_number().over(whole_first).alias("first"))
     own = detections.withColumn("needle", needle)
-    exact = own.join(ranked.select("doc_id", "needle", "nth", F.col("box").alias("_exact")), ["doc_id", "needle", "nth"], "left")
-    both = exact.join(ranked.filter("first = 1").select("doc_id", "needle", F.col("box").alias("_first")), ["doc_id", "needle"], "left")
+    exact = own.join(grown(ranked.select("doc_id", "needle", "nth", F.col("box").alias("_exact"))), ["doc_id", "needle", "nth"], "left")
+    both = exact.join(grown(ranked.filter("first = 1").select("doc_id", "needle", F.col("box").alias("_first"))), ["doc_id", "needle"], "left")
     return both.select(*detections.columns, F.coalesce("_exact", "_first").alias("box"))
 
 

@@ -10,6 +10,7 @@ BROADCASTS = {
     "officials_match": 0,
     "classify_persons": 3,
     "custom_terms": 0,
+    "occurrence_boxes": 0,
 }
 
 
