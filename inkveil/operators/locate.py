@@ -98,7 +98,7 @@ def occurrences(spans: DataFrame, docs: DataFrame) -> DataFrame:
 def nth_occurrence(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, needle, nth, start_char, end_char of the nth (from 0) whole occurrence of a needle, or of the first where there are not so many; not
     found: no row. wanted: (doc_id, needle, nth)."""
-    joined = wanted.join(docs.select("doc_id", "text"), "doc_id").withColumn("parts", F.call_function("split", F.col("text"), _whole(F.col("needle")), F.lit(-1))).filter("size(parts) > 1")
+    joined = wanted.join(grown(docs.select("doc_id", "text")), "doc_id").withColumn("parts", F.call_function("split", F.col("text"), _whole(F.col("needle")), F.lit(-1))).filter("size(parts) > 1")
     n = F.when(F.col("nth") < F.size("parts") - 1, F.col("nth")).otherwise(F.lit(0))
     gaps = F.aggregate(F.slice("parts", 1, n + 1), F.lit(0), lambda acc, p: acc + F.length(p))
     start = gaps + n * F.length("needle")

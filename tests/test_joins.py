@@ -11,6 +11,7 @@ BROADCASTS = {
     "classify_persons": 3,
     "custom_terms": 0,
     "occurrence_boxes": 0,
+    "nth_occurrence": 0,
 }
 
 
