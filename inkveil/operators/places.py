@@ -246,13 +246,13 @@ def search(items: DataFrame, needle: str, redacted: DataFrame, context: int = 24
     found = pages.filter((F.length(term) >= 2) & F.lower("text").contains(term)).select("doc_id", "page", F.inline(spans)).filter("size(boxes) > 0")
     lines = found.select("doc_id", "page", "start_char", F.posexplode("boxes").alias("line", "hit")).withColumn("band", F.explode(_bands(F.col("hit.y0"), F.col("hit.y1"))))
     other = redacted.select("doc_id", "page", F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]).alias("b"))
-    met = lines.join(other.withColumn("band", F.explode(_bands(F.col("b.y0"), F.col("b.y1")))), ["doc_id", "page", "band"]).filter("b.x0 < hit.x1 and b.x1 > hit.x0 and b.y0 < hit.y1 and b.y1 > hit.y0")
+    met = lines.join(grown(other.withColumn("band", F.explode(_bands(F.col("b.y0"), F.col("b.y1"))))), ["doc_id", "page", "band"]).filter("b.x0 < hit.x1 and b.x1 > hit.x0 and b.y0 < hit.y1 and b.y1 > hit.y0")
     by_line = met.groupBy("doc_id", "page", "start_char", "line", "hit").agg(F.collect_set("b").alias("over"))
     common = lambda b: (F.least(F.col("hit.x1"), b["x1"]) - F.greatest(F.col("hit.x0"), b["x0"])) * (F.least(F.col("hit.y1"), b["y1"]) - F.greatest(F.col("hit.y0"), b["y0"]))
     marked = by_line.select("doc_id", "page", "start_char", F.exists("over", lambda b: common(b) >= share * F.greatest(area(F.col("hit")), F.lit(1e-6))).alias("covered"), shared_area(F.col("hit"), F.col("over")).alias("taken"))
     known = marked.groupBy("doc_id", "page", "start_char").agg(F.bool_or("covered").alias("covered"), F.sum("taken").alias("taken"))
     whole = F.aggregate("boxes", F.lit(0.0), lambda acc, b: acc + area(b))
-    out = found.join(known, ["doc_id", "page", "start_char"], "left")
+    out = found.join(grown(known), ["doc_id", "page", "start_char"], "left")
     return out.select("doc_id", "page", "start_char", "end_char", "text", "snippet", "boxes", F.coalesce("covered", F.lit(False)).alias("covered"), F.when(whole > 0, F.coalesce("taken", F.lit(0.0)) / whole).otherwise(0.0).alias("covered_share"))
 
 

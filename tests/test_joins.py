@@ -12,6 +12,7 @@ BROADCASTS = {
     "custom_terms": 0,
     "occurrence_boxes": 0,
     "nth_occurrence": 0,
+    "search_boxes": 0,
 }
 
 
