@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import classify, copies, dossiers, incremental, metadata, undo
+from inkveil.operators.groups import grown
 from inkveil.plans import queries as base
 from inkveil.plans import sql
 from inkveil.sources import corpus
@@ -79,7 +80,7 @@ select sender, min(ts) as begin, max(ts) + interval 12 hour as "end", sum(n)::bi
 def delivery_sessions(s: SparkSession, d: str) -> DataFrame:
     """Mail addresses and urls by session of a sender; every delivery comes twice."""
     events = corpus.table(s, d, "events").filter("event_type <> 'error'").select("event_id", F.col("user_id").alias("sender"), "ts")
-    docs = events.join(base.letters(s, d).select(F.col("doc_id").alias("sender"), "text"), "sender").withColumnRenamed("event_id", "doc_id")
+    docs = events.join(grown(base.letters(s, d).select(F.col("doc_id").alias("sender"), "text")), "sender").withColumnRenamed("event_id", "doc_id")
     found = documents.once(docs.unionByName(docs), ["doc_id"])
     hits = documents.tier1.detect(found.withColumn("doc_id", F.struct("doc_id", "sender", "ts")), ("email", "url")).select("doc_id.sender", "doc_id.ts", "entity_type", "text")
     return documents.sessions(documents.with_public_values(hits, base.contacts(s, d)), "sender", "12 hours")

@@ -13,6 +13,7 @@ BROADCASTS = {
     "occurrence_boxes": 0,
     "nth_occurrence": 0,
     "search_boxes": 0,
+    "delivery_sessions": 1,
 }
 
 
