@@ -21,3 +21,8 @@ BROADCASTS = {
 def test_broadcasts(spark, sf, name):
     plan = queries.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("BroadcastExchange"), "BuildLeft" in plan) == (BROADCASTS[name], False)
+
+
+def test_spans_are_worked_out_once(spark, sf):
+    """A test that Spark infers for an array that is exploded would hold the whole array's rules once more."""
+    assert "Filter" not in queries.queries()["t2_all"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
