@@ -7,11 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkveil.functions.text import normalise_name
-from inkveil.operators.groups import connected
+from inkveil.operators.groups import connected, grown, written
 
 DECIDED = ("accepted", "rejected")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table, as it is read several times and costs more to make; columns that hold nothing but untyped nulls are made again on reading."""
+    void = [c for c, kind in df.dtypes if kind == "void"]
+    return written(df.drop(*void), name).withColumns({c: F.lit(None) for c in void}).select(*df.columns)
+
+
 def propagate(detections: DataFrame, dossiers: DataFrame) -> DataFrame:
     """detections (det_id, doc_id, entity_type, text, review_status, woo_article, reviewed_at, scope) with the decisions of their dossiers applied,
     and propagated_from (the det_id whose decision a row took, else null).
@@ -22,17 +28,17 @@ def propagate(detections: DataFrame, dossiers: DataFrame) -> DataFrame:
     and any in its document about the same text of scope 'document', comes before it. Nulls: a null scope is 'all', rows without a text or time of review
     decide nothing for others.
     """
-    own = detections.withColumn("_norm", normalise_name(F.col("text"))).withColumn("_key", F.struct("entity_type", "_norm"))
+    own = _written(detections.withColumn("_norm", normalise_name(F.col("text"))).withColumn("_key", F.struct("entity_type", "_norm")), "detections")
     placed = own.filter("_norm <> ''").select("doc_id", "_key").distinct()
-    links = placed.join(dossiers.select("doc_id", "dossier_id").distinct(), "doc_id").select(F.struct("_key", "doc_id").alias("node"), F.struct("_key", "dossier_id").alias("link"))
-    groups = connected(links).select("node._key", "node.doc_id", F.col("label").alias("_group"))
-    grouped = own.join(groups, ["_key", "doc_id"], "left").withColumn("_group", F.coalesce("_group", F.struct("_key", "doc_id")))
+    links = placed.join(grown(dossiers.select("doc_id", "dossier_id").distinct()), "doc_id").select(F.struct("_key", "doc_id").alias("node"), F.struct("_key", "dossier_id").alias("link"))
+    groups = connected(links, lone=False).select("node._key", "node.doc_id", F.col("label").alias("_group"))
+    grouped = _written(own.join(grown(groups), ["_key", "doc_id"], "left").withColumn("_group", F.coalesce("_group", F.struct("_key", "doc_id"))), "grouped")
     local = F.coalesce(F.col("scope") == "document", F.lit(False))
     decides = F.col("review_status").isin(*DECIDED) & F.col("reviewed_at").isNotNull() & (F.col("_norm") != "")
     decision = F.struct("reviewed_at", "det_id", "review_status", "woo_article")
     latest = grouped.filter(decides & ~local).groupBy("_group").agg(F.max(decision).alias("_latest"))
     shadows = grouped.filter(decides & local).groupBy("doc_id", "_key").agg(F.max(decision).alias("_local"))
-    both = grouped.join(latest, "_group", "left").join(shadows, ["doc_id", "_key"], "left")
+    both = grouped.join(grown(latest), "_group", "left").join(grown(shadows), ["doc_id", "_key"], "left")
     given = F.when(F.col("review_status").isin("pending", "deferred") & (F.col("_norm") != ""), F.coalesce("_local", "_latest"))
     out = both.withColumn("_given", given)
     return out.select(

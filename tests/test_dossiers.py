@@ -143,3 +143,10 @@ def test_changed_names_touch_their_document(spark):
     assert found(incremental.changed_officials(gm((1, "Van Ünal", "a")), gm((1, "Van Unal", "b")))) == [1, 2]
     contact = lambda *rows: spark.createDataFrame(list(rows), "kind string, value string")
     assert found(incremental.changed_contacts(contact(("url", "x")), contact(("url", "https://X.nl/a/")))) == [3]
+
+
+def test_links_of_one_member_join_nothing(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (2, "c"), (4, "c"), (5, "d")], "node long, link string")
+    whole = {r.node: r.label for r in groups.connected(rows).collect()}
+    assert whole == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+    assert {r.node: r.label for r in groups.connected(rows, lone=False).collect()} == {k: whole[k] for k in (1, 2, 4)}
