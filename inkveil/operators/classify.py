@@ -40,9 +40,9 @@ def with_contacts(spans: DataFrame, contacts: DataFrame) -> DataFrame:
     key = contact_key(F.col("entity_type"), F.col("text"))
     parts = F.split(key, "(?=[/?#])")
     keys = F.when(F.col("entity_type") == "url", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), ""))).otherwise(F.array(key))
-    hits = spans.select("doc_id", "entity_type", "start_char", "end_char", F.explode(keys).alias("key")).join(listed, ["entity_type", "key"], "left_semi")
+    hits = spans.select("doc_id", "entity_type", "start_char", "end_char", F.explode(keys).alias("key")).join(grown(listed), ["entity_type", "key"], "left_semi")
     hits = hits.select("doc_id", "entity_type", "start_char", "end_char").distinct().withColumn("public_value", F.lit(True))
-    return spans.join(hits, ["doc_id", "entity_type", "start_char", "end_char"], "left").withColumn("public_value", F.coalesce("public_value", F.lit(False)))
+    return spans.join(grown(hits), ["doc_id", "entity_type", "start_char", "end_char"], "left").withColumn("public_value", F.coalesce("public_value", F.lit(False)))
 
 
 def with_context(spans: DataFrame, docs: DataFrame | None, **widths: int) -> DataFrame:

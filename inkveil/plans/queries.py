@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import classify, custom, locate, reports, review, structure, tier1, tier2
+from inkveil.operators.groups import written
 from inkveil.plans import sql
 from inkveil.sources import corpus, readers
 
@@ -133,7 +134,7 @@ query("reference_match", sql.reference_match())(lambda s, d: classify.reference_
 query("officials_match", sql.officials_match())(lambda s, d: classify.official_matches(persons(s, d), letters(s, d), officials(s, d)))
 query("role_match", sql.role_match())(lambda s, d: classify.title_matches(persons(s, d), letters(s, d), titles(s)))
 query("classify_persons", sql.classify())(lambda s, d: classify.classify_persons(persons(s, d), letters(s, d), reference_names(s, d), officials(s, d), titles(s), structure.detect(letters(s, d))))
-query("other_status", f"select doc_id, entity_type, '2' as tier, text, start_char, end_char, confidence, source, case when pub then 'rejected' else 'pending' end as review_status, case when not pub then '5.1.2e' end as woo_article from (select *, entity_type = 'adres' and lower(text) in (select lower(value) from ({corpus.CONTACTS_SQL}) where kind = 'adres') as pub from ({_SMALL}))")(lambda s, d: classify.other_status(_small_tier2(s, d), letters(s, d), contacts(s, d)))
+query("other_status", f"select doc_id, entity_type, '2' as tier, text, start_char, end_char, confidence, source, case when pub then 'rejected' else 'pending' end as review_status, case when not pub then '5.1.2e' end as woo_article from (select *, entity_type = 'adres' and lower(text) in (select lower(value) from ({corpus.CONTACTS_SQL}) where kind = 'adres') as pub from ({_SMALL}))")(lambda s, d: classify.other_status(written(_small_tier2(s, d), "spans"), letters(s, d), contacts(s, d)))
 
 
 # --- reviewers' terms and search --------------------------------------------------------------------------------------------

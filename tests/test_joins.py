@@ -14,6 +14,7 @@ BROADCASTS = {
     "nth_occurrence": 0,
     "search_boxes": 0,
     "delivery_sessions": 1,
+    "other_status": 0,
 }
 
 
