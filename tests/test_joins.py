@@ -15,6 +15,7 @@ BROADCASTS = {
     "search_boxes": 0,
     "delivery_sessions": 1,
     "other_status": 0,
+    "routed": 3,
 }
 
 
