@@ -104,7 +104,7 @@ def active_municipalities(docs: DataFrame, aliases: DataFrame) -> DataFrame:
         return F.when(F.size(own) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(own, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
     grams = let(words, lambda own: F.array_distinct(F.concat(*[runs(own, n) for n in lengths]) if lengths else F.array().cast("array<string>")))
-    return docs.select("doc_id", F.explode(grams).alias("alias")).join(listed, "alias").select("doc_id", "gm_code").distinct()
+    return docs.select("doc_id", F.explode(grams).alias("alias")).join(F.broadcast(listed), "alias").select("doc_id", "gm_code").distinct()
 
 
 def official_matches(persons: DataFrame, docs: DataFrame, officials: DataFrame) -> DataFrame:

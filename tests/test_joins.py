@@ -16,6 +16,7 @@ BROADCASTS = {
     "delivery_sessions": 1,
     "other_status": 0,
     "routed": 3,
+    "decided_documents": 4,
 }
 
 
