@@ -168,7 +168,7 @@ def texts_of_boxes(boxes: DataFrame, items: DataFrame) -> DataFrame:
     own = boxes.withColumn("band", F.explode(_bands(F.col("y0"), F.col("y1"))))
     middle = (F.col("y0") + F.col("y1")) / 2
     placed = items.select("doc_id", "page", F.floor(middle / BAND).alias("band"), F.struct("text", "x0", "y0", "x1", "y1").alias("item"), middle.alias("middle"))
-    met = own.join(placed, ["doc_id", "page", "band"]).filter(f"middle between y0 and y1 and item.x0 < x1 + {SLACK} and item.x1 > x0 - {SLACK}")
+    met = own.join(grown(placed), ["doc_id", "page", "band"]).filter(f"middle between y0 and y1 and item.x0 < x1 + {SLACK} and item.x1 > x0 - {SLACK}")
     item = F.col("item")
     cut = met.withColumn("part", text_between(item, F.col("x0"), F.col("x1"))).filter("part <> ''")
     parts = F.collect_list(F.struct(F.col("item.y0").alias("y0"), F.col("item.x0").alias("x0"), F.col("item.x1").alias("x1"), "part"))

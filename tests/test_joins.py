@@ -17,6 +17,7 @@ BROADCASTS = {
     "other_status": 0,
     "routed": 3,
     "decided_documents": 4,
+    "box_texts": 0,
 }
 
 
