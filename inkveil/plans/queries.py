@@ -60,7 +60,7 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier-1 detections of the letters with their review status."""
-    return classify.tier1_status(found(spark, sf_dir), None, contacts(spark, sf_dir)).select(*_T1, "review_status")
+    return classify.tier1_status(written(found(spark, sf_dir), "spans"), None, contacts(spark, sf_dir)).select(*_T1, "review_status")
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:

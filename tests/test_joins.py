@@ -30,3 +30,8 @@ def test_broadcasts(spark, sf, name):
 def test_spans_are_worked_out_once(spark, sf):
     """A test that Spark infers for an array that is exploded would hold the whole array's rules once more."""
     assert "Filter" not in queries.queries()["t2_all"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decided_spans_are_found_once(spark, sf):
+    """Contacts look at the spans that were written, so the letters' rows are in no part of the plan."""
+    assert "c_custkey" not in queries.queries()["status_breakdown"](spark, sf)._jdf.queryExecution().executedPlan().toString()
