@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import classify, copies, dossiers, incremental, metadata, undo
-from inkveil.operators.groups import grown
+from inkveil.operators.groups import grown, written
 from inkveil.plans import queries as base
 from inkveil.plans import sql
 from inkveil.sources import corpus
@@ -93,7 +93,7 @@ _BEFORE = _AFTER.replace("s_suppkey % 5 > 0", "s_suppkey % 7 > 0")
 
 def _edited(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     before, after = corpus.derived(s, d, _BEFORE, "supplier"), corpus.derived(s, d, _AFTER, "supplier")
-    spans = base.found(s, d)
+    spans = written(base.found(s, d), "spans")
     return spans, before, after, incremental.touched(incremental.evidence_index(spans), incremental.changed_contacts(before, after))
 
 

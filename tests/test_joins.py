@@ -35,3 +35,7 @@ def test_spans_are_worked_out_once(spark, sf):
 def test_decided_spans_are_found_once(spark, sf):
     """Contacts look at the spans that were written, so the letters' rows are in no part of the plan."""
     assert "c_custkey" not in queries.queries()["status_breakdown"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refreshed_spans_are_found_once(spark, sf):
+    assert "c_custkey" not in queries.queries()["refreshed_decisions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
