@@ -97,7 +97,7 @@ def merge_terms(detections: DataFrame, matches: DataFrame) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct(place.alias("pos"), F.struct(*fields).alias("d"))))
     base = detections.groupBy("doc_id").agg(F.transform(listed, lambda x: x["d"]).alias("base"))
     hits = matches.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start_char", "end_char", "text", "woo_article"))).alias("hits"))
-    both = base.join(hits, "doc_id", "full").select("doc_id", "base", "hits")
+    both = base.join(grown(hits), "doc_id", "full").select("doc_id", "base", "hits")
     kind = detections.schema["doc_id"].dataType.simpleString()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ BROADCASTS = {
     "routed": 3,
     "decided_documents": 4,
     "box_texts": 0,
+    "custom_merge": 0,
 }
 
 
