@@ -19,6 +19,7 @@ BROADCASTS = {
     "decided_documents": 4,
     "box_texts": 0,
     "custom_merge": 0,
+    "detect_all_boost": 0,
 }
 
 
